@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .media_columns import op4_media_columns
+from .packing import op7_packing
 from .sentencepiece_prefix import op6_sentencepiece
+from .sharding import op10_sharding
 from .token_counts import op5_token_counts
 
 QUERIES = {
+    "op4_media_columns": op4_media_columns,
     "op5_token_counts": op5_token_counts,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_packing": op7_packing,
+    "op10_sharding": op10_sharding,
 }
 
 #: DuckDB SQL for the queries that SQL can express over whole tables.
