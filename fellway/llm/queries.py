@@ -6,9 +6,11 @@ from .media_columns import op4_media_columns
 from .packing import op7_packing
 from .sentencepiece_prefix import op6_sentencepiece
 from .sharding import op10_sharding
+from .simhash import op3_simhash
 from .token_counts import op5_token_counts
 
 QUERIES = {
+    "op3_simhash": op3_simhash,
     "op4_media_columns": op4_media_columns,
     "op5_token_counts": op5_token_counts,
     "op6_sentencepiece": op6_sentencepiece,
