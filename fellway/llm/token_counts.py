@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._common import Generations, documents, session, small_batches
 
-#: Documents from which the frequent pre-tokens are drawn, and how many are kept.
+#: About how many documents the frequent pre-tokens are drawn from, and how many are kept.
 SAMPLE_DOCS, FREQUENT = 1500, 1 << 16
 #: Entries of a worker's cache.
 CACHE = 300_000
@@ -112,7 +112,9 @@ def frequent_pieces(docs: DataFrame, model: str) -> dict[str, int]:
         one = _vocabulary(model)[0]
         yield pa.RecordBatch.from_pydict({"piece": kept, "n": [one(p) for p in kept]}, pa.schema([("piece", pa.string()), ("n", pa.int32())]))
 
-    sample = docs.select("text").limit(SAMPLE_DOCS)
+    # A share of the documents by the hash of their id; one task tallies what is sampled.
+    keep = max(1, -(-docs.count() // SAMPLE_DOCS))
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(keep)) == 0).select("text").repartition(1)
     return {r.piece: r.n for r in sample.mapInArrow(tally, "piece string, n int").collect()}
 
 
