@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import topk_search
 from .media_columns import op4_media_columns
 from .packing import op7_packing
 from .sentencepiece_prefix import op6_sentencepiece
@@ -15,8 +16,9 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_packing": op7_packing,
+    "op9_topk_search": topk_search.op9_topk_search,
     "op10_sharding": op10_sharding,
 }
 
 #: DuckDB SQL for the queries that SQL can express over whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_topk_search": topk_search.ORACLE}
