@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import topk_search
+from .language_id import op1_language_id
 from .media_columns import op4_media_columns
 from .packing import op7_packing
 from .sentencepiece_prefix import op6_sentencepiece
@@ -11,6 +12,7 @@ from .simhash import op3_simhash
 from .token_counts import op5_token_counts
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_simhash": op3_simhash,
     "op4_media_columns": op4_media_columns,
     "op5_token_counts": op5_token_counts,
