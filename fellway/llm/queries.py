@@ -9,6 +9,7 @@ from .packing import op7_packing
 from .sentencepiece_prefix import op6_sentencepiece
 from .sharding import op10_sharding
 from .simhash import op3_simhash
+from .substring_words import op8_substring_words
 from .token_counts import op5_token_counts
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_packing": op7_packing,
+    "op8_substring_words": op8_substring_words,
     "op9_topk_search": topk_search.op9_topk_search,
     "op10_sharding": op10_sharding,
 }
