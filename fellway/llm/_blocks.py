@@ -28,6 +28,14 @@ def _pack(ids: np.ndarray, texts: list[bytes]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+#: Stands for a null doc_id.
+_NO_ID = (1 << 63) - 1
+
+
+def id_of(value: int) -> int | None:
+    return None if value == _NO_ID else int(value)
+
+
 def unpack(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
     """Ids and texts of a chunk in order of doc_id."""
     parts = [pa.ipc.open_stream(b.as_py()).read_all() for b in table.column("block")]
@@ -43,11 +51,12 @@ def chunked(docs: DataFrame, chunk_docs: int = CHUNK_DOCS) -> tuple[DataFrame, i
     """(chunk, block) rows dealt by chunk, and the number of chunks.
 
     Chunks are ranges of doc_id of near equal counts, in order: every doc_id of a
-    chunk is smaller than those of later chunks. Null texts are empty.
+    chunk is smaller than those of later chunks. Null texts are empty; a null doc_id
+    stands after all others.
     """
     spark = session(docs)
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col("text").cast("string"))
     chunks = max(1, -(-docs.count() // chunk_docs))
     points = [k / QUANTILES for k in range(QUANTILES + 1)]
     edges = docs.approxQuantile("doc_id", points, 0.0005) if chunks > 1 else []
@@ -65,7 +74,7 @@ def chunked(docs: DataFrame, chunk_docs: int = CHUNK_DOCS) -> tuple[DataFrame, i
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], schema=_PACKED)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return docs.filter(F.col("doc_id").isNotNull()).mapInArrow(pack, "chunk int, block binary").repartition(parts, "chunk"), chunks
+    return docs.mapInArrow(pack, "chunk int, block binary").repartition(parts, "chunk"), chunks
 
 
 #: An odd multiplier, and a fixed random number for every byte value.

@@ -9,11 +9,13 @@ from .packing import op7_packing
 from .sentencepiece_prefix import op6_sentencepiece
 from .sharding import op10_sharding
 from .simhash import op3_simhash
+from .substring_bytes import op2_substring_bytes
 from .substring_words import op8_substring_words
 from .token_counts import op5_token_counts
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_substring_bytes": op2_substring_bytes,
     "op3_simhash": op3_simhash,
     "op4_media_columns": op4_media_columns,
     "op5_token_counts": op5_token_counts,

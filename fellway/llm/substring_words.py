@@ -17,8 +17,8 @@ a wrong hash match removes nothing.
 
 Defined cases: null text has no words; rows that repeat a doc_id are not smaller
 than each other; separators are blank, tab, line end, vertical tab, form feed and
-carriage return; an empty table gives no rows; rows with a null doc_id are left
-out, since no order holds for them.
+carriage return; a null doc_id counts as larger than any other; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._blocks import CHUNK_DOCS, PrefixHash, chunked, grouped, numbers, to_buckets, unpack
+from ._blocks import CHUNK_DOCS, PrefixHash, chunked, grouped, id_of, numbers, to_buckets, unpack
 from ._common import documents
 
 WINDOW = 13
@@ -255,7 +255,7 @@ def shared_words(docs: DataFrame, window: int = WINDOW, chunk_docs: int = CHUNK_
             all_words, own_gone = text.split(), gone[cut[d] : cut[d + 1]]
             removed = int(own_gone.sum())
             kept = [w for w, g in zip(all_words, own_gone.tolist()) if not g] if removed else all_words
-            rows.append((int(ids[d]), len(all_words), removed, hashlib.sha256(b" ".join(kept)).hexdigest()))
+            rows.append((id_of(ids[d]), len(all_words), removed, hashlib.sha256(b" ".join(kept)).hexdigest()))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), final.types)], schema=final)
 
     hashes = blocks.groupBy("chunk").applyInArrow(window_hashes, "bucket int, chunk int, hashes binary")

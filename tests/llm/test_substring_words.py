@@ -47,6 +47,12 @@ def test_removal(spark):
         assert sorted(map(tuple, got)) == brute(rows, 13)
 
 
+def test_null_id_is_last(spark):
+    text = " ".join(f"w{k}" for k in range(20))
+    rows = shared_words(spark.createDataFrame([(None, text), (1 << 60, text)], "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 20), (1 << 60, 0)]
+
+
 def test_empty_table(spark):
     assert shared_words(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 
