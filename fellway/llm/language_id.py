@@ -279,5 +279,21 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
+def known_language(docs: DataFrame, least: float = 0.5, model: Model | None = None) -> DataFrame:
+    """The documents, all columns as they are, whose language is found with a score of ``least`` or more."""
+    spark = session(docs)
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast(model or train(docs))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        own = Labeller(sent.value)
+        for batch in batches:
+            labels, scores = own.label(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in zip(labels, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir, "doc_id", "text", "lang"))

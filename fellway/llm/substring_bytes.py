@@ -30,18 +30,17 @@ a null doc_id take part like others; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._blocks import CHUNK_DOCS, PrefixHash, chunked, grouped, id_of, mixed, numbers, to_buckets, unpack
 from ._common import documents
 
 WIDTH, ANCHOR = 400, 300
-SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+SCHEMA = "doc_id bigint, n_bytes bigint, starts array<bigint>, stops array<bigint>, kept binary"
 _PLACE_BITS = np.uint64(28)
 #: Kinds of what a bucket answers about a context.
 REPEATED, UNDECIDED, PROVIDED = 1, 2, 4
@@ -136,14 +135,15 @@ def _by_chunk(chunk: np.ndarray, *columns: np.ndarray) -> list[tuple]:
 
 
 def repeated_bytes(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """doc_id, n_bytes, starts and stops of the maximal removed runs, kept (the other bytes)."""
     blocks, chunks = chunked(docs, chunk_docs)
     buckets = max(1, chunks // 8)
     sent = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("anchors", pa.binary()), ("contexts", pa.binary())])
     told = pa.schema([("chunk", pa.int32()), ("contexts", pa.binary()), ("kinds", pa.binary())])
     shown = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary())])
     found = pa.schema([("chunk", pa.int32()), ("windows", pa.binary())])
-    final = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    places = pa.list_(pa.int64())
+    final = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("starts", places), ("stops", places), ("kept", pa.binary())])
 
     def send_anchors(table: pa.Table) -> pa.Table:
         a, c = Anchors(unpack(table)[1], width, anchor).pairs()
@@ -235,10 +235,9 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, ch
         rows = []
         for d, text in enumerate(texts):
             mine = gone[own.base[d] : own.base[d + 1]]
-            removed = int(np.count_nonzero(mine))
-            spans = int(np.count_nonzero(mine[1:] & ~mine[:-1]) + mine[0]) if removed else 0
-            kept = np.frombuffer(text, np.uint8)[~mine].tobytes() if removed else text
-            rows.append((id_of(ids[d]), len(text), removed, spans, hashlib.sha256(kept).hexdigest()))
+            edges = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
+            kept = np.frombuffer(text, np.uint8)[~mine].tobytes() if len(edges) else text
+            rows.append((id_of(ids[d]), len(text), edges[::2].tolist(), edges[1::2].tolist(), kept))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), final.types)], schema=final)
 
     anchors = blocks.groupBy("chunk").applyInArrow(send_anchors, "bucket int, chunk int, anchors binary, contexts binary")
@@ -250,4 +249,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, ch
 
 
 def op2_substring_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_bytes(documents(spark, sf_dir))
+    removed = F.aggregate(F.zip_with("starts", "stops", lambda a, b: b - a), F.lit(0).cast("long"), lambda n, x: n + x)
+    return repeated_bytes(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )

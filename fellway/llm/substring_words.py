@@ -23,11 +23,10 @@ gives no rows.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._blocks import CHUNK_DOCS, PrefixHash, chunked, grouped, id_of, numbers, to_buckets, unpack
 from ._common import documents
@@ -35,7 +34,7 @@ from ._common import documents
 WINDOW = 13
 #: Words of reference passages in one automaton.
 SHARD_WORDS = 100_000
-SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
+SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -164,13 +163,13 @@ class Words:
 
 
 def shared_words(docs: DataFrame, window: int = WINDOW, chunk_docs: int = CHUNK_DOCS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256."""
+    """doc_id, n_words, n_removed, kept (the words that stay, joined by one blank)."""
     blocks, chunks = chunked(docs, chunk_docs)
     buckets = max(1, chunks // 4)
     sent = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary())])
     asked = pa.schema([("chunk", pa.int32()), ("hashes", pa.binary()), ("targets", pa.binary())])
     given = pa.schema([("chunk", pa.int32()), ("passages", pa.list_(pa.binary()))])
-    final = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+    final = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def window_hashes(table: pa.Table) -> pa.Table:
         out = to_buckets(np.unique(Words(unpack(table)[1], window).hash), buckets)
@@ -255,7 +254,7 @@ def shared_words(docs: DataFrame, window: int = WINDOW, chunk_docs: int = CHUNK_
             all_words, own_gone = text.split(), gone[cut[d] : cut[d + 1]]
             removed = int(own_gone.sum())
             kept = [w for w, g in zip(all_words, own_gone.tolist()) if not g] if removed else all_words
-            rows.append((id_of(ids[d]), len(all_words), removed, hashlib.sha256(b" ".join(kept)).hexdigest()))
+            rows.append((id_of(ids[d]), len(all_words), removed, b" ".join(kept).decode()))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), final.types)], schema=final)
 
     hashes = blocks.groupBy("chunk").applyInArrow(window_hashes, "bucket int, chunk int, hashes binary")
@@ -265,4 +264,4 @@ def shared_words(docs: DataFrame, window: int = WINDOW, chunk_docs: int = CHUNK_
 
 
 def op8_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared_words(documents(spark, sf_dir))
+    return shared_words(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import xxhash
 
-from fellway.llm.simhash import bucket_links, components, fingerprint, links, near_duplicates, within
+from fellway.llm.simhash import bucket_links, components, fingerprint, links, near_duplicates, similar_groups, within
 
 
 def plain_fingerprint(text):
@@ -65,7 +65,7 @@ def cloud(n, seed):
 def test_links_span_every_component(spark):
     values = cloud(400, 8)
     signed = np.array(values, np.uint64).view(np.int64).tolist()
-    frame = spark.createDataFrame([(v,) for v in signed], "fp bigint")
+    frame = spark.createDataFrame([(v, v) for v in signed], "node bigint, fp bigint")
     expected = plain_components(values)
     for bucket in (1 << 16, 40):
         found = components(links(frame, 400, bucket=bucket)).collect()
@@ -108,3 +108,21 @@ def test_documents(spark):
         assert rows[ids[k]].fingerprint == f"{plain_fingerprint(texts[k]):016x}"
         assert rows[ids[k]].component_id == ids[order[expected[at]]]
     assert near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_similar_groups(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(900)]
+    rows, truth = [], {}
+    for g in range(60):
+        text = [rng.choice(words) for _ in range(rng.randint(150, 400))]
+        for k in range(3):
+            own = list(text)
+            for _ in range(k * len(own) // 100):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            truth[len(rows)] = g
+            rows.append((len(rows), " ".join(own)))
+    got = {r.doc_id: r.group_id for r in similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    firsts = {g: min(i for i in truth if truth[i] == g) for g in truth.values()}
+    assert all(got[i] in truth and truth[got[i]] == truth[i] for i in got)
+    assert sum(got[i] == firsts[truth[i]] for i in got) > 0.97 * len(rows)

@@ -1,6 +1,5 @@
 """Byte-string removal against counting all strings of the width."""
 
-import hashlib
 import random
 from collections import Counter
 
@@ -18,9 +17,10 @@ def brute(rows, width):
         for k in range(len(t) - width + 1):
             if count[t[k : k + width]] > 1:
                 gone[k : k + width] = [True] * width
-        spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
-        kept = bytes(b for b, g in zip(t, gone) if not g)
-        out.append((-1 if i is None else i, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        edge = [0, *map(int, gone), 0]
+        starts = [k for k in range(len(t)) if edge[k + 1] > edge[k]]
+        stops = [k for k in range(1, len(t) + 1) if edge[k] > edge[k + 1]]
+        out.append((-1 if i is None else i, len(t), starts, stops, bytes(b for b, g in zip(t, gone) if not g)))
     return sorted(out)
 
 
@@ -44,7 +44,7 @@ def corpus(seed, n, scale):
 
 def same(spark, rows, width, **how):
     frame = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id bigint, text string, chunk int, kinds string")
-    got = sorted((-1 if r[0] is None else r[0], *r[1:]) for r in repeated_bytes(frame, width, **how).collect())
+    got = sorted((-1 if r[0] is None else r[0], *r[1:4], bytes(r[4])) for r in repeated_bytes(frame, width, **how).collect())
     assert got == brute(rows, width)
 
 

@@ -1,6 +1,5 @@
 """Word-window removal against a table of all windows."""
 
-import hashlib
 import random
 
 from fellway.llm.substring_words import SuffixAutomaton, shared_words
@@ -21,7 +20,7 @@ def brute(rows, window):
             if first[tuple(words[k : k + window])] < i:
                 gone[k : k + window] = [True] * window
         kept = [w for w, g in zip(words, gone) if not g]
-        out.append((i, len(words), sum(gone), hashlib.sha256(b" ".join(kept)).hexdigest()))
+        out.append((i, len(words), sum(gone), b" ".join(kept).decode()))
     return sorted(out)
 
 
