@@ -16,7 +16,8 @@ def haversine_km(lon1, lat1, lon2, lat2) -> Column:
     lon1, lat1, lon2, lat2 = map(col, (lon1, lat1, lon2, lat2))
     half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), F.lit(2.0))
     h = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)
-    return F.lit(2 * C.EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    # Null stays null: least() would skip it.
+    return F.lit(2 * C.EARTH_KM) * F.asin(F.when(h > 1, F.lit(1.0)).otherwise(F.sqrt(h)))
 
 
 def haversine_m(lon1, lat1, lon2, lat2) -> Column:
@@ -59,8 +60,7 @@ def padded_bbox(waypoints, padding: float | Column = C.PADDING) -> Column:
     """Struct (min_lat, min_lon, max_lat, max_lon) around an array of (lon, lat)."""
     points, padding = col(waypoints), col(padding)
     edge = {}
-    for axis in ("lon", "lat"):
-        values = F.transform(points, lambda p, a=axis: p[a])
+    for axis, values in (("lon", F.transform(points, lambda p: p["lon"])), ("lat", F.transform(points, lambda p: p["lat"]))):
         low, high = F.array_min(values), F.array_max(values)
         pad = F.greatest((high - low) * padding, F.lit(C.MIN_PAD_DEG))
         edge |= {f"min_{axis}": low - pad, f"max_{axis}": high + pad}
