@@ -20,7 +20,7 @@ from . import spatial
 #: Nodes along a block's side, and the reach of the longest step.
 BLOCK, HALO = 256, 2
 STEP_KEY = ["grid_id", "i", "j", "k"]
-STEPS = "grid_id string, i int, j int, k int, ni int, nj int, cost double"
+STEPS = "grid_id string, i int, j int, k int, ni int, nj int, cost double, wet boolean, zone boolean"
 
 
 def with_halo(nodes: DataFrame, block: int = BLOCK, halo: int = HALO) -> DataFrame:
@@ -36,19 +36,23 @@ def _terrain(table: pa.Table, block: int) -> dict[str, np.ndarray]:
     size = block + 2 * HALO
     elev, lat = np.full((size, size), np.nan), np.full(size, np.nan)
     elev[i, j] = column("elev")
+    flags = {}
+    for name in ("wet", "zone"):
+        flags[name] = np.zeros((size, size), bool)
+        flags[name][i, j] = column(name)
     lat[i] = column("lat")
     lat_step, lon_step = column("lat_step")[0], column("lon_step")[0]
     own = slice(HALO, HALO + block)
     lat_m = lat_step * C.M_PER_DEGREE
     lon_m = (lon_step * C.M_PER_DEGREE * np.cos(np.radians(lat[own])))[:, None]
 
-    def at(di: int, dj: int) -> np.ndarray:
-        return elev[HALO + di : HALO + di + block, HALO + dj : HALO + dj + block]
+    def at(di: int, dj: int, of: np.ndarray = elev) -> np.ndarray:
+        return of[HALO + di : HALO + di + block, HALO + dj : HALO + dj + block]
 
     def length(di: int, dj: int) -> np.ndarray:
         return np.sqrt((di * lat_m) ** 2 + (dj * lon_m) ** 2)
 
-    out = {"i": [], "j": [], "k": [], "cost": []}
+    out = {"i": [], "j": [], "k": [], "cost": [], "wet": [], "zone": []}
     here = at(0, 0)
     for k, (di, dj) in enumerate(C.DIRECTIONS):
         distance = length(di, dj)
@@ -63,21 +67,28 @@ def _terrain(table: pa.Table, block: int) -> dict[str, np.ndarray]:
         out["j"].append(c + bj * block)
         out["k"].append(np.full(len(r), k))
         out["cost"].append(cost[r, c])
+        for name, of in flags.items():
+            out[name].append((at(0, 0, of) | at(di, dj, of))[r, c])
     return {name: np.concatenate(parts) for name, parts in out.items()}
 
 
 def terrain_steps(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Hours of every step between nodes (grid_id, i, j, lat, lat_step, lon_step, elev)."""
+    """Hours of every step between nodes (grid_id, i, j, lat, lat_step, lon_step, elev).
+
+    If nodes have ``wet`` or ``zone`` (in a stream corridor), a step is marked if
+    either end is.
+    """
     di, dj = (np.array(d, np.int32) for d in zip(*C.DIRECTIONS))
-    schema = pa.schema([("grid_id", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("k", pa.int32()), ("ni", pa.int32()), ("nj", pa.int32()), ("cost", pa.float64())])
+    schema = pa.schema([("grid_id", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("k", pa.int32()), ("ni", pa.int32()), ("nj", pa.int32()), ("cost", pa.float64()), ("wet", pa.bool_()), ("zone", pa.bool_())])
 
     def steps(table: pa.Table) -> pa.Table:
         found = _terrain(table, block)
         n = len(found["i"])
         i, j, k = (found[c].astype(np.int32) for c in ("i", "j", "k"))
-        return pa.table([pa.array([table.column("grid_id")[0].as_py()] * n, pa.string()), i, j, k, i + di[k], j + dj[k], found["cost"]], schema=schema)
+        return pa.table([pa.array([table.column("grid_id")[0].as_py()] * n, pa.string()), i, j, k, i + di[k], j + dj[k], found["cost"], found["wet"], found["zone"]], schema=schema)
 
-    slim = nodes.filter("elev IS NOT NULL").select(F.col("grid_id").cast("string"), F.col("i").cast("int"), F.col("j").cast("int"), "lat", "lat_step", "lon_step", F.col("elev").cast("double"))
+    flag = lambda c: (F.coalesce(c, F.lit(False)) if c in nodes.columns else F.lit(False)).alias(c)
+    slim = nodes.filter("elev IS NOT NULL").select(F.col("grid_id").cast("string"), F.col("i").cast("int"), F.col("j").cast("int"), "lat", "lat_step", "lon_step", F.col("elev").cast("double"), flag("wet"), flag("zone"))
     return with_halo(slim, block).groupBy("grid_id", "bi", "bj").applyInArrow(steps, STEPS)
 
 
@@ -131,44 +142,36 @@ def stream_nodes(nodes: DataFrame, streams: DataFrame, buffer_deg: float) -> Dat
     return spatial.within_distance(points, streams, buffer_deg, ["grid_id", "i", "j"])
 
 
-def _at_either_end(steps: DataFrame, wet: DataFrame) -> DataFrame:
-    """Keys of steps that start or end at one of the nodes."""
-    starts = steps.join(wet, ["grid_id", "i", "j"], "left_semi")
-    ends = steps.join(wet.select("grid_id", F.col("i").alias("ni"), F.col("j").alias("nj")), ["grid_id", "ni", "nj"], "left_semi")
-    return starts.select(*STEP_KEY).unionByName(ends.select(*STEP_KEY))
-
-
 def _pad(axes: DataFrame) -> float:
     """Two cells of the coarsest grid: the reach of a step's samples, with room."""
     return axes.agg(F.max(F.greatest("lat_step", "lon_step"))).first()[0] * 2.0
 
 
-def water_steps(steps: DataFrame, nodes: DataFrame, axes: DataFrame, water: DataFrame) -> DataFrame:
-    """Keys of steps with an end or a sample in water."""
-    samples = step_samples(near_steps(steps, nodes, water, _pad(axes)), axes)
-    crossing = spatial.contained(samples, water, STEP_KEY)
-    return _at_either_end(steps, water_nodes(nodes, water)).unionByName(crossing).distinct()
+def flagged_nodes(nodes: DataFrame, water: DataFrame | None = None, streams: DataFrame | None = None, buffer_deg: float | None = None) -> DataFrame:
+    """Nodes with ``wet`` and ``zone``."""
+    for name, features in (("wet", water), ("zone", streams)):
+        if features is not None:
+            found = water_nodes(nodes, features) if name == "wet" else stream_nodes(nodes, features, buffer_deg)
+            nodes = nodes.join(found.withColumn(name, F.lit(True)), ["grid_id", "i", "j"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return nodes
 
 
-def stream_steps(steps: DataFrame, nodes: DataFrame, axes: DataFrame, streams: DataFrame, buffer_deg: float) -> DataFrame:
-    """Keys of steps with an end or a sample in a stream corridor."""
-    samples = step_samples(near_steps(steps, nodes, streams, _pad(axes) + buffer_deg), axes)
-    crossing = spatial.within_distance(samples, streams, buffer_deg, STEP_KEY)
-    return _at_either_end(steps, stream_nodes(nodes, streams, buffer_deg)).unionByName(crossing).distinct()
+def water_steps(steps: DataFrame, nodes: DataFrame, axes: DataFrame, water: DataFrame) -> DataFrame:
+    """Keys of steps with an end or a sample in water; ``steps`` are marked at their ends."""
+    samples = step_samples(near_steps(steps, nodes, water, _pad(axes)), axes)
+    return steps.filter("wet").select(*STEP_KEY).unionByName(spatial.contained(samples, water, STEP_KEY)).distinct()
 
 
-def bridge_distances(steps: DataFrame, nodes: DataFrame, axes: DataFrame, bridges: DataFrame) -> DataFrame:
+def bridge_distances(samples: DataFrame, axes: DataFrame, bridges: DataFrame) -> DataFrame:
     """(key, metres) of steps with a sample beside a bridge segment, within its buffer.
 
     Samples beyond a segment's ends do not count. Metres are taken at each grid's
     mean latitude.
     """
-    real = bridges.filter(~((F.col("ax") == F.col("bx")) & (F.col("ay") == F.col("by"))))
     pad_y = C.BRIDGE_BUFFER_M / C.M_PER_DEGREE * 1.5
     pad_x = pad_y * 4  # longitudes are shorter: enough up to 75 degrees
     scale = axes.select("grid_id", lon_metres(F.col("lat0") + (F.col("rows") - 1) / 2 * F.col("lat_step")).alias("mx"))
-    samples = step_samples(near_steps(steps, nodes, real, _pad(axes) + pad_x), axes)
-    near = spatial.near_segments(samples, real, pad_x, pad_y).join(scale, "grid_id")
+    near = spatial.near_segments(samples, bridges, pad_x, pad_y).join(scale, "grid_id")
     mx, my = F.col("mx"), F.lit(C.M_PER_DEGREE)
     d, along = spatial.segment_distance(F.col("x") * mx, F.col("y") * my, F.col("ax") * mx, F.col("ay") * my, F.col("bx") * mx, F.col("by") * my)
     beside = near.select(*STEP_KEY, d.alias("metres"), along.alias("along")).filter((F.col("along") >= 0) & (F.col("along") <= 1) & (F.col("metres") <= C.BRIDGE_BUFFER_M))
@@ -181,20 +184,40 @@ def step_costs(nodes: DataFrame, axes: DataFrame, water: DataFrame | None = None
     Terrain, then streams (x 1.5), then water (no step), then bridges: a step
     beside a bridge gets its terrain cost back, with a pull to the centre line,
     whatever streams and water made of it.
+
+    Nodes carry their flags into the stencil, so a step's ends cost no join. Only
+    steps near a feature are sampled, once for all layers, and what the samples
+    find meets the steps in one join. The steps are cached: four branches use them.
     """
-    steps = terrain_steps(nodes, block).withColumn("terrain", F.col("cost"))
-    plain = steps
-    if streams is not None:
-        buffer_deg = stream_buffer_deg or C.stream_buffer_deg(C.REGION_LAT)
-        zone = stream_steps(plain, nodes, axes, streams, buffer_deg).withColumn("stream", F.lit(True))
-        steps = steps.join(zone, STEP_KEY, "left").withColumn("cost", F.when(F.col("stream"), F.col("cost") * C.STREAM_WEIGHT).otherwise(F.col("cost"))).drop("stream")
-    if water is not None:
-        blocked = water_steps(plain, nodes, axes, water).withColumn("wet", F.lit(True))
-        steps = steps.join(blocked, STEP_KEY, "left").withColumn("cost", F.when(F.col("wet"), F.lit(None)).otherwise(F.col("cost"))).drop("wet")
+    layers = {"water": water, "streams": streams, "bridges": bridges}
+    layers = {name: layer for name, layer in layers.items() if layer is not None}
+    if not layers:
+        return terrain_steps(nodes, block).select(*STEP_KEY, "ni", "nj", "cost")
     if bridges is not None:
-        pull = F.lit(1.0) + C.BRIDGE_CENTRING * F.least(F.lit(1.0), F.col("metres") / C.BRIDGE_BUFFER_M)
-        steps = steps.join(bridge_distances(plain, nodes, axes, bridges), STEP_KEY, "left").withColumn("cost", F.when(F.col("metres").isNotNull(), F.col("terrain") * pull).otherwise(F.col("cost"))).drop("metres")
-    return steps.filter("cost IS NOT NULL").select("grid_id", "i", "j", "k", "ni", "nj", "cost")
+        layers["bridges"] = bridges = bridges.filter(~((F.col("ax") == F.col("bx")) & (F.col("ay") == F.col("by"))))
+    buffer_deg = stream_buffer_deg or C.stream_buffer_deg(C.REGION_LAT)
+    steps = terrain_steps(flagged_nodes(nodes, water, streams, buffer_deg), block).persist()
+    # Every feature under an id of its own, with the widest reach of any layer.
+    pad = _pad(axes) + max(buffer_deg, C.BRIDGE_BUFFER_M / C.M_PER_DEGREE * 6)
+    every = None
+    for name, layer in layers.items():
+        own = layer.select(F.concat(F.lit(name), F.col("gid").cast("string")).alias("gid") if "gid" in layer.columns else F.concat(F.lit(name), F.monotonically_increasing_id().cast("string")).alias("gid"), "ax", "ay", "bx", "by")
+        every = own if every is None else every.unionByName(own)
+    samples = step_samples(near_steps(steps, nodes, every, pad), axes).persist()
+    found = None
+    for name in layers:
+        if name == "water":
+            part = spatial.contained(samples, water, STEP_KEY).select(*STEP_KEY, F.lit(True).alias("wet_"), F.lit(None).cast("boolean").alias("zone_"), F.lit(None).cast("double").alias("metres"))
+        elif name == "streams":
+            part = spatial.within_distance(samples, streams, buffer_deg, STEP_KEY).select(*STEP_KEY, F.lit(None).cast("boolean").alias("wet_"), F.lit(True).alias("zone_"), F.lit(None).cast("double").alias("metres"))
+        else:
+            part = bridge_distances(samples, axes, bridges).select(*STEP_KEY, F.lit(None).cast("boolean").alias("wet_"), F.lit(None).cast("boolean").alias("zone_"), "metres")
+        found = part if found is None else found.unionByName(part)
+    flags = found.groupBy(*STEP_KEY).agg(F.bool_or("wet_").alias("wet_"), F.bool_or("zone_").alias("zone_"), F.min("metres").alias("metres"))
+    wet, zone = (F.col(c) | F.coalesce(f"{c}_", F.lit(False)) for c in ("wet", "zone"))
+    pull = F.lit(1.0) + C.BRIDGE_CENTRING * F.least(F.lit(1.0), F.col("metres") / C.BRIDGE_BUFFER_M)
+    cost = F.when(F.col("metres").isNotNull(), F.col("cost") * pull).when(wet, F.lit(None)).when(zone, F.col("cost") * C.STREAM_WEIGHT).otherwise(F.col("cost"))
+    return steps.join(flags, STEP_KEY, "left").withColumn("cost", cost).filter("cost IS NOT NULL").select(*STEP_KEY, "ni", "nj", "cost")
 
 
 def line_segments(vertices: DataFrame) -> DataFrame:

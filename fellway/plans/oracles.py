@@ -169,6 +169,17 @@ _LEG_SEARCH = """reach(route_id, leg, i, j, g) USING KEY (route_id, leg, i, j) A
       SELECT t.route_id, t.leg, s.ni, s.nj, min(t.g + s.cost) FROM reach t JOIN full_steps s ON s.i = t.i AND s.j = t.j LEFT JOIN recurring.reach o ON o.route_id = t.route_id AND o.leg = t.leg AND o.i = s.ni AND o.j = s.nj
       WHERE o.g IS NULL OR t.g + s.cost < o.g GROUP BY t.route_id, t.leg, s.ni, s.nj)"""
 
+_PATH = f"""{_LEG_SEARCH},
+    pred AS MATERIALIZED (SELECT t.route_id, t.leg, s.ni, s.nj, arg_min(s.i, (t.g + s.cost, s.i, s.j)) AS pi, arg_min(s.j, (t.g + s.cost, s.i, s.j)) AS pj FROM reach t JOIN full_steps s ON s.i = t.i AND s.j = t.j GROUP BY ALL),
+    chase(route_id, leg, i, j, back) AS (
+      SELECT l.route_id, l.leg, gi, gj, 0 FROM legs l JOIN reach r ON l.route_id = r.route_id AND l.leg = r.leg AND l.gi = r.i AND l.gj = r.j
+      UNION ALL
+      SELECT c.route_id, c.leg, p.pi, p.pj, back + 1 FROM chase c JOIN legs l ON c.route_id = l.route_id AND c.leg = l.leg AND NOT (c.i = l.si AND c.j = l.sj) JOIN pred p ON p.route_id = c.route_id AND p.leg = c.leg AND p.ni = c.i AND p.nj = c.j),
+    path AS MATERIALIZED (SELECT c.route_id, c.leg, max(back) OVER (PARTITION BY c.route_id, c.leg) - back AS seq, c.i, c.j, n.lon, n.lat, n.elev, r.g FROM chase c JOIN nodes n ON c.i = n.i AND c.j = n.j JOIN reach r ON r.route_id = c.route_id AND r.leg = c.leg AND r.i = c.i AND r.j = c.j)"""
+
+_SHORT = "(CASE WHEN {p} = 0 THEN 'Start' WHEN {p} = legs_n THEN 'End' ELSE 'Waypoint ' || ({p}) END)"
+_LONG = "(CASE WHEN {p} = 0 THEN 'Start point' WHEN {p} = legs_n THEN 'End point' ELSE 'Waypoint ' || {p} END)"
+_WATER = "' falls within a mapped water or snow/ice body — pick a point on dry land.'"
 _IN_REGION = "(CASE WHEN nullif(countrycode, '') IS NOT NULL THEN upper(countrycode) = 'NZ' ELSE lat <= -33.0 AND lat >= -52.7 AND ((lon >= 165.5 AND lon <= 180) OR (lon >= -180 AND lon <= -175.0)) END)"
 _ZOOM = "CASE WHEN nullif(housenumber, '') IS NOT NULL THEN 17 WHEN nullif(street, '') IS NOT NULL THEN 16 ELSE coalesce(CASE kind " + " ".join(f"WHEN '{k}' THEN {z}" for k, z in ZOOM_BY_KIND.items()) + " END, 13) END"
 _BOX = {"ax": "min_lon", "ay": "min_lat"}
@@ -204,6 +215,20 @@ ORACLE_SQL = {
     "sssp_barrier": _corner_hours("barrier_steps"),
     "sssp_blocks": sql("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(g, 9) AS hours FROM dist", _search("steps", "corner")),
     "multi_leg_summary": sql("SELECT l.route_id, CAST(l.leg AS INTEGER) AS leg, round(g, 9) AS estimated_hours FROM legs l JOIN reach r ON l.route_id = r.route_id AND l.leg = r.leg AND l.gi = r.i AND l.gj = r.j", _LEG_SEARCH),
+    "route_profile": sql("SELECT route_id, CAST(leg AS INTEGER) AS leg, CAST(seq AS INTEGER) AS seq, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(elev, 4) AS elev, round(g, 9) AS hours FROM path", _PATH),
+    "route_summary": sql(f"""SELECT f.route_id, f.leg IS NULL AS ok, f.error, CASE WHEN f.leg IS NULL THEN round(km, 6) END AS distance_km, CASE WHEN f.leg IS NULL THEN round(hours, 9) END AS estimated_hours,
+      CASE WHEN f.leg IS NULL THEN round(climb, 4) END AS climb_m, CASE WHEN f.leg IS NULL THEN n END AS n_points FROM (
+        SELECT route_id, min(leg) FILTER (reason IS NOT NULL) AS leg, min_by(CASE WHEN legs_n = 1 THEN reason ELSE {_SHORT.format(p='leg - 1')} || ' → ' || {_SHORT.format(p='leg')} || ' failed: ' || reason END, leg) FILTER (reason IS NOT NULL) AS error FROM (
+          SELECT l.*, CASE WHEN a.i IS NOT NULL THEN {_LONG.format(p='(leg - 1)')} || {_WATER} WHEN b.i IS NOT NULL THEN {_LONG.format(p='leg')} || {_WATER} WHEN r.g IS NULL THEN 'No path found between those two points.' END AS reason
+          FROM (SELECT *, count(*) OVER (PARTITION BY route_id) AS legs_n FROM legs) l LEFT JOIN wet a ON a.i = si AND a.j = sj LEFT JOIN wet b ON b.i = gi AND b.j = gj LEFT JOIN (SELECT route_id, leg AS leg_, i, j, g FROM reach) r ON r.route_id = l.route_id AND r.leg_ = l.leg AND r.i = gi AND r.j = gj) GROUP BY route_id) f
+      LEFT JOIN (SELECT route_id, sum(km) AS km, sum(hours) AS hours, sum(climb) AS climb, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT route_id, leg, coalesce(sum(km), 0.0) AS km, max(g) AS hours, coalesce(sum(greatest(rise, 0.0)), 0.0) AS climb, count(*) AS n FROM (
+          SELECT *, {hav_km('lag(lon) OVER w', 'lag(lat) OVER w', 'lon', 'lat')} AS km, elev - lag(elev) OVER w AS rise FROM path WINDOW w AS (PARTITION BY route_id, leg ORDER BY seq)) GROUP BY route_id, leg) GROUP BY route_id) t ON t.route_id = f.route_id""", _PATH),
+    "connectivity": sql("SELECT (c // 1000000) || ',' || (c % 1000000) AS component, count(*) AS n FROM comp GROUP BY c", """dry AS MATERIALIZED (SELECT i, j FROM nodes ANTI JOIN all_wet USING (i, j)),
+      comp(i, j, c) USING KEY (i, j) AS (
+        SELECT i, j, CAST(i AS BIGINT) * 1000000 + j FROM dry
+        UNION
+        SELECT n.i, n.j, min(t.c) FROM comp t JOIN dry n ON n.i BETWEEN t.i - 1 AND t.i + 1 AND n.j BETWEEN t.j - 1 AND t.j + 1 JOIN recurring.comp o ON o.i = n.i AND o.j = n.j WHERE t.c < o.c GROUP BY n.i, n.j)"""),
     "bbox_dynamic": sql("""SELECT route_id, round(min(lat) - greatest((max(lat) - min(lat)) * 0.3::DOUBLE, 0.01::DOUBLE), 9) AS min_lat, round(min(lon) - greatest((max(lon) - min(lon)) * 0.3::DOUBLE, 0.01::DOUBLE), 9) AS min_lon,
       round(max(lat) + greatest((max(lat) - min(lat)) * 0.3::DOUBLE, 0.01::DOUBLE), 9) AS max_lat, round(max(lon) + greatest((max(lon) - min(lon)) * 0.3::DOUBLE, 0.01::DOUBLE), 9) AS max_lon FROM waypoints GROUP BY route_id"""),
     "cell_budget": sql(f"""SELECT k AS o_orderkey, round(CASE WHEN h * w <= 0 THEN 10.0::DOUBLE ELSE greatest(10.0::DOUBLE, least(1000.0::DOUBLE, sqrt(h * w / (1000 * (1 + k % 2000))))) END, 6) AS cell_m FROM (

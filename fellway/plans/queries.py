@@ -68,7 +68,8 @@ def water_union(s: SparkSession, d: str) -> DataFrame:
 
 def step_crossing(s: SparkSession, d: str) -> DataFrame:
     nodes = X.nodes(s, d)
-    return cost.water_steps(cost.terrain_steps(nodes), nodes, X.axes(s, d), X.water(s, d)).select("i", "j", "k")
+    water = X.water(s, d)
+    return cost.water_steps(cost.terrain_steps(cost.flagged_nodes(nodes, water)), nodes, X.axes(s, d), water).select("i", "j", "k")
 
 
 def stream_penalty(s: SparkSession, d: str) -> DataFrame:
@@ -151,8 +152,9 @@ def multi_leg_summary(s: SparkSession, d: str) -> DataFrame:
 def route_summary(s: SparkSession, d: str) -> DataFrame:
     legs, _, statistics = _routed(s, d)
     wet = cost.water_nodes(X.nodes(s, d), X.water(s, d))
-    found = routes.route_results(legs, wet, statistics)
-    return found.select("route_id", "ok", "error", F.round("distance_km", 6).alias("distance_km"), F.round("estimated_hours", DIGITS).alias("estimated_hours"), F.round("climb_m", 4).alias("climb_m"), "n_points")
+    n = legs.groupBy("route_id").agg((F.max("leg") + 1).alias("n"))
+    found = routes.route_results(legs, wet, statistics).join(n, "route_id")
+    return found.select("route_id", "ok", text.friendly_error("error", "n").alias("error"), F.round("distance_km", 6).alias("distance_km"), F.round("estimated_hours", DIGITS).alias("estimated_hours"), F.round("climb_m", 4).alias("climb_m"), "n_points")
 
 
 def route_profile(s: SparkSession, d: str) -> DataFrame:
