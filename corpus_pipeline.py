@@ -18,7 +18,7 @@ from fellway.llm.simhash import similar_groups
 from fellway.llm.substring_words import shared_words
 
 #: A document whose best language has a lower mean probability is rejected.
-LEAST_LANGUAGE_SCORE = 0.5
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
