@@ -131,10 +131,10 @@ def near_steps(steps: DataFrame, nodes: DataFrame, edges: DataFrame, pad: float)
     return steps.join(near, ["grid_id", "i", "j"], "left_semi")
 
 
-def water_nodes(nodes: DataFrame, water: DataFrame) -> DataFrame:
+def water_nodes(nodes: DataFrame, water: DataFrame, size: float | None = None) -> DataFrame:
     """(grid_id, i, j) of nodes inside any water polygon."""
     points = nodes.select("grid_id", "i", "j", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return spatial.contained(points, water, ["grid_id", "i", "j"])
+    return spatial.contained(points, water, ["grid_id", "i", "j"], size)
 
 
 def stream_nodes(nodes: DataFrame, streams: DataFrame, buffer_deg: float) -> DataFrame:
@@ -147,11 +147,11 @@ def _pad(axes: DataFrame) -> float:
     return axes.agg(F.max(F.greatest("lat_step", "lon_step"))).first()[0] * 2.0
 
 
-def flagged_nodes(nodes: DataFrame, water: DataFrame | None = None, streams: DataFrame | None = None, buffer_deg: float | None = None) -> DataFrame:
+def flagged_nodes(nodes: DataFrame, water: DataFrame | None = None, streams: DataFrame | None = None, buffer_deg: float | None = None, water_size: float | None = None) -> DataFrame:
     """Nodes with ``wet`` and ``zone``."""
     for name, features in (("wet", water), ("zone", streams)):
         if features is not None:
-            found = water_nodes(nodes, features) if name == "wet" else stream_nodes(nodes, features, buffer_deg)
+            found = water_nodes(nodes, features, water_size) if name == "wet" else stream_nodes(nodes, features, buffer_deg)
             nodes = nodes.join(found.withColumn(name, F.lit(True)), ["grid_id", "i", "j"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
     return nodes
 
@@ -196,7 +196,8 @@ def step_costs(nodes: DataFrame, axes: DataFrame, water: DataFrame | None = None
     if bridges is not None:
         layers["bridges"] = bridges = bridges.filter(~((F.col("ax") == F.col("bx")) & (F.col("ay") == F.col("by"))))
     buffer_deg = stream_buffer_deg or C.stream_buffer_deg(C.REGION_LAT)
-    steps = terrain_steps(flagged_nodes(nodes, water, streams, buffer_deg), block).persist()
+    water_size = spatial.bucket_size(water) if water is not None else None
+    steps = terrain_steps(flagged_nodes(nodes, water, streams, buffer_deg, water_size), block).persist()
     # Every feature under an id of its own, with the widest reach of any layer.
     pad = _pad(axes) + max(buffer_deg, C.BRIDGE_BUFFER_M / C.M_PER_DEGREE * 6)
     every = None
@@ -207,7 +208,7 @@ def step_costs(nodes: DataFrame, axes: DataFrame, water: DataFrame | None = None
     found = None
     for name in layers:
         if name == "water":
-            part = spatial.contained(samples, water, STEP_KEY).select(*STEP_KEY, F.lit(True).alias("wet_"), F.lit(None).cast("boolean").alias("zone_"), F.lit(None).cast("double").alias("metres"))
+            part = spatial.contained(samples, water, STEP_KEY, water_size).select(*STEP_KEY, F.lit(True).alias("wet_"), F.lit(None).cast("boolean").alias("zone_"), F.lit(None).cast("double").alias("metres"))
         elif name == "streams":
             part = spatial.within_distance(samples, streams, buffer_deg, STEP_KEY).select(*STEP_KEY, F.lit(None).cast("boolean").alias("wet_"), F.lit(True).alias("zone_"), F.lit(None).cast("double").alias("metres"))
         else:

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Degrees of a bucket; about a kilometre.
-BUCKET_DEG = 0.01
+#: Degrees of the smallest and largest bucket, and buckets along the largest geometry.
+LEAST_DEG, MOST_DEG, ALONG = 0.0002, 0.05, 1000
 
 
 def _cells(low: Column, high: Column, size: float) -> Column:
@@ -26,8 +26,20 @@ def boxes(edges: DataFrame) -> DataFrame:
     )
 
 
-def near_boxes(points: DataFrame, edges: DataFrame, pad: float = 0.0, size: float = BUCKET_DEG) -> DataFrame:
+def bucket_size(edges: DataFrame, pad: float = 0.0) -> float:
+    """Buckets of about the usual box, so a point meets few boxes it lies outside of.
+
+    The largest box still bounds it: no geometry is listed under more than about
+    ``ALONG`` squared buckets.
+    """
+    extent = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")) + 2 * pad
+    r = boxes(edges).agg(F.avg(extent).alias("usual"), F.max(extent).alias("most")).first()
+    return max(LEAST_DEG, min(MOST_DEG, r.usual), r.most / ALONG) if r.usual is not None else MOST_DEG
+
+
+def near_boxes(points: DataFrame, edges: DataFrame, pad: float = 0.0, size: float | None = None) -> DataFrame:
     """(points.*, gid) where a point lies in the padded box of a geometry."""
+    size = size or bucket_size(edges, pad)
     listed = (
         boxes(edges)
         .select("*", F.explode(_cells(F.col("min_x") - pad, F.col("max_x") + pad, size)).alias("cx"))
@@ -38,12 +50,13 @@ def near_boxes(points: DataFrame, edges: DataFrame, pad: float = 0.0, size: floa
     return at.join(listed, ["cx", "cy"]).filter(inside).select(*points.columns, "gid")
 
 
-def contained(points: DataFrame, edges: DataFrame, key: list[str], size: float = BUCKET_DEG) -> DataFrame:
+def contained(points: DataFrame, edges: DataFrame, key: list[str], size: float | None = None) -> DataFrame:
     """Keys of the points (key, x, y) inside any polygon, by the parity of crossings to the right.
 
     ``edges`` holds all rings of a polygon under one gid, so holes need no care of
     their own.
     """
+    size = size or bucket_size(edges)
     candidates = near_boxes(points, edges, 0.0, size).withColumn("band", F.floor(F.col("y") / size))
     bands = edges.select("*", F.explode(_cells(F.least("ay", "by"), F.greatest("ay", "by"), size)).alias("band"))
     spans = (F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))
@@ -63,8 +76,9 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     return F.sqrt(ex * ex + ey * ey), along
 
 
-def near_segments(points: DataFrame, segments: DataFrame, pad_x: float, pad_y: float, size: float = BUCKET_DEG) -> DataFrame:
-    """(points.*, ax, ay, bx, by) where a point lies in the padded box of a segment."""
+def near_segments(points: DataFrame, segments: DataFrame, pad_x: float, pad_y: float, size: float | None = None) -> DataFrame:
+    """(points.*, ax, ay, bx, by) where a point shares a bucket with the padded box of a segment."""
+    size = size or bucket_size(segments.withColumn("gid", F.monotonically_increasing_id()), max(pad_x, pad_y))
     listed = (
         segments.select("ax", "ay", "bx", "by")
         .select("*", F.explode(_cells(F.least("ax", "bx") - pad_x, F.greatest("ax", "bx") + pad_x, size)).alias("cx"))
@@ -74,7 +88,7 @@ def near_segments(points: DataFrame, segments: DataFrame, pad_x: float, pad_y: f
     return at.join(listed, ["cx", "cy"]).drop("cx", "cy")
 
 
-def within_distance(points: DataFrame, segments: DataFrame, distance: float, key: list[str], size: float = BUCKET_DEG) -> DataFrame:
+def within_distance(points: DataFrame, segments: DataFrame, distance: float, key: list[str], size: float | None = None) -> DataFrame:
     """Keys of the points within a distance (degrees) of any segment."""
     d, _ = segment_distance(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
     return near_segments(points, segments, distance, distance, size).filter(d <= distance).select(*key).distinct()

@@ -18,7 +18,6 @@ WIDTH, CELL_M, LAT0, LON0 = 50, 25.0, -41.0, 175.0
 LAT_STEP = CELL_M / C.M_PER_DEGREE
 LON_STEP = CELL_M / (C.M_PER_DEGREE * math.cos(math.radians(LAT0)))
 GRID = "fixture"
-BUCKET = 0.001
 #: The stream corridor of the fixture: 0.6 of a cell of longitude, in degrees.
 STREAM_DEG = 0.6 * LON_STEP
 MIDDLE_COLUMN = 10
