@@ -8,6 +8,8 @@ stage that needs the texts reads the same shuffle again.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -145,5 +147,14 @@ def to_buckets(hashes: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]
     return [(int(own[a]), hashes[a:b]) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(own)]) if b > a]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker serves many groups, and heaps keep what they had at most."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def numbers(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), kind) for x in column]

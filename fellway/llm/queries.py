@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import topk_search
+from . import substring_words, topk_search
 from .language_id import op1_language_id
 from .media_columns import op4_media_columns
 from .packing import op7_packing
@@ -10,7 +10,6 @@ from .sentencepiece_prefix import op6_sentencepiece
 from .sharding import op10_sharding
 from .simhash import op3_simhash
 from .substring_bytes import op2_substring_bytes
-from .substring_words import op8_substring_words
 from .token_counts import op5_token_counts
 
 QUERIES = {
@@ -21,10 +20,10 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_packing": op7_packing,
-    "op8_substring_words": op8_substring_words,
+    "op8_substring_words": substring_words.op8_substring_words,
     "op9_topk_search": topk_search.op9_topk_search,
     "op10_sharding": op10_sharding,
 }
 
 #: DuckDB SQL for the queries that SQL can express over whole tables.
-ORACLE_SQL: dict[str, str] = {"op9_topk_search": topk_search.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op8_substring_words": substring_words.ORACLE, "op9_topk_search": topk_search.ORACLE}

@@ -30,17 +30,19 @@ a null doc_id take part like others; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import CHUNK_DOCS, PrefixHash, chunked, grouped, id_of, mixed, numbers, to_buckets, unpack
+from ._blocks import CHUNK_DOCS, PrefixHash, chunked, give_back, grouped, id_of, mixed, numbers, to_buckets, unpack
 from ._common import documents
 
 WIDTH, ANCHOR = 400, 300
-SCHEMA = "doc_id bigint, n_bytes bigint, starts array<bigint>, stops array<bigint>, kept binary"
+SCHEMA = "doc_id bigint, n_bytes bigint, starts array<bigint>, stops array<bigint>, kept_sha256 string, kept binary"
 _PLACE_BITS = np.uint64(28)
 #: Kinds of what a bucket answers about a context.
 REPEATED, UNDECIDED, PROVIDED = 1, 2, 4
@@ -134,8 +136,11 @@ def _by_chunk(chunk: np.ndarray, *columns: np.ndarray) -> list[tuple]:
     return [(int(chunk[g[0]]), *(c[g].tobytes() for c in columns)) for g in np.split(order, cuts) if len(g)]
 
 
-def repeated_bytes(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
-    """doc_id, n_bytes, starts and stops of the maximal removed runs, kept (the other bytes)."""
+def repeated_bytes(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, chunk_docs: int = CHUNK_DOCS, texts: bool = True) -> DataFrame:
+    """doc_id, n_bytes, starts and stops of the maximal removed runs, kept (the other bytes) and its digest.
+
+    Without ``texts`` the kept bytes stay with the workers and only their digest is returned.
+    """
     blocks, chunks = chunked(docs, chunk_docs)
     buckets = max(1, chunks // 8)
     sent = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("anchors", pa.binary()), ("contexts", pa.binary())])
@@ -143,9 +148,10 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, ch
     shown = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary())])
     found = pa.schema([("chunk", pa.int32()), ("windows", pa.binary())])
     places = pa.list_(pa.int64())
-    final = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("starts", places), ("stops", places), ("kept", pa.binary())])
+    final = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("starts", places), ("stops", places), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
     def send_anchors(table: pa.Table) -> pa.Table:
+        give_back()
         a, c = Anchors(unpack(table)[1], width, anchor).pairs()
         by = np.lexsort((c, a))
         a, c = a[by], c[by]
@@ -160,6 +166,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, ch
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, sent.types)], schema=sent)
 
     def sort_anchors(table: pa.Table) -> pa.Table:
+        give_back()
         parts, contexts, own = numbers(table.column("anchors"), "<u8"), numbers(table.column("contexts"), "<u8"), table.column("chunk").to_numpy()
         a, c = np.concatenate(parts), np.concatenate(contexts)
         chunk = np.repeat(own, [len(p) for p in parts])
@@ -189,6 +196,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, ch
         return c[by], k[by]
 
     def send_windows(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         c, k = answers(right)
         provided = np.unique(c[k & PROVIDED > 0])
         if not left.num_rows or not len(provided):
@@ -200,6 +208,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, ch
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 3, shown.types)], schema=shown)
 
     def sort_windows(table: pa.Table) -> pa.Table:
+        give_back()
         parts, own = numbers(table.column("hashes"), "<u8"), table.column("chunk").to_numpy()
         h, chunk = np.concatenate(parts), np.repeat(own, [len(p) for p in parts])
         by = np.argsort(h, kind="stable")
@@ -211,7 +220,10 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, ch
         out = _by_chunk(chunk[say], h[say])
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 2, found.types)], schema=found)
 
+    with_texts = texts
+
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         if not left.num_rows:
             return final.empty_table()
         ids, texts = unpack(left)
@@ -237,7 +249,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, ch
             mine = gone[own.base[d] : own.base[d + 1]]
             edges = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
             kept = np.frombuffer(text, np.uint8)[~mine].tobytes() if len(edges) else text
-            rows.append((id_of(ids[d]), len(text), edges[::2].tolist(), edges[1::2].tolist(), kept))
+            rows.append((id_of(ids[d]), len(text), edges[::2].tolist(), edges[1::2].tolist(), hashlib.sha256(kept).hexdigest(), kept if with_texts else None))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), final.types)], schema=final)
 
     anchors = blocks.groupBy("chunk").applyInArrow(send_anchors, "bucket int, chunk int, anchors binary, contexts binary")
@@ -250,6 +262,4 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, ch
 
 def op2_substring_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate(F.zip_with("starts", "stops", lambda a, b: b - a), F.lit(0).cast("long"), lambda n, x: n + x)
-    return repeated_bytes(documents(spark, sf_dir)).select(
-        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
-    )
+    return repeated_bytes(documents(spark, sf_dir), texts=False).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), "kept_sha256")

@@ -265,3 +265,25 @@ def shared_words(docs: DataFrame, window: int = WINDOW, chunk_docs: int = CHUNK_
 
 def op8_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_words(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: All windows of all documents; a word goes if a window over it starts in an earlier document.
+ORACLE = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), places AS (
+  SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS k FROM d
+), windows AS MATERIALIZED (
+  SELECT r, doc_id, k, sha256(array_to_string(w[k:k + 12], ' ')) AS s FROM places
+), first_doc AS (
+  SELECT s, min(doc_id) AS least FROM windows GROUP BY s
+), covered AS (
+  SELECT DISTINCT r, k + o AS p FROM windows JOIN first_doc USING (s), range(0, 13) t(o) WHERE least < doc_id
+), words AS (
+  SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d
+), kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN covered USING (r, p) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""

@@ -1,5 +1,6 @@
 """Byte-string removal against counting all strings of the width."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -44,8 +45,9 @@ def corpus(seed, n, scale):
 
 def same(spark, rows, width, **how):
     frame = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id bigint, text string, chunk int, kinds string")
-    got = sorted((-1 if r[0] is None else r[0], *r[1:4], bytes(r[4])) for r in repeated_bytes(frame, width, **how).collect())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.starts, r.stops, bytes(r.kept)) for r in repeated_bytes(frame, width, **how).collect())
     assert got == brute(rows, width)
+    assert all(r.kept_sha256 == hashlib.sha256(r.kept).hexdigest() for r in repeated_bytes(frame, width, **how).collect())
 
 
 def test_removal(spark):
