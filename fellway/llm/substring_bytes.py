@@ -47,6 +47,7 @@ _PLACE_BITS = np.uint64(28)
 #: Kinds of what a bucket answers about a context.
 REPEATED, UNDECIDED, PROVIDED = 1, 2, 4
 _TWICE = np.uint64(1)
+_SPREAD = 0xD6E8FEB86659FD93
 
 
 def least_places(hashes: np.ndarray, span: int) -> np.ndarray:
@@ -91,7 +92,8 @@ class Anchors:
             new = np.flatnonzero((np.diff(picked) != 0) | (np.diff(starts) != 1)) + 1
             first, last = np.concatenate([[0], new]), np.concatenate([new - 1, [len(starts) - 1]])
             low, high = starts[first], starts[last]
-            anchor_hash = hashes[picked[first]]
+            # Least hashes are small numbers; mixed again, they spread over all buckets.
+            anchor_hash = mixed(hashes[picked[first]] ^ np.uint64(_SPREAD))
             context = prefix.spans(low, high + width) ^ mixed((high - low).astype(np.uint64) << np.uint64(32) | (picked[first] - low).astype(np.uint64))
             self.groups.append((anchor_hash, context & ~_TWICE, low, high, prefix, np.int64(self.base[a])))
 
