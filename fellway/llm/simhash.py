@@ -31,6 +31,12 @@ from pyspark.sql import functions as F
 from ._common import documents, session, small_batches, written
 
 WORDS, RADIUS, SEED = 3, 3, 42
+#: Near copies are measured by sets of shingles of so many words.
+SHINGLE = 5
+#: Bands of least hashes: at similarity 0.8 a pair agrees on none of 25 bands of 5 with a chance of (1 - 0.8**5)**25 = 5e-5.
+BANDS, BAND_ROWS = 25, 5
+#: Documents of a candidate group that a task compares at once.
+TILE_DOCS = 512
 #: Fingerprints compared at once, and the bucket size above which tiles are cut.
 TILE, BUCKET = 1024, 1 << 16
 _WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -39,13 +45,26 @@ _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
 
 
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").translate(_LOWER))
+
+
+def shingle_hashes(found: list[str], words: int) -> np.ndarray:
+    """Hashes of all runs of so many words; fewer words make one shingle."""
+    if not found:
+        return np.zeros(0, np.uint64)
+    shingles = map(" ".join, zip(*(found[k:] for k in range(words)))) if len(found) >= words else [" ".join(found)]
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+
+
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """64 majority bits over the hashes of all shingles."""
-    found = _WORD.findall((text or "").translate(_LOWER))
-    if not found:
+    return _majority(shingle_hashes(words_of(text), words))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    if not len(hashes):
         return 0
-    shingles = map(" ".join, zip(*(found[k:] for k in range(words)))) if len(found) >= words else [" ".join(found)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
     columns = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     value = 0
     for byte in range(8):
@@ -172,19 +191,13 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, bucket: int = BUCKE
     """Links (a, b) between nodes that join all fingerprints within the radius.
 
     ``distinct`` has n rows (node, fp), and may have ``fp2``, a second fingerprint
-    to be within ``second_radius``, and ``words``: then only nodes whose numbers of
-    words differ by less than a quarter are sure to be compared.
+    to be within ``second_radius``.
     """
     # Buckets of about two tiles: with fewer fingerprints, fewer bits of a block are the key.
     bits = max(1, int(max(1, n // (2 * TILE))).bit_length())
     keys = F.array(*[(F.lit(k) * F.lit(1 << 32) + F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1)).cast("long") for k, shift, width in _blocks(radius + 1, bits)])
     fields = ["node", "fp", *(c for c in ("fp2",) if c in distinct.columns)]
-    if "words" in distinct.columns:
-        # Two neighbouring bands of a factor of 1.25 each.
-        band = F.floor(F.log(F.col("words") + 1.0) / F.log(F.lit(1.25)))
-        distinct = distinct.select(*fields, F.explode(F.array(band, band + 1)).alias("band"))
-    else:
-        distinct = distinct.select(*fields, F.lit(0).cast("long").alias("band"))
+    distinct = distinct.select(*fields, F.lit(0).cast("long").alias("band"))
     dealt = distinct.select(*fields, F.explode(keys).alias("key"), "band").withColumn("bucket", F.col("key") + F.col("band") * F.lit(1 << 40)).drop("key", "band")
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size"))
     large = sizes.filter(F.col("size") > bucket).select("bucket", F.ceil(F.col("size") / bucket).cast("int").alias("tiles"))
@@ -247,30 +260,122 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, b
     return own.join(named, "fp").select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame, near: tuple[int, int] = (2, 8), also: tuple[int, int] = (3, 12), bucket: int = BUCKET) -> DataFrame:
-    """doc_id, group_id (the smallest doc_id of the group), for near copies with several edits.
+_RNG = np.random.default_rng(SEED)
+_MASKS = _RNG.integers(0, 1 << 32, (BANDS * BAND_ROWS, 1), np.uint32)
+_FACTORS = _RNG.integers(0, 1 << 32, (BANDS * BAND_ROWS, 1), np.uint32) | np.uint32(1)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One signed key per band over the least values of its hash functions."""
+    low, least = (shingles >> np.uint64(32)).astype(np.uint32), np.full(BANDS * BAND_ROWS, (1 << 32) - 1, np.uint32)
+    for at in range(0, len(low), 2048):
+        least = np.minimum(least, ((low[at : at + 2048] ^ _MASKS) * _FACTORS).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), SEED) for band in least.reshape(BANDS, BAND_ROWS)], np.uint64).view(np.int64)
+
+
+def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Spanning links, as places, between all sets with a Jaccard similarity of 0.8 or more."""
+    sizes, n = np.array([len(s) for s in sets], np.int64), len(sets)
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)
+    # What one set holds alone is shared with none.
+    often = np.bincount(column, minlength=len(values)) > 1
+    kept = often[column]
+    column, owner = (np.cumsum(often) - 1)[column[kept]], owner[kept]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    shared = np.zeros((n, n))
+    for start in range(0, int(often.sum()), 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        held = np.zeros((n, 4096), np.float32)
+        held[owner[a:b], column[a:b] - start] = 1
+        shared += held @ held.T
+    near = np.triu(9 * shared >= 4 * (sizes[:, None] + sizes), 1)
+    forest = _Forest(n)
+    return [(x, y) for x, y in np.argwhere(near).tolist() if forest.join(x, y)]
+
+
+def text_key(column: str = "text") -> Column:
+    """Names a text within rows of one doc_id; null counts as empty."""
+    return F.sha2(F.coalesce(F.col(column).cast("string"), F.lit("")), 256)
+
+
+def _candidates(distinct: DataFrame, near: int, also: int, bucket: int) -> DataFrame:
+    """Links that join every pair near in both fingerprints or equal in a band of least hashes."""
+    by_bits = links(distinct.select("node", "fp", "fp2", "shingles"), distinct.count(), near, bucket, also)
+    bands = distinct.select("node", F.posexplode("bands").alias("band", "key"))
+    first = bands.groupBy("band", "key").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return by_bits.unionByName(bands.join(first, ["band", "key"]).filter("node != b").select(F.col("node").alias("a"), "b"))
+
+
+def _confirmed(docs: DataFrame, own: DataFrame, found: DataFrame, tile: int) -> DataFrame:
+    """Of candidate groups (node, root) the links between texts that are similar by their shingles."""
+    found = written(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "candidates")
+    sizes = found.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    lots = max(1, 2 * found.count() // tile)
+    texts = own.groupBy("node").agg(F.min("key").alias("key")).join(found.join(sizes, "root"), "node")
+    held = docs.select(text_key().alias("key"), F.col("text").cast("string")).join(texts, "key").dropDuplicates(["key"])
+    # Small groups share a task; of a large one every pair of tiles has its own.
+    small = F.col("tiles") == 1
+    dealt = (
+        held.withColumn("own", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+        .select("node", "text", "own", F.when(small, F.pmod(F.xxhash64("root"), F.lit(lots))).otherwise(F.col("root")).alias("lot"), small.alias("small"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("mate"))
+        .select("node", "text", "lot", "small", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"))
+    )
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    Documents link if their fingerprints of two-word shingles differ in at most 8
-    bits and those of three-word shingles in at most 12: on measured pairs that
-    holds for almost all that share 0.8 of their five-word shingles, and for next
-    to no unrelated ones. Texts without words link with each other.
-    """
+    def confirm(table: pa.Table) -> pa.Table:
+        node = table.column("node").to_numpy()
+        found = similar_links([np.unique(shingle_hashes(words_of(t.as_py()), SHINGLE)) for t in table.column("text")])
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": node[at[:, 0]], "b": node[at[:, 1]]}, schema=schema)
+
+    return dealt.groupBy("lot", "small", "i", "j").applyInArrow(confirm, "a bigint, b bigint")
+
+
+def _grouped(docs: DataFrame, near: tuple[int, int], also: tuple[int, int], bucket: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, node) of every row, and (node, root): the group of every distinct set of shingles."""
     small_batches(session(docs))
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("words", pa.int32())])
+    fields = [("doc_id", pa.int64()), ("key", pa.string()), ("node", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("shingles", pa.int64()), ("bands", pa.list_(pa.int64()))]
+    schema = pa.schema(fields)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            both = [np.array([fingerprint(t, k) for t in texts], np.uint64).view(np.int64) for k in (near[0], also[0])]
-            words = [len((t or "").split()) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(both[0]), pa.array(both[1]), pa.array(words, pa.int32())], schema=schema)
-
-    own = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp bigint, fp2 bigint, words int"), "fingerprints")
-    distinct = written(own.groupBy("fp", "fp2").agg(F.min("doc_id").alias("node"), F.min("words").alias("words")), "distinct")
-    found = components(links(distinct, distinct.count(), near[1], bucket, also[1]))
-    # The smallest node of a component is its smallest doc_id.
-    named = distinct.join(found, "node", "left").select("fp", "fp2", F.coalesce("root", "node").alias("group_id"))
-    return own.join(named, ["fp", "fp2"]).select("doc_id", "group_id")
+            rows = []
+            for text in batch.column("text").to_pylist():
+                found = words_of(text)
+                shingles = np.unique(shingle_hashes(found, SHINGLE))
+                bits = [_majority(shingle_hashes(found, k)) for k in (near[0], also[0])]
+                # Equal sets are one node.
+                signed = np.array([xxhash.xxh3_64_intdigest(shingles.tobytes()), *bits], np.uint64).view(np.int64).tolist()
+                rows.append((*signed, len(shingles), band_keys(shingles) if len(shingles) else []))
+            made = [pa.array(c, t) for c, t in zip(zip(*rows), schema.types[2:])] if rows else [pa.array([], t) for t in schema.types[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *made], schema=schema)
+
+    signed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key().alias("key"))
+    every = written(signed.mapInArrow(run, "doc_id bigint, key string, node bigint, fp bigint, fp2 bigint, shingles bigint, bands array<bigint>"), "fingerprints")
+    own = every.select("doc_id", "key", "node")
+    distinct = written(every.groupBy("node").agg(F.min(F.struct("fp", "fp2", "shingles", "bands")).alias("s")).select("node", "s.*"), "distinct")
+    found = components(_candidates(distinct, near[1], also[1], bucket))
+    found = components(_confirmed(docs, own, found, tile))
+    return own, distinct.select("node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def similar_groups(docs: DataFrame, near: tuple[int, int] = (2, 8), also: tuple[int, int] = (3, 12), bucket: int = BUCKET, tile: int = TILE_DOCS) -> DataFrame:
+    """doc_id, group_id (the smallest doc_id of the group), for near copies with several edits.
+
+    Documents link if their sets of five-word shingles have a similarity of 0.8 or
+    more, by the 64-bit hashes of the shingles. Compared are the documents of a
+    candidate group: those joined by fingerprints of two-word shingles that differ
+    in at most 8 bits and of three-word shingles in at most 12, or by an equal band
+    of least hashes of the five-word shingles, which finds a similar pair whatever
+    the edit. Texts without words link with each other. A null doc_id is larger
+    than any other.
+    """
+    own, rooted = _grouped(docs, near, also, bucket, tile)
+    first = own.groupBy("node").agg(F.min("doc_id").alias("first"))
+    least = rooted.join(first, "node").groupBy("root").agg(F.min("first").alias("group_id"))
+    return own.join(rooted.join(least, "root").select("node", "group_id"), "node").select("doc_id", "group_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

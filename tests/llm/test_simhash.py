@@ -5,7 +5,7 @@ import random
 import numpy as np
 import xxhash
 
-from fellway.llm.simhash import bucket_links, components, fingerprint, links, near_duplicates, similar_groups, within
+from fellway.llm.simhash import bucket_links, components, fingerprint, links, near_duplicates, similar_groups, similar_links, within
 
 
 def plain_fingerprint(text):
@@ -126,3 +126,45 @@ def test_similar_groups(spark):
     firsts = {g: min(i for i in truth if truth[i] == g) for g in truth.values()}
     assert all(got[i] in truth and truth[got[i]] == truth[i] for i in got)
     assert sum(got[i] == firsts[truth[i]] for i in got) > 0.97 * len(rows)
+
+
+def shingles(words):
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def test_similar_groups_of_every_kind_of_edit(spark):
+    rng = random.Random(6)
+    texts, pairs = [], []
+    for g in range(120):
+        text = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(100, 400))]
+        n, fresh = len(text), [f"n{rng.randrange(5000)}" for _ in range(400)]
+        other = [text[: -(-n * 82 // 100)], text[: n - n // 16] + fresh[: n // 16], text[: n // 2] + fresh[: n // 16] + text[n // 2 + n // 16 :]][g % 3]
+        a, b = shingles(text), shingles(other)
+        assert 0.8 <= len(a & b) / len(a | b) < 0.9
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(text), " ".join(other)]
+    # Near in the fingerprints, but below 0.8: one word in eighteen is another.
+    for _ in range(40):
+        text = [f"w{rng.randrange(5000)}" for _ in range(360)]
+        texts += [" ".join(text), " ".join("x" if k % 18 == 9 else w for k, w in enumerate(text))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for tile in (512, 20):
+        got = {r.doc_id: r.group_id for r in similar_groups(docs, tile=tile).collect()}
+        assert got == {k: k for k in range(len(texts))} | {b: a for a, b in pairs}
+
+
+def test_similar_links_against_all_pairs():
+    rng = np.random.default_rng(7)
+    base = [rng.integers(0, 1 << 40, 90, np.uint64) for _ in range(6)]
+    sets = [np.unique(np.concatenate([base[k % 6][rng.random(90) < 0.93], rng.integers(0, 1 << 40, k % 9, np.uint64)])) for k in range(80)]
+    plain = list(range(80))
+    for i in range(80):
+        for j in range(i):
+            if len(np.intersect1d(sets[i], sets[j])) * 5 >= 4 * len(np.union1d(sets[i], sets[j])):
+                a, b = plain[i], plain[j]
+                plain = [min(a, b) if x in (a, b) else x for x in plain]
+    root = list(range(80))
+    for i, j in similar_links(sets):
+        a, b = root[i], root[j]
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    assert root == plain
