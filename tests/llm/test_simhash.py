@@ -168,3 +168,11 @@ def test_similar_links_against_all_pairs():
         a, b = root[i], root[j]
         root = [min(a, b) if x in (a, b) else x for x in root]
     assert root == plain
+
+
+def test_similar_groups_across_repeated_text(spark):
+    rng = random.Random(8)
+    text = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    changed = [*text[:150], "changed", *text[151:]]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(text + changed + text)), (3, "other words")], "doc_id bigint, text string")
+    assert {r.doc_id: r.group_id for r in similar_groups(docs).collect()} == {1: 1, 2: 1, 3: 3}
