@@ -3,7 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's documents. All but the last return the
 columns of documents. Null texts, empty tables and further columns pass through
-as each operator's module defines them; doc_id names a document.
+as each operator's module defines them. doc_id only orders documents, a null one
+after all others; a row is named by doc_id and text. So rows that repeat a doc_id
+are documents of their own where their texts differ, and where they do not are
+copies, of which any one stays.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from fellway.llm._common import small_batches, written
 from fellway.llm.language_id import known_language
 from fellway.llm.packing import pack
-from fellway.llm.simhash import similar_groups
+from fellway.llm.simhash import first_of_groups, text_key
 from fellway.llm.substring_words import shared_words
 
 #: A document whose best language has a lower mean probability is rejected.
@@ -26,17 +29,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known_language(docs, LEAST_LANGUAGE_SCORE)
 
 
+def _same(docs: DataFrame, other: DataFrame):
+    """Rows with the same doc_id, null or not, and the same text."""
+    return docs["doc_id"].cast("long").eqNullSafe(other["_id"]) & (text_key() == other["_key"])
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
-    stays = similar_groups(docs).filter(F.col("doc_id") == F.col("group_id")).select("doc_id")
-    return docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
+    stays = written(first_of_groups(docs).withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "first")
+    once, often = stays.filter("rows = 1"), stays.filter("rows > 1")
+    kept = docs.join(once, _same(docs, once), "left_semi").select(*docs.columns)
+    if often.isEmpty():
+        return kept
+    alike = docs.join(often, _same(docs, often)).dropDuplicates(["_id", "_key"]).select(*(docs[c] for c in docs.columns))
+    return kept.unionByName(alike)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of 13 words or more that an earlier document holds are cut out of a text."""
-    cut = shared_words(docs).filter("n_removed > 0").select("doc_id", F.struct(F.col("kept").alias("text")).alias("_cut"))
+    lost = shared_words(docs, keyed=True).filter("n_removed > 0")
+    cut = lost.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.struct(F.first("kept").alias("text")).alias("_cut"))
     text = F.when(F.col("_cut").isNotNull(), F.col("_cut.text")).otherwise(F.col("text"))
-    changed = docs.join(cut, "doc_id", "left").withColumn("text", text)
+    changed = docs.join(cut, _same(docs, cut), "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("_cut").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)

@@ -385,5 +385,18 @@ def similar_groups(docs: DataFrame, near: tuple[int, int] = (2, 8), also: tuple[
     return own.join(rooted.join(least, "root").select("node", "group_id"), "node").select("doc_id", "group_id")
 
 
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, key, rows: of each group of near copies the text that stays, and how many rows hold it.
+
+    The smallest doc_id goes first, null after all others, then the key of the text
+    (``text_key``), so a text is named also where ids repeat.
+    """
+    own, rooted = _grouped(docs, (2, 8), (3, 12), BUCKET, TILE_DOCS)
+    alike = own.groupBy("node", "doc_id", "key").agg(F.count("*").alias("rows"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "rows")).alias("s")
+    first = alike.groupBy("node").agg(least)
+    return rooted.join(first, "node").groupBy("root").agg(F.min("s").alias("s")).select("s.doc_id", "s.key", "s.rows")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))

@@ -23,6 +23,8 @@ gives no rows.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -162,14 +164,18 @@ class Words:
         return [(int(p[0]), int(p[-1]) + window - 1) for p in np.split(at, new)]
 
 
-def shared_words(docs: DataFrame, window: int = WINDOW, chunk_docs: int = CHUNK_DOCS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words that stay, joined by one blank)."""
+def shared_words(docs: DataFrame, window: int = WINDOW, chunk_docs: int = CHUNK_DOCS, shard_words: int = SHARD_WORDS, keyed: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the words that stay, joined by one blank).
+
+    ``keyed`` adds ``key``, the SHA-256 of a text that loses words, as hexadecimal
+    digits: rows of one doc_id and text lose the same words.
+    """
     blocks, chunks = chunked(docs, chunk_docs)
     buckets = max(1, chunks // 4)
     sent = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary())])
     asked = pa.schema([("chunk", pa.int32()), ("hashes", pa.binary()), ("targets", pa.binary())])
     given = pa.schema([("chunk", pa.int32()), ("passages", pa.list_(pa.binary()))])
-    final = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+    final = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), *([("key", pa.string())] if keyed else [])])
 
     def window_hashes(table: pa.Table) -> pa.Table:
         out = to_buckets(np.unique(Words(unpack(table)[1], window).hash), buckets)
@@ -254,13 +260,14 @@ def shared_words(docs: DataFrame, window: int = WINDOW, chunk_docs: int = CHUNK_
             all_words, own_gone = text.split(), gone[cut[d] : cut[d + 1]]
             removed = int(own_gone.sum())
             kept = [w for w, g in zip(all_words, own_gone.tolist()) if not g] if removed else all_words
-            rows.append((id_of(ids[d]), len(all_words), removed, b" ".join(kept).decode()))
+            key = (hashlib.sha256(text).hexdigest() if removed else None,) if keyed else ()
+            rows.append((id_of(ids[d]), len(all_words), removed, b" ".join(kept).decode(), *key))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), final.types)], schema=final)
 
     hashes = blocks.groupBy("chunk").applyInArrow(window_hashes, "bucket int, chunk int, hashes binary")
     requests = hashes.groupBy("bucket").applyInArrow(first_holders, "chunk int, hashes binary, targets binary")
     passages = blocks.groupBy("chunk").cogroup(requests.groupBy("chunk")).applyInArrow(send_passages, "chunk int, passages array<binary>")
-    return blocks.groupBy("chunk").cogroup(passages.groupBy("chunk")).applyInArrow(remove, SCHEMA)
+    return blocks.groupBy("chunk").cogroup(passages.groupBy("chunk")).applyInArrow(remove, SCHEMA + (", key string" if keyed else ""))
 
 
 def op8_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:

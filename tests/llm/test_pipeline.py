@@ -54,3 +54,26 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
         assert docs.count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    rng, big = random.Random(4), (1 << 53) + 1
+
+    def text(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    a, b, c, d, shared = text(100), text(100), text(100), text(100), text(40)
+    near = [*a[:50], "changed", *a[51:]]
+    rows = [(big, a), (big, a), (None, near), (None, b), (None, b), (7, c + shared), (9, d[:50] + shared), (9, shared + d[50:]), (9, text(50))]
+    docs = spark.createDataFrame([(i, " ".join(w), "s", 1) for i, w in rows], "doc_id bigint, text string, source string, n_chars bigint")
+    kept = written(corpus_pipeline.near_copies(spark, docs, ""), "test")
+    assert kept.columns == docs.columns
+    expected = [(big, a), (None, b), *rows[5:]]
+    order = lambda found: sorted(found, key=str)
+    assert order((r.doc_id, r.text) for r in kept.collect()) == order((i, " ".join(w)) for i, w in expected)
+    cut = corpus_pipeline.repeated_passages(spark, kept, "").collect()
+    expected[3:5] = [(9, d[:50]), (9, d[50:])]
+    assert order((r.doc_id, r.text) for r in cut) == order((i, " ".join(w)) for i, w in expected)
+    # Without the stage before, copies of one doc_id are cut once each.
+    twice = docs.filter("doc_id = 7 or doc_id = 9").unionByName(docs.filter("doc_id = 9"))
+    assert corpus_pipeline.repeated_passages(spark, twice, "").count() == 7
