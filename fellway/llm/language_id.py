@@ -43,6 +43,9 @@ STEPS, RATE, DECAY = 14, 0.15, 1e-3
 #: Words whose scores a worker keeps.
 CACHE = 300_000
 UNKNOWN = "und"
+#: A text may hold so many times the unknown n-grams of the held-out training rows
+#: (of the one in a hundred with the most), and this share of them in any case.
+MISSES, LEAST_MISSES = 10, 0.05
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
 
 
@@ -58,6 +61,9 @@ class Model:
     words: np.ndarray  # lexicon entries x labels
     transitions: np.ndarray
     start: np.ndarray
+    #: Features that training words have, and the least share of them in a text of these languages.
+    known: np.ndarray | None = None
+    least_known: float = 0.0
 
 
 def ngram_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,9 +90,15 @@ def _summed(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def word_scores(model: Model, words: list[str]) -> np.ndarray:
-    if not words:
-        return np.zeros((0, len(model.labels)))
-    feature, owner = ngram_features(words)
+    return _scores(model, words, *ngram_features(words)) if words else np.zeros((0, len(model.labels)))
+
+
+def known_shares(known: np.ndarray, feature: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """For each of n words the share of its n-grams that training words have."""
+    return np.bincount(owner, known[feature], n) / np.maximum(np.bincount(owner, minlength=n), 1)
+
+
+def _scores(model: Model, words: list[str], feature: np.ndarray, owner: np.ndarray) -> np.ndarray:
     scores = _summed(model.ngrams[feature], owner, len(words))
     known = [(k, model.lexicon[w]) for k, w in enumerate(words) if w in model.lexicon]
     if known:
@@ -182,6 +194,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     first[np.cumsum([0] + [len(w) for w, _ in chains[:-1]])] = True
     feature, owner = ngram_features(list(vocabulary))
     known = np.array([(vocabulary[w], k) for w, k in lexicon.items()], np.int64).reshape(-1, 2)
+    model.known, model.least_known = _membership(ids, np.repeat(np.arange(len(chains)), [len(w) for w, _ in chains]), feature, owner, len(vocabulary))
 
     truth = np.zeros((len(ids), width))
     truth[np.arange(len(ids)), gold] = 1
@@ -213,6 +226,25 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     return model
 
 
+def _membership(ids: np.ndarray, chain: np.ndarray, feature: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """The features of all training words, and the least share of known n-grams in a text.
+
+    Each tenth of the texts is measured by the features of the others.
+    """
+    shares = []
+    for part in range(10):
+        seen, features, own = np.zeros(n, bool), np.zeros(FEATURES, bool), chain % 10 == part
+        seen[ids[~own]] = True
+        features[feature[seen[owner]]] = True
+        share = known_shares(features, feature, owner, n)[ids[own]]
+        count = np.bincount(chain[own] // 10)
+        shares.append(np.bincount(chain[own] // 10, share) / np.maximum(count, 1))
+    features = np.zeros(FEATURES, bool)
+    features[feature] = True
+    missed = 1 - float(np.quantile(np.concatenate(shares), 0.01))
+    return features, 1 - max(LEAST_MISSES, MISSES * missed)
+
+
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
     labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # First a share of the ids by their hash, so that few texts are sorted and sent.
@@ -225,13 +257,16 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
 class Labeller:
     """Scores of words, kept for a bounded number of them."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, shares: bool = False):
         self.model, self.index, self.scores = model, {}, np.zeros((0, len(model.labels)))
+        #: Shares of known n-grams, kept only where they are asked for.
+        self.shares = np.zeros(0) if shares and model.known is not None else None
 
     def word_ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Index of each word (-1: no letter) over all texts, and words per text."""
         if len(self.index) > CACHE:
             self.index, self.scores = {}, self.scores[:0]
+            self.shares = None if self.shares is None else self.shares[:0]
         index, new, lengths, out = self.index, [], [], []
         at = len(self.scores)
         for text in texts:
@@ -247,22 +282,30 @@ class Labeller:
                 own = list(map(index.__getitem__, words))
             out.append(np.array(own, np.int32))
         if new:
-            self.scores = np.concatenate([self.scores, word_scores(self.model, new)])
+            features = ngram_features(new)
+            self.scores = np.concatenate([self.scores, _scores(self.model, new, *features)])
+            if self.shares is not None:
+                self.shares = np.concatenate([self.shares, known_shares(self.model.known, *features, len(new))])
         return np.concatenate(out) if out else np.zeros(0, np.int32), np.array(lengths, np.int64)
 
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        return self.measured(texts)[:2]
+
+    def measured(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score, and the mean share of known n-grams over the words."""
         ids, lengths = self.word_ids(texts)
         owner = np.repeat(np.arange(len(texts)), lengths)[ids >= 0]
         ids = ids[ids >= 0]
         if not len(ids) or not self.model.labels:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         first = np.ones(len(ids), bool)
         first[1:] = owner[1:] != owner[:-1]
         found = posteriors(self.scores[ids], first, self.model.transitions, self.model.start)
         count = np.bincount(owner, minlength=len(texts))
         mean = _summed(found, owner, len(texts)) / np.maximum(count, 1)[:, None]
         best = mean.argmax(axis=1)
-        return [self.model.labels[b] if n else UNKNOWN for b, n in zip(best, count)], [round(float(min(1.0, m[b])), 6) for m, b in zip(mean, best)]
+        shares = np.zeros(len(texts)) if self.shares is None else np.bincount(owner, self.shares[ids], len(texts)) / np.maximum(count, 1)
+        return [self.model.labels[b] if n else UNKNOWN for b, n in zip(best, count)], [round(float(min(1.0, m[b])), 6) for m, b in zip(mean, best)], shares.tolist()
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -283,17 +326,22 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def known_language(docs: DataFrame, least: float = 0.3, model: Model | None = None) -> DataFrame:
-    """The documents, all columns as they are, whose language is found with a score of ``least`` or more."""
+    """The documents, all columns as they are, whose language is found with a score of ``least`` or more.
+
+    A score only tells languages apart. So a document also needs a share of known
+    n-grams, over all languages at once, that training rows held out from each other
+    bear out (``_membership``). With a few training rows that share falls to nothing.
+    """
     spark = session(docs)
     small_batches(spark)
     sent = spark.sparkContext.broadcast(model or train(docs))
     at = docs.columns.index("text")
 
     def run(batches):
-        own = Labeller(sent.value)
+        own = Labeller(sent.value, shares=True)
         for batch in batches:
-            labels, scores = own.label(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in zip(labels, scores)], pa.bool_()))
+            found = zip(*own.measured(batch.column(at).to_pylist()))
+            yield batch.filter(pa.array([lang != UNKNOWN and s >= least and share >= sent.value.least_known for lang, s, share in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -77,3 +77,19 @@ def test_null_and_repeated_ids(spark):
     # Without the stage before, copies of one doc_id are cut once each.
     twice = docs.filter("doc_id = 7 or doc_id = 9").unionByName(docs.filter("doc_id = 9"))
     assert corpus_pipeline.repeated_passages(spark, twice, "").count() == 7
+
+
+def test_language_rejects_what_was_not_learned(spark):
+    rng = random.Random(11)
+    syllables = {"en": "the ing an er wor sh ould ly re st on ent ou ght".split(), "de": "sch ein ich ung der ge ver keit en lich au be zu st".split()}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+    rows = [(k, text(("en", "de")[k % 2], 120), ("en", "de")[k % 2]) for k in range(120)]
+    rows += [(200 + k, text("en", 40) + " " + text("de", 40), None) for k in range(10)]
+    other = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + (" " if rng.random() < 0.2 else "") for _ in range(500)) for _ in range(20)]
+    other += ["Это текст на русском языке о погоде", "これは 日本語の 文章です", "Ovo je tekst na hrvatskom jeziku o vremenu i onome"]
+    rows += [(300 + k, t, None) for k, t in enumerate(other)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()} == {*range(120), *range(200, 210)}
