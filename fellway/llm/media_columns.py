@@ -12,7 +12,8 @@ members read before it are kept.
 
 The directory must be one that the executors and the driver share.
 
-Defined cases: null text is an empty text; a payload is the UTF-8 text with zero
+Defined cases: null text is an empty text; a null id is kept as null, by a magic of
+its own in the member's header; a payload is the UTF-8 text with zero
 bytes up to a positive multiple of 64; equal texts give equal images and rows;
 an empty table gives an archive without members.
 """
@@ -40,7 +41,7 @@ WIDTH, LEVEL = 64, 1
 RANGE_BYTES, BATCH_BYTES, RETRIES = 8 << 20, 8 << 20, 3
 #: magic, member id, text bytes, image bytes, checksum of the image
 _HEADER = struct.Struct("<4sqqqI")
-_MAGIC, _END = b"MEM1", struct.Struct("<qq4s")
+_MAGIC, _NULL_ID, _END = b"MEM1", b"MEM0", struct.Struct("<qq4s")
 _PNG = b"\x89PNG\r\n\x1a\n"
 READ_SCHEMA = "doc_id bigint, n_bytes bigint, media_bytes bigint, media_sha256 string, payload binary"
 
@@ -108,7 +109,7 @@ class ArchiveWriter(DataSourceArrowWriter):
                 raw = (text or "").encode()
                 image = encode_image(padded(raw))
                 index.append(at)
-                at += out.write(_HEADER.pack(_MAGIC, doc_id, len(raw), len(image), zlib.crc32(image)))
+                at += out.write(_HEADER.pack(*((_NULL_ID, 0) if doc_id is None else (_MAGIC, doc_id)), len(raw), len(image), zlib.crc32(image)))
                 at += out.write(image)
         if out is None:
             return _Written(None, 0, 0)
@@ -157,17 +158,17 @@ class ArchiveReader(DataSourceReader):
         return ranges or [ByteRange("", 0, 0)]
 
     @staticmethod
-    def member(file: str, offset: int) -> tuple[int, int, bytes, bytes]:
+    def member(file: str, offset: int) -> tuple[int | None, int, bytes, bytes]:
         """(id, text bytes, image, payload) of the member at an offset, read on its own."""
         with open(file, "rb") as f:
             f.seek(offset)
             magic, doc_id, n_bytes, size, check = _HEADER.unpack(f.read(_HEADER.size))
             image = f.read(size)
-        if magic != _MAGIC or len(image) != size or zlib.crc32(image) != check:
+        if magic not in (_MAGIC, _NULL_ID) or len(image) != size or zlib.crc32(image) != check:
             raise OSError(f"damaged member at {offset} of {file}")
-        return doc_id, n_bytes, image, decode_image(image)
+        return None if magic == _NULL_ID else doc_id, n_bytes, image, decode_image(image)
 
-    def retried(self, file: str, offset: int) -> tuple[int, int, bytes, bytes]:
+    def retried(self, file: str, offset: int) -> tuple[int | None, int, bytes, bytes]:
         for attempt in range(self.retries + 1):
             try:
                 return self.member(file, offset)

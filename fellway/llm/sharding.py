@@ -14,7 +14,8 @@ The law is ``bytes``: shard sizes differ from the mean by one record at most.
 added.
 
 Defined cases: null text has size 1 and the checksum of no bytes; rows that
-repeat a doc_id are separate records; an empty table gives no rows.
+repeat a doc_id are separate records; a null doc_id stands before all others of its
+text and stays null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +42,11 @@ def _key() -> Column:
     return F.struct("text_hash", "doc_id", "place")
 
 
+def _order(key: tuple) -> tuple:
+    """A key as Spark compares it: null before every number."""
+    return tuple((x is not None, x or 0) for x in key)
+
+
 def _range_of(bounds: list[tuple]) -> Column:
     """How many boundaries lie below the key, by two levels of search in sorted arrays."""
     if not bounds:
@@ -63,7 +69,7 @@ def _range_of(bounds: list[tuple]) -> Column:
 
 def _quantiles(sample: list[tuple[tuple, float]], parts: int) -> list[tuple]:
     """Keys that cut a weighted sample into so many parts of near equal weight."""
-    sample = sorted(sample)
+    sample = sorted(sample, key=lambda x: (_order(x[0]), x[1]))
     total, at, cuts = sum(w for _, w in sample), 0.0, []
     for key, weight in sample:
         at += weight
@@ -71,7 +77,7 @@ def _quantiles(sample: list[tuple[tuple, float]], parts: int) -> list[tuple]:
             cuts.append(key)
             while at >= total * (len(cuts) + 1) / parts and len(cuts) < parts - 1:
                 cuts.append(key)
-    return sorted(set(cuts))
+    return sorted(set(cuts), key=_order)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
@@ -110,11 +116,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, rows_per_range: int = ROWS_PER_
         more = sampled(dealt.filter(F.col("range").isin(*over)), sum(r.w for r in over.values()), SAMPLES_PER_RANGE * len(over) * 4)
         found = set(bounds)
         for k, r in over.items():
-            own = [x for x in more if bisect_left(bounds, x[0]) == k]
+            own = [x for x in more if bisect_left(bounds, _order(x[0]), key=_order) == k]
             found |= set(_quantiles(own, int(r.w / fair) + 1))
         if len(found) == len(bounds):
             break
-        bounds = sorted(found)
+        bounds = sorted(found, key=_order)
 
     # Exact positions along the order: totals of the ranges before, then a running sum inside each.
     rows_before, bytes_before, at_rows, at_bytes = [], [], 0, 0

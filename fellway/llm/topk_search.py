@@ -16,8 +16,8 @@ a 64-bit number in the result.
 Defined cases: vectors that are null, or hold a null or non-finite component,
 take no part; vectors of another length than the query are no candidates; empty
 vectors score 0; rows that repeat a vec_id are separate rows, and a query leaves
-out its own row alone; equal scores are ranked by vec_id; an empty table gives
-no rows.
+out its own row alone; equal scores are ranked by vec_id, a null one after all
+others; a null vec_id is a candidate but no query; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,9 +40,12 @@ _FOUND = pa.schema([(n, pa.int64()) for n in ("query", "query_id", "row", "vec_i
 
 
 class KDTree:
-    """Points in leaf order with the boxes of all nodes; nodes stand before their children."""
+    """Points in leaf order with the boxes of all nodes; nodes stand before their children.
 
-    def __init__(self, points: np.ndarray, rows: np.ndarray, ids: np.ndarray, leaf: int = LEAF_ROWS):
+    ``named`` is false where a point has no id; None: all have.
+    """
+
+    def __init__(self, points: np.ndarray, rows: np.ndarray, ids: np.ndarray, leaf: int = LEAF_ROWS, named: np.ndarray | None = None):
         order = np.arange(len(points))
         self.nodes: list[tuple[int, int, int, int]] = []  # start, stop, left, right
         low, high = [], []
@@ -64,6 +67,7 @@ class KDTree:
         split(0, len(points))
         self.low, self.high = np.array(low), np.array(high)
         self.points, self.rows, self.ids = points[order], rows[order], ids[order]
+        self.named = np.ones(len(points), bool) if named is None else named[order]
 
     def exact_as_double(self, queries: np.ndarray) -> bool:
         most = [int(np.abs(a).max()) if a.size else 0 for a in (self.points.astype(float), queries.astype(float))]
@@ -71,7 +75,7 @@ class KDTree:
 
 
 class TopK:
-    """The best k of one query: by score, then by smaller id, then by row."""
+    """The best k of one query: by score, then by smaller id (none stands last), then by row."""
 
     def __init__(self, k: int, least: int | None = None):
         self.k, self.best, self.floor = k, [], least
@@ -83,17 +87,18 @@ class TopK:
         own = None if own is None else -own
         return own if self.floor is None else self.floor if own is None else max(own, self.floor)
 
-    def add(self, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+    def add(self, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, named: np.ndarray | None = None) -> None:
+        named = np.ones(len(ids), bool) if named is None else named
         kth = self.kth
         if kth is not None:
             near = scores >= kth
-            scores, ids, rows = scores[near], ids[near], rows[near]
+            scores, ids, rows, named = scores[near], ids[near], rows[near], named[near]
         if len(scores) > 4 * self.k:
             # Many equal scores: order only those that can be among the best.
             edge = np.partition(scores, len(scores) - self.k)[-self.k]
             near = scores >= edge
-            scores, ids, rows = scores[near], ids[near], rows[near]
-        found = sorted(self.best + [(-int(s), i, r) for s, i, r in zip(scores.tolist(), ids.tolist(), rows.tolist())])
+            scores, ids, rows, named = scores[near], ids[near], rows[near], named[near]
+        found = sorted(self.best + [(-int(s), not known, i, r) for s, known, i, r in zip(scores.tolist(), named.tolist(), ids.tolist(), rows.tolist())])
         self.best = found[: self.k]
 
 
@@ -117,7 +122,7 @@ def search(tree: KDTree, queries: np.ndarray, own_rows: np.ndarray, tops: list[T
             else:
                 scores, rows = points[start:stop] @ q[n], tree.rows[start:stop]
                 others = rows != own_rows[n]
-                top.add(scores[others], tree.ids[start:stop][others], rows[others])
+                top.add(scores[others], tree.ids[start:stop][others], rows[others], tree.named[start:stop][others])
 
 
 def integer_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -140,7 +145,8 @@ def build_trees(points: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         values = np.array(table.column("v").combine_chunks().flatten() if dim else [], np.int64).reshape(table.num_rows, dim)
         most = int(np.abs(values.astype(float)).max()) if values.size else 0
         values = values.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64)
-        tree = KDTree(values.astype(np.int64), *(table.column(c).to_numpy() for c in ("row", "vec_id")))
+        ids = table.column("vec_id")
+        tree = KDTree(values.astype(np.int64), table.column("row").to_numpy(), ids.fill_null(0).to_numpy(), named=ids.is_valid().to_numpy())
         tree.points = tree.points.astype(values.dtype)
         return pa.table({"shard": [table.column("shard")[0].as_py()], "dim": [dim], "tree": [pickle.dumps(tree)]}, schema=schema)
 
@@ -163,7 +169,7 @@ def _scan(trees: DataFrame, block, k: int) -> DataFrame:
         most, out = (1 << 63) - 1, []
         for dim, own in tops.items():
             _, rows, ids, _ = block.value[dim]
-            out += [(int(rows[n]), int(ids[n]), r, i, max(-most - 1, min(most, -s))) for n, top in enumerate(own) for s, i, r in top.best]
+            out += [(int(rows[n]), int(ids[n]), r, None if unnamed else i, max(-most - 1, min(most, -s))) for n, top in enumerate(own) for s, unnamed, i, r in top.best]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], schema=_FOUND)
 
     return trees.mapInArrow(run, FOUND)
@@ -177,7 +183,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int =
     trees = build_trees(points, shard_rows)
     queries = points.filter(F.pmod("vec_id", F.lit(every)) == 0)
     blocks = -(-queries.count() // block_rows)
-    best = W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
+    best = W.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
     parts = []
     for b in range(blocks):
         own: dict[int, list] = {}

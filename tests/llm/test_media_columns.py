@@ -71,3 +71,10 @@ def test_damage_is_found(tmp_path):
     with pytest.raises((ValueError, OSError)):
         media.decode_image(bytes(image))
     assert os.listdir(tmp_path) == []
+
+
+def test_a_null_id_stays_null(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "none"), (0, "zero"), (-1, "less")], "doc_id bigint, text string")
+    media.write_archive(docs, f"{tmp_path}/archive")
+    got = {(r.doc_id, bytes(r.payload).rstrip(b"\0")) for r in media.read_archive(spark, f"{tmp_path}/archive").collect()}
+    assert got == {(None, b"none"), (0, b"zero"), (-1, b"less")}

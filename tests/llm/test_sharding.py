@@ -41,3 +41,11 @@ def test_few_and_none(spark):
     docs = spark.createDataFrame([(0, "a"), (0, "a")], "doc_id bigint, text string")
     assert len(shard(docs).collect()) == 2
     assert shard(docs.limit(0)).collect() == []
+
+
+def test_null_ids_among_equal_texts(spark):
+    docs = spark.createDataFrame([(None if i % 3 else i, "same") for i in range(600)], "doc_id bigint, text string")
+    rows = shard(docs, 4, rows_per_range=20).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted((i % 3 > 0, 0 if i % 3 else i) for i in range(600))
+    for k in range(4):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(150))

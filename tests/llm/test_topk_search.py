@@ -37,3 +37,11 @@ def test_fewer_than_k_and_none(spark):
     same(spark, [(0, [1.0])])
     same(spark, [(0, [1.0]), (1, [1.0]), (2, [2.0])])
     same(spark, [])
+
+
+def test_null_ids(spark):
+    big = (1 << 53) + 1
+    rows = [(10, [1.0, 1.0]), (None, [2.0, 2.0]), (None, [1.0, 1.0]), (big, [1.0, 1.0]), (5, [-1.0, 0.0])]
+    got = top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 4, 10).collect()
+    one = 1024 * 1024
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(10, 1, None, 4 * one), (10, 2, big, 2 * one), (10, 3, None, 2 * one), (10, 4, 5, -one)]
