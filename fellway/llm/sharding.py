@@ -106,9 +106,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, rows_per_range: int = ROWS_PER_
         return [((r.text_hash, r.doc_id, r.place), r.w) for r in kept.collect()]
 
     bounds: list[tuple] = _quantiles(sampled(records, 2.0, SAMPLES_PER_RANGE * ranges), ranges) if n and ranges > 1 else []
+
+    def held(dealt: DataFrame) -> dict:
+        return {r.range: r for r in dealt.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.sum(weight).alias("w")).collect()}
+
     for _ in range(ROUNDS):
         dealt = records.withColumn("range", _range_of(bounds))
-        totals = {r.range: r for r in dealt.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.sum(weight).alias("w")).collect()}
+        totals = held(dealt)
         fair = 2.0 / ranges
         over = {k: r for k, r in totals.items() if r.w > OVERFULL * fair and r.n > 1}
         if not over or len(bounds) >= MOST_RANGES:
@@ -121,6 +125,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, rows_per_range: int = ROWS_PER_
         if len(found) == len(bounds):
             break
         bounds = sorted(found, key=_order)
+    else:
+        # The last round moved the boundaries.
+        totals = held(records.withColumn("range", _range_of(bounds)))
 
     # Exact positions along the order: totals of the ranges before, then a running sum inside each.
     rows_before, bytes_before, at_rows, at_bytes = [], [], 0, 0

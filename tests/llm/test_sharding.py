@@ -49,3 +49,16 @@ def test_null_ids_among_equal_texts(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted((i % 3 > 0, 0 if i % 3 else i) for i in range(600))
     for k in range(4):
         assert sorted(r.slot for r in rows if r.shard == k) == list(range(150))
+
+
+def test_boundaries_of_the_last_round_count(spark, monkeypatch):
+    from fellway.llm import sharding
+
+    texts = ["same"] * 900 + [f"text {i} " * 9 for i in range(100)] + ["long " * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    drawn, quantiles = [], sharding._quantiles
+    # First boundaries that leave one range overfull.
+    monkeypatch.setattr(sharding, "_quantiles", lambda sample, parts: drawn.append(parts) or quantiles(sample, 2 if len(drawn) == 1 else parts))
+    monkeypatch.setattr(sharding, "ROUNDS", 1)
+    check(shard(docs, 8, rows_per_range=20).collect(), texts, 8)
+    assert len(drawn) > 1
