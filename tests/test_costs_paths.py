@@ -158,3 +158,10 @@ def test_known_fixture_hours(spark):
     steps = cost.terrain_steps(X.nodes(spark, SF))
     leg = spark.createDataFrame([(X.GRID, "r", 1, 0, 0, 3, 49)], "grid_id string, route_id string, leg int, si int, sj int, gi int, gj int")
     assert abs(paths.leg_paths(steps, leg).agg(F.max("g")).first()[0] - 0.318621764) < 1e-6
+
+
+def test_unsettled_labels_raise(spark):
+    steps = spark.createDataFrame([("g", 0, j, 0, j + 1, 1.0) for j in range(12)], "grid_id string, i int, j int, ni int, nj int, cost double")
+    source = spark.createDataFrame([("g", 0, 0)], "grid_id string, i int, j int")
+    with pytest.raises(RuntimeError):
+        paths.block_distances(steps, source, block=4, rounds=1)
