@@ -19,9 +19,11 @@ prefix polynomial hashes, never byte by byte:
 3. A chunk marks repeated contexts and windows, and joins them to maximal spans.
 
 A bucket sees each hash once per chunk, with a mark if the chunk holds it twice,
-so a passage that a third of all documents share makes no large group. Collisions
-are caught by a second, independent hash: what decides a repeat is 64 bits of the
-context or window together with 64 bits of the anchor.
+so a passage that a third of all documents share makes no large group. What
+decides a repeat is 64 bits of the context or window mixed with 64 bits of the
+anchor. Both come from the same prefix sums, so they are not independent, and no
+match is verified by its bytes; nor is there an order of suffixes or a search for
+common extensions.
 
 Defined cases: null text is empty; matches never cross documents; texts under
 ``width`` bytes keep everything; repeated rows are each other's repeats; rows with
