@@ -12,6 +12,7 @@ import ctypes
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from ._common import session, small_batches
 
 #: Documents per chunk, and how many quantiles of doc_id describe the ranges.
 CHUNK_DOCS, QUANTILES = 512, 256
+#: Bytes of text that a block holds at most; a longer text is a block of its own.
+BLOCK_BYTES = 2 << 20
 _BLOCK = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary())])
 _PACKED = pa.schema([("chunk", pa.int32()), ("block", pa.binary())])
 
@@ -38,17 +41,41 @@ def id_of(value: int) -> int | None:
     return None if value == _NO_ID else int(value)
 
 
-def unpack(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    """Ids and texts of a chunk in order of doc_id."""
+def unpack(table: pa.Table, sort: bool = True) -> tuple[np.ndarray, list[bytes]]:
+    """Ids and texts of a chunk, in order of doc_id or as they were packed."""
     parts = [pa.ipc.open_stream(b.as_py()).read_all() for b in table.column("block")]
     if not parts:
         return np.zeros(0, np.int64), []
     whole = pa.concat_tables(parts)
     ids, texts = whole.column("doc_id").to_numpy(), whole.column("text").to_pylist()
+    if not sort:
+        return ids, texts
     order = np.argsort(ids, kind="stable")
     return ids[order], [texts[k] for k in order]
 
 
+def content_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(chunk, block) rows in no order of doc_id: every block is a chunk, named by its content.
+
+    Blocks are bounded in bytes whatever ids and texts repeat, and a block's name and
+    the order inside it are the same each time it is made.
+    """
+    spark = session(docs)
+    small_batches(spark)
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col("text").cast("string"))
+    schema = pa.schema([("chunk", pa.int64()), ("block", pa.binary())])
+
+    def pack(batches):
+        for batch in batches:
+            ids, texts = batch.column("doc_id").to_numpy(), [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            for a, b in grouped([len(t) for t in texts], block_bytes):
+                block = _pack(ids[a:b], texts[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(block) - (1 << 63)], pa.int64()), pa.array([block], pa.binary())], schema=schema)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return docs.mapInArrow(pack, "chunk bigint, block binary").repartition(parts, "chunk")
+
+
 def chunked(docs: DataFrame, chunk_docs: int = CHUNK_DOCS) -> tuple[DataFrame, int]:
     """(chunk, block) rows dealt by chunk, and the number of chunks.
 

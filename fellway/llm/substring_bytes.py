@@ -1,33 +1,37 @@
-"""Exact substring dedup over bytes by hash-compared sorting (operator 2).
+"""Exact substring dedup over bytes by hash-compared suffix sorting (operator 2).
 
 A byte goes if a string of ``width`` bytes that covers it also starts anywhere
 else, in the same document or another; strings are judged on the input.
 
 Sorting the suffix at every byte needs more disk than the corpus itself, so only
-sparse suffixes are sorted: of the hashes of all ``anchor``-byte strings inside a
-window of ``width`` bytes the least one picks an anchor, and equal windows pick
-it at the same place. The windows that picked one anchor lie side by side, and
-the bytes they cover are the anchor's context. All comparisons are between
-prefix polynomial hashes, never byte by byte:
-
-1. Chunks send (anchor hash, context hash) to buckets, sorted there. A context
-   that occurs twice is a repeat as a whole. An anchor with several contexts is
-   undecided: one holder of each context sends the hashes of its windows on.
-2. Those hashes are sorted in buckets again; a window hash that occurs twice is a
-   repeat. The edge between repeated and single windows of a context is the end
-   of a common extension.
-3. A chunk marks repeated contexts and windows, and joins them to maximal spans.
-
-A bucket sees each hash once per chunk, with a mark if the chunk holds it twice,
-so a passage that a third of all documents share makes no large group. What
-decides a repeat is 64 bits of the context or window mixed with 64 bits of the
-anchor. Both come from the same prefix sums, so they are not independent, and no
-match is verified by its bytes; nor is there an order of suffixes or a search for
-common extensions.
+sparse suffixes are sorted. Of the hashes of all ``anchor``-byte strings inside a
+window of ``width`` bytes the least one picks the window's anchor, and equal
+windows pick it at the same place. The windows that picked one anchor lie side by
+side; the bytes they cover are the anchor's context.
+
+1. Blocks of documents send (anchor hash, context hash, context digest) to
+   buckets. A context that occurs twice is a repeat as a whole; the digest is a
+   second hash of another kind, which verifies the first. An anchor with several
+   contexts is undecided.
+2. One holder of each context of an undecided anchor sends the context's bytes to a
+   bucket. There the suffixes at its windows are sorted (``sorted_suffixes``): a
+   mergesort in which two suffixes are compared by their common extension, found
+   by binary search over prefix polynomial hashes, so in a logarithmic number of
+   steps. Neighbours with a common extension of ``width`` bytes are repeats.
+3. Collision verification: neighbours in the sorted order are compared by their
+   bytes. Where a colliding hash has put them into a wrong order, those suffixes
+   are sorted by their bytes instead. So a collision changes no result.
+4. A block removes the spans of its repeated contexts and windows.
+
+Hot anchors: a passage that a third of all documents share gives its first and
+last anchors as many contexts. A block that holds over ``HOT`` contexts of an anchor
+sends one mark instead of them, and the windows of a hot anchor go to buckets by
+their own hash, with a digest that verifies it, not to the anchor's bucket.
 
 Defined cases: null text is empty; matches never cross documents; texts under
-``width`` bytes keep everything; repeated rows are each other's repeats; rows with
-a null doc_id take part like others; an empty table gives no rows.
+``width`` bytes keep everything; long texts are worked through in pieces of
+``PIECE`` windows; repeated rows are each other's repeats; rows with a null doc_id
+take part like others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,24 +40,27 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import CHUNK_DOCS, PrefixHash, chunked, give_back, grouped, id_of, mixed, numbers, to_buckets, unpack
-from ._common import documents
+from ._blocks import BLOCK_BYTES, PrefixHash, content_blocks, give_back, id_of, mixed, numbers, to_buckets, unpack
+from ._common import documents, text_bytes, written
 
 WIDTH, ANCHOR = 400, 300
+#: Windows handled at once, bytes of text per bucket, contexts of one anchor in a block or bucket above which it is hot.
+PIECE, BUCKET_BYTES, HOT, HOT_BUCKET = 1 << 18, 16 << 20, 32, 2048
 SCHEMA = "doc_id bigint, n_bytes bigint, starts array<bigint>, stops array<bigint>, kept_sha256 string, kept binary"
-_PLACE_BITS = np.uint64(28)
-#: Kinds of what a bucket answers about a context.
-REPEATED, UNDECIDED, PROVIDED = 1, 2, 4
-_TWICE = np.uint64(1)
+_PLACE_BITS = np.uint64(32)
+#: What a bucket answers about a context.
+REPEATED, SORT, SPREAD = 1, 2, 4
+_ONE = np.uint64(1)
 _SPREAD = 0xD6E8FEB86659FD93
+_NO_U8 = np.zeros(0, np.uint64)
 
 
 def least_places(hashes: np.ndarray, span: int) -> np.ndarray:
-    """Place of the first least hash among each ``span`` neighbours."""
+    """Place of the first least hash (by its upper half) among each ``span`` neighbours."""
     n = len(hashes)
     keys = hashes >> _PLACE_BITS << _PLACE_BITS | np.arange(n, dtype=np.uint64)
     size = -(-n // span) * span
@@ -68,70 +75,154 @@ def least_places(hashes: np.ndarray, span: int) -> np.ndarray:
 
 
 class Anchors:
-    """Anchors of a list of texts and the windows that picked them."""
-
-    def __init__(self, texts: list[bytes], width: int, anchor: int):
-        self.width = width
-        self.lengths = [len(t) for t in texts]
-        self.base = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
-        self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, PrefixHash, np.ndarray]] = []
-        span = width - anchor + 1
-        for a, b in grouped(self.lengths):
-            data = np.frombuffer(b"".join(texts[a:b]), np.uint8)
-            if len(data) < width:
-                continue
-            prefix = PrefixHash.of_bytes(data)
-            hashes = prefix.every(anchor)
-            picked = least_places(hashes, span)
-            edge = self.base[a : b + 1] - self.base[a]
-            starts = np.arange(len(picked))
-            # Windows that end inside their own document.
-            doc = np.repeat(np.arange(b - a), self.lengths[a:b])[: len(picked)]
-            whole = starts + width <= edge[doc + 1]
-            starts, picked = starts[whole], picked[whole]
-            if not len(starts):
-                continue
-            new = np.flatnonzero((np.diff(picked) != 0) | (np.diff(starts) != 1)) + 1
-            first, last = np.concatenate([[0], new]), np.concatenate([new - 1, [len(starts) - 1]])
-            low, high = starts[first], starts[last]
-            # Least hashes are small numbers; mixed again, they spread over all buckets.
-            anchor_hash = mixed(hashes[picked[first]] ^ np.uint64(_SPREAD))
-            context = prefix.spans(low, high + width) ^ mixed((high - low).astype(np.uint64) << np.uint64(32) | (picked[first] - low).astype(np.uint64))
-            self.groups.append((anchor_hash, context & ~_TWICE, low, high, prefix, np.int64(self.base[a])))
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.groups:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        return np.concatenate([g[0] for g in self.groups]), np.concatenate([g[1] for g in self.groups])
-
-    def window_hashes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, absolute start) of the windows of anchors with a context in ``chosen`` (sorted)."""
-        out, at = [], []
-        for anchor_hash, context, low, high, prefix, base in self.groups:
-            mine = np.flatnonzero(_in(context, chosen))
-            if not len(mine):
-                continue
-            n = high[mine] - low[mine] + 1
-            start = np.repeat(low[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            # The anchor takes part, so a window's hash has 64 further bits behind it.
-            out.append(prefix.spans(start, start + self.width) ^ mixed(np.repeat(anchor_hash[mine], n)))
-            at.append(start + base)
-        if not out:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return np.concatenate(out) & ~_TWICE, np.concatenate(at)
-
-
-def _in(values: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    if not len(chosen):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(chosen, values), len(chosen) - 1)
-    return chosen[at] == values
-
-
-def _once(hashes: np.ndarray) -> np.ndarray:
-    """Sorted distinct hashes; the lowest bit marks those that were there twice."""
-    value, n = np.unique(hashes, return_counts=True)
-    return value | (n > 1).astype(np.uint64)
+    """Anchors of a list of texts, with the windows that picked them: places are those of the texts laid end to end."""
+
+    def __init__(self, texts: list[bytes], width: int, anchor: int, hash_bits: int = 64):
+        self.width, self.mask = width, np.uint64((1 << hash_bits) - 1)
+        edges = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        self.edges, self.data = edges, np.frombuffer(b"".join(texts), np.uint8)
+        parts = [self._piece(at, anchor) for at in range(0, max(0, len(self.data) - width + 1), PIECE)]
+        join = lambda k, kind: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind)
+        #: Per anchor: its hash, hash and digest of its context, first and last window, the anchor's place.
+        self.hash, self.context, self.digest = (join(k, np.uint64) for k in range(3))
+        self.low, self.high, self.at = (join(k, np.int64) for k in range(3, 6))
+
+    def _piece(self, begin: int, anchor: int) -> tuple[np.ndarray, ...]:
+        data, width, edges = self.data[begin : begin + PIECE + self.width - 1], self.width, self.edges
+        prefix = PrefixHash.of_bytes(data)
+        hashes = prefix.every(anchor) & self.mask
+        picked = least_places(hashes, width - anchor + 1)
+        # Windows that end inside their own document.
+        a, b = np.searchsorted(edges, [begin, begin + len(picked)], "right")
+        own = np.clip(edges[a - 1 : b + 1], begin, begin + len(picked))
+        stop = np.repeat(edges[a : a + len(own) - 1], np.diff(own))
+        starts = np.flatnonzero(np.arange(begin, begin + len(picked)) + width <= stop)
+        picked = picked[starts]
+        if not len(starts):
+            return _NO_U8, _NO_U8, _NO_U8, *[np.zeros(0, np.int64)] * 3
+        new = np.flatnonzero((np.diff(picked) != 0) | (np.diff(starts) != 1)) + 1
+        first, last = np.concatenate([[0], new]), np.concatenate([new - 1, [len(starts) - 1]])
+        low, high, at = starts[first], starts[last], picked[first]
+        # Least hashes are small numbers; mixed again, they spread over all buckets.
+        anchor_hash = mixed(hashes[at] ^ np.uint64(_SPREAD))
+        context = (prefix.spans(low, high + width) ^ mixed((high - low).astype(np.uint64) << np.uint64(32) | (at - low).astype(np.uint64))) & self.mask
+        view, digest = memoryview(data), xxhash.xxh3_64_intdigest
+        check = np.fromiter((digest(view[x:y]) for x, y in zip(low.tolist(), (high + width).tolist())), np.uint64, len(low))
+        return anchor_hash, context, check & ~_ONE, low + begin, high + begin, at + begin
+
+    def groups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct contexts in order of (anchor hash, context, digest): the first of each, how many, and each anchor's group."""
+        order = np.lexsort((self.digest, self.context, self.hash))
+        if not len(order):
+            return order, order, order
+        a, c, d = self.hash[order], self.context[order], self.digest[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])])
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        return order[new], np.diff(np.concatenate([np.flatnonzero(new), [len(order)]])), group
+
+
+class Suffixes:
+    """Suffixes of a byte string, compared up to ``width`` bytes by hashes of their prefixes."""
+
+    def __init__(self, data: np.ndarray, width: int, hash_bits: int = 64):
+        self.data, self.width, self.mask = data, width, np.uint64((1 << hash_bits) - 1)
+        self.prefix = PrefixHash.of_bytes(data)
+
+    def _same(self, p: np.ndarray, q: np.ndarray, n) -> np.ndarray:
+        span = lambda x: mixed((self.prefix.sums[x + n] - self.prefix.sums[x]) * self.prefix.inverse[x]) & self.mask
+        return span(p) == span(q)
+
+    def common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Length of the common extension of each pair, by binary search over prefix hashes."""
+        length = np.where(self._same(p, q, self.width), self.width, 0)
+        open_ = np.flatnonzero(length == 0)
+        p, q, low = p[open_], q[open_], np.zeros(len(open_), np.int64)
+        step = 1 << (self.width.bit_length() - 1)
+        while step:
+            reach = np.minimum(step, self.width - low)
+            low = np.where(self._same(p + low, q + low, reach), low + reach, low)
+            step >>= 1
+        length[open_] = low
+        return length
+
+    def order(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1: how suffix p stands to suffix q."""
+        n = self.common(p, q)
+        at = np.minimum(n, self.width - 1)
+        return np.where(n >= self.width, 0, np.sign(self.data[p + at].astype(np.int16) - self.data[q + at].astype(np.int16)))
+
+
+def _merged(suffixes: Suffixes, start: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Order of suffixes within segments (each element knows its segment's first place and size): bottom-up mergesort.
+
+    All runs of one length are merged at once: an element's new place is its place
+    in its own run and how many elements of the sister run stand before it, which
+    a binary search finds.
+    """
+    order, width = np.arange(len(start)), 1
+    own = np.arange(len(start)) - first
+    while True:
+        live = np.flatnonzero(size > width)
+        if not len(live):
+            return order
+        run = own[live] // width
+        sister = np.where(run % 2 == 0, run + 1, run - 1) * width
+        low = np.zeros(len(live), np.int64)
+        most = np.clip(size[live] - sister, 0, width)
+        high, base, me = most.copy(), first[live] + sister, start[order[live]]
+        left = run % 2 == 0
+        todo = np.flatnonzero(low < high)
+        while len(todo):
+            middle = (low[todo] + high[todo]) // 2
+            sign = suffixes.order(start[order[base[todo] + middle]], me[todo])
+            before = (sign < 0) | ((sign == 0) & ~left[todo])
+            low[todo], high[todo] = np.where(before, middle + 1, low[todo]), np.where(before, high[todo], middle)
+            todo = todo[low[todo] < high[todo]]
+        place = first[live] + run // 2 * 2 * width + own[live] - run * width + low
+        # Colliding hashes can contradict each other; such a segment is left as it is, for the verification.
+        hit = np.zeros(len(order), bool)
+        hit[place] = True
+        if not hit[live].all():
+            torn = np.isin(first[live], first[live][~hit[live]])
+            place = np.where(torn, live, place)
+        order[place] = order[live]
+        width *= 2
+
+
+def sorted_suffixes(suffixes: Suffixes, start: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, repeats): suffixes sorted within their segments, and which of them some other of the segment equals.
+
+    Neighbours are verified by their bytes; segments that a collision has misled are
+    sorted by their bytes.
+    """
+    by = np.argsort(segment, kind="stable")
+    start, segment = start[by], segment[by]
+    new = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])) if len(by) else np.zeros(0, np.int64)
+    sizes = np.diff(np.concatenate([new, [len(by)]])).astype(np.int64)
+    first, size = np.repeat(new, sizes), np.repeat(sizes, sizes)
+    order = _merged(suffixes, start, first, size)
+    rows = np.lib.stride_tricks.sliding_window_view(suffixes.data, suffixes.width) if len(by) else None
+    same = np.zeros(len(by) + 1, bool)
+    wrong = []
+    pairs = np.flatnonzero(segment[1:] == segment[:-1]) + 1
+    for at in range(0, len(pairs), 4096):
+        here = pairs[at : at + 4096]
+        a, b = rows[start[order[here - 1]]], rows[start[order[here]]]
+        differ = a != b
+        where = differ.argmax(axis=1)
+        equal = ~differ[np.arange(len(here)), where]
+        same[here] = equal
+        wrong.append(here[~equal & (a[np.arange(len(here)), where] > b[np.arange(len(here)), where])])
+    for begin in np.unique(first[np.concatenate(wrong)]).tolist() if wrong else []:
+        stop = begin + int(size[begin])
+        mine = sorted(order[begin:stop].tolist(), key=lambda k: rows[start[k]].tobytes())
+        order[begin:stop] = mine
+        texts = [rows[start[k]].tobytes() for k in mine]
+        same[begin + 1 : stop] = [x == y for x, y in zip(texts, texts[1:])]
+    repeats = np.zeros(len(by), bool)
+    repeats[by[order]] = same[:-1] | same[1:]
+    return by[order], repeats
 
 
 def _by_chunk(chunk: np.ndarray, *columns: np.ndarray) -> list[tuple]:
@@ -140,89 +231,152 @@ def _by_chunk(chunk: np.ndarray, *columns: np.ndarray) -> list[tuple]:
     return [(int(chunk[g[0]]), *(c[g].tobytes() for c in columns)) for g in np.split(order, cuts) if len(g)]
 
 
-def repeated_bytes(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, chunk_docs: int = CHUNK_DOCS, texts: bool = True) -> DataFrame:
+def _made(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * len(schema), schema.types)], schema=schema)
+
+
+def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    parts = numbers(column.drop_null(), kind)
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... count[0] numbers of it, then those of the next."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def repeated_bytes(
+    docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES, texts: bool = True, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT, hot_bucket: int = HOT_BUCKET, hash_bits: int = 64
+) -> DataFrame:
     """doc_id, n_bytes, starts and stops of the maximal removed runs, kept (the other bytes) and its digest.
 
-    Without ``texts`` the kept bytes stay with the workers and only their digest is returned.
+    Without ``texts`` the kept bytes stay with the workers and only their digest is
+    returned. Fewer ``hash_bits`` make hashes collide, for tests.
     """
-    blocks, chunks = chunked(docs, chunk_docs)
-    buckets = max(1, chunks // 8)
-    sent = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("anchors", pa.binary()), ("contexts", pa.binary())])
-    told = pa.schema([("chunk", pa.int32()), ("contexts", pa.binary()), ("kinds", pa.binary())])
-    shown = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary())])
-    found = pa.schema([("chunk", pa.int32()), ("windows", pa.binary())])
+    blocks = content_blocks(docs, block_bytes)
+    buckets = max(1, int((docs.agg(F.sum(text_bytes("text"))).first()[0] or 0) // bucket_bytes))
+    schema = lambda **of: pa.schema(list(of.items()))
+    number, raw, place = pa.int32(), pa.binary(), pa.int64()
+    sent = schema(bucket=number, chunk=place, anchors=raw, contexts=raw, digests=raw, groups=raw)
+    told = schema(chunk=place, groups=raw, kinds=raw)
+    #: Own spans of a chunk (no bucket), or contexts or windows for a bucket.
+    shown = schema(bucket=number, chunk=place, starts=raw, stops=raw, anchors=raw, backs=raw, counts=raw, bytes=raw, hashes=raw, digests=raw)
+    found = schema(chunk=place, starts=raw, stops=raw)
     places = pa.list_(pa.int64())
-    final = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("starts", places), ("stops", places), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+    final = schema(doc_id=place, n_bytes=place, starts=places, stops=places, kept_sha256=pa.string(), kept=raw)
+
+    def hot_groups(anchor_hash: np.ndarray) -> np.ndarray:
+        """Which of a chunk's distinct contexts, in order of their anchor, belong to an anchor that is hot in the chunk."""
+        _, back, n = np.unique(anchor_hash, return_inverse=True, return_counts=True)
+        return n[back] > hot
 
     def send_anchors(table: pa.Table) -> pa.Table:
         give_back()
-        a, c = Anchors(unpack(table)[1], width, anchor).pairs()
-        by = np.lexsort((c, a))
-        a, c = a[by], c[by]
-        if len(a):
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
-            n = np.diff(np.concatenate([np.flatnonzero(new), [len(a)]]))
-            a, c = a[new], c[new] | (n > 1).astype(np.uint64)
-        chunk, out, at = table.column("chunk")[0].as_py(), [], 0
-        for bucket, part in to_buckets(a, buckets) if len(a) else []:
-            out.append((bucket, chunk, part.tobytes(), c[at : at + len(part)].tobytes()))
+        own = Anchors(unpack(table, sort=False)[1], width, anchor, hash_bits)
+        first, n, _ = own.groups()
+        if not len(first):
+            return sent.empty_table()
+        a, c, d = own.hash[first], own.context[first], own.digest[first] | (n > 1).astype(np.uint64)
+        # Of a hot anchor its first context goes along, as a mark with a negative place.
+        marked = hot_groups(a)
+        keep = np.flatnonzero(~marked | np.concatenate([[True], a[1:] != a[:-1]]))
+        group = np.where(marked, -1 - np.arange(len(a)), np.arange(len(a)))[keep].astype("<i8")
+        a, c, d, chunk, rows, at = a[keep], c[keep], d[keep], table.column("chunk")[0].as_py(), [], 0
+        for bucket, part in to_buckets(a, buckets):
+            mine = slice(at, at + len(part))
+            rows.append((bucket, chunk, part.tobytes(), c[mine].tobytes(), d[mine].tobytes(), group[mine].tobytes()))
             at += len(part)
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, sent.types)], schema=sent)
+        return _made(rows, sent)
 
     def sort_anchors(table: pa.Table) -> pa.Table:
         give_back()
-        parts, contexts, own = numbers(table.column("anchors"), "<u8"), numbers(table.column("contexts"), "<u8"), table.column("chunk").to_numpy()
-        a, c = np.concatenate(parts), np.concatenate(contexts)
-        chunk = np.repeat(own, [len(p) for p in parts])
-        by = np.lexsort((chunk, c, a))
-        a, c, chunk = a[by], c[by], chunk[by]
-        twice, c = (c & _TWICE).astype(bool), c & ~_TWICE
+        a, c, d, group = (_joined(table.column(x), k) for x, k in (("anchors", "<u8"), ("contexts", "<u8"), ("digests", "<u8"), ("groups", "<i8")))
+        chunk = np.repeat(table.column("chunk").to_numpy(), [len(x) for x in numbers(table.column("anchors"), "<u8")])
+        by = np.lexsort((chunk, d & ~_ONE, c, a))
+        a, c, d, group, chunk = a[by], c[by], d[by], group[by], chunk[by]
+        twice, d, mark = (d & _ONE).astype(bool), d & ~_ONE, group < 0
         new_a = np.concatenate([[True], a[1:] != a[:-1]])
-        # A mark of twice sorts after the plain value, so order by the value and keep the group together.
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
-        group, of_anchor = np.cumsum(new) - 1, np.cumsum(new_a) - 1
-        holders, several = np.bincount(group), np.bincount(group, twice) > 0
-        repeat = (holders > 1) | several
-        contexts_of = np.bincount(of_anchor[new])
-        mixed_anchor = contexts_of[of_anchor] > 1
-        kind = np.where(repeat[group], REPEATED, 0)
-        kind |= np.where(mixed_anchor & ~repeat[group], UNDECIDED, 0)
-        kind |= np.where(mixed_anchor & new, PROVIDED, 0)
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])])
+        of_context, of_anchor = np.cumsum(new) - 1, np.cumsum(new_a) - 1
+        holders, several = np.bincount(of_context, ~mark), np.bincount(of_context, twice) > 0
+        repeat = ((holders > 1) | several)[of_context] & ~mark
+        contexts_of = np.bincount(of_anchor[new])[of_anchor]
+        is_hot = (np.bincount(of_anchor, mark) > 0)[of_anchor] | (contexts_of > hot_bucket)
+        kind = np.where(repeat, REPEATED, 0)
+        # Of a context's holders the first shows it; of a hot anchor every holder shows what it has.
+        kind |= np.where((contexts_of > 1) & ~is_hot & new, SORT, 0) | np.where(is_hot, SPREAD, 0)
         say = kind > 0
-        out = _by_chunk(chunk[say], c[say], kind[say].astype(np.uint8))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 3, told.types)], schema=told)
+        return _made(_by_chunk(chunk[say], group[say], kind[say].astype(np.uint8)), told)
 
-    def answers(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        empty = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
-        c = np.concatenate(numbers(right.column("contexts"), "<u8") or empty[0])
-        k = np.concatenate(numbers(right.column("kinds"), np.uint8) or empty[1])
-        by = np.argsort(c, kind="stable")
-        return c[by], k[by]
-
-    def send_windows(left: pa.Table, right: pa.Table) -> pa.Table:
+    def show(left: pa.Table, right: pa.Table) -> pa.Table:
         give_back()
-        c, k = answers(right)
-        provided = np.unique(c[k & PROVIDED > 0])
-        if not left.num_rows or not len(provided):
+        if not left.num_rows:
             return shown.empty_table()
-        hashes, _ = Anchors(unpack(left)[1], width, anchor).window_hashes(provided)
-        chunk = left.column("chunk")[0].as_py()
-        # A provided context that this chunk holds more than once is told to be a repeat anyway.
-        out = [(b, chunk, h.tobytes()) for b, h in to_buckets(_once(hashes), buckets)] if len(hashes) else []
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 3, shown.types)], schema=shown)
-
-    def sort_windows(table: pa.Table) -> pa.Table:
+        own = Anchors(unpack(left, sort=False)[1], width, anchor, hash_bits)
+        first, _, group = own.groups()
+        if not len(first):
+            return shown.empty_table()
+        chunk, rows = left.column("chunk")[0].as_py(), []
+        kinds = np.zeros(len(first), np.uint8)
+        told_of, said = _joined(right.column("groups"), "<i8"), _joined(right.column("kinds"), np.uint8)
+        kinds[np.where(told_of < 0, -1 - told_of, told_of)] = said
+        a = own.hash[first]
+        kinds[hot_groups(a)] = SPREAD
+        span = lambda chosen: (own.low[chosen].tobytes(), (own.high[chosen] + width).tobytes())
+        rows.append((None, chunk, *span(kinds[group] & REPEATED > 0), *[None] * 6))
+        mine = first[kinds & SORT > 0]
+        at = 0
+        for bucket, part in to_buckets(own.hash[mine], buckets) if len(mine) else []:
+            k = mine[at : at + len(part)]
+            at += len(part)
+            text = b"".join(own.data[x:y].tobytes() for x, y in zip(own.low[k].tolist(), (own.high[k] + width).tolist()))
+            rows.append((bucket, chunk, own.low[k].tobytes(), None, part.tobytes(), (own.at[k] - own.low[k]).tobytes(), (own.high[k] - own.low[k] + 1).tobytes(), text, None, None))
+        spread = np.flatnonzero(kinds[group] & SPREAD > 0)
+        if len(spread):
+            start = _ranges(own.low[spread], own.high[spread] - own.low[spread] + 1)
+            view = memoryview(own.data)
+            digest = np.fromiter((xxhash.xxh3_64_intdigest(view[x : x + width]) for x in start.tolist()), np.uint64, len(start))
+            hashes = mixed(digest) & own.mask  # the second hash decides the bucket, the first verifies it
+            check = np.fromiter((xxhash.xxh64_intdigest(view[x : x + width]) for x in start.tolist()), np.uint64, len(start))
+            by = np.lexsort((start, check, hashes))
+            start, hashes, check, at = start[by], hashes[by], check[by], 0
+            for bucket, part in to_buckets(hashes, buckets):
+                k = slice(at, at + len(part))
+                rows.append((bucket, chunk, start[k].tobytes(), None, None, None, None, None, part.tobytes(), check[k].tobytes()))
+                at += len(part)
+        return _made(rows, shown)
+
+    def sort_suffixes(table: pa.Table) -> pa.Table:
         give_back()
-        parts, own = numbers(table.column("hashes"), "<u8"), table.column("chunk").to_numpy()
-        h, chunk = np.concatenate(parts), np.repeat(own, [len(p) for p in parts])
-        by = np.argsort(h, kind="stable")
-        h, chunk = h[by], chunk[by]
-        twice, h = (h & _TWICE).astype(bool), h & ~_TWICE
-        group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
-        repeat = (np.bincount(group) > 1) | (np.bincount(group, twice) > 0)
-        say = repeat[group]
-        out = _by_chunk(chunk[say], h[say])
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 2, found.types)], schema=found)
+        chunks, starts = [], []
+        sorts, spreads = table.filter(table.column("anchors").is_valid()), table.filter(table.column("hashes").is_valid())
+        if sorts.num_rows:
+            data = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in sorts.column("bytes")])
+            low, back, count, anchors = (_joined(sorts.column(c), k) for c, k in (("starts", "<i8"), ("backs", "<i8"), ("counts", "<i8"), ("anchors", "<u8")))
+            chunk = np.repeat(sorts.column("chunk").to_numpy(), [len(x) for x in numbers(sorts.column("anchors"), "<u8")])
+            begin = np.cumsum(count + width - 1) - (count + width - 1)
+            # Only windows with the anchor at the same place can be equal: a segment of the sort each.
+            _, anchor_of = np.unique(anchors, return_inverse=True)
+            behind = np.repeat(back, count) - _ranges(np.zeros(len(count), np.int64), count)
+            segment = np.repeat(anchor_of, count) * (width + 1) + behind
+            _, repeats = sorted_suffixes(Suffixes(data, width, hash_bits), _ranges(begin, count), segment)
+            chunks.append(np.repeat(chunk, count)[repeats])
+            starts.append(_ranges(low, count)[repeats])
+        if spreads.num_rows:
+            h, d, start = (_joined(spreads.column(c), k) for c, k in (("hashes", "<u8"), ("digests", "<u8"), ("starts", "<i8")))
+            chunk = np.repeat(spreads.column("chunk").to_numpy(), [len(x) for x in numbers(spreads.column("hashes"), "<u8")])
+            by = np.lexsort((d, h))
+            same = np.concatenate([[False], (h[by][1:] == h[by][:-1]) & (d[by][1:] == d[by][:-1]), [False]])
+            repeats = by[same[:-1] | same[1:]]
+            chunks.append(chunk[repeats])
+            starts.append(start[repeats])
+        chunk, start = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (chunks, starts))
+        order = np.lexsort((start, chunk))
+        chunk, start = chunk[order], start[order]
+        # Windows side by side are one span.
+        new = np.concatenate([[True], (np.diff(chunk) != 0) | (np.diff(start) > width)]) if len(start) else np.zeros(0, bool)
+        last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(start) - 1]]) if len(start) else np.zeros(0, np.int64)
+        return _made(_by_chunk(chunk[new], start[new], start[last] + width), found)
 
     with_texts = texts
 
@@ -230,38 +384,28 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, ch
         give_back()
         if not left.num_rows:
             return final.empty_table()
-        ids, texts = unpack(left)
-        c, k = answers(right.filter(pc.is_valid(right.column("contexts"))))
-        windows = right.filter(pc.is_valid(right.column("windows")))
-        repeats = np.unique(np.concatenate(numbers(windows.column("windows"), "<u8") or [np.zeros(0, np.uint64)]))
-        own = Anchors(texts, width, anchor)
-        total = int(own.base[-1])
-        cover = np.zeros(total + 1, np.int32)
-        whole = np.unique(c[k & REPEATED > 0])
-        for _, context, low, high, _, base in own.groups:
-            mine = _in(context, whole)
-            np.add.at(cover, low[mine] + base, 1)
-            np.add.at(cover, high[mine] + base + width, -1)
-        if len(repeats):
-            hashes, start = own.window_hashes(np.unique(c[k & UNDECIDED > 0]))
-            mine = _in(hashes, repeats)
-            np.add.at(cover, start[mine], 1)
-            np.add.at(cover, start[mine] + width, -1)
+        ids, texts = unpack(left, sort=False)
+        base = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        cover = np.zeros(int(base[-1]) + 1, np.int32)
+        np.add.at(cover, _joined(right.column("starts"), "<i8"), 1)
+        np.add.at(cover, _joined(right.column("stops"), "<i8"), -1)
         gone = np.cumsum(cover[:-1]) > 0
         rows = []
         for d, text in enumerate(texts):
-            mine = gone[own.base[d] : own.base[d + 1]]
+            mine = gone[base[d] : base[d + 1]]
             edges = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
             kept = np.frombuffer(text, np.uint8)[~mine].tobytes() if len(edges) else text
             rows.append((id_of(ids[d]), len(text), edges[::2].tolist(), edges[1::2].tolist(), hashlib.sha256(kept).hexdigest(), kept if with_texts else None))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), final.types)], schema=final)
-
-    anchors = blocks.groupBy("chunk").applyInArrow(send_anchors, "bucket int, chunk int, anchors binary, contexts binary")
-    kinds = anchors.groupBy("bucket").applyInArrow(sort_anchors, "chunk int, contexts binary, kinds binary")
-    windows = blocks.groupBy("chunk").cogroup(kinds.groupBy("chunk")).applyInArrow(send_windows, "bucket int, chunk int, hashes binary")
-    repeats = windows.groupBy("bucket").applyInArrow(sort_windows, "chunk int, windows binary")
-    replies = kinds.unionByName(repeats, allowMissingColumns=True)
-    return blocks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(remove, SCHEMA)
+        return _made(rows, final)
+
+    ddl = lambda of: ", ".join(f"{f.name} {'int' if f.type == number else 'bigint' if f.type == place else 'binary'}" for f in of)
+    anchors = blocks.groupBy("chunk").applyInArrow(send_anchors, ddl(sent))
+    kinds = anchors.groupBy("bucket").applyInArrow(sort_anchors, ddl(told))
+    # Written, as both the buckets and the blocks go on from here.
+    seen = written(blocks.groupBy("chunk").cogroup(kinds.groupBy("chunk")).applyInArrow(show, ddl(shown)), "contexts")
+    repeats = seen.filter("bucket IS NOT NULL").groupBy("bucket").applyInArrow(sort_suffixes, ddl(found))
+    spans = seen.filter("bucket IS NULL").select("chunk", "starts", "stops").unionByName(repeats)
+    return blocks.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(remove, SCHEMA)
 
 
 def op2_substring_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

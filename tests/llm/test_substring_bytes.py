@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from fellway.llm.substring_bytes import least_places, repeated_bytes
+from fellway.llm.substring_bytes import Suffixes, least_places, repeated_bytes, sorted_suffixes
 
 
 def brute(rows, width):
@@ -51,9 +51,47 @@ def same(spark, rows, width, **how):
 
 
 def test_removal(spark):
-    same(spark, corpus(1, 70, 30), 20, anchor=12, chunk_docs=1000)
-    same(spark, corpus(2, 70, 30), 20, anchor=15, chunk_docs=16)
-    same(spark, corpus(3, 60, 500), 400, chunk_docs=13)
+    same(spark, corpus(1, 70, 30), 20, anchor=12)
+    same(spark, corpus(2, 70, 30), 20, anchor=15, block_bytes=700, bucket_bytes=900)
+    same(spark, corpus(3, 60, 500), 400, block_bytes=5000, bucket_bytes=9000)
+
+
+def test_hot_anchors(spark):
+    rng = random.Random(7)
+    some = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage = some(60)
+    rows = [(k, some(rng.randint(0, 30)) + passage + some(rng.randint(0, 30))) for k in range(120)] + [(500, "x" + passage), (501, "x" + passage)]
+    same(spark, rows, 20, anchor=12, block_bytes=900, bucket_bytes=2000, hot=2)
+    same(spark, rows, 20, anchor=12, block_bytes=900, bucket_bytes=2000, hot=50, hot_bucket=20)
+
+
+def test_colliding_hashes_change_nothing(spark):
+    for bits in (1, 4, 8):
+        same(spark, corpus(4, 40, 30), 20, anchor=12, block_bytes=900, bucket_bytes=2000, hash_bits=bits)
+
+
+def test_pieces_of_long_texts(spark, monkeypatch):
+    import fellway.llm.substring_bytes as module
+
+    monkeypatch.setattr(module, "PIECE", 37)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab") for _ in range(n)).encode() for n in (0, 500, 19, 20, 21, 300)]
+    own = module.Anchors(texts, 20, 12)
+    base = [sum(map(len, texts[:k])) for k in range(len(texts))]
+    assert sorted(w for a, b in zip(own.low.tolist(), own.high.tolist()) for w in range(a, b + 1)) == [base[k] + p for k, t in enumerate(texts) for p in range(len(t) - 19)]
+
+
+def test_suffixes_are_sorted_by_their_bytes():
+    rng = np.random.default_rng(5)
+    for bits in (64, 6, 1):
+        data = rng.integers(97, 99, 600).astype(np.uint8)
+        data[300:] = data[:300]
+        start, segment = rng.permutation(600 - 24)[:400], rng.integers(0, 5, 400)
+        order, repeats = sorted_suffixes(Suffixes(data, 25, bits), start, segment)
+        rows = [(int(segment[k]), data[start[k] : start[k] + 25].tobytes()) for k in order]
+        assert rows == sorted(rows) and sorted(order.tolist()) == list(range(400))
+        count = Counter(rows)
+        assert [bool(repeats[k]) for k in order] == [count[r] > 1 for r in rows]
 
 
 def test_empty_table(spark):
