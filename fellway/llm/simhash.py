@@ -33,10 +33,10 @@ from ._common import documents, session, small_batches, written
 WORDS, RADIUS, SEED = 3, 3, 42
 #: Near copies are measured by sets of shingles of so many words.
 SHINGLE = 5
-#: Bands of least hashes: at similarity 0.8 a pair agrees on none of 25 bands of 5 with a chance of (1 - 0.8**5)**25 = 5e-5.
-BANDS, BAND_ROWS = 25, 5
-#: Documents of a candidate group that a task compares at once.
-TILE_DOCS = 512
+#: Bands of least hashes: at similarity 0.8 a pair agrees on none of 40 bands of 8 with a chance of (1 - 0.8**8)**40 = 6e-4.
+BANDS, BAND_ROWS = 40, 8
+#: Documents of a candidate group that a task compares at once, and distinct shingles for each of them.
+TILE_DOCS, TILE_SHINGLES = 512, 2048
 #: Fingerprints compared at once, and the bucket size above which tiles are cut.
 TILE, BUCKET = 1024, 1 << 16
 _WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -233,16 +233,20 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, bucket: int = BUCKE
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that links reach, by alternating large and small stars."""
+    """(node, root): the smallest node that links reach, by alternating large and small stars.
+
+    A hub may hold a third of all links. So least neighbours are aggregated map-side and
+    written, and links meet them in joins of two written tables, whose hot partitions
+    Spark can split.
+    """
     edges = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while True:
-        # Large star: larger neighbours move to the smallest neighbour.
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a != b").distinct()
+        # Large star: the larger end of a link moves to the least neighbour of the smaller end.
+        least = written(edges.groupBy("a").agg(F.min("b").alias("least")), "least").withColumnRenamed("a", "b")
+        large = written(edges.join(least, "b", "left").select("a", F.coalesce("least", "b").alias("b")).distinct(), "links")
         # Small star: smaller neighbours and the node itself move to the smallest neighbour.
-        least = large.groupBy("a").agg(F.min("b").alias("least"))
+        least = written(large.groupBy("a").agg(F.min("b").alias("least")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a != b")
         edges = written(small.unionByName(least.select("a", F.col("least").alias("b"))).distinct(), "links")
         # Stable once the links no longer change; both figures are exact sums.
@@ -307,37 +311,121 @@ def text_key(column: str = "text") -> Column:
     return F.sha2(F.coalesce(F.col(column).cast("string"), F.lit("")), 256)
 
 
-def _candidates(distinct: DataFrame, near: int, also: int, bucket: int) -> DataFrame:
-    """Links that join every pair near in both fingerprints or equal in a band of least hashes."""
-    by_bits = links(distinct.select("node", "fp", "fp2", "shingles"), distinct.count(), near, bucket, also)
-    bands = distinct.select("node", F.posexplode("bands").alias("band", "key"))
+def _band_stars(members: DataFrame) -> DataFrame:
+    """Links of every node to the least node of each of its bands of least hashes."""
+    bands = members.select("node", F.posexplode("bands").alias("band", "key"))
     first = bands.groupBy("band", "key").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return by_bits.unionByName(bands.join(first, ["band", "key"]).filter("node != b").select(F.col("node").alias("a"), "b"))
-
-
-def _confirmed(docs: DataFrame, own: DataFrame, found: DataFrame, tile: int) -> DataFrame:
-    """Of candidate groups (node, root) the links between texts that are similar by their shingles."""
-    found = written(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "candidates")
-    sizes = found.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    lots = max(1, 2 * found.count() // tile)
-    texts = own.groupBy("node").agg(F.min("key").alias("key")).join(found.join(sizes, "root"), "node")
-    held = docs.select(text_key().alias("key"), F.col("text").cast("string")).join(texts, "key").dropDuplicates(["key"])
-    # Small groups share a task; of a large one every pair of tiles has its own.
-    small = F.col("tiles") == 1
-    dealt = (
-        held.withColumn("own", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
-        .select("node", "text", "own", F.when(small, F.pmod(F.xxhash64("root"), F.lit(lots))).otherwise(F.col("root")).alias("lot"), small.alias("small"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("mate"))
-        .select("node", "text", "lot", "small", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"))
-    )
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return bands.join(first, ["band", "key"]).filter("node != b").select(F.col("node").alias("a"), "b").distinct()
+
+
+_LINKS = "a bigint, b bigint"
+_LINK_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _link_table(node: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
+    at = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": node[at[:, 0]], "b": node[at[:, 1]]}, schema=_LINK_SCHEMA)
+
+
+def shingle_sets(texts: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.unique(shingle_hashes(words_of(t), SHINGLE)) for t in texts.to_pylist()]
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """A Jaccard similarity of 0.8 or more."""
+    total = 4 * (len(x) + len(y))
+    return 9 * min(len(x), len(y)) >= total and 9 * len(np.intersect1d(x, y, assume_unique=True)) >= total
+
+
+def _all_pairs(held: DataFrame, lots: int) -> DataFrame:
+    """Similar links within groups of one tile; such groups share tasks."""
 
     def confirm(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
-        found = similar_links([np.unique(shingle_hashes(words_of(t.as_py()), SHINGLE)) for t in table.column("text")])
-        at = np.array(found, np.int64).reshape(-1, 2)
-        return pa.table({"a": node[at[:, 0]], "b": node[at[:, 1]]}, schema=schema)
+        node, root, texts = table.column("node").to_numpy(), table.column("root").to_numpy(), table.column("text")
+        out = []
+        for r in np.unique(root):
+            mine = np.flatnonzero(root == r)
+            out.append(_link_table(node[mine], similar_links(shingle_sets(texts.take(pa.array(mine))))))
+        return pa.concat_tables(out)
+
+    return held.withColumn("lot", F.pmod(F.xxhash64("root"), F.lit(lots))).select("lot", "root", "node", "text").groupBy("lot").applyInArrow(confirm, _LINKS)
+
+
+def _against_hubs(pairs: DataFrame, held: DataFrame, tile: int) -> DataFrame:
+    """The similar ones of the pairs (node, hub), each hub with so many nodes at a time."""
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+    dealt = written(pairs.join(sizes, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), "parts").alias("part")), "pairs")
+    hubs = dealt.select(F.col("hub").alias("node"), "hub", "part").distinct()
+    rows = dealt.unionByName(hubs).join(held.select("node", "text"), "node")
+    lots = max(1, 2 * dealt.count() // tile)
+    lot = F.pmod(F.xxhash64("hub", "part"), F.lit(lots))
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, hub, part = (table.column(c).to_numpy() for c in ("node", "hub", "part"))
+        sets, found = shingle_sets(table.column("text")), []
+        centre = {(h, p): k for k, (n, h, p) in enumerate(zip(node.tolist(), hub.tolist(), part.tolist())) if n == h}
+        for k, key in enumerate(zip(hub.tolist(), part.tolist())):
+            if k != centre[key] and similar(sets[k], sets[centre[key]]):
+                found.append((k, centre[key]))
+        return _link_table(node, found)
+
+    return rows.select(lot.alias("lot"), "node", "hub", "part", "text").groupBy("lot").applyInArrow(compare, _LINKS)
+
+
+def _across(labels: DataFrame, members: DataFrame) -> DataFrame:
+    """(band, key, node, odd, hub, n, odds): bands whose nodes do not all have one label; odd nodes have another label than the hub."""
+    bands = members.join(labels, "node").select("node", "label", F.posexplode("bands").alias("band", "key"))
+    of = bands.groupBy("band", "key").agg(F.min(F.struct("label", "node")).alias("h"), F.max("label").alias("most")).filter("h.label != most")
+    return bands.join(of, ["band", "key"]).select("band", "key", "node", (F.col("label") != F.col("h.label")).alias("odd"), F.col("h.node").alias("hub"))
+
+
+def _odd_pairs(across: DataFrame, held: DataFrame, tile: int) -> DataFrame:
+    """Similar links between the odd nodes of a band and all its nodes, tile by tile."""
+    across = written(across, "across")
+    sizes = across.groupBy("band", "key").agg(F.ceil(F.count("*") / tile).cast("int").alias("all"), F.ceil(F.count_if("odd") / tile).cast("int").alias("odds"))
+    dealt = across.join(sizes, ["band", "key"])
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = dealt.filter("odd").select("band", "key", "node", F.lit(True).alias("left"), own("odds").alias("i"), every("all").alias("j"))
+    right = dealt.select("band", "key", "node", F.lit(False).alias("left"), every("odds").alias("i"), own("all").alias("j"))
+    rows = left.unionByName(right).join(held.select("node", "text"), "node")
 
-    return dealt.groupBy("lot", "small", "i", "j").applyInArrow(confirm, "a bigint, b bigint")
+    def compare(table: pa.Table) -> pa.Table:
+        node, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        return _link_table(node, similar_links(shingle_sets(table.column("text").take(pa.array(first)))))
+
+    return rows.select("band", "key", "i", "j", "node", "text").groupBy("band", "key", "i", "j").applyInArrow(compare, _LINKS)
+
+
+def _confirmed(docs: DataFrame, own: DataFrame, distinct: DataFrame, bits: DataFrame, tile: int) -> DataFrame:
+    """Links between texts that are similar by their shingles.
+
+    Candidate groups (joined by near fingerprints or equal bands) of one tile are
+    compared pair by pair in a task. Larger ones never are: their nodes are compared
+    with the group's root, then with hubs of the bands that still hold several
+    groups, and only what those leave apart meets pair by pair within such bands.
+    """
+    found = components(bits.unionByName(_band_stars(distinct)))
+    found = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    weighed = written(found.join(distinct.select("node", "shingles"), "node"), "candidates")
+    sizes = weighed.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("shingles") / (tile * TILE_SHINGLES))).cast("int").alias("tiles"))
+    texts = own.groupBy("node").agg(F.min("key").alias("key")).join(weighed.select("node", "root").join(sizes, "root"), "node")
+    held = written(docs.select(text_key().alias("key"), F.col("text").cast("string")).join(texts, "key").dropDuplicates(["key"]).select("node", "root", "tiles", "text"), "held")
+    small, large = held.filter("tiles = 1"), held.filter("tiles > 1")
+    links = written(_all_pairs(small, max(1, 4 * small.count() // tile)), "links")
+    if large.isEmpty():
+        return links
+    nodes = large.select("node", "root")
+    members = written(distinct.join(nodes.select("node"), "node", "left_semi").select("node", "bands"), "members")
+    stars = written(_against_hubs(nodes.filter("node != root").select("node", F.col("root").alias("hub")), large, tile), "links")
+    near = stars.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = written(nodes.select("node").join(near, "node", "left").withColumn("label", F.coalesce("label", "node")), "labels")
+    by_bits = bits.join(labels.withColumnsRenamed({"node": "a", "label": "x"}), "a").join(labels.withColumnsRenamed({"node": "b", "label": "y"}), "b").filter("x != y")
+    pairs = _across(labels, members).filter("odd").select("node", "hub").unionByName(by_bits.select(F.col("a").alias("node"), F.col("b").alias("hub"))).distinct()
+    stars = stars.unionByName(written(_against_hubs(pairs, large, tile), "links"))
+    joined = components(stars).withColumnRenamed("root", "label")
+    labels = written(nodes.select("node").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node")), "labels")
+    return links.unionByName(stars).unionByName(_odd_pairs(_across(labels, members), large, tile))
 
 
 def _grouped(docs: DataFrame, near: tuple[int, int], also: tuple[int, int], bucket: int, tile: int) -> tuple[DataFrame, DataFrame]:
@@ -363,8 +451,8 @@ def _grouped(docs: DataFrame, near: tuple[int, int], also: tuple[int, int], buck
     every = written(signed.mapInArrow(run, "doc_id bigint, key string, node bigint, fp bigint, fp2 bigint, shingles bigint, bands array<bigint>"), "fingerprints")
     own = every.select("doc_id", "key", "node")
     distinct = written(every.groupBy("node").agg(F.min(F.struct("fp", "fp2", "shingles", "bands")).alias("s")).select("node", "s.*"), "distinct")
-    found = components(_candidates(distinct, near[1], also[1], bucket))
-    found = components(_confirmed(docs, own, found, tile))
+    bits = written(links(distinct.select("node", "fp", "fp2", "shingles"), distinct.count(), near[1], bucket, also[1]), "bits")
+    found = components(_confirmed(docs, own, distinct, bits, tile))
     return own, distinct.select("node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
@@ -376,7 +464,7 @@ def similar_groups(docs: DataFrame, near: tuple[int, int] = (2, 8), also: tuple[
     candidate group: those joined by fingerprints of two-word shingles that differ
     in at most 8 bits and of three-word shingles in at most 12, or by an equal band
     of least hashes of the five-word shingles, which finds a similar pair whatever
-    the edit. Texts without words link with each other. A null doc_id is larger
+    the edit. Groups beyond a tile are not compared by every pair (``_confirmed``). Texts without words link with each other. A null doc_id is larger
     than any other.
     """
     own, rooted = _grouped(docs, near, also, bucket, tile)

@@ -176,3 +176,27 @@ def test_similar_groups_across_repeated_text(spark):
     changed = [*text[:150], "changed", *text[151:]]
     docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(text + changed + text)), (3, "other words")], "doc_id bigint, text string")
     assert {r.doc_id: r.group_id for r in similar_groups(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_large_groups_equal_all_pairs(spark):
+    rng, texts = random.Random(12), []
+    page = [f"w{rng.randrange(5000)}" for _ in range(60)]
+    for _ in range(4):
+        # A chain of small changes behind a page that all share: its ends are far apart.
+        text = [*page, *(f"w{rng.randrange(5000)}" for _ in range(120))]
+        for _ in range(45):
+            text = list(text)
+            for _ in range(rng.randint(1, 3)):
+                text[60 + rng.randrange(120)] = f"n{rng.randrange(10**6)}"
+            texts.append(text)
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    assert 3 < len(set(root)) < 60
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    for tile in (512, 12):
+        assert {r.doc_id: r.group_id for r in similar_groups(docs, tile=tile).collect()} == dict(enumerate(root))
