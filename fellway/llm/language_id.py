@@ -13,9 +13,12 @@ a document's first word forgets what came before, and the chain is cut into
 blocks whose transfer matrices are multiplied first, so every step works on all
 blocks together.
 
-Training takes at most ``TRAIN_DOCS`` labelled documents (whole texts, chosen by the
-hash of doc_id among documents whose crc32(doc_id as text) mod 5 is not 0) and
-learns from text and lang alone.
+Training takes at most ``TRAIN_DOCS`` labelled documents (whole texts of up to
+``TRAIN_LETTERS`` letters, chosen by the hash of doc_id among documents whose
+crc32(doc_id as text) mod 5 is not 0) and learns from text and lang alone. Half of
+them are also spliced in pairs of two languages, so that transitions are learned
+from text that changes its language. ``labelled_spans`` gives the runs of words of
+one language in every text.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; so is
 every document if no labelled text exists; a null doc_id counts as the empty text;
@@ -35,8 +38,8 @@ from pyspark.sql import functions as F
 
 from ._common import documents, session, small_batches
 
-#: The bound on labelled documents that the model is fitted to.
-TRAIN_DOCS = 400
+#: The bounds on labelled documents that the model is fitted to, and on the length of each.
+TRAIN_DOCS, TRAIN_LETTERS = 400, 100_000
 FOLDS = 5
 FEATURES, NGRAM, LEXICON, LEXICON_LEAST = 1 << 16, 3, 20_000, 3
 STEPS, RATE, DECAY = 14, 0.15, 1e-3
@@ -176,25 +179,51 @@ def has_letter(word: str) -> bool:
     return any(map(str.isalpha, word))
 
 
+def _spliced(chains: list[tuple[list[str], list[int]]]) -> list[tuple[list[str], list[int]]]:
+    """Code-switched chains: runs of two texts of different languages in turn, every word with its own label."""
+    rng, mixed = np.random.default_rng(len(chains)), []
+    partner = rng.permutation(len(chains))
+    for k, other in enumerate(partner.tolist()):
+        pair = chains[k], chains[other]
+        if k % 2 or pair[0][1][0] == pair[1][1][0]:
+            continue
+        words, labels, at, side = [], [], [0, 0], 0
+        while at[side] < len(pair[side][0]):
+            stop = at[side] + int(rng.integers(2, 25))
+            words += pair[side][0][at[side] : stop]
+            labels += pair[side][1][at[side] : stop]
+            at[side], side = stop, 1 - side
+        mixed.append((words, labels))
+    return mixed
+
+
 def fit(rows: list[tuple[str, str]]) -> Model:
-    """A model from (text, language) pairs; every word carries its text's label."""
-    chains = [([w for w in words_of(t) if has_letter(w)], lang) for t, lang in sorted(rows)]
-    chains = [(w, lang) for w, lang in chains if w]
-    labels = sorted({lang for _, lang in chains})
-    counted = Counter(w for words, _ in chains for w in words)
+    """A model from (text, language) pairs.
+
+    A word of a text carries the text's label. So that transitions see languages
+    change, texts of different languages are also spliced run by run.
+    """
+    plain = [([w for w in words_of(t) if has_letter(w)], lang) for t, lang in sorted(rows)]
+    plain = [(w, lang) for w, lang in plain if w]
+    labels = sorted({lang for _, lang in plain})
+    counted = Counter(w for words, _ in plain for w in words)
     lexicon = {w: k for k, (w, n) in enumerate(sorted(counted.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]) if n >= LEXICON_LEAST}
     width = max(1, len(labels))
     model = Model(labels, np.zeros((FEATURES, width)), lexicon, np.zeros((len(lexicon), width)), np.zeros((width, width)), np.zeros(width))
     if not labels:
         return model
+    chains = [(words, [labels.index(lang)] * len(words)) for words, lang in plain]
+    whole = len(chains)
+    chains += _spliced(chains)
     vocabulary = {w: k for k, w in enumerate(sorted(counted))}
     ids = np.array([vocabulary[w] for words, _ in chains for w in words])
-    gold = np.array([labels.index(lang) for words, lang in chains for _ in words])
+    gold = np.array([g for _, own in chains for g in own])
     first = np.zeros(len(ids), bool)
     first[np.cumsum([0] + [len(w) for w, _ in chains[:-1]])] = True
     feature, owner = ngram_features(list(vocabulary))
     known = np.array([(vocabulary[w], k) for w, k in lexicon.items()], np.int64).reshape(-1, 2)
-    model.known, model.least_known = _membership(ids, np.repeat(np.arange(len(chains)), [len(w) for w, _ in chains]), feature, owner, len(vocabulary))
+    of_text = np.repeat(np.arange(whole), [len(w) for w, _ in chains[:whole]])
+    model.known, model.least_known = _membership(ids[: len(of_text)], of_text, feature, owner, len(vocabulary))
 
     truth = np.zeros((len(ids), width))
     truth[np.arange(len(ids)), gold] = 1
@@ -246,7 +275,7 @@ def _membership(ids: np.ndarray, chain: np.ndarray, feature: np.ndarray, owner:
 
 
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
-    labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & (F.length(F.col("text").cast("string")) <= TRAIN_LETTERS))
     # First a share of the ids by their hash, so that few texts are sorted and sent.
     keep = max(1, -(-labelled.select("doc_id", "lang").count() // most))
     share = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(keep)) == 0)
@@ -288,6 +317,24 @@ class Labeller:
                 self.shares = np.concatenate([self.shares, known_shares(self.model.known, *features, len(new))])
         return np.concatenate(out) if out else np.zeros(0, np.int32), np.array(lengths, np.int64)
 
+    def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
+        """Runs of words with one label in each text: first word, word behind the last, label. A word without a letter goes with the run before it."""
+        ids, lengths = self.word_ids(texts)
+        owner, place = np.repeat(np.arange(len(texts)), lengths), np.concatenate([np.arange(n) for n in lengths.tolist()] or [np.zeros(0, int)])
+        owner, place, ids = owner[ids >= 0], place[ids >= 0], ids[ids >= 0]
+        runs: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        if not len(ids) or not self.model.labels:
+            return runs
+        first = np.ones(len(ids), bool)
+        first[1:] = owner[1:] != owner[:-1]
+        best = posteriors(self.scores[ids], first, self.model.transitions, self.model.start).argmax(axis=1)
+        new = np.flatnonzero(first | np.concatenate([[True], best[1:] != best[:-1]]))
+        for k, at in enumerate(new.tolist()):
+            d = int(owner[at])
+            last = k + 1 == len(new) or owner[new[k + 1]] != d
+            runs[d].append((0 if first[at] else int(place[at]), int(lengths[d]) if last else int(place[new[k + 1]]), self.model.labels[best[at]]))
+        return runs
+
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         return self.measured(texts)[:2]
 
@@ -325,6 +372,27 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
+SPANS = "doc_id bigint, spans array<struct<start:int,stop:int,lang:string>>"
+
+
+def labelled_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id, spans: the runs of words (separated by white space) of one language, for code-switched text."""
+    spark = session(docs)
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast(model or train(docs))
+    span = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(span))])
+
+    def run(batches):
+        own = Labeller(sent.value)
+        for batch in batches:
+            found = own.spans(batch.column("text").to_pylist())
+            spans = [[{"start": a, "stop": b, "lang": c} for a, b, c in runs] for runs in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, schema.types[1])], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SPANS)
+
+
 def known_language(docs: DataFrame, least: float = 0.3, model: Model | None = None) -> DataFrame:
     """The documents, all columns as they are, whose language is found with a score of ``least`` or more.
 

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from fellway.llm.language_id import fit, forward_backward, identify, posteriors, Labeller
+from fellway.llm.language_id import Labeller, fit, forward_backward, has_letter, identify, labelled_spans, posteriors, train, word_scores, words_of
 
 SF = "/root/testdata/sf0.01"
 
@@ -53,3 +53,60 @@ def test_odd_rows(spark):
     assert [r.lang_pred for r in rows[:3]] == ["und"] * 3 and len(rows) == 5
     assert all(0 <= r.score <= 1 for r in rows)
     assert identify(docs.limit(0)).collect() == []
+
+
+def plain_label(model, text):
+    """Language and score of one text by forward-backward in plain numbers."""
+    words = [w for w in words_of(text) if has_letter(w)]
+    if not words:
+        return "und", 0.0
+    emit, n = np.exp(word_scores(model, words)), len(model.labels)
+    move, begin = np.exp(model.transitions), np.exp(model.start)
+    forward, backward = [begin * emit[0]], [np.ones(n)]
+    for e in emit[1:]:
+        v = np.array([sum(forward[-1][a] * move[a, b] for a in range(n)) * e[b] for b in range(n)])
+        forward.append(v / v.sum())
+    for e in emit[:0:-1]:
+        v = np.array([sum(move[a, b] * e[b] * backward[-1][b] for b in range(n)) for a in range(n)])
+        backward.append(v / v.sum())
+    both = [f * b / (f * b).sum() for f, b in zip(forward, backward[::-1])]
+    mean = np.mean(both, axis=0)
+    return model.labels[int(mean.argmax())], float(mean.max())
+
+
+def test_every_text_equals_plain_forward_backward(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = train(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in identify(docs, model).collect():
+        lang, score = plain_label(model, texts[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-5
+
+
+def test_words_of_code_switched_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model, rng = train(docs), np.random.default_rng(4)
+    rows = [r for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and r.lang and 80 < len(words_of(r.text)) < 2000]
+    mixed, truth = [], []
+    for a, b in zip(rows[::2], rows[1::2]):
+        if a.lang != b.lang:
+            words, labels, at, side = [], [], [0, 0], 0
+            while len(words) < 200 and at[side] < len(words_of((a, b)[side].text)):
+                run = words_of((a, b)[side].text)[at[side] : at[side] + int(rng.integers(6, 30))]
+                words, labels = words + run, labels + [(a, b)[side].lang] * len(run)
+                at[side], side = at[side] + len(run), 1 - side
+            mixed.append((len(mixed), " ".join(words)))
+            truth.append(labels)
+    assert len(mixed) > 20
+    right = total = switched = 0
+    for r in labelled_spans(spark.createDataFrame([*mixed, (900, None), (901, "12 !")], "doc_id bigint, text string"), model).collect():
+        if r.doc_id >= 900:
+            assert r.spans == []
+            continue
+        labels = truth[r.doc_id]
+        assert r.spans[0].start == 0 and r.spans[-1].stop == len(labels) and all(x.stop == y.start for x, y in zip(r.spans, r.spans[1:]))
+        found = [s.lang for s in r.spans for _ in range(s.start, s.stop)]
+        right, total = right + sum(x == y for x, y in zip(found, labels)), total + len(labels)
+        switched += len(r.spans) > 1
+    print("word accuracy", right / total)
+    assert right / total > 0.9 and switched > 0.9 * len(mixed)
