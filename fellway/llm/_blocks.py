@@ -16,10 +16,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import session, small_batches
+from ._common import session, small_batches, text_bytes
 
-#: Documents per chunk, and how many quantiles of doc_id describe the ranges.
-CHUNK_DOCS, QUANTILES = 512, 256
+#: How many ids are drawn to place the borders of chunks, and what a row weighs besides its bytes.
+SAMPLES, ROW_BYTES = 8192, 256
 #: Bytes of text that a block holds at most; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
 _BLOCK = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary())])
@@ -76,34 +76,75 @@ def content_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     return docs.mapInArrow(pack, "chunk bigint, block binary").repartition(parts, "chunk")
 
 
-def chunked(docs: DataFrame, chunk_docs: int = CHUNK_DOCS) -> tuple[DataFrame, int]:
-    """(chunk, block) rows dealt by chunk, and the number of chunks.
-
-    Chunks are ranges of doc_id of near equal counts, in order: every doc_id of a
-    chunk is smaller than those of later chunks. Null texts are empty; a null doc_id
-    stands after all others.
+class _Ranges:
+    """Chunks by ranges of ids, planned from a sorted sample; an id heavier than a chunk has chunks of its own."""
+
+    def __init__(self, sample: np.ndarray, chunks: int):
+        known, times = np.unique(sample, return_counts=True)
+        per = chunks / max(1, len(sample))
+        heavy = (times > 1) & (times * per > 1)
+        self.heavy, self.rank, self.stretches, self.own = known[heavy], [], [], []
+        at = [0, *(np.searchsorted(sample, self.heavy, "left")).tolist(), len(sample)]
+        after = [0, *(np.searchsorted(sample, self.heavy, "right")).tolist()]
+        for k in range(len(self.heavy) + 1):
+            light = sample[after[k] : at[k + 1]]
+            n = max(1, round(len(light) * per))
+            self.stretches.append((len(self.rank), n, light.astype(float) if len(light) else np.zeros(1)))
+            self.rank += range(len(self.rank), len(self.rank) + n)
+            if k < len(self.heavy):
+                n = max(1, round(int(times[heavy][k]) * per))
+                self.own.append((len(self.rank), n))
+                self.rank += [len(self.rank)] * n
+
+    def chunks_of(self, ids: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        at = np.searchsorted(self.heavy, ids, "left")
+        is_heavy = np.zeros(len(ids), bool)
+        if len(self.heavy):
+            is_heavy = self.heavy[np.minimum(at, len(self.heavy) - 1)] == ids
+        out = np.zeros(len(ids), np.int64)
+        for k in np.unique(at[~is_heavy]).tolist():
+            mine = ~is_heavy & (at == k)
+            base, n, edges = self.stretches[k]
+            out[mine] = base + np.minimum(np.interp(ids[mine].astype(float), edges, np.linspace(0, n, len(edges))).astype(np.int64), n - 1)
+        for x in np.flatnonzero(is_heavy).tolist():
+            base, n = self.own[at[x]]
+            out[x] = base + xxhash.xxh3_64_intdigest(texts[x]) % n
+        return out
+
+
+def chunked(docs: DataFrame, chunk_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int, list[int]]:
+    """(chunk, block) rows dealt by chunk, the number of chunks, and each chunk's rank.
+
+    Chunks are ranges of doc_id of near equal weight (bytes, and a little for a row),
+    in order: every doc_id of a chunk is smaller than those of chunks of a larger rank.
+    The rows of a doc_id that would overfill a chunk, null for one, are dealt to
+    several chunks of one rank. Null texts are empty; a null doc_id stands after all
+    others.
     """
     spark = session(docs)
     small_batches(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col("text").cast("string"))
-    chunks = max(1, -(-docs.count() // chunk_docs))
-    points = [k / QUANTILES for k in range(QUANTILES + 1)]
-    edges = docs.approxQuantile("doc_id", points, 0.0005) if chunks > 1 else []
-    edges = np.array(edges or [0.0])
+    weight = text_bytes("text") + ROW_BYTES
+    total = int(docs.agg(F.sum(weight)).first()[0] or 0)
+    chunks = max(1, -(-total // chunk_bytes))
+    drawn = []
+    if chunks > 1:
+        # A sample of ids by weight, of about SAMPLES rows at any size.
+        drawn = [r.doc_id for r in docs.filter(F.rand(11) < weight * F.lit(SAMPLES / total)).select("doc_id").collect()]
+    plan = _Ranges(np.sort(np.array(drawn, np.int64)), chunks)
 
     def pack(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            own = np.interp(ids.astype(float), edges, np.linspace(0, chunks, len(edges))).astype(np.int64) if chunks > 1 else np.zeros(len(ids), np.int64)
-            own = np.minimum(own, chunks - 1)
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            own = plan.chunks_of(ids, texts)
             order = np.argsort(own, kind="stable")
             cuts = np.flatnonzero(np.diff(own[order])) + 1
-            out = [(int(own[part[0]]), _pack(ids[part], [texts[k] or b"" for k in part])) for part in np.split(order, cuts) if len(part)]
+            out = [(int(own[part[0]]), _pack(ids[part], [texts[x] for x in part])) for part in np.split(order, cuts) if len(part)]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], schema=_PACKED)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return docs.mapInArrow(pack, "chunk int, block binary").repartition(parts, "chunk"), chunks
+    return docs.mapInArrow(pack, "chunk int, block binary").repartition(parts, "chunk"), len(plan.rank), plan.rank
 
 
 #: An odd multiplier, and a fixed random number for every byte value.

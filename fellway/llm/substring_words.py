@@ -9,11 +9,12 @@ word, the length of the longest run ending there that a reference holds
 The reference of a document is all documents before it, which is no set that
 could be broadcast. So references are sent only where they match: documents are
 dealt once into chunks by ranges of doc_id; each chunk sends the hashes of its
-windows to buckets; a bucket tells the first chunk that holds a hash which later
-chunks hold it as well; that chunk sends them the passages. Each chunk then
-builds automata of bounded size over the passages it received and over the runs
-its own earlier documents share with later ones. The automata compare words, so
-a wrong hash match removes nothing.
+windows to buckets; a bucket finds the chunks behind the first that hold a hash,
+and names for each of them a holder before it that sends it the passage. Holders
+form a tree, so a passage that all chunks hold is sent by each to ``FANOUT`` others
+at most. Each chunk then builds automata of bounded size over the passages it
+received and over the runs its own earlier documents share with later ones. The
+automata compare words, so a wrong hash match removes nothing.
 
 Defined cases: null text has no words; rows that repeat a doc_id are not smaller
 than each other; separators are blank, tab, line end, vertical tab, form feed and
@@ -30,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import CHUNK_DOCS, PrefixHash, chunked, grouped, id_of, numbers, to_buckets, unpack
+from ._blocks import BLOCK_BYTES, PrefixHash, chunked, grouped, id_of, numbers, to_buckets, unpack
 from ._common import documents
 
 WINDOW = 13
-#: Words of reference passages in one automaton.
-SHARD_WORDS = 100_000
+#: Words of reference passages in one automaton, and chunks that one holder of a passage serves.
+SHARD_WORDS, FANOUT = 100_000, 8
 SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -156,21 +157,22 @@ class Words:
         """Text from one word to another of the same document, ends included."""
         return self.texts[self.doc[first]][self.start[first] : self.stop[last]]
 
-    def runs(self, at: np.ndarray, window: int) -> list[tuple[int, int]]:
-        """Windows in order, joined where they overlap, as (first word, last word)."""
+    def runs(self, at: np.ndarray, window: int, gap: int) -> list[tuple[int, int]]:
+        """Windows in order, joined where they start at most ``gap`` words apart, as (first word, last word)."""
         if not len(at):
             return []
-        new = np.flatnonzero((np.diff(at) > window) | (np.diff(self.doc[at]) > 0)) + 1
+        new = np.flatnonzero((np.diff(at) > gap) | (np.diff(self.doc[at]) > 0)) + 1
         return [(int(p[0]), int(p[-1]) + window - 1) for p in np.split(at, new)]
 
 
-def shared_words(docs: DataFrame, window: int = WINDOW, chunk_docs: int = CHUNK_DOCS, shard_words: int = SHARD_WORDS, keyed: bool = False) -> DataFrame:
+def shared_words(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS, keyed: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one blank).
 
     ``keyed`` adds ``key``, the SHA-256 of a text that loses words, as hexadecimal
     digits: rows of one doc_id and text lose the same words.
     """
-    blocks, chunks = chunked(docs, chunk_docs)
+    blocks, chunks, rank = chunked(docs, chunk_bytes)
+    rank = np.array(rank, np.int64)
     buckets = max(1, chunks // 4)
     sent = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary())])
     asked = pa.schema([("chunk", pa.int32()), ("hashes", pa.binary()), ("targets", pa.binary())])
@@ -184,14 +186,16 @@ def shared_words(docs: DataFrame, window: int = WINDOW, chunk_docs: int = CHUNK_
 
     def first_holders(table: pa.Table) -> pa.Table:
         parts, own = numbers(table.column("hashes"), "<u8"), table.column("chunk").to_numpy()
-        order = np.argsort(own, kind="stable")
-        h = np.concatenate([parts[k] for k in order])
-        c = np.repeat(own[order], [len(parts[k]) for k in order])
-        by = np.argsort(h, kind="stable")
+        h, c = np.concatenate(parts), np.repeat(own.astype(np.int64), [len(p) for p in parts])
+        by = np.lexsort((c, h))
         h, c = h[by], c[by]
         new = np.concatenate([[True], h[1:] != h[:-1]])
-        first = c[new][np.cumsum(new) - 1]
-        h, c, first = h[~new], c[~new], first[~new]
+        start = np.flatnonzero(new)[np.cumsum(new) - 1]
+        nth = np.arange(len(h)) - start
+        # Whoever holds a hash may send it once a chunk of a smaller rank holds it too.
+        asks = rank[c] > rank[c[start]]
+        first = c[start + np.maximum(nth - 1, 0) // FANOUT]
+        h, c, first = h[asks], c[asks], first[asks]
         by = np.argsort(first, kind="stable")
         cuts = np.flatnonzero(np.diff(first[by])) + 1
         groups = [g for g in np.split(by, cuts) if len(g)]
@@ -208,7 +212,7 @@ def shared_words(docs: DataFrame, window: int = WINDOW, chunk_docs: int = CHUNK_
         order = np.lexsort((at, c))
         at, c = at[order], c[order]
         cuts = np.flatnonzero(np.diff(c)) + 1
-        out = [(int(c[g[0]]), [words.passage(a, b) for a, b in words.runs(at[g], window)]) for g in np.split(np.arange(len(c)), cuts) if len(g)]
+        out = [(int(c[g[0]]), [words.passage(a, b) for a, b in words.runs(at[g], window, 1)]) for g in np.split(np.arange(len(c)), cuts) if len(g)]
         return pa.table({"chunk": [t for t, _ in out], "passages": [p for _, p in out]}, schema=given)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -234,10 +238,10 @@ def shared_words(docs: DataFrame, window: int = WINDOW, chunk_docs: int = CHUNK_
         candidate = repeated | np.isin(value, known, assume_unique=True)[back]
         lost = np.zeros(len(words.start) + 1, np.int64)
         by_doc: dict[int, list[tuple[int, int]]] = {}
-        for a, b in words.runs(words.at[candidate], window):
+        for a, b in words.runs(words.at[candidate], window, window):
             by_doc.setdefault(int(words.doc[a]), []).append((a, b))
         later: dict[int, list[tuple[int, int]]] = {}
-        for a, b in words.runs(words.at[repeated], window):
+        for a, b in words.runs(words.at[repeated], window, window):
             later.setdefault(int(words.doc[a]), []).append((a, b))
         waiting: list[int] = []
         for d in sorted(by_doc):

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+
+from fellway.llm._blocks import _Ranges
 from fellway.llm.substring_words import SuffixAutomaton, shared_words
 
 
@@ -39,10 +42,10 @@ def corpus(seed, n):
 
 
 def test_removal(spark):
-    for seed, chunk, shard in ((1, 1000, 100_000), (2, 20, 100_000), (3, 30, 60)):
+    for seed, chunk, shard in ((1, 1 << 20, 100_000), (2, 9000, 100_000), (3, 14_000, 60), (4, 2500, 100_000)):
         rows = corpus(seed, 120)
         frame = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id bigint, text string, chunk int, hashes string")
-        got = shared_words(frame, chunk_docs=chunk, shard_words=shard).collect()
+        got = shared_words(frame, chunk_bytes=chunk, shard_words=shard).collect()
         assert sorted(map(tuple, got)) == brute(rows, 13)
 
 
@@ -52,6 +55,36 @@ def test_null_id_is_last(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 20), (1 << 60, 0)]
 
 
+def test_a_passage_in_all_chunks_and_a_heavy_id(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = " ".join(word() for _ in range(20))
+    big = 1 << 60
+    rows = [(k if k % 3 else big, " ".join([*(word() for _ in range(rng.randint(1, 30))), passage, *(word() for _ in range(15))])) for k in range(300)]
+    rows += [(big, rows[0][1]), (5, rows[3][1]), (big, " ".join(word() for _ in range(40)))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute(rows, 13)
+    assert sorted(map(tuple, shared_words(frame, chunk_bytes=3000).collect())) == want
+    nulls = frame.selectExpr("nullif(doc_id, 1L << 60) AS doc_id", "text")
+    got = shared_words(nulls, chunk_bytes=3000).collect()
+    assert sorted((big if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in got) == want
+
+
+def test_ranges_keep_the_order_of_ids():
+    rng = np.random.default_rng(2)
+    ids = np.concatenate([rng.integers(0, 1000, 500), np.full(300, 400), np.full(250, (1 << 63) - 1)])
+    texts = [bytes([k % 251]) for k in range(len(ids))]
+    for chunks in (1, 2, 7, 60, 5000):
+        plan = _Ranges(np.sort(rng.choice(ids, 200)) if chunks > 1 else ids[:0], chunks)
+        own = plan.chunks_of(ids, texts)
+        order = np.argsort(ids, kind="stable")
+        rank = np.array(plan.rank)[own[order]]
+        assert (np.diff(rank) >= 0).all()
+        for r in np.unique(rank):
+            mine = own[order][rank == r]
+            assert len(np.unique(mine)) == 1 or len(np.unique(ids[order][rank == r])) == 1
+
+
 def test_empty_table(spark):
     assert shared_words(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 
