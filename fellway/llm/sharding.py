@@ -20,6 +20,7 @@ text and stays null; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,9 +32,9 @@ from ._common import documents, session, text_bytes, written
 SHARDS = 8
 #: Records per range aimed at, and sampled keys per range.
 ROWS_PER_RANGE, SAMPLES_PER_RANGE = 800, 16
-#: Boundaries are a literal in the plan, so their number is bounded; beyond it
-#: ranges grow with the data instead.
-MOST_RANGES = 1024
+#: Ranges aimed at, at most: boundaries are one literal in the plan. Records are 40
+#: bytes each whatever their texts, so at 30 billion records a range is 300 MB.
+MOST_RANGES = 4096
 #: A range over this many times its fair share is divided again, so often at most.
 OVERFULL, ROUNDS = 2.0, 4
 
@@ -52,21 +53,27 @@ def _range_of(bounds: list[tuple]) -> Column:
     if not bounds:
         return F.lit(0)
     step = max(1, int(len(bounds) ** 0.5))
-
-    def literal(some: list[tuple]) -> Column:
-        return F.array(*[F.struct(*[F.lit(x).cast("long").alias(n) for x, n in zip(b, ("text_hash", "doc_id", "place"))]) for b in some])
+    key = "array<struct<text_hash:bigint,doc_id:bigint,place:bigint>>"
 
     def below(some: Column) -> Column:
         return F.size(F.filter(some, lambda b: b < _key()))
 
     blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if len(blocks) == 1:
-        return below(literal(bounds))
-    block = below(literal([b[-1] for b in blocks]))
-    inner = F.element_at(F.array(*[literal(b) for b in blocks]), F.least(block + 1, F.lit(len(blocks))).cast("int"))
+    last, every = _literal([_fields(b[-1]) for b in blocks], key), _literal([[_fields(b) for b in own] for own in blocks], f"array<{key}>")
+    block = below(last)
+    inner = F.element_at(every, F.least(block + 1, F.lit(len(blocks))).cast("int"))
     return F.when(block >= len(blocks), F.lit(len(bounds))).otherwise(block * step + below(inner)).cast("int")
 
 
+def _fields(key: tuple) -> dict:
+    return dict(zip(("text_hash", "doc_id", "place"), key))
+
+
+def _literal(values: list, kind: str) -> Column:
+    """An array as one constant of the plan."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def _quantiles(sample: list[tuple[tuple, float]], parts: int) -> list[tuple]:
     """Keys that cut a weighted sample into so many parts of near equal weight."""
     sample = sorted(sample, key=lambda x: (_order(x[0]), x[1]))
@@ -115,7 +122,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rows_per_range: int = ROWS_PER_
         totals = held(dealt)
         fair = 2.0 / ranges
         over = {k: r for k, r in totals.items() if r.w > OVERFULL * fair and r.n > 1}
-        if not over or len(bounds) >= MOST_RANGES:
+        if not over:
             break
         more = sampled(dealt.filter(F.col("range").isin(*over)), sum(r.w for r in over.values()), SAMPLES_PER_RANGE * len(over) * 4)
         found = set(bounds)
@@ -139,7 +146,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rows_per_range: int = ROWS_PER_
     inside = W.partitionBy("range").orderBy("text_hash", "doc_id", "place")
 
     def of_range(values: list[int]) -> Column:
-        return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("range") + 1)
+        return F.element_at(_literal(values, "array<bigint>"), F.col("range") + 1)
 
     placed = (
         records.withColumn("range", _range_of(bounds))

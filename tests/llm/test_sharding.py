@@ -1,6 +1,10 @@
 """Sharding: sizes, gapless slots, and cutting a large group of equal texts."""
 
+import random
 import zlib
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from fellway.llm.sharding import shard
 
@@ -62,3 +66,20 @@ def test_boundaries_of_the_last_round_count(spark, monkeypatch):
     monkeypatch.setattr(sharding, "ROUNDS", 1)
     check(shard(docs, 8, rows_per_range=20).collect(), texts, 8)
     assert len(drawn) > 1
+
+
+def test_dealing_against_the_whole_order(spark):
+    rng = random.Random(5)
+    rows = [(None if k % 11 == 0 else k % 700, rng.choice([None, "", "copy " * 30, f"t{k % 90} " * (k % 50), "é" * (k % 7)])) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    keyed = docs.select(F.xxhash64("text").alias("h"), "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n")).collect()
+    order = sorted((r.h, r.doc_id is not None, r.doc_id or 0, r.n + 1) for r in keyed)
+    total, before, want, taken = sum(x[3] for x in order), 0, [], Counter()
+    for h, named, doc_id, size in order:
+        k = min(7, (2 * before + size) * 8 // (2 * total))
+        want.append((doc_id if named else None, size, k, taken[k]))
+        taken[k] += 1
+        before += size
+    for ranges in (20, 400, 10_000):
+        got = [(r.doc_id, r["size"], r.shard, r.slot) for r in shard(docs, 8, rows_per_range=ranges).collect()]
+        assert Counter(got) == Counter(want)
