@@ -10,7 +10,10 @@ seeks to its range, decodes member by member and streams Arrow batches bounded i
 bytes. A member that fails is read again from its own offset, alone, a few times;
 members read before it are kept.
 
-The directory must be one that the executors and the driver share.
+The directory is a path or URI of any file system that Arrow opens (local or
+mounted, HDFS, object stores); the executors and the driver must share it. The
+features of a payload are a histogram of its samples and the sums of absolute
+steps between neighbours along rows and down columns.
 
 Defined cases: null text is an empty text; a null id is kept as null, by a magic of
 its own in the member's header; a payload is the UTF-8 text with zero
@@ -31,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -43,7 +47,8 @@ RANGE_BYTES, BATCH_BYTES, RETRIES = 8 << 20, 8 << 20, 3
 _HEADER = struct.Struct("<4sqqqI")
 _MAGIC, _NULL_ID, _END = b"MEM1", b"MEM0", struct.Struct("<qq4s")
 _PNG = b"\x89PNG\r\n\x1a\n"
-READ_SCHEMA = "doc_id bigint, n_bytes bigint, media_bytes bigint, media_sha256 string, payload binary"
+READ_SCHEMA = "doc_id bigint, n_bytes bigint, media_bytes bigint, media_sha256 string, payload binary, histogram array<bigint>, gradients array<bigint>"
+BINS = 8
 
 
 def padded(raw: bytes) -> bytes:
@@ -83,8 +88,21 @@ def decode_image(image: bytes) -> bytes:
     return rows[:, 1:].tobytes()
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://") if path.startswith("file://") else path
+def sample_features(payload: bytes) -> tuple[list[int], list[int]]:
+    """Samples in each of BINS ranges of brightness, and the sums of absolute steps along rows and down columns."""
+    samples = np.frombuffer(payload, np.uint8)
+    rows = samples.reshape(-1, WIDTH).astype(np.int16)
+    steps = [int(np.abs(np.diff(rows, axis=axis)).sum()) for axis in (1, 0)]
+    return np.bincount(samples // (256 // BINS), minlength=BINS).tolist(), steps
+
+
+def storage(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (local, HDFS, object store), and the path in it."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    if "://" not in path:
+        return fs.LocalFileSystem(), os.path.abspath(path)
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
 @dataclass
@@ -100,38 +118,39 @@ class ArchiveWriter(DataSourceArrowWriter):
 
     def write(self, batches) -> _Written:
         """Columns doc_id and text; one archive file per task attempt."""
+        store, path = storage(self.path)
         name, out, index, at = f"part-{uuid.uuid4().hex}.arc", None, [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 if out is None:
-                    os.makedirs(self.path, exist_ok=True)
-                    out = open(os.path.join(self.path, name), "wb")
+                    store.create_dir(path, recursive=True)
+                    out = store.open_output_stream(f"{path}/{name}")
                 raw = (text or "").encode()
                 image = encode_image(padded(raw))
                 index.append(at)
-                at += out.write(_HEADER.pack(*((_NULL_ID, 0) if doc_id is None else (_MAGIC, doc_id)), len(raw), len(image), zlib.crc32(image)))
-                at += out.write(image)
+                out.write(_HEADER.pack(*((_NULL_ID, 0) if doc_id is None else (_MAGIC, doc_id)), len(raw), len(image), zlib.crc32(image)) + image)
+                at += _HEADER.size + len(image)
         if out is None:
             return _Written(None, 0, 0)
         with out:
             out.write(np.array(index, "<i8").tobytes())
             out.write(_END.pack(at, len(index), _MAGIC))
-            out.flush()
-            os.fsync(out.fileno())
         return _Written(name, len(index), at)
 
     def commit(self, messages) -> None:
-        os.makedirs(self.path, exist_ok=True)
+        store, path = storage(self.path)
+        store.create_dir(path, recursive=True)
         files = [{"name": m.name, "members": m.members, "size": m.size} for m in messages if m and m.name]
-        part = os.path.join(self.path, f"manifest-{uuid.uuid4().hex}.json")
-        with open(part + ".tmp", "w") as f:
-            json.dump(files, f)
-        os.replace(part + ".tmp", part)
+        part = f"{path}/manifest-{uuid.uuid4().hex}.json"
+        with store.open_output_stream(part + ".tmp") as f:
+            f.write(json.dumps(files).encode())
+        store.move(part + ".tmp", part)
 
     def abort(self, messages) -> None:
+        store, path = storage(self.path)
         for m in messages:
-            if m and m.name and os.path.exists(file := os.path.join(self.path, m.name)):
-                os.remove(file)
+            if m and m.name and store.get_file_info(f"{path}/{m.name}").type == fs.FileType.File:
+                store.delete_file(f"{path}/{m.name}")
 
 
 @dataclass
@@ -148,56 +167,71 @@ class ArchiveReader(DataSourceReader):
         self.path, self.range_bytes, self.retries = path, range_bytes, retries
 
     def partitions(self) -> list[ByteRange]:
+        store, path = storage(self.path)
         ranges = []
-        for name in sorted(os.listdir(self.path)):
-            if name.startswith("manifest-") and name.endswith(".json"):
-                with open(os.path.join(self.path, name)) as f:
-                    for file in json.load(f):
-                        whole = os.path.join(self.path, file["name"])
-                        ranges += [ByteRange(whole, at, min(at + self.range_bytes, file["size"])) for at in range(0, file["size"], self.range_bytes)]
+        for info in sorted(store.get_file_info(fs.FileSelector(path)), key=lambda i: i.base_name):
+            if info.base_name.startswith("manifest-") and info.base_name.endswith(".json"):
+                with store.open_input_stream(info.path) as f:
+                    for file in json.loads(f.read()):
+                        ranges += [ByteRange(file["name"], at, min(at + self.range_bytes, file["size"])) for at in range(0, file["size"], self.range_bytes)]
         return ranges or [ByteRange("", 0, 0)]
 
     @staticmethod
-    def member(file: str, offset: int) -> tuple[int | None, int, bytes, bytes]:
-        """(id, text bytes, image, payload) of the member at an offset, read on its own."""
-        with open(file, "rb") as f:
-            f.seek(offset)
-            magic, doc_id, n_bytes, size, check = _HEADER.unpack(f.read(_HEADER.size))
-            image = f.read(size)
+    def member(f, offset: int) -> tuple[int | None, int, bytes, bytes]:
+        """(id, text bytes, image, payload) of the member at an offset of an open file."""
+        f.seek(offset)
+        magic, doc_id, n_bytes, size, check = _HEADER.unpack(f.read(_HEADER.size))
+        image = f.read(size)
         if magic not in (_MAGIC, _NULL_ID) or len(image) != size or zlib.crc32(image) != check:
-            raise OSError(f"damaged member at {offset} of {file}")
+            raise OSError(f"damaged member at {offset}")
         return None if magic == _NULL_ID else doc_id, n_bytes, image, decode_image(image)
 
-    def retried(self, file: str, offset: int) -> tuple[int | None, int, bytes, bytes]:
-        for attempt in range(self.retries + 1):
-            try:
-                return self.member(file, offset)
-            except (OSError, ValueError, struct.error, zlib.error):
-                if attempt == self.retries:
-                    raise
-                time.sleep(0.05 * 2**attempt)
-        raise AssertionError
-
     def read(self, partition: ByteRange):
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("payload", pa.binary())])
         if not partition.file:
             return
-        with open(partition.file, "rb") as f:
-            f.seek(-_END.size, os.SEEK_END)
-            at, n, _ = _END.unpack(f.read())
-            f.seek(at)
-            offsets = np.frombuffer(f.read(8 * n), "<i8")
-        first, last = np.searchsorted(offsets, [partition.start, partition.stop])
+        store, path = storage(self.path)
+        file = f"{path}/{partition.file}"
+        opened = None
+
+        def retried(of, *args):
+            """Reads with the open file; after a failure the file is opened anew and only this read is repeated."""
+            nonlocal opened
+            for attempt in range(self.retries + 1):
+                try:
+                    if opened is None:
+                        opened = store.open_input_file(file)
+                    return of(opened, *args)
+                except (OSError, ValueError, struct.error, zlib.error):
+                    opened = None
+                    if attempt == self.retries:
+                        raise
+                    time.sleep(0.05 * 2**attempt)
+
         rows, held = [], 0
-        for offset in offsets[first:last].tolist():
-            doc_id, n_bytes, image, payload = self.retried(partition.file, offset)
-            rows.append((doc_id, n_bytes, len(image), hashlib.sha256(image).hexdigest(), payload))
+        for offset in retried(_offsets, partition.start, partition.stop):
+            doc_id, n_bytes, image, payload = retried(self.member, offset)
+            rows.append((doc_id, n_bytes, len(image), hashlib.sha256(image).hexdigest(), payload, *sample_features(payload)))
             held += len(payload)
             if held >= BATCH_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _READ.types)], schema=_READ)
                 rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _READ.types)], schema=_READ)
+
+
+_LONGS = pa.list_(pa.int64())
+_READ = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("payload", pa.binary()), ("histogram", _LONGS), ("gradients", _LONGS)])
+
+
+def _offsets(f, start: int, stop: int) -> list[int]:
+    """Offsets of the members that start in a byte range, from the index at the end of the file."""
+    end = f.size()
+    f.seek(end - _END.size)
+    at, n, _ = _END.unpack(f.read(_END.size))
+    f.seek(at)
+    offsets = np.frombuffer(f.read(8 * n), "<i8")
+    first, last = np.searchsorted(offsets, [start, stop])
+    return offsets[first:last].tolist()
 
 
 class MediaArchive(DataSource):
@@ -209,10 +243,10 @@ class MediaArchive(DataSource):
         return READ_SCHEMA
 
     def reader(self, schema) -> ArchiveReader:
-        return ArchiveReader(_local(self.options["path"]), int(self.options.get("rangeBytes", RANGE_BYTES)), int(self.options.get("retries", RETRIES)))
+        return ArchiveReader(self.options["path"], int(self.options.get("rangeBytes", RANGE_BYTES)), int(self.options.get("retries", RETRIES)))
 
     def writer(self, schema, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(_local(self.options["path"]))
+        return ArchiveWriter(self.options["path"])
 
 
 def write_archive(docs: DataFrame, path: str) -> None:
@@ -238,7 +272,7 @@ def features(members: DataFrame) -> DataFrame:
         F.crc32(last).alias("tail_crc32"),
         "media_bytes",
         "media_sha256",
-        F.format_string("png%dx%d:%08x", F.lit(WIDTH), (F.octet_length("payload") / WIDTH).cast("int"), F.crc32("payload")).alias("feature"),
+        F.format_string("png%dx%d:h%s:g%s", F.lit(WIDTH), (F.octet_length("payload") / WIDTH).cast("int"), F.array_join("histogram", ","), F.array_join("gradients", ",")).alias("feature"),
     )
 
 
