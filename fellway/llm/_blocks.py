@@ -13,7 +13,7 @@ import ctypes
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import session, small_batches, text_bytes
@@ -22,14 +22,17 @@ from ._common import session, small_batches, text_bytes
 SAMPLES, ROW_BYTES = 8192, 256
 #: Bytes of text that a block holds at most; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
-_BLOCK = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary())])
 _PACKED = pa.schema([("chunk", pa.int32()), ("block", pa.binary())])
 
 
-def _pack(ids: np.ndarray, texts: list[bytes]) -> bytes:
+def _pack(ids: np.ndarray, texts: list[bytes], carried: pa.Array | None = None) -> bytes:
+    columns = {"doc_id": pa.array(ids), "text": pa.array(texts, pa.large_binary())}
+    if carried is not None:
+        columns["carried"] = carried
+    batch = pa.RecordBatch.from_pydict(columns)
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, _BLOCK, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts, pa.large_binary())], schema=_BLOCK))
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
@@ -41,17 +44,18 @@ def id_of(value: int) -> int | None:
     return None if value == _NO_ID else int(value)
 
 
-def unpack(table: pa.Table, sort: bool = True) -> tuple[np.ndarray, list[bytes]]:
-    """Ids and texts of a chunk, in order of doc_id or as they were packed."""
+def unpack(table: pa.Table, sort: bool = True, carried: bool = False):
+    """Ids and texts of a chunk, in order of doc_id or as they were packed; with ``carried`` also what was carried along."""
     parts = [pa.ipc.open_stream(b.as_py()).read_all() for b in table.column("block")]
     if not parts:
-        return np.zeros(0, np.int64), []
+        return (np.zeros(0, np.int64), [], None)[: 3 if carried else 2]
     whole = pa.concat_tables(parts)
-    ids, texts = whole.column("doc_id").to_numpy(), whole.column("text").to_pylist()
-    if not sort:
-        return ids, texts
-    order = np.argsort(ids, kind="stable")
-    return ids[order], [texts[k] for k in order]
+    ids = whole.column("doc_id").to_numpy()
+    if sort:
+        order = np.argsort(ids, kind="stable")
+        whole, ids = whole.take(pa.array(order)), ids[order]
+    texts = whole.column("text").to_pylist()
+    return (ids, texts, whole.column("carried")) if carried else (ids, texts)
 
 
 def content_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -112,18 +116,26 @@ class _Ranges:
         return out
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int, list[int]]:
+def carried_column(docs: DataFrame) -> Column:
+    """All columns but the text, and whether that is null, as one struct."""
+    row = F.struct(*(docs[c] for c in docs.columns if c != "text"))
+    return F.struct(row.alias("row"), F.col("text").isNull().alias("none")).alias("carried")
+
+
+def chunked(docs: DataFrame, chunk_bytes: int = BLOCK_BYTES, carried: bool = False) -> tuple[DataFrame, int, list[int]]:
     """(chunk, block) rows dealt by chunk, the number of chunks, and each chunk's rank.
 
     Chunks are ranges of doc_id of near equal weight (bytes, and a little for a row),
     in order: every doc_id of a chunk is smaller than those of chunks of a larger rank.
     The rows of a doc_id that would overfill a chunk, null for one, are dealt to
     several chunks of one rank. Null texts are empty; a null doc_id stands after all
-    others.
+    others. With ``carried`` the other columns, doc_id as it is, and whether the text
+    is null go along.
     """
     spark = session(docs)
     small_batches(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col("text").cast("string"))
+    along = [carried_column(docs)] if carried else []
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col("text").cast("string"), *along)
     weight = text_bytes("text") + ROW_BYTES
     total = int(docs.agg(F.sum(weight)).first()[0] or 0)
     chunks = max(1, -(-total // chunk_bytes))
@@ -140,7 +152,8 @@ def chunked(docs: DataFrame, chunk_bytes: int = BLOCK_BYTES) -> tuple[DataFrame,
             own = plan.chunks_of(ids, texts)
             order = np.argsort(own, kind="stable")
             cuts = np.flatnonzero(np.diff(own[order])) + 1
-            out = [(int(own[part[0]]), _pack(ids[part], [texts[x] for x in part])) for part in np.split(order, cuts) if len(part)]
+            more = (lambda part: batch.column("carried").take(pa.array(part))) if carried else (lambda part: None)
+            out = [(int(own[part[0]]), _pack(ids[part], [texts[x] for x in part], more(part))) for part in np.split(order, cuts) if len(part)]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], schema=_PACKED)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -24,14 +24,14 @@ gives no rows.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._blocks import BLOCK_BYTES, PrefixHash, chunked, grouped, id_of, numbers, to_buckets, unpack
+from ._blocks import BLOCK_BYTES, PrefixHash, carried_column, chunked, grouped, id_of, numbers, to_buckets, unpack
 from ._common import documents
 
 WINDOW = 13
@@ -165,19 +165,19 @@ class Words:
         return [(int(p[0]), int(p[-1]) + window - 1) for p in np.split(at, new)]
 
 
-def shared_words(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS, keyed: bool = False) -> DataFrame:
+def shared_words(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS, carried: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one blank).
 
-    ``keyed`` adds ``key``, the SHA-256 of a text that loses words, as hexadecimal
-    digits: rows of one doc_id and text lose the same words.
+    ``carried`` adds ``whole``, the text as it is where no word goes, else null, and
+    ``carried.row``, a struct of the other columns: rows stay whole without a join.
     """
-    blocks, chunks, rank = chunked(docs, chunk_bytes)
+    blocks, chunks, rank = chunked(docs, chunk_bytes, carried)
     rank = np.array(rank, np.int64)
     buckets = max(1, chunks // 4)
     sent = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary())])
     asked = pa.schema([("chunk", pa.int32()), ("hashes", pa.binary()), ("targets", pa.binary())])
     given = pa.schema([("chunk", pa.int32()), ("passages", pa.list_(pa.binary()))])
-    final = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), *([("key", pa.string())] if keyed else [])])
+    final = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def window_hashes(table: pa.Table) -> pa.Table:
         out = to_buckets(np.unique(Words(unpack(table)[1], window).hash), buckets)
@@ -218,7 +218,7 @@ def shared_words(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = BLOCK
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return final.empty_table()
-        ids, texts = unpack(left)
+        ids, texts, *more = unpack(left, carried=carried)
         words = Words(texts, window)
         before, inside = Shards(shard_words), Shards(shard_words)
         passages = [p for some in right.column("passages").to_pylist() for p in some]
@@ -264,14 +264,21 @@ def shared_words(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = BLOCK
             all_words, own_gone = text.split(), gone[cut[d] : cut[d + 1]]
             removed = int(own_gone.sum())
             kept = [w for w, g in zip(all_words, own_gone.tolist()) if not g] if removed else all_words
-            key = (hashlib.sha256(text).hexdigest() if removed else None,) if keyed else ()
-            rows.append((id_of(ids[d]), len(all_words), removed, b" ".join(kept).decode(), *key))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), final.types)], schema=final)
-
+            rows.append((id_of(ids[d]), len(all_words), removed, b" ".join(kept).decode()))
+        made = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), final.types)], schema=final)
+        if carried:
+            none = pc.struct_field(more[0], "none").to_pylist()
+            whole = [None if r[2] or no else text.decode() for r, text, no in zip(rows, texts, none)]
+            made = made.append_column("whole", pa.array(whole, pa.string())).append_column("carried", more[0])
+        return made
+
+    result = T.StructType.fromDDL(SCHEMA)
+    if carried:
+        result = result.add("whole", T.StringType()).add("carried", docs.select(carried_column(docs)).schema["carried"].dataType)
     hashes = blocks.groupBy("chunk").applyInArrow(window_hashes, "bucket int, chunk int, hashes binary")
     requests = hashes.groupBy("bucket").applyInArrow(first_holders, "chunk int, hashes binary, targets binary")
     passages = blocks.groupBy("chunk").cogroup(requests.groupBy("chunk")).applyInArrow(send_passages, "chunk int, passages array<binary>")
-    return blocks.groupBy("chunk").cogroup(passages.groupBy("chunk")).applyInArrow(remove, SCHEMA + (", key string" if keyed else ""))
+    return blocks.groupBy("chunk").cogroup(passages.groupBy("chunk")).applyInArrow(remove, result)
 
 
 def op8_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
