@@ -46,14 +46,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of 13 words or more that an earlier document holds are cut out of a text."""
-    lost = shared_words(docs, keyed=True).filter("n_removed > 0")
-    cut = lost.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.struct(F.first("kept").alias("text")).alias("_cut"))
-    text = F.when(F.col("_cut").isNotNull(), F.col("_cut.text")).otherwise(F.col("text"))
-    changed = docs.join(cut, _same(docs, cut), "left").withColumn("text", text)
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_cut").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+    """Runs of 13 words or more that an earlier document holds are cut out of a text; n_chars follows."""
+    found, cut = shared_words(docs, carried=True), F.col("n_removed") > 0
+    row = {c: F.col("carried")["row"][c] for c in docs.columns if c != "text"}
+    row["text"] = F.when(cut, F.col("kept")).otherwise(F.col("whole"))
+    if "n_chars" in row:
+        row["n_chars"] = F.when(cut, F.length("kept").cast("long")).otherwise(row["n_chars"])
+    return found.select(*(row[c].alias(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
