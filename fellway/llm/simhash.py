@@ -410,7 +410,9 @@ def _confirmed(docs: DataFrame, own: DataFrame, distinct: DataFrame, bits: DataF
     weighed = written(found.join(distinct.select("node", "shingles"), "node"), "candidates")
     sizes = weighed.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("shingles") / (tile * TILE_SHINGLES))).cast("int").alias("tiles"))
     texts = own.groupBy("node").agg(F.min("key").alias("key")).join(weighed.select("node", "root").join(sizes, "root"), "node")
-    held = written(docs.select(text_key().alias("key"), F.col("text").cast("string")).join(texts, "key").dropDuplicates(["key"]).select("node", "root", "tiles", "text"), "held")
+    # Copies are brought down to one row a partition before they are shuffled.
+    once = docs.groupBy(text_key().alias("key")).agg(F.first(F.col("text").cast("string")).alias("text"))
+    held = written(once.join(texts, "key").select("node", "root", "tiles", "text"), "held")
     small, large = held.filter("tiles = 1"), held.filter("tiles > 1")
     links = written(_all_pairs(small, max(1, 4 * small.count() // tile)), "links")
     if large.isEmpty():
