@@ -114,7 +114,7 @@ def _corner_leg(s: SparkSession, d: str) -> DataFrame:
 
 
 def _corner_hours(steps: DataFrame, s: SparkSession, d: str) -> DataFrame:
-    return paths.leg_paths(steps, _corner_leg(s, d)).groupBy("route_id").agg(F.round(F.max("g"), DIGITS).alias("hours"))
+    return paths.leg_paths(steps, _corner_leg(s, d), X.axes(s, d)).groupBy("route_id").agg(F.round(F.max("g"), DIGITS).alias("hours"))
 
 
 def sssp_terrain(s: SparkSession, d: str) -> DataFrame:
@@ -133,13 +133,13 @@ def sssp_barrier(s: SparkSession, d: str) -> DataFrame:
 
 def sssp_blocks(s: SparkSession, d: str) -> DataFrame:
     """Distances from the corner to every node, block by block."""
-    source = s.range(1).select(F.lit(X.GRID).alias("grid_id"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    source = s.range(1).select(F.lit(X.GRID).alias("grid_id"), F.lit("corner").alias("route_id"), F.lit(1).alias("leg"), F.lit(0).alias("i"), F.lit(0).alias("j"))
     return paths.block_distances(cost.terrain_steps(X.nodes(s, d)), source, block=64).select("i", "j", F.round("g", DIGITS).alias("hours"))
 
 
 def _routed(s: SparkSession, d: str):
     legs = routes.legs_of(_snapped(s, d))
-    points, statistics = routes.find_routes(X.nodes(s, d), _full_steps(s, d), legs)
+    points, statistics = routes.find_routes(X.nodes(s, d), _full_steps(s, d), legs, X.axes(s, d))
     return legs, points, statistics
 
 

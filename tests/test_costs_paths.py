@@ -132,11 +132,15 @@ def test_search_forms_agree(spark):
     source = spark.createDataFrame([("g", 0, 0)], "grid_id string, i int, j int")
     value = lambda df: {(r.i, r.j): round(r.g, 12) for r in df.collect()}
     relaxed = value(paths.relaxed_distances(steps, source))
-    blocked = paths.block_distances(steps, source, block=4)
-    assert value(blocked) == relaxed
+    legs_of = source.selectExpr("grid_id", "'r' AS route_id", "1 AS leg", "i", "j")
+    assert value(paths.block_distances(steps, legs_of, block=4)) == relaxed
     goals = [("g", str(k), 1, 0, 0, i, j) for k, (i, j) in enumerate(sorted(relaxed)[::17])]
     legs = spark.createDataFrame(goals, "grid_id string, route_id string, leg int, si int, sj int, gi int, gj int")
     found = paths.leg_paths(steps, legs).collect()
+    # A bound of no nodes sends every grid through blocks.
+    axes = spark.createDataFrame([("g", 14, 12)], "grid_id string, rows int, cols int")
+    for size in (4, 64):
+        assert sorted(paths.leg_paths(steps, legs, axes, most_nodes=0, block=size).collect()) == sorted(found)
     edge = {(r.i, r.j, r.ni, r.nj): r.cost for r in steps.collect()}
     for _, route, _, _, _, i, j in goals:
         own = sorted((r for r in found if r.route_id == route), key=lambda r: r.seq)
@@ -144,6 +148,15 @@ def test_search_forms_agree(spark):
         assert abs(sum(edge[a.i, a.j, b.i, b.j] for a, b in zip(own, own[1:])) - relaxed[i, j]) < 1e-12
 
 
+def test_equally_cheap_paths_are_the_same_in_both_forms(spark):
+    flat, _ = grid(spark, [[0.0] * 11] * 9)
+    steps = cost.terrain_steps(flat).withColumn("cost", F.lit(1.0))
+    legs = spark.createDataFrame([("g", str(k), 1, 0, 0, 8, k) for k in range(11)] + [("g", "same", 1, 3, 3, 3, 3)], "grid_id string, route_id string, leg int, si int, sj int, gi int, gj int")
+    whole = sorted(paths.leg_paths(steps, legs).collect())
+    assert sorted(paths.leg_paths(steps, legs, most_nodes=0, block=4).collect()) == whole
+    assert [(r.i, r.j) for r in whole if r.route_id == "same"] == [(3, 3)]
+
+
 def test_components(spark):
     picture = ["..#....", "..#.##.", "###.#..", "....#.#", ".####.#", ".......", "#######", "......."]
     nodes, _ = grid(spark, [[0.0] * 7] * 8)
@@ -161,7 +174,8 @@ def test_known_fixture_hours(spark):
 
 
 def test_unsettled_labels_raise(spark):
-    steps = spark.createDataFrame([("g", 0, j, 0, j + 1, 1.0) for j in range(12)], "grid_id string, i int, j int, ni int, nj int, cost double")
-    source = spark.createDataFrame([("g", 0, 0)], "grid_id string, i int, j int")
+    east = C.DIRECTIONS.index((0, 1))
+    steps = spark.createDataFrame([("g", 0, j, east, 0, j + 1, 1.0) for j in range(12)], "grid_id string, i int, j int, k int, ni int, nj int, cost double")
+    source = spark.createDataFrame([("g", "r", 1, 0, 0)], "grid_id string, route_id string, leg int, i int, j int")
     with pytest.raises(RuntimeError):
         paths.block_distances(steps, source, block=4, rounds=1)
