@@ -104,3 +104,23 @@ def allowed_origin(origin, allowed: list[str]) -> Column:
     """The caller's origin if it is allowed, else the first allowed one, else any."""
     listed = F.array(*map(F.lit, allowed)) if allowed else F.array().cast("array<string>")
     return F.when(F.array_contains(listed, col(origin)), col(origin)).otherwise(F.lit(allowed[0] if allowed else "*"))
+
+
+def point_text(lat, lon) -> Column:
+    """A place in degrees with five decimals, as the map shows it."""
+    return F.concat(F.lit("Longitude: "), fixed(lon, 5), F.lit("° Latitude: "), fixed(lat, 5), F.lit("° "))
+
+
+def distance_text(km) -> Column:
+    return F.concat(fixed(km, 2), F.lit(" km"))
+
+
+def climb_text(metres) -> Column:
+    """Whole metres, halves up."""
+    return F.concat(F.floor(col(metres) + 0.5).cast("string"), F.lit(" m"))
+
+
+def drop_rank(middles, y, waypoints) -> Column:
+    """The place that a dragged waypoint lands on: behind the other rows whose middle it has passed, between start and end."""
+    passed = F.size(F.filter(col(middles), lambda m: m < col(y)))
+    return F.greatest(F.lit(1), F.least(col(waypoints) - 2, passed + 1))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.geo import decode_elevation
 from ..operators.layers import ring_edges
 
 WIDTH, CELL_M, LAT0, LON0 = 50, 25.0, -41.0, 175.0
@@ -139,3 +140,23 @@ def api_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
     mark = F.when(F.instr(url, "?") > 0, F.lit("&")).otherwise(F.lit("?"))
     return table(spark, sf_dir, "pages").select("page_id", F.concat(url, mark, F.lit("api=key"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, F.lit("&pipeline=terrain-rgb")).otherwise(F.lit(""))).alias("url"))
+
+
+#: The raster of the fixture: rows of RASTER_WIDTH pixels at one zoom, from a corner on.
+RASTER_ZOOM, RASTER_WIDTH, RASTER_CELL_M, RASTER_X, RASTER_Y = 13, 256, 20.0, 2062320, 1315800
+
+
+def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(zoom, gx, gy, elev): a pixel per order."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        F.lit(RASTER_ZOOM).alias("zoom"), (F.lit(RASTER_X) + k % RASTER_WIDTH).alias("gx"), (F.lit(RASTER_Y) + F.expr(f"o_orderkey div {RASTER_WIDTH}")).alias("gy"), decode_elevation(F.lit(1), 130 + k % 20, k % 256).alias("elev")
+    )
+
+
+def raster_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(grid_id, bbox, cell_m): a small box per region, side by side over the raster."""
+    k = F.col("r_regionkey")
+    west, south = F.lit(174.0) + k * 0.008, F.lit(-41.004) - k * 0.001
+    box = F.struct(south.alias("min_lat"), west.alias("min_lon"), (south + 0.004).alias("max_lat"), (west + 0.01).alias("max_lon"))
+    return table(spark, sf_dir, "region").select(k.cast("string").alias("grid_id"), box.alias("bbox"), F.lit(RASTER_CELL_M).alias("cell_m"))

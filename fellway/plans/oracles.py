@@ -140,6 +140,12 @@ PARTS = {
       FROM (SELECT *, c_custkey AS k FROM customer) JOIN nation ON c_nationkey = n_nationkey, (VALUES (0), (1)) v(copy) WHERE copy = 0 OR k % 5 = 0""",
     "labelled": """SELECT *, label || '|' || CAST(CAST(lon AS DECIMAL(28,4)) AS VARCHAR) || ',' || CAST(CAST(lat AS DECIMAL(28,4)) AS VARCHAR) AS place_key FROM (
       SELECT *, coalesce(nullif(name, ''), line, nullif(city, ''), nullif(county, ''), nullif(state, ''), '') AS label FROM (SELECT *, CASE WHEN nullif(street, '') IS NOT NULL THEN CASE WHEN nullif(housenumber, '') IS NOT NULL THEN housenumber || ' ' || street ELSE street END END AS line, coalesce(nullif(osm_value, ''), nullif(osm_key, '')) AS kind FROM places))""",
+    "raster": f"SELECT {X.RASTER_X} + o_orderkey % {X.RASTER_WIDTH} AS gx, {X.RASTER_Y} + o_orderkey // {X.RASTER_WIDTH} AS gy, -10000.0::DOUBLE + (65536 + (130 + o_orderkey % 20) * 256 + o_orderkey % 256) * 0.1::DOUBLE AS elev FROM orders",
+    "raster_areas": f"""SELECT CAST(r_regionkey AS VARCHAR) AS grid_id, south, west, {d(X.RASTER_CELL_M)} / {d(C.M_PER_DEGREE)} AS lat_step, {d(X.RASTER_CELL_M)} / {lon_m('(south + (south + 0.004::DOUBLE)) / 2')} AS lon_step FROM (
+      SELECT r_regionkey, -41.004::DOUBLE - r_regionkey * 0.001::DOUBLE AS south, 174.0::DOUBLE + r_regionkey * 0.008::DOUBLE AS west FROM region)""",
+    "raster_nodes": """SELECT grid_id, i, j, south + i * lat_step AS lat, west + j * lon_step AS lon FROM (
+      SELECT *, unnest(range(0, CAST(trunc(((south + 0.004::DOUBLE) - south) / lat_step) AS BIGINT) + 1)) AS i FROM raster_areas) JOIN (
+      SELECT grid_id AS own, unnest(range(0, CAST(trunc(((west + 0.01::DOUBLE) - west) / lon_step) AS BIGINT) + 1)) AS j FROM raster_areas) ON own = grid_id""",
     "api_urls": "SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'api=key' || page_id || CASE WHEN page_id % 2 = 0 THEN '&pipeline=terrain-rgb' ELSE '' END AS url FROM pages",
 }
 
@@ -191,6 +197,18 @@ _ROLE = "CASE WHEN pos = 0 THEN 'start' WHEN pos = n - 1 THEN 'end' ELSE 'via' E
 
 ORACLE_SQL = {
     "terrain_grid": sql("SELECT i, j, round(lat, 9) AS lat, round(lon, 9) AS lon, elev FROM nodes"),
+    "raster_grid": sql(f"""SELECT n.grid_id, CAST(n.i AS INTEGER) AS i, CAST(n.j AS INTEGER) AS j, round(lat, 9) AS lat, round(lon, 9) AS lon, round(p.elev, 1) AS elev FROM (
+      SELECT *, greatest(x0, least(x1, CAST(round_even((lon + 180.0) / 360.0 * {2**X.RASTER_ZOOM * C.TILE}.0::DOUBLE, 0) AS BIGINT))) AS px,
+        greatest(y0, least(y1, CAST(round_even((1.0 - ln(tan(radians(lat)) + 1.0 / cos(radians(lat))) / pi()) / 2.0 * {2**X.RASTER_ZOOM * C.TILE}.0::DOUBLE, 0) AS BIGINT))) AS py
+      FROM raster_nodes, (SELECT min(gx) AS x0, max(gx) AS x1, min(gy) AS y0, max(gy) AS y1 FROM raster)) n LEFT JOIN raster p ON p.gx = px AND p.gy = py"""),
+    "route_display": """SELECT o_orderkey, CAST(CAST(o_orderkey / 64.0::DOUBLE AS DECIMAL(28,2)) AS VARCHAR) || ' km' AS distance, CAST(CAST(floor(o_orderkey / 8.0::DOUBLE + 0.5) AS BIGINT) AS VARCHAR) || ' m' AS climb,
+      'Longitude: ' || CAST(CAST(174.0::DOUBLE + o_orderkey / 2048.0::DOUBLE AS DECIMAL(28,5)) AS VARCHAR) || '° Latitude: ' || CAST(CAST(-41.0::DOUBLE - o_orderkey / 1024.0::DOUBLE AS DECIMAL(28,5)) AS VARCHAR) || '° ' AS place,
+      CAST(greatest(1, least(2 + o_orderkey % 4, 1 + len(list_filter(range(1, 3 + o_orderkey % 4), lambda n: n * 40 < o_orderkey % 300)))) AS INTEGER) AS rank FROM orders""",
+    "geojson_route": sql("""SELECT route_id, '{"type":"Feature","geometry":{"type":"LineString","coordinates":[' || string_agg('[' || CAST(round(lon, 7) AS VARCHAR) || ',' || CAST(round(lat, 7) AS VARCHAR) || ']', ',' ORDER BY leg, seq) || ']}}' AS feature,
+      '[' || string_agg(CAST(round(elev, 1) AS VARCHAR), ',' ORDER BY leg, seq) || ']' AS elevations FROM path GROUP BY route_id""", _PATH),
+    "gpx_export": sql("""SELECT route_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<gpx version="1.1" creator="fellway" xmlns="http://www.topografix.com/GPX/1/1">' || chr(10) || '  <trk>' || chr(10) || '    <name>Route ' || route_id || '</name>' || chr(10) || '    <trkseg>' || chr(10)
+      || string_agg('      <trkpt lat="' || CAST(CAST(lat AS DECIMAL(28,7)) AS VARCHAR) || '" lon="' || CAST(CAST(lon AS DECIMAL(28,7)) AS VARCHAR) || '">' || chr(10) || '        <ele>' || CAST(CAST(elev AS DECIMAL(28,1)) AS VARCHAR) || '</ele>' || chr(10) || '      </trkpt>', chr(10) ORDER BY leg, seq)
+      || chr(10) || '    </trkseg>' || chr(10) || '  </trk>' || chr(10) || '</gpx>' AS gpx FROM path GROUP BY route_id""", _PATH),
     "tile_index": sql("""SELECT c_custkey, CAST(zoom AS INTEGER) AS zoom, CAST(floor((lon + 180.0) / 360.0 * pow(2.0, zoom)) AS INTEGER) AS tile_x,
       CAST(floor((1.0 - ln(tan(radians(lat)) + 1.0 / cos(radians(lat))) / pi()) / 2.0 * pow(2.0, zoom)) AS INTEGER) AS tile_y FROM zoomed"""),
     "zoom_pick": sql("SELECT CAST(zoom AS INTEGER) AS zoom, count(*) AS n FROM zoomed GROUP BY zoom"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import geo, text
-from ..operators import cost, export, layers, paths, profile, routes, search, spatial
+from ..operators import cost, export, grid, layers, paths, profile, routes, search, spatial
 from ..sources import requests as requests_source
 from . import fixtures as X
 
@@ -28,6 +28,12 @@ def _points(s: SparkSession, d: str) -> DataFrame:
     return X.table(s, d, "customer").select(k, (F.lit(166.0) + (k % 130) / 10.0).alias("lon"), (F.lit(-47.0) + (k % 120) / 10.0).alias("lat"), (F.lit(5.0) + (k % 60) * 2.0).alias("cell_m"))
 
 
+def raster_grid(s: SparkSession, d: str) -> DataFrame:
+    """Axes, nodes and half-even pixel sampling from a raster."""
+    nodes = grid.grid_nodes(grid.grid_axes(X.raster_areas(s, d)))
+    return grid.sample_elevation(nodes, X.raster(s, d)).select("grid_id", "i", "j", F.round("lat", DIGITS).alias("lat"), F.round("lon", DIGITS).alias("lon"), F.round("elev", 1).alias("elev"))
+
+
 def tile_index(s: SparkSession, d: str) -> DataFrame:
     points = _points(s, d).withColumn("zoom", geo.zoom_for("cell_m", "lat"))
     x, y = geo.tile_of("lon", "lat", "zoom")
@@ -294,6 +300,15 @@ def durations(s: SparkSession, d: str) -> DataFrame:
     return X.table(s, d, "orders").select("o_orderkey", text.duration(F.col("o_orderkey") / 64.0).alias("shown"))
 
 
+def route_display(s: SparkSession, d: str) -> DataFrame:
+    """Distance, climb, place and drop rank as they are shown."""
+    k = F.col("o_orderkey")
+    middles = F.transform(F.sequence(F.lit(1), (2 + k % 4).cast("int")), lambda n: n * 40.0)
+    return X.table(s, d, "orders").select(
+        k, text.distance_text(k / 64.0).alias("distance"), text.climb_text(k / 8.0).alias("climb"), text.point_text(F.lit(-41.0) - k / 1024.0, F.lit(174.0) + k / 2048.0).alias("place"), text.drop_rank(middles, k % 300, F.lit(4) + k % 4).cast("int").alias("rank")
+    )
+
+
 def request_parse(s: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     good = F.format_string('{"a":[174.5,-41.25],"b":[%s.5,-40.5],"via":[[175.0,-41.0]],"node_budget":%d}', (170 + k % 5).cast("string"), k)
@@ -325,7 +340,7 @@ def waypoint_edits(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        terrain_grid, tile_index, zoom_pick, rgb_decode, great_circle, directional_cost, cross_slope, water_mask, water_union, step_crossing, stream_penalty, bridge_restore, spatial_prefilter,
+        terrain_grid, raster_grid, route_display, tile_index, zoom_pick, rgb_decode, great_circle, directional_cost, cross_slope, water_mask, water_union, step_crossing, stream_penalty, bridge_restore, spatial_prefilter,
         nearest_snap, waypoints_in_water, sssp_terrain, sssp_full, sssp_barrier, sssp_blocks, multi_leg_summary, route_summary, route_profile, geojson_route, gpx_export, connectivity, bbox_dynamic,
         cell_budget, cumulative_distance, interpolate_along, track_bounds, etl_stream_filter, etl_bridge_filter, etl_layer_counts, etl_multipart_explode, ocean_bbox_clip, line_bbox_clip,
         place_dedupe_topk, place_labels, kind_zoom, redact_keys, proxy_path, tile_url_rewrite, key_stripping, waypoint_roles, friendly_errors, durations, request_parse, debounce_sessions, latest_wins, waypoint_edits,
