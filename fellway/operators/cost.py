@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.geo import lon_metres
 from . import spatial
+from .shared import kept
 
 #: Nodes along a block's side, and the reach of the longest step.
 BLOCK, HALO = 256, 2
@@ -187,7 +188,8 @@ def step_costs(nodes: DataFrame, axes: DataFrame, water: DataFrame | None = None
 
     Nodes carry their flags into the stencil, so a step's ends cost no join. Only
     steps near a feature are sampled, once for all layers, and what the samples
-    find meets the steps in one join. The steps are cached: four branches use them.
+    find meets the steps in one join. Steps and samples are written to the shared folder,
+    as four branches use them.
     """
     layers = {"water": water, "streams": streams, "bridges": bridges}
     layers = {name: layer for name, layer in layers.items() if layer is not None}
@@ -197,14 +199,14 @@ def step_costs(nodes: DataFrame, axes: DataFrame, water: DataFrame | None = None
         layers["bridges"] = bridges = bridges.filter(~((F.col("ax") == F.col("bx")) & (F.col("ay") == F.col("by"))))
     buffer_deg = stream_buffer_deg or C.stream_buffer_deg(C.REGION_LAT)
     water_size = spatial.bucket_size(water) if water is not None else None
-    steps = terrain_steps(flagged_nodes(nodes, water, streams, buffer_deg, water_size), block).persist()
+    steps = kept(terrain_steps(flagged_nodes(nodes, water, streams, buffer_deg, water_size), block), "steps")
     # Every feature under an id of its own, with the widest reach of any layer.
     pad = _pad(axes) + max(buffer_deg, C.BRIDGE_BUFFER_M / C.M_PER_DEGREE * 6)
     every = None
     for name, layer in layers.items():
         own = layer.select(F.concat(F.lit(name), F.col("gid").cast("string")).alias("gid") if "gid" in layer.columns else F.concat(F.lit(name), F.monotonically_increasing_id().cast("string")).alias("gid"), "ax", "ay", "bx", "by")
         every = own if every is None else every.unionByName(own)
-    samples = step_samples(near_steps(steps, nodes, every, pad), axes).persist()
+    samples = kept(step_samples(near_steps(steps, nodes, every, pad), axes), "samples")
     found = None
     for name in layers:
         if name == "water":
