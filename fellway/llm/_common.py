@@ -30,13 +30,15 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    Read from ``spark.checkpoint.dir``; a local folder is used only where the
-    setting is absent (local mode, tests).
+    Read from ``spark.checkpoint.dir``; a local folder is used only in local mode
+    where the setting is absent (tests), and elsewhere its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
