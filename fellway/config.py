@@ -28,7 +28,7 @@ REGION_LAT = -41.0
 MIN_CHARS, DEBOUNCE_MS, SHOWN, FETCHED, MAX_WAYPOINTS = 2, 350, 7, 12, 7
 DEFAULT_ZOOM, HOUSE_ZOOM, STREET_ZOOM = 13, 17, 16
 
-#: The 16 directions (k, di, dj): eight neighbours, then eight knight's moves.
+# The 16 directions (di, dj) in order of k, eight neighbours and then eight knight's moves.
 DIRECTIONS = [
     (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1),
     (-2, -1), (-1, -2), (-2, 1), (-1, 2), (2, -1), (1, -2), (2, 1), (1, 2),

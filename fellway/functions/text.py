@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .geo import col
 
+# The patterns of keys in URLs and of messages about a leg.
 _KEY = r"""([?&]api=)[^&\s"']+"""
 _LEG = r"(?s)^Leg (\d+) \(.+\) failed: (.+)$"
 
