@@ -6,6 +6,7 @@ from . import substring_words, topk_search
 from .language_id import op1_language_id
 from .media_columns import op4_media_columns
 from .packing import op7_packing
+from .periodic_runs import op13_periodic_runs
 from .sentencepiece_prefix import op6_sentencepiece
 from .sharding import op10_sharding
 from .simhash import op3_simhash
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_substring_words": substring_words.op8_substring_words,
     "op9_topk_search": topk_search.op9_topk_search,
     "op10_sharding": op10_sharding,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: DuckDB SQL for the queries that SQL can express over whole tables.
