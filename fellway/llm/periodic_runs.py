@@ -233,15 +233,19 @@ def _by_ranges(docs: DataFrame, min_length: int, min_exp: float, range_bytes: in
 def with_repeats(docs: DataFrame) -> DataFrame:
     """The query's documents: of one in ten by crc32 of doc_id, the tail becomes a repetition; null doc_ids stay."""
     h = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary"))
+
+    def repeated(words):
+        n, g = F.size(words).cast("long"), F.floor(h / 10)
+        a = g % F.greatest(n, F.lit(1))
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        head, tail = F.slice(words, F.lit(1), a.cast("int")), F.slice(words, (a + 1).cast("int"), p.cast("int"))
+        again = F.slice(F.flatten(F.array_repeat(tail, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+        return F.array_join(F.concat(head, again), " ")
+
+    # The lambda's variable holds the words, so that they are split once.
     words = F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+"), "")
-    chosen = docs.withColumns({"_h": h, "_w": F.when(h % 10 == 0, words)})
-    n, g = F.size("_w").cast("long"), F.floor(F.col("_h") / 10)
-    a = g % F.greatest(n, F.lit(1))
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    head, tail = F.slice("_w", F.lit(1), a.cast("int")), F.slice("_w", (a + 1).cast("int"), p.cast("int"))
-    again = F.slice(F.flatten(F.array_repeat(tail, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
-    text = F.when(F.col("_w").isNotNull() & (n > 0), F.array_join(F.concat(head, again), " ")).otherwise(F.col("text"))
-    return chosen.select("doc_id", text.alias("text"))
+    text = F.when(h % 10 == 0, F.transform(F.array(words), repeated)[0]).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import substring_words, topk_search
+from . import lexical_search, substring_words, topk_search
 from .language_id import op1_language_id
 from .media_columns import op4_media_columns
 from .packing import op7_packing
@@ -24,8 +24,9 @@ QUERIES = {
     "op8_substring_words": substring_words.op8_substring_words,
     "op9_topk_search": topk_search.op9_topk_search,
     "op10_sharding": op10_sharding,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: DuckDB SQL for the queries that SQL can express over whole tables.
-ORACLE_SQL: dict[str, str] = {"op8_substring_words": substring_words.ORACLE, "op9_topk_search": topk_search.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op8_substring_words": substring_words.ORACLE, "op9_topk_search": topk_search.ORACLE, "op12_lexical_search": lexical_search.ORACLE}
