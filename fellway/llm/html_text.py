@@ -44,8 +44,8 @@ from ._common import session, small_batches, written
 TEMPLATE_PAGES = 5
 #: The share of a host's pages that hold a template, in a body and in an article.
 LOOSE_SHARE, FIRM_SHARE = 0.3, 0.8
-#: Templates (8 bytes each) that are sent to every task; more are joined.
-BROADCAST_KEYS = 2_000_000
+#: Templates (16 bytes each) that are sent to every task; more are joined.
+BROADCAST_KEYS = 1_000_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
@@ -55,7 +55,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an end tag does not reach beyond.
 CELLS = frozenset("td th caption".split())
-SCOPE = CELLS | frozenset("table html template object button".split())
+TABLES = frozenset("table html template".split())
+SCOPE = CELLS | TABLES | {"object", "button"}
 #: Elements whose start ends those open ones, up to the given ones.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -111,15 +112,12 @@ class Element:
     def judged(self) -> str:
         """'drop', 'header' or 'keep', by the element alone."""
         if self.verdict is None:
-            self.verdict = self._judge()
+            self.verdict = "drop" if self.tag in DROPPED else "header" if self.tag == "header" else "keep"
+            if self.verdict != "drop" and self.tag not in ROOTS and (found := self.attributes()):
+                self.verdict = self._named(found)
         return self.verdict
 
-    def _judge(self) -> str:
-        if self.tag in DROPPED:
-            return "drop"
-        if self.tag in ROOTS:
-            return "keep"
-        found = self.attributes()
+    def _named(self, found: dict[str, str]) -> str:
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in DROPPED_ROLES:
             return "drop"
         for name in f"{found.get('class', '')} {found.get('id', '')}".split():
@@ -128,7 +126,7 @@ class Element:
                 return "drop"
             if "header" in words and not words & ABOUT and self.tag != "article":
                 return "header"
-        return "header" if self.tag == "header" else "keep"
+        return self.verdict
 
 
 def parse(page: str) -> Element:
@@ -160,7 +158,7 @@ def parse(page: str) -> Element:
         if found[1]:
             if opened.get(tag):
                 # An inline end tag stays inside its block, others inside their cell or table.
-                walls = None if tag in INLINE else {"table", "html", "template"} if tag in CELLS or tag in ENDS else SCOPE - {tag}
+                walls = None if tag in INLINE else TABLES - {tag} if tag in CELLS or tag in ENDS or tag == "table" else SCOPE - {tag}
                 for k in range(len(stack) - 1, 0, -1):
                     name = stack[k].tag
                     if name == tag:
@@ -241,14 +239,20 @@ def _kept(node: Element, firm: bool) -> list:
     return out
 
 
-def _digest(root: Element, firm: bool, site: bytes) -> list[Element]:
-    """Hash every subtree of the root; the blocks below it that hold text."""
-    order, todo, blocks = [], [root], []
+def _pruned(root: Element, firm: bool) -> list[Element]:
+    """Take out what is not main text by its own markup; the elements that stay, parents first."""
+    order, todo = [], [root]
     while todo:
         node = todo.pop()
         node.children = _kept(node, firm)
         order.append(node)
         todo.extend(c for c in node.children if c.__class__ is Element)
+    return order
+
+
+def _digest(order: list[Element], firm: bool, site: bytes) -> set[int]:
+    """Hash every subtree of a pruned root; the hashes of the blocks below it that hold text."""
+    blocks = set()
     for node in reversed(order):
         parts, holds = [], False
         for c in node.children:
@@ -261,8 +265,8 @@ def _digest(root: Element, firm: bool, site: bytes) -> list[Element]:
                 parts.append(" ".join(words).encode("utf-8", "surrogatepass"))
         kind = node.tag + ("\x02" + node.attributes().get("class", "") if node.raw else "")
         node.digest = xxhash.xxh3_64_intdigest(b"\x00".join([site, b"1" if firm else b"0", kind.encode("utf-8", "surrogatepass"), *parts])) or 1 if holds else 0
-        if holds and node is not root and node.tag not in INLINE:
-            blocks.append(node)
+        if holds and node is not order[0] and node.tag not in INLINE:
+            blocks.add(node.digest)
     return blocks
 
 
@@ -286,24 +290,25 @@ def site_of(url: str | None) -> bytes:
     return found[1].lower().encode("utf-8", "surrogatepass") if found else b""
 
 
-def page_keys(page: str, site: bytes) -> tuple[list[Element], list[set[int]], bool]:
-    """The page's roots, the hashes of the blocks in each, and whether the roots are firm."""
-    found, firm = roots(parse(page))
-    return found, [{b.digest for b in _digest(r, firm, site)} for r in found], firm
+def _signed(key: int) -> int:
+    return key - (1 << 64) if key >> 63 else key
 
 
-def _signed(keys) -> list[int]:
-    return [k - (1 << 64) if k >> 63 else k for k in keys]
+def page_keys(page: str, site: bytes) -> tuple[set[int], bool]:
+    """The hashes of the blocks in the page's roots, and whether markup names the roots."""
+    found, firm = roots(parse(page))
+    return set().union(*(_digest(_pruned(r, firm), firm, site) for r in found)), firm
 
 
-def extract(page: str | None, url: str | None, is_template) -> str:
-    """The main text of a page; ``is_template`` gives those of a list of hashes that are the site's."""
+def extract(page: str | None, url: str | None, known) -> str:
+    """The main text of a page; ``known`` holds the signed hashes of templates, none if its site has none."""
     if not page:
         return ""
-    found, keys, firm = page_keys(page, site_of(url))
-    gone: set[int] = is_template(set().union(*keys))
+    found, firm = roots(parse(page))
     texts = []
     for root in found:
+        order = _pruned(root, firm)
+        gone = {k for k in _digest(order, firm, site_of(url)) if _signed(k) in known} if known else set()
         text = _text(root, gone)
         if firm and gone:
             whole = _text(root, set())
@@ -323,9 +328,8 @@ def subtrees(pages: DataFrame) -> DataFrame:
             out: list[list] = [[] for _ in _KEYS]
             for url, page, *names in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "page", "page2"))):
                 if page and (site := site_of(url)):
-                    _, keys, firm = page_keys(page, site)
-                    own = [None, *_signed(set().union(*keys))]
-                    host = _signed([xxhash.xxh3_64_intdigest(site)])[0]
+                    keys, firm = page_keys(page, site)
+                    own, host = [None, *map(_signed, keys)], _signed(xxhash.xxh3_64_intdigest(site))
                     for column, values in zip(out, ([host] * len(own), own, [firm] * len(own), *([n] * len(own) for n in names))):
                         column += values
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _KEYS)], schema=_KEYS)
@@ -356,25 +360,27 @@ def main_text(pages: DataFrame, least: int = TEMPLATE_PAGES, loose: float = LOOS
     spark = session(pages)
     small_batches(spark)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    found = written(templates(subtrees(pages), least, loose, firm).select("key").distinct(), "templates")
+    found = written(templates(subtrees(pages), least, loose, firm).select("site", "key"), "templates")
     if found.count() <= broadcast_keys:
-        sent = spark.sparkContext.broadcast(np.sort(np.array([r.key for r in found.collect()], np.int64)))
+        sent = spark.sparkContext.broadcast(np.array([(r.site, r.key) for r in found.collect()], np.int64).reshape(-1, 2))
 
         def by_broadcast(batches):
-            known = set(sent.value.tolist())
+            sites, keys = (set(sent.value[:, k].tolist()) for k in (0, 1))
             for batch in batches:
                 rows = zip(batch.column("html").to_pylist(), batch.column("url").to_pylist())
-                yield _rows(batch, [extract(page, url, lambda keys: {k for k, s in zip(keys, _signed(keys)) if s in known}) for page, url in rows])
+                yield _rows(batch, [extract(page, url, keys if _signed(xxhash.xxh3_64_intdigest(site_of(url))) in sites else ()) for page, url in rows])
 
         return pages.mapInArrow(by_broadcast, SCHEMA)
 
-    own = subtrees(pages).filter(F.col("key").isNotNull()).select("page", "page2", "key").join(found, "key").groupBy("page", "page2").agg(F.collect_set("key").alias("gone"))
+    own = subtrees(pages).filter(F.col("key").isNotNull()).join(found, ["site", "key"]).groupBy("page", "page2", "site").agg(F.collect_set("key").alias("gone"))
 
     def by_join(batches):
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("html", "url", "gone")))
-            yield _rows(batch, [extract(page, url, lambda keys, g=frozenset(gone or ()): {k for k, s in zip(keys, _signed(keys)) if s in g}) for page, url, gone in rows])
+            yield _rows(batch, [extract(page, url, frozenset(gone or ())) for page, url, gone in rows])
 
+    # Pages that are equal are in one row of ``own`` for each of their hosts; hashes of another host's blocks match nothing.
+    own = own.groupBy("page", "page2").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     named = pages.withColumns({"page": F.xxhash64("html"), "page2": F.xxhash64(F.lit(1), "html")})
     return named.join(own, ["page", "page2"], "left").select("page_id", "url", "html", "gone").mapInArrow(by_join, SCHEMA)
 

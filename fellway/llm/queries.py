@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import lexical_search, substring_words, topk_search
+from .html_text import op11_html_text
 from .language_id import op1_language_id
 from .media_columns import op4_media_columns
 from .packing import op7_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_substring_words": substring_words.op8_substring_words,
     "op9_topk_search": topk_search.op9_topk_search,
     "op10_sharding": op10_sharding,
+    "op11_html_text": op11_html_text,
     "op12_lexical_search": lexical_search.op12_lexical_search,
     "op13_periodic_runs": op13_periodic_runs,
 }
