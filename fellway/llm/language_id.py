@@ -275,19 +275,25 @@ def _membership(ids: np.ndarray, chain: np.ndarray, feature: np.ndarray, owner:
 
 
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
-    labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & (F.length(F.col("text").cast("string")) <= TRAIN_LETTERS))
-    # First a share of the ids by their hash, so that few texts are sorted and sent.
-    keep = max(1, -(-labelled.select("doc_id", "lang").count() // most))
-    share = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(keep)) == 0)
-    sample = share.select("text", "lang", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most)
-    return fit([(r.text, r.lang) for r in sample.collect()])
+    labelled = docs.filter(~held_out() & F.col("lang").isNotNull())
+    short = labelled.filter(F.length(F.col("text").cast("string")) <= TRAIN_LETTERS)
+    # First a share of the rows by a hash of id and text, so that few texts are sorted and
+    # sent; a larger one where it has too few of the texts that can be used.
+    keep, sample = max(1, -(-labelled.select("doc_id", "lang").count() // most)), []
+    order = (F.xxhash64("doc_id", "text"), F.col("doc_id"), F.col("text"))
+    while True:
+        share = short.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(keep)) == 0)
+        sample = share.select("text", "lang", "doc_id").orderBy(*order).limit(most).collect()
+        if keep == 1 or 4 * len(sample) >= most:
+            return fit([(r.text, r.lang) for r in sample])
+        keep = max(1, keep // 8)
 
 
 class Labeller:
     """Scores of words, kept for a bounded number of them."""
 
     def __init__(self, model: Model, shares: bool = False):
-        self.model, self.index, self.scores = model, {}, np.zeros((0, len(model.labels)))
+        self.model, self.index, self.scores = model, {}, np.zeros((0, max(1, len(model.labels))))
         #: Shares of known n-grams, kept only where they are asked for.
         self.shares = np.zeros(0) if shares and model.known is not None else None
 

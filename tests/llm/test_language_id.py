@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from fellway.llm.language_id import Labeller, fit, forward_backward, has_letter, identify, labelled_spans, posteriors, train, word_scores, words_of
+from fellway.llm.language_id import Labeller, fit, forward_backward, has_letter, identify, known_language, labelled_spans, posteriors, train, word_scores, words_of
 
 SF = "/root/testdata/sf0.01"
 
@@ -55,6 +55,27 @@ def test_odd_rows(spark):
     assert identify(docs.limit(0)).collect() == []
 
 
+def test_no_labels(spark):
+    own = Labeller(fit([]))
+    assert own.label(["hello world", None, "12"])[0] == ["und"] * 3 and own.spans(["hello"]) == [[]]
+    assert Labeller(fit([("12 !", "en")])).label(["hello"]) == (["und"], [0.0])
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("hello world", None), ("12 34", "en"), (None, "en"), ("", "de"), ("x", None)] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {(r.lang_pred, r.score) for r in identify(docs).collect()} == {("und", 0.0)}
+    assert known_language(docs).collect() == [] and labelled_spans(docs).count() == len(rows)
+
+
+def test_one_id_and_mostly_long_texts(spark):
+    en, de = "the and with that this have ", "der und mit dass diese haben "
+    train_id = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5)
+    rows = [(train_id, (en if k % 2 else de) * (2 + k % 7) + f"x{k}", "en" if k % 2 else "de") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert train(docs).labels == ["de", "en"]
+    assert sorted({r.lang_pred for r in identify(docs).collect()}) == ["de", "en"]
+    long = [(k, en * 4000, "en") for k in range(600)] + [(k, de * 3 + f"x{k}", "de") for k in range(600, 640)]
+    assert train(spark.createDataFrame(long, "doc_id bigint, text string, lang string").repartition(4)).labels == ["de"]
+
+
 def plain_label(model, text):
     """Language and score of one text by forward-backward in plain numbers."""
     words = [w for w in words_of(text) if has_letter(w)]
