@@ -29,19 +29,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known_language(docs, LEAST_LANGUAGE_SCORE)
 
 
-def _same(docs: DataFrame, other: DataFrame):
-    """Rows with the same doc_id, null or not, and the same text."""
-    return docs["doc_id"].cast("long").eqNullSafe(other["_id"]) & (text_key() == other["_key"])
-
-
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
-    stays = written(first_of_groups(docs).withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "first")
-    once, often = stays.filter("rows = 1"), stays.filter("rows > 1")
-    kept = docs.join(once, _same(docs, once), "left_semi").select(*docs.columns)
+    # Names that no column of the documents has.
+    fresh = "_" * max(map(len, docs.columns))
+    doc_id, key, rows = (fresh + x for x in ("_id", "_key", "_rows"))
+    stays = written(first_of_groups(docs).withColumnsRenamed({"doc_id": doc_id, "key": key, "rows": rows}), "first")
+    once, often = stays.filter(F.col(rows) == 1), stays.filter(F.col(rows) > 1)
+
+    def same(other: DataFrame):
+        """Rows with the same doc_id, null or not, and the same text."""
+        return docs["doc_id"].cast("long").eqNullSafe(other[doc_id]) & (text_key() == other[key])
+
+    kept = docs.join(once, same(once), "left_semi").select(*docs.columns)
     if often.isEmpty():
         return kept
-    alike = docs.join(often, _same(docs, often)).dropDuplicates(["_id", "_key"]).select(*(docs[c] for c in docs.columns))
+    alike = docs.join(often, same(often)).dropDuplicates([doc_id, key]).select(*(docs[c] for c in docs.columns))
     return kept.unionByName(alike)
 
 
