@@ -14,7 +14,7 @@ blocks whose transfer matrices are multiplied first, so every step works on all
 blocks together.
 
 Training takes at most ``TRAIN_DOCS`` labelled documents (whole texts of up to
-``TRAIN_LETTERS`` letters, chosen by the hash of doc_id among documents whose
+``TRAIN_LETTERS`` letters, chosen by the hash of doc_id and text among documents whose
 crc32(doc_id as text) mod 5 is not 0) and learns from text and lang alone. Half of
 them are also spliced in pairs of two languages, so that transitions are learned
 from text that changes its language. ``labelled_spans`` gives the runs of words of

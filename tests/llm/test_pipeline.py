@@ -93,3 +93,20 @@ def test_language_rejects_what_was_not_learned(spark):
     rows += [(300 + k, t, None) for k, t in enumerate(other)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     assert {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()} == {*range(120), *range(200, 210)}
+
+
+def test_clashing_names_and_very_long_texts(spark):
+    rng = random.Random(6)
+    long = " ".join(f"w{rng.randrange(10**7)}" for _ in range(150_000))
+    short = " ".join(f"w{rng.randrange(10**7)}" for _ in range(60))
+    rows = [(1, long, "a"), (1, long, "b"), (2, long, "c"), (3, short, "d"), (3, short, "e"), (3, short, "f"), (4, "x", "g"), (None, None, "h"), (None, None, "i")]
+    clash = "_id _key rows node root doc key carried row none whole kept n_removed chunk block s _rows n bands".split()
+    docs = spark.createDataFrame([(i, t, *[c] * len(clash)) for i, t, c in rows], "doc_id bigint, text string, " + ", ".join(f"`{c}` string" for c in clash))
+    kept = written(corpus_pipeline.near_copies(spark, docs, ""), "test")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id) == [(1, long), (3, short), (4, "x")]
+    assert sum(r.doc_id is None for r in kept.collect()) == 1
+    cut = corpus_pipeline.repeated_passages(spark, docs, "")
+    assert cut.columns == docs.columns and cut.count() == len(rows)
+    pieces = corpus_pipeline.packing(spark, kept, "").collect()
+    assert {p.doc_id for p in pieces} == {1, 3, 4, None}
