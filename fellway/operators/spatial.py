@@ -2,12 +2,18 @@
 
 A range join would plan as a nested loop. Here every geometry is listed under the
 buckets its padded box touches, a point has exactly one bucket, and what meets is
-tested exactly. Edges are further listed by bands of latitude, so a point meets
-only those a ray through it can cross.
+tested exactly.
+
+Polygons are covered by cells that are inside, outside (not listed) or on the
+boundary (``cover``). A boundary cell holds only the edges that come into it, so
+a polygon of a million edges has no hot key; runs of inside cells are listed as
+dyadic intervals, so a large polygon has few. A point meets its own cell alone.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +56,80 @@ def near_boxes(points: DataFrame, edges: DataFrame, pad: float = 0.0, size: floa
     return at.join(listed, ["cx", "cy"]).filter(inside).select(*points.columns, "gid")
 
 
+#: The widest inside cell: 2 ** TOP_LEVEL cells side by side.
+TOP_LEVEL = 16
+_EDGE = "struct<ax:double,ay:double,bx:double,by:double>"
+COVER = f"gid bigint, level int, cx bigint, cy bigint, odd boolean, turns array<double>, edges array<{_EDGE}>"
+_EDGES = pa.list_(pa.struct([(c, pa.float64()) for c in ("ax", "ay", "bx", "by")]))
+_COVER = pa.schema([("gid", pa.int64()), ("level", pa.int32()), ("cx", pa.int64()), ("cy", pa.int64()), ("odd", pa.bool_()), ("turns", pa.list_(pa.float64())), ("edges", _EDGES)])
+
+
+def dyadic(first: int, stop: int) -> list[tuple[int, int]]:
+    """(level, place) of the fewest aligned intervals that make up [first, stop)."""
+    out, level = [], 0
+    while first < stop and level < TOP_LEVEL:
+        if first & 1:
+            out.append((level, first))
+            first += 1
+        if stop & 1 and stop > first:
+            stop -= 1
+            out.append((level, stop))
+        first, stop, level = first >> 1, stop >> 1, level + 1
+    return out + [(level, k) for k in range(first, stop)]
+
+
+def cover(edges: DataFrame, size: float) -> DataFrame:
+    """The cells of ``size`` degrees that each polygon's edges (gid, ax, ay, bx, by) touch or enclose.
+
+    Whether a point is inside follows from its cell alone: an edge wholly to the
+    cell's right is crossed by the point's ray if one of its ends lies above the point
+    and the other does not. So such edges matter by their ends only, and where two
+    edges meet the ends cancel. What is left are ``odd``, the parity of ends above
+    the cell, and ``turns``, the latitudes of ends within it. Cells have a level: one of
+    level n is 2 ** n cells wide, and all of it is inside.
+
+    One row of cells of one polygon is worked out in one group.
+    """
+
+    def strip(table: pa.Table) -> pa.Table:
+        gid, cy = table.column("gid")[0].as_py(), table.column("cy")[0].as_py()
+        ax, ay, bx, by = (table.column(c).to_numpy() for c in ("ax", "ay", "bx", "by"))
+        low, high = np.minimum(ax, bx), np.maximum(ax, bx)
+        first, last = np.floor(low / size).astype(np.int64), np.floor(high / size).astype(np.int64)
+        cells = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first.tolist(), last.tolist())]))
+        by_first = np.argsort(first, kind="stable")[::-1]
+        rows, at, odd, turns, held = [], 0, False, set(), None
+        for cx in cells[::-1].tolist():
+            # Edges that begin to the right of this cell join those that matter by their ends.
+            while at < len(by_first) and first[by_first[at]] > cx:
+                e = by_first[at]
+                for y in (float(ay[e]), float(by[e])):
+                    place = int(np.floor(y / size))
+                    if place > cy:
+                        odd = not odd
+                    elif place == cy:
+                        turns ^= {y}
+                at += 1
+            # No edge comes into the cells between the last one and this: their parity is one.
+            if held is not None and held > cx + 1 and odd and not turns:
+                rows += [(gid, level, x, cy, True, [], []) for level, x in dyadic(cx + 1, held)]
+            mine = np.flatnonzero((first <= cx) & (last >= cx))
+            rows.append((gid, 0, cx, cy, odd, sorted(turns), [{"ax": ax[e], "ay": ay[e], "bx": bx[e], "by": by[e]} for e in mine.tolist()]))
+            held = cx
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), _COVER.types)], schema=_COVER)
+
+    strips = edges.select(F.col("gid").cast("long"), "ax", "ay", "bx", "by", F.explode(_cells(F.least("ay", "by"), F.greatest("ay", "by"), size)).alias("cy"))
+    return strips.groupBy("gid", "cy").applyInArrow(strip, COVER)
+
+
+def inside(x: Column, y: Column) -> Column:
+    """Whether a point is inside the polygon of the cover's cell it lies in."""
+    spans = lambda e: (e["ay"] > y) != (e["by"] > y)
+    right = lambda e: x < (e["bx"] - e["ax"]) * F.try_divide(y - e["ay"], e["by"] - e["ay"]) + e["ax"]
+    crossed = F.size(F.filter("edges", lambda e: spans(e) & F.coalesce(right(e), F.lit(False)))) + F.size(F.filter("turns", lambda t: t > y))
+    return (crossed + F.col("odd").cast("int")) % 2 == 1
+
+
 def contained(points: DataFrame, edges: DataFrame, key: list[str], size: float | None = None) -> DataFrame:
     """Keys of the points (key, x, y) inside any polygon, by the parity of crossings to the right.
 
@@ -57,14 +137,14 @@ def contained(points: DataFrame, edges: DataFrame, key: list[str], size: float |
     their own.
     """
     size = size or bucket_size(edges)
-    candidates = near_boxes(points, edges, 0.0, size).withColumn("band", F.floor(F.col("y") / size))
-    bands = edges.select("*", F.explode(_cells(F.least("ay", "by"), F.greatest("ay", "by"), size)).alias("band"))
-    spans = (F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))
-    right = F.col("x") < (F.col("bx") - F.col("ax")) * F.try_divide(F.col("y") - F.col("ay"), F.col("by") - F.col("ay")) + F.col("ax")
-    crossed = candidates.join(bands, ["gid", "band"]).filter(spans & F.coalesce(right, F.lit(False)))
-    # A point is one (key, x, y); several points may share a key.
-    parity = crossed.groupBy(*key, "x", "y", "gid").agg((F.count("*") % 2).alias("odd"))
-    return parity.filter("odd = 1").select(*key).distinct()
+    cells = cover(edges, size)
+    levels = F.explode(F.sequence(F.lit(0), F.lit(TOP_LEVEL)))
+    # A point looks for its own cell, and for the wider ones that are all inside.
+    at = points.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
+    near = at.join(cells.filter("level = 0"), ["cx", "cy"]).filter(inside(F.col("x"), F.col("y"))).select(*key)
+    wide = cells.filter("level > 0").select("level", "cy", F.col("cx").alias("wx")).distinct()
+    within = at.select("*", levels.alias("level")).withColumn("wx", F.expr("shiftright(cx, level)")).join(wide, ["level", "cy", "wx"]).select(*key)
+    return near.unionByName(within).distinct()
 
 
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> tuple[Column, Column]:

@@ -73,9 +73,7 @@ def water_union(s: SparkSession, d: str) -> DataFrame:
 
 
 def step_crossing(s: SparkSession, d: str) -> DataFrame:
-    nodes = X.nodes(s, d)
-    water = X.water(s, d)
-    return cost.water_steps(cost.terrain_steps(cost.flagged_nodes(nodes, water)), nodes, X.axes(s, d), water).select("i", "j", "k")
+    return cost.water_steps(X.nodes(s, d), X.axes(s, d), X.water(s, d)).select("i", "j", "k")
 
 
 def stream_penalty(s: SparkSession, d: str) -> DataFrame:
