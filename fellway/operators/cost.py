@@ -332,6 +332,17 @@ def packed_steps(steps: DataFrame, side: int = SIDE) -> DataFrame:
     return slim.groupBy("grid_id", "bi", "bj").applyInArrow(pack, SQUARES)
 
 
+def unpacked_steps(squares: DataFrame, side: int = SIDE) -> DataFrame:
+    """The rows of ``step_costs`` from packed squares."""
+
+    def unpack(batches):
+        for batch in batches:
+            for grid_id, bi, bj, cost in zip(*(batch.column(c).to_pylist() for c in ("grid_id", "bi", "bj", "cost"))):
+                yield from _as_steps(grid_id, bi * side, bj * side, np.frombuffer(cost).reshape(-1, side, side)).to_batches()
+
+    return squares.mapInArrow(unpack, STEPS).drop("wet")
+
+
 def line_segments(vertices: DataFrame) -> DataFrame:
     """Consecutive vertices (gid, part, seq, x, y) as segments; repeated vertices make none."""
     order = Window.partitionBy("gid", "part").orderBy("seq")

@@ -85,8 +85,8 @@ def bridge_restore(s: SparkSession, d: str) -> DataFrame:
     return _full_steps(s, d).select("i", "j", "k", hours())
 
 
-def _full_steps(s: SparkSession, d: str) -> DataFrame:
-    return cost.step_costs(X.nodes(s, d), X.axes(s, d), X.water(s, d), X.streams(s, d), X.bridges(s, d), X.STREAM_DEG)
+def _full_steps(s: SparkSession, d: str, of=cost.step_costs) -> DataFrame:
+    return of(X.nodes(s, d), X.axes(s, d), X.water(s, d), X.streams(s, d), X.bridges(s, d), X.STREAM_DEG)
 
 
 def spatial_prefilter(s: SparkSession, d: str) -> DataFrame:
@@ -117,22 +117,21 @@ def _corner_leg(s: SparkSession, d: str) -> DataFrame:
     return s.range(1).select(F.lit(X.GRID).alias("grid_id"), F.lit("corner").alias("route_id"), F.lit(1).alias("leg"), F.lit(0).alias("si"), F.lit(0).alias("sj"), F.lit(n - 1).alias("gi"), F.lit(X.WIDTH - 1).alias("gj"))
 
 
-def _corner_hours(steps: DataFrame, s: SparkSession, d: str) -> DataFrame:
-    return paths.leg_paths(steps, _corner_leg(s, d), X.axes(s, d)).groupBy("route_id").agg(F.round(F.max("g"), DIGITS).alias("hours"))
+def _corner_hours(costs: DataFrame, s: SparkSession, d: str) -> DataFrame:
+    return paths.leg_paths(costs, _corner_leg(s, d)).groupBy("route_id").agg(F.round(F.max("g"), DIGITS).alias("hours"))
 
 
 def sssp_terrain(s: SparkSession, d: str) -> DataFrame:
-    return _corner_hours(cost.terrain_steps(X.nodes(s, d)), s, d)
+    return _corner_hours(cost.cost_blocks(X.nodes(s, d)), s, d)
 
 
 def sssp_full(s: SparkSession, d: str) -> DataFrame:
-    return _corner_hours(_full_steps(s, d), s, d)
+    return _corner_hours(_full_steps(s, d, cost.cost_blocks), s, d)
 
 
 def sssp_barrier(s: SparkSession, d: str) -> DataFrame:
     """Unreachable but for one bridge."""
-    steps = cost.step_costs(X.nodes(s, d), X.axes(s, d), water=X.barrier(s, d), bridges=X.barrier_bridge(s, d))
-    return _corner_hours(steps, s, d)
+    return _corner_hours(cost.cost_blocks(X.nodes(s, d), X.axes(s, d), water=X.barrier(s, d), bridges=X.barrier_bridge(s, d)), s, d)
 
 
 def sssp_blocks(s: SparkSession, d: str) -> DataFrame:
@@ -143,7 +142,7 @@ def sssp_blocks(s: SparkSession, d: str) -> DataFrame:
 
 def _routed(s: SparkSession, d: str):
     legs = routes.legs_of(_snapped(s, d))
-    points, statistics = routes.find_routes(X.nodes(s, d), _full_steps(s, d), legs, X.axes(s, d))
+    points, statistics = routes.find_routes(X.nodes(s, d), _full_steps(s, d, cost.cost_blocks), legs)
     return legs, points, statistics
 
 

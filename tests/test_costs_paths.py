@@ -137,10 +137,11 @@ def test_search_forms_agree(spark):
     goals = [("g", str(k), 1, 0, 0, i, j) for k, (i, j) in enumerate(sorted(relaxed)[::17])]
     legs = spark.createDataFrame(goals, "grid_id string, route_id string, leg int, si int, sj int, gi int, gj int")
     found = paths.leg_paths(steps, legs).collect()
-    # A bound of no nodes sends every grid through blocks.
-    axes = spark.createDataFrame([("g", 14, 12)], "grid_id string, rows int, cols int")
+    # Squares of any size, and rounds over blocks where no grid may have an overlay.
+    for size in (1, 3, 4, 7):
+        assert sorted(paths.leg_paths(steps, legs, side=size).collect()) == sorted(found)
     for size in (4, 64):
-        assert sorted(paths.leg_paths(steps, legs, axes, most_nodes=0, block=size).collect()) == sorted(found)
+        assert sorted(paths.leg_paths(steps, legs, most_squares=0, block=size).collect()) == sorted(found)
     edge = {(r.i, r.j, r.ni, r.nj): r.cost for r in steps.collect()}
     for _, route, _, _, _, i, j in goals:
         own = sorted((r for r in found if r.route_id == route), key=lambda r: r.seq)
@@ -153,7 +154,9 @@ def test_equally_cheap_paths_are_the_same_in_both_forms(spark):
     steps = cost.terrain_steps(flat).withColumn("cost", F.lit(1.0))
     legs = spark.createDataFrame([("g", str(k), 1, 0, 0, 8, k) for k in range(11)] + [("g", "same", 1, 3, 3, 3, 3)], "grid_id string, route_id string, leg int, si int, sj int, gi int, gj int")
     whole = sorted(paths.leg_paths(steps, legs).collect())
-    assert sorted(paths.leg_paths(steps, legs, most_nodes=0, block=4).collect()) == whole
+    assert sorted(paths.leg_paths(steps, legs, most_squares=0, block=4).collect()) == whole
+    for side in (2, 5):
+        assert sorted(paths.leg_paths(steps, legs, side=side).collect()) == whole
     assert [(r.i, r.j) for r in whole if r.route_id == "same"] == [(3, 3)]
 
 
