@@ -216,11 +216,13 @@ def _features(axes: DataFrame, water: DataFrame | None, streams: DataFrame | Non
     blocks = blocks.select("grid_id", "bi", "bj", "cy", F.explode("xs").alias("cx"))
     keys, found = ["grid_id", "bi", "bj"], []
     if water is not None:
-        cells = spatial.cover(water, size).withColumnRenamed("cx", "wx")
-        near = blocks.join(cells.filter("level = 0").withColumn("cx", F.col("wx")), ["cx", "cy"])
-        levels = blocks.select("*", F.explode(F.sequence(F.lit(1), F.lit(spatial.TOP_LEVEL))).alias("level")).withColumn("wx", F.expr("shiftright(cx, level)"))
-        wide = levels.join(cells.filter("level > 0"), ["level", "cy", "wx"]).select("cx", *[c for c in near.columns if c != "cx"])
-        found.append(near.unionByName(wide).select(*keys, F.lit("water").alias("kind"), F.lit(size).alias("size"), "level", F.col("wx").alias("cx"), "cy", "odd", "turns", "edges").dropDuplicates([*keys, "level", "cx", "cy", "odd", "turns", "edges"]))
+        cells, wide = spatial.covered(water, size)
+        own = [*keys, F.lit("water").alias("kind"), F.lit(size).alias("size"), "level"]
+        found.append(blocks.join(cells.filter("level = 0"), ["cx", "cy"]).select(*own, "cx", "cy", "odd", "turns", "edges"))
+        if wide:
+            once = spatial.in_wide_cells(blocks, cells, wide).dropDuplicates([*keys, "gid", "level", "cy", "wx"])
+            none = [F.lit(True).alias("odd"), F.array().cast("array<double>").alias("turns"), F.array().cast(f"array<{spatial._EDGE}>").alias("edges")]
+            found.append(once.select(*own, F.col("wx").alias("cx"), "cy", *none))
     for kind, segments, pad in (("streams", streams, buffer_deg), ("bridges", bridges, C.BRIDGE_BUFFER_M / C.M_PER_DEGREE * 6)):
         if segments is not None:
             listed = (

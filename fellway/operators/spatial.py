@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import kept
+
 #: Degrees of the smallest and largest bucket, and buckets along the largest geometry.
 LEAST_DEG, MOST_DEG, ALONG = 0.0002, 0.05, 1000
 
@@ -88,14 +90,15 @@ def cover(edges: DataFrame, size: float) -> DataFrame:
     the cell, and ``turns``, the latitudes of ends within it. Cells have a level: one of
     level n is 2 ** n cells wide, and all of it is inside.
 
-    One row of cells of one polygon is worked out in one group.
+    A row of cells of one polygon is worked out at once; its edges lie side by side in a
+    sorted partition.
     """
 
-    def strip(table: pa.Table) -> pa.Table:
-        gid, cy = table.column("gid")[0].as_py(), table.column("cy")[0].as_py()
-        ax, ay, bx, by = (table.column(c).to_numpy() for c in ("ax", "ay", "bx", "by"))
-        low, high = np.minimum(ax, bx), np.maximum(ax, bx)
-        first, last = np.floor(low / size).astype(np.int64), np.floor(high / size).astype(np.int64)
+    def strip(gid: int, cy: int, ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> list[tuple]:
+        first, last = np.floor(np.minimum(ax, bx) / size).astype(np.int64), np.floor(np.maximum(ax, bx) / size).astype(np.int64)
+        edge = [{"ax": a, "ay": b, "bx": c, "by": d} for a, b, c, d in zip(ax.tolist(), ay.tolist(), bx.tolist(), by.tolist())]
+        if first.min() == last.max():
+            return [(gid, 0, int(first[0]), cy, False, [], edge)]
         cells = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first.tolist(), last.tolist())]))
         by_first = np.argsort(first, kind="stable")[::-1]
         rows, at, odd, turns, held = [], 0, False, set(), None
@@ -114,12 +117,36 @@ def cover(edges: DataFrame, size: float) -> DataFrame:
             if held is not None and held > cx + 1 and odd and not turns:
                 rows += [(gid, level, x, cy, True, [], []) for level, x in dyadic(cx + 1, held)]
             mine = np.flatnonzero((first <= cx) & (last >= cx))
-            rows.append((gid, 0, cx, cy, odd, sorted(turns), [{"ax": ax[e], "ay": ay[e], "bx": bx[e], "by": by[e]} for e in mine.tolist()]))
+            rows.append((gid, 0, cx, cy, odd, sorted(turns), [edge[e] for e in mine.tolist()]))
             held = cx
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), _COVER.types)], schema=_COVER)
+        return rows
+
+    def strips_of(batches):
+        held = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                now = [batch.column(c).to_numpy() for c in ("gid", "cy", "ax", "ay", "bx", "by")]
+                held = now if held is None else [np.concatenate(pair) for pair in zip(held, now)]
+            if held is None or not len(held[0]):
+                continue
+            new = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0)) + 1
+            cuts = [0, *new.tolist(), len(held[0])]
+            # The last row of cells may go on in the next batch.
+            rows, whole = [], len(cuts) - (1 if batch is None else 2)
+            for k in range(whole):
+                part = slice(cuts[k], cuts[k + 1])
+                rows += strip(int(held[0][cuts[k]]), int(held[1][cuts[k]]), *(c[part] for c in held[2:]))
+            held = [c[cuts[whole] :] for c in held]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(_COVER), _COVER.types)], schema=_COVER)
 
     strips = edges.select(F.col("gid").cast("long"), "ax", "ay", "bx", "by", F.explode(_cells(F.least("ay", "by"), F.greatest("ay", "by"), size)).alias("cy"))
-    return strips.groupBy("gid", "cy").applyInArrow(strip, COVER)
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return strips.repartition(parts, "gid", "cy").sortWithinPartitions("gid", "cy").mapInArrow(strips_of, COVER)
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
 
 
 def inside(x: Column, y: Column) -> Column:
@@ -137,14 +164,24 @@ def contained(points: DataFrame, edges: DataFrame, key: list[str], size: float |
     their own.
     """
     size = size or bucket_size(edges)
-    cells = cover(edges, size)
-    levels = F.explode(F.sequence(F.lit(0), F.lit(TOP_LEVEL)))
-    # A point looks for its own cell, and for the wider ones that are all inside.
+    cells, wide = covered(edges, size)
     at = points.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
-    near = at.join(cells.filter("level = 0"), ["cx", "cy"]).filter(inside(F.col("x"), F.col("y"))).select(*key)
-    wide = cells.filter("level > 0").select("level", "cy", F.col("cx").alias("wx")).distinct()
-    within = at.select("*", levels.alias("level")).withColumn("wx", F.expr("shiftright(cx, level)")).join(wide, ["level", "cy", "wx"]).select(*key)
-    return near.unionByName(within).distinct()
+    found = at.join(cells.filter("level = 0"), ["cx", "cy"]).filter(inside(F.col("x"), F.col("y"))).select(*key)
+    if wide:
+        found = found.unionByName(at.join(in_wide_cells(at.select("cx", "cy").distinct(), cells, wide).select("cx", "cy").distinct(), ["cx", "cy"]).select(*key))
+    return found.distinct()
+
+
+def covered(edges: DataFrame, size: float) -> tuple[DataFrame, list[int]]:
+    """The cover, written as several joins read it, and which levels its wide cells have."""
+    cells = kept(cover(edges, size), "cover")
+    return cells, [r.level for r in cells.filter("level > 0").select("level").distinct().collect()]  # at most TOP_LEVEL
+
+
+def in_wide_cells(places: DataFrame, cells: DataFrame, levels: list[int]) -> DataFrame:
+    """places (with cx, cy) joined with the wide cells they lie in: gid, level, wx."""
+    each = places.select("*", F.explode(F.array(*map(F.lit, levels))).alias("level")).withColumn("wx", F.expr("shiftright(cx, level)"))
+    return each.join(cells.filter("level > 0").select("gid", "level", "cy", F.col("cx").alias("wx")), ["level", "cy", "wx"])
 
 
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> tuple[Column, Column]:

@@ -182,3 +182,42 @@ def test_unsettled_labels_raise(spark):
     source = spark.createDataFrame([("g", "r", 1, 0, 0)], "grid_id string, route_id string, leg int, i int, j int")
     with pytest.raises(RuntimeError):
         paths.block_distances(steps, source, block=4, rounds=1)
+
+
+def test_cover_of_large_and_small_polygons(spark):
+    rng = random.Random(12)
+    edges = []
+
+    def add(gid, points):
+        edges.extend((gid, *points[k], *points[(k + 1) % len(points)]) for k in range(len(points)))
+
+    # A jagged coast that reaches over hundreds of cells, with a hole and an island in it, and small lakes.
+    coast = [(x / 50, 0.2 * math.sin(x / 7) + rng.uniform(0, 0.3)) for x in range(0, 200)]
+    add(1, [*coast, (4.0, -3.0), (0.0, -3.0)])
+    add(1, [(1.0, -1.0), (2.0, -1.0), (2.0, -2.0), (1.0, -2.0)])
+    add(1, [(1.4, -1.4), (1.6, -1.4), (1.6, -1.6), (1.4, -1.6)])
+    for gid in range(2, 40):
+        x, y, r = rng.uniform(-1, 5), rng.uniform(-4, 1), rng.uniform(0.001, 0.05)
+        add(gid, [(x + r, y), (x, y + r), (x - r, y), (x, y - r)])
+    points = [(n, rng.uniform(-1, 5), rng.uniform(-4, 1)) for n in range(3000)] + [(3000 + k, e[1] + 0.001, e[2]) for k, e in enumerate(edges)]
+    frame = spark.createDataFrame(edges, "gid bigint, ax double, ay double, bx double, by double").repartition(7)
+    by_gid = {}
+    for gid, *e in edges:
+        by_gid.setdefault(gid, []).append(e)
+
+    def inside(x, y):
+        return any(sum((ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax for ax, ay, bx, by in own) % 2 for own in by_gid.values())
+
+    want = {n for n, x, y in points if inside(x, y)}
+    places = spark.createDataFrame(points, "n int, x double, y double")
+    for size in (0.02, 0.3, 10.0):
+        assert {r.n for r in spatial.contained(places, frame, ["n"], size).collect()} == want
+    cells = spatial.cover(frame, 0.02)
+    wide = cells.filter("level > 0").count()
+    assert 0 < wide < 4000 and cells.agg(F.max(F.size("edges"))).first()[0] < 20
+
+
+def test_dyadic_intervals():
+    for a in range(-9, 9):
+        for b in range(a, 30):
+            assert sorted(x for level, k in spatial.dyadic(a, b) for x in range(k << level, (k + 1) << level)) == list(range(a, b))
