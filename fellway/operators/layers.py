@@ -56,37 +56,39 @@ def clip_segments(segments: DataFrame, box: dict[str, float]) -> DataFrame:
     return cut.withColumns({"ax": F.col("ax") + F.col("t0") * dx, "ay": F.col("ay") + F.col("t0") * dy, "bx": F.col("ax") + F.col("t1") * dx, "by": F.col("ay") + F.col("t1") * dy}).drop("t0", "t1", "out")
 
 
-def clip_ring(ring: list[tuple[float, float]], box: dict[str, float]) -> list[tuple[float, float]]:
-    """A ring of open vertices cut to a box, one side after the other (Sutherland-Hodgman)."""
-    for axis, limit, sign in ((0, box["min_lon"], 1), (0, box["max_lon"], -1), (1, box["min_lat"], 1), (1, box["max_lat"], -1)):
-        out = []
-        for k, q in enumerate(ring):
-            p = ring[k - 1]
-            p_in, q_in = sign * (p[axis] - limit) >= 0, sign * (q[axis] - limit) >= 0
-            if p_in != q_in:
-                t = (limit - p[axis]) / (q[axis] - p[axis])
-                cut = [p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])]
-                cut[axis] = limit
-                out.append(tuple(cut))
-            if q_in:
-                out.append(q)
-        ring = out
-    return ring
+def _half_plane(axis: str, limit: float, sign: int):
+    """A function that cuts a ring to one half-plane."""
+    other, at = "y" if axis == "x" else "x", F.lit(limit)
 
+    def inside(p: Column) -> Column:
+        return sign * (p[axis] - at) >= 0
 
-def clip_rings(rings: DataFrame, box: dict[str, float], ring: str = "ring") -> DataFrame:
-    """(gid, ring): rings (arrays of open vertices x, y) cut to a box; empty ones go."""
-    import pyarrow as pa
+    def cut(p: Column, q: Column) -> Column:
+        """Where the side from p to q meets the half-plane's border."""
+        place = {axis: at, other: p[other] + F.try_divide(at - p[axis], q[axis] - p[axis]) * (q[other] - p[other])}
+        return F.struct(place["x"].alias("x"), place["y"].alias("y"))
+
+    def ring_cut(ring: Column) -> Column:
+        def of_vertex(q: Column, k: Column) -> Column:
+            p = F.element_at(ring, F.when(k == 0, F.size(ring)).otherwise(k).cast("int"))
+            return F.array(F.when(inside(p) != inside(q), cut(p, q)), F.when(inside(q), F.struct(q["x"].alias("x"), q["y"].alias("y"))))
+
+        return F.filter(F.flatten(F.transform(ring, of_vertex)), lambda p: p.isNotNull())
 
-    place = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-    schema = pa.schema([("gid", pa.int64()), ("ring", pa.list_(place))])
+    return ring_cut
 
-    def cut(batches):
-        for batch in batches:
-            done = [clip_ring([(p["x"], p["y"]) for p in r], box) for r in batch.column("ring").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"gid": batch.column("gid"), "ring": [[{"x": x, "y": y} for x, y in r] for r in done]}, schema)
 
-    return rings.select(F.col("gid").cast("long"), F.col(ring).alias("ring")).mapInArrow(cut, "gid bigint, ring array<struct<x:double,y:double>>").filter(F.size("ring") > 2)
+def clipped_ring(ring: Column, box: dict[str, float]) -> Column:
+    """A ring (an array of open vertices x, y) cut to a box: one half-plane after the other, in column functions."""
+    for axis, limit, sign in (("x", box["min_lon"], 1), ("x", box["max_lon"], -1), ("y", box["min_lat"], 1), ("y", box["max_lat"], -1)):
+        # The lambda's variable holds the ring, so that each half-plane's is worked out once.
+        ring = F.transform(F.array(ring), _half_plane(axis, limit, sign))[0]
+    return ring
+
+
+def clip_rings(rings: DataFrame, box: dict[str, float], ring: str = "ring") -> DataFrame:
+    """(gid, ring): rings cut to a box; empty ones go."""
+    return rings.select(F.col("gid").cast("long").alias("gid"), clipped_ring(F.col(ring), box).alias("ring")).filter(F.size("ring") > 2)
 
 
 def ring_edges(rings: DataFrame, ring: str = "ring") -> DataFrame:

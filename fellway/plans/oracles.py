@@ -82,6 +82,20 @@ def _search(steps: str, start: str) -> str:
       WHERE o.g IS NULL OR t.g + s.cost < o.g GROUP BY s.ni, s.nj)"""
 
 
+def _half_plane(of: str, axis: str, limit: str, above: bool) -> str:
+    """Rings (gid, seq, x, y) cut by one half-plane: of each vertex the cut before it, and itself if it is inside."""
+    other = "y" if axis == "x" else "x"
+    inside = f"({{0}}{axis} {'>=' if above else '<='} {limit})"
+    cut = {axis: limit, other: f"p{other} + ({limit} - p{axis}) / ({axis} - p{axis}) * ({other} - p{other})"}
+    return f"""SELECT gid, row_number() OVER (PARTITION BY gid ORDER BY seq, n) AS seq, x, y FROM (
+      SELECT gid, seq, n, CASE n WHEN 0 THEN CASE WHEN {inside.format('p')} <> {inside.format('')} THEN {cut['x']} END ELSE CASE WHEN {inside.format('')} THEN x END END AS x,
+        CASE n WHEN 0 THEN CASE WHEN {inside.format('p')} <> {inside.format('')} THEN {cut['y']} END ELSE CASE WHEN {inside.format('')} THEN y END END AS y
+      FROM (SELECT *, coalesce(lag(x) OVER w, last_value(x) OVER v) AS px, coalesce(lag(y) OVER w, last_value(y) OVER v) AS py FROM {of}
+        WINDOW w AS (PARTITION BY gid ORDER BY seq), v AS (PARTITION BY gid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), (VALUES (0), (1)) u(n)) WHERE x IS NOT NULL"""
+
+
+_CLIP = {k: d(v) for k, v in {"min_lon": X.LON0, "max_lon": X.LON0 + 30 * X.LON_STEP, "min_lat": X.LAT0, "max_lat": X.LAT0 + 20 * X.LAT_STEP}.items()}
+
 PARTS = {
     "size": f"SELECT max(p_partkey) // {W} + 1 AS R FROM part",
     "nodes": f"SELECT CAST(p_partkey // {W} AS INTEGER) AS i, CAST(p_partkey % {W} AS INTEGER) AS j, {y_of(f'p_partkey // {W}')} AS lat, {x_of(f'p_partkey % {W}')} AS lon, p_retailprice + 0.5 * p_size AS elev FROM part",
@@ -96,6 +110,10 @@ PARTS = {
       WHERE abs(r0 - 0) + abs(c0 - 0) > radius + 2 AND abs(r0 - (R - 1)) + abs(c0 - {W - 1}) > radius + 2""",
     "corners": f"SELECT gid, seq, {x_of('c0 + dc * radius')} AS x, {y_of('r0 + dr * radius')} AS y FROM diamonds, (VALUES (0, 1, 0), (1, 0, 1), (2, -1, 0), (3, 0, -1)) v(seq, dc, dr)",
     "water": "SELECT a.gid, a.seq, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM corners a JOIN corners b ON a.gid = b.gid AND b.seq = (a.seq + 1) % 4",
+    "west_cut": _half_plane("corners", "x", _CLIP["min_lon"], True),
+    "east_cut": _half_plane("west_cut", "x", _CLIP["max_lon"], False),
+    "south_cut": _half_plane("east_cut", "y", _CLIP["min_lat"], True),
+    "north_cut": _half_plane("south_cut", "y", _CLIP["max_lat"], False),
     "strip": f"SELECT seq, {x_of('c')} AS x, {y_of('size.R // 2 + v.r')} AS y FROM size, (VALUES (0, -1.5::DOUBLE, -0.7::DOUBLE), (1, {W}.5::DOUBLE, -0.7::DOUBLE), (2, {W}.5::DOUBLE, 0.7::DOUBLE), (3, -1.5::DOUBLE, 0.7::DOUBLE)) v(seq, c, r)",
     "barrier": "SELECT CAST(1000000001 AS BIGINT) AS gid, a.seq, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM strip a JOIN strip b ON b.seq = (a.seq + 1) % 4",
     "all_water": "SELECT * FROM water UNION ALL SELECT * FROM barrier",
@@ -262,6 +280,8 @@ ORACLE_SQL = {
     "etl_bridge_filter": sql("SELECT l_orderkey, l_linenumber, fclass FROM osm_lines WHERE bridge = 'T' AND (fclass IS NULL OR fclass NOT IN ('motorway', 'motorway_link', 'trunk', 'trunk_link'))"),
     "etl_layer_counts": sql("SELECT count(*) AS scanned, count(*) FILTER (fclass IN ('river', 'stream', 'canal')) AS streams, count(*) FILTER (bridge = 'T' AND (fclass IS NULL OR fclass NOT IN ('motorway', 'motorway_link', 'trunk', 'trunk_link'))) AS bridges FROM osm_lines"),
     "etl_multipart_explode": "SELECT p_partkey AS gid, CAST(n - 1 AS INTEGER) AS part, CAST(v - 1 AS INTEGER) AS seq, CAST(p_partkey + n * 10 + v AS DOUBLE) AS ax, CAST(p_partkey - v AS DOUBLE) AS ay, CAST(p_partkey + n * 10 + v + 1 AS DOUBLE) AS bx, CAST(p_partkey - v - 1 AS DOUBLE) AS by FROM part, range(1, 3) a(n), range(1, 4) b(v) WHERE v + 1 <= p_size % 4",
+    "ocean_bbox_clip": sql(f"""SELECT gid, round(abs(sum((x - {d(X.LON0)}) * (y1 - {d(X.LAT0)}) - (x1 - {d(X.LON0)}) * (y - {d(X.LAT0)}))) / 2.0 / ({d(X.LON_STEP)} * {d(X.LAT_STEP)}), 6) AS cells FROM (
+      SELECT gid, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x1, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y1, count(*) OVER (PARTITION BY gid) AS n FROM north_cut WINDOW w AS (PARTITION BY gid ORDER BY seq)) WHERE n > 2 GROUP BY gid"""),
     "line_bbox_clip": sql(f"SELECT gid, round(h.ax + t0 * (h.bx - h.ax), 9) AS ax, round(h.ay + t0 * (h.by - h.ay), 9) AS ay, round(h.ax + t1 * (h.bx - h.ax), 9) AS bx, round(h.ay + t1 * (h.by - h.ay), 9) AS by FROM (SELECT g.*, {_T0} AS t0, {_T1} AS t1 FROM bridges g WHERE NOT (g.by = g.ay AND (g.ay < {_B['min_lat']} OR g.ay > {_B['max_lat']}))) h WHERE t0 <= t1"),
     "place_dedupe_topk": sql(f"""SELECT query, c_custkey, label, place_key FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY src_rank) AS nth FROM (
       SELECT *, row_number() OVER (PARTITION BY query, place_key ORDER BY src_rank) AS copy_nth FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY src_rank) AS fetched FROM labelled)

@@ -107,8 +107,11 @@ def test_layers(spark):
     segments = spark.createDataFrame([(1, -1.0, 0.5, 2.0, 0.5), (2, 2.0, 2.0, 3.0, 3.0), (3, 0.2, 0.2, 0.4, 0.4), (4, -1.0, 2.0, 2.0, 2.0)], "gid int, ax double, ay double, bx double, by double")
     got = {r.gid: tuple(r)[1:] for r in layers.clip_segments(segments, box).collect()}
     assert set(got) == {1, 3} and got[3] == (0.2, 0.2, 0.4, 0.4) and np.allclose(got[1], (0, 0.5, 1, 0.5))
-    assert sorted(layers.clip_ring([(-1, -1), (2, -1), (2, 2), (-1, 2)], box)) == [(0.0, 0.0), (0.0, 1.0), (1.0, 0.0), (1.0, 1.0)]
-    assert layers.clip_ring([(2, 2), (3, 2), (3, 3)], box) == []
+    shapes = [(1, [(-1.0, -1.0), (2.0, -1.0), (2.0, 2.0), (-1.0, 2.0)]), (2, [(2.0, 2.0), (3.0, 2.0), (3.0, 3.0)]), (3, [(0.5, 0.5), (1.5, 0.5), (0.5, 1.5)]), (4, [])]
+    cut = layers.clip_rings(spark.createDataFrame(shapes, "gid long, ring array<struct<x:double,y:double>>"), box)
+    assert "Python" not in cut._jdf.queryExecution().toString() and "Arrow" not in cut._jdf.queryExecution().toString()
+    rings = {r.gid: sorted((p.x, p.y) for p in r.ring) for r in cut.collect()}
+    assert rings == {1: [(0.0, 0.0), (0.0, 1.0), (1.0, 0.0), (1.0, 1.0)], 3: [(0.5, 0.5), (0.5, 1.0), (1.0, 0.5), (1.0, 1.0), (1.0, 1.0)]}
 
 
 def test_layers_are_written_once(spark, tmp_path):
