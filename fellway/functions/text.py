@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .geo import col
 
 # The patterns of keys in URLs and of messages about a leg.
-_KEY = r"""([?&]api=)[^&\s"']+"""
+KEY_PATTERN = r"""([?&]api=)[^&\s"']+"""
 _LEG = r"(?s)^Leg (\d+) \(.+\) failed: (.+)$"
 
 
@@ -18,7 +18,7 @@ def fixed(x, digits: int) -> Column:
 
 
 def redact_keys(text) -> Column:
-    return F.regexp_replace(col(text), _KEY, "$1***REDACTED***")
+    return F.regexp_replace(col(text), KEY_PATTERN, "$1***REDACTED***")
 
 
 def strip_key(text, key) -> Column:

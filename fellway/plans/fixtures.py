@@ -7,13 +7,17 @@ numbers.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.geo import decode_elevation
+from ..operators.grid import grid_axes
 from ..operators.layers import ring_edges
+from ..operators.shared import shared_dir
+from ..sources.dem import tiles_of, write_tiles
 
 WIDTH, CELL_M, LAT0, LON0 = 50, 25.0, -41.0, 175.0
 LAT_STEP = CELL_M / C.M_PER_DEGREE
@@ -154,9 +158,69 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A box over a part of the raster, of a few tiles.
+TILE_BOX = {"min_lat": -41.01, "min_lon": 174.0, "max_lat": -41.0, "max_lon": 174.03}
+
+
+def raster_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(zoom, gx, gy, r, g, b): the same pixels as colours."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        F.lit(RASTER_ZOOM).alias("zoom"), (F.lit(RASTER_X) + k % RASTER_WIDTH).alias("gx"), (F.lit(RASTER_Y) + F.expr(f"o_orderkey div {RASTER_WIDTH}")).alias("gy"), F.lit(1).alias("r"), (130 + k % 20).cast("int").alias("g"), (k % 256).cast("int").alias("b")
+    )
+
+
+def tile_store(spark: SparkSession, sf_dir: str) -> str:
+    """Writes the raster, and what its areas need beyond it, as tiles; returns the path of their files."""
+    path = f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}/{{z}}/{{x}}/{{y}}.png"
+    none = F.lit(None).cast("int")
+    empty = tiles_of(grid_axes(raster_areas(spark, sf_dir))).select("zoom", (F.col("tile_x") * C.TILE).cast("long").alias("gx"), (F.col("tile_y") * C.TILE).cast("long").alias("gy"), none.alias("r"), none.alias("g"), none.alias("b")).distinct()
+    write_tiles(raster_colours(spark, sf_dir).unionByName(empty), path).count()
+    return path
+
+
 def raster_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(grid_id, bbox, cell_m): a small box per region, side by side over the raster."""
     k = F.col("r_regionkey")
     west, south = F.lit(174.0) + k * 0.008, F.lit(-41.004) - k * 0.001
     box = F.struct(south.alias("min_lat"), west.alias("min_lon"), (south + 0.004).alias("max_lat"), (west + 0.01).alias("max_lon"))
     return table(spark, sf_dir, "region").select(k.cast("string").alias("grid_id"), box.alias("bbox"), F.lit(RASTER_CELL_M).alias("cell_m"))
+
+
+#: Where the service's requests lie, and the edges of its waters there, in degrees east and north.
+SERVICE_LON, SERVICE_LAT = 175.0, -41.0
+LAKE, MOAT, ISLE, WALL = (0.018, -0.002, 0.022, 0.002), (0.052, -0.008, 0.068, 0.008), (0.057, -0.003, 0.063, 0.003), (0.104, -0.025, 0.106, 0.025)
+SERVICE_BUDGET = 300
+
+
+def service_water(spark: SparkSession) -> DataFrame:
+    """A lake, a moat around an isle, and a wall that a small area can't get around."""
+    corners = lambda b: [(b[0], b[1]), (b[2], b[1]), (b[2], b[3]), (b[0], b[3])]
+    rows = []
+    for gid, box in ((1, LAKE), (2, MOAT), (2, ISLE), (3, WALL)):
+        points = [(SERVICE_LON + x, SERVICE_LAT + y) for x, y in corners(box)]
+        rows += [(gid, *points[k], *points[(k + 1) % 4]) for k in range(4)]
+    return spark.createDataFrame(rows, "gid bigint, ax double, ay double, bx double, by double")
+
+
+def service_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of every zoom to the south-east of all requests, whose grids so lie level at the raster's corner."""
+    k = F.col("o_orderkey")
+    zoom = (F.lit(C.MIN_ZOOM) + k % (C.MAX_ZOOM - C.MIN_ZOOM + 1)).cast("int")
+    n, nth = F.pow(F.lit(2.0), zoom) * C.TILE, F.expr(f"o_orderkey div {C.MAX_ZOOM - C.MIN_ZOOM + 1}")
+    corner = lambda share: F.floor(n * share).cast("long")
+    return table(spark, sf_dir, "orders").select(zoom.alias("zoom"), (corner(0.99) + nth % 64).alias("gx"), (corner(0.64) + F.floor(nth / 64)).alias("gy"), (F.lit(5.0) + k % 3).alias("elev"))
+
+
+def service_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per supplier: eight kinds in turn, of which some are bad, warm, wet, cut off, or need a larger area."""
+    k = F.col("s_suppkey")
+    at = lambda x, y: f"[{SERVICE_LON + x!r},{SERVICE_LAT + y!r}]"
+    body = lambda a, b, via="": F.lit(f'{{"a":{at(*a)},"b":{at(*b)}{via},"node_budget":{SERVICE_BUDGET}}}')
+    near = body((0.0, 0.0), (0.01, 0.005))
+    bodies = [
+        near, body((0.0, 0.0), (0.01, 0.0), f',"via":[{at(0.005, 0.005)}]'), body((0.0, 0.0), (0.02, 0.0)), body((0.045, 0.0), (0.06, 0.0)),
+        body((0.1, -0.01), (0.11, 0.01)), F.lit("[]"), F.lit('{"warm":true}'), F.base64(F.encode(near, "UTF-8")),
+    ]
+    text = F.element_at(F.array(*bodies), (k % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select(k.cast("string").alias("route_id"), text.alias("body"), (k % 8 == 7).alias("is_base64"))

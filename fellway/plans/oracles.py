@@ -12,6 +12,7 @@ import re
 from .. import config as C
 from ..functions.places import ZOOM_BY_KIND
 from . import fixtures as X
+from .service import SMOKE_LAT, SMOKE_STEP
 
 W = X.WIDTH
 
@@ -96,6 +97,14 @@ def _half_plane(of: str, axis: str, limit: str, above: bool) -> str:
 
 _CLIP = {k: d(v) for k, v in {"min_lon": X.LON0, "max_lon": X.LON0 + 30 * X.LON_STEP, "min_lat": X.LAT0, "max_lat": X.LAT0 + 20 * X.LAT_STEP}.items()}
 
+def _tile_x(lon: str) -> str:
+    return f"(({lon} + 180.0) / 360.0 * {2**X.RASTER_ZOOM}.0::DOUBLE)"
+
+
+def _tile_y(lat: str) -> str:
+    return f"((1.0 - ln(tan(radians({lat})) + 1.0 / cos(radians({lat}))) / pi()) / 2.0 * {2**X.RASTER_ZOOM}.0::DOUBLE)"
+
+
 PARTS = {
     "size": f"SELECT max(p_partkey) // {W} + 1 AS R FROM part",
     "nodes": f"SELECT CAST(p_partkey // {W} AS INTEGER) AS i, CAST(p_partkey % {W} AS INTEGER) AS j, {y_of(f'p_partkey // {W}')} AS lat, {x_of(f'p_partkey % {W}')} AS lon, p_retailprice + 0.5 * p_size AS elev FROM part",
@@ -164,6 +173,17 @@ PARTS = {
     "raster_nodes": """SELECT grid_id, i, j, south + i * lat_step AS lat, west + j * lon_step AS lon FROM (
       SELECT *, unnest(range(0, CAST(trunc(((south + 0.004::DOUBLE) - south) / lat_step) AS BIGINT) + 1)) AS i FROM raster_areas) JOIN (
       SELECT grid_id AS own, unnest(range(0, CAST(trunc(((west + 0.01::DOUBLE) - west) / lon_step) AS BIGINT) + 1)) AS j FROM raster_areas) ON own = grid_id""",
+    "needed_tiles": f"""SELECT DISTINCT tx, ty FROM (SELECT *, unnest(range(x0, x1 + 1)) AS tx FROM (
+      SELECT CAST(floor({_tile_x('west')}) AS BIGINT) AS x0, CAST(floor({_tile_x('west + 0.01::DOUBLE')}) AS BIGINT) AS x1, CAST(floor({_tile_y('south + 0.004::DOUBLE')}) AS BIGINT) AS y0, CAST(floor({_tile_y('south')}) AS BIGINT) AS y1 FROM raster_areas)) a, LATERAL (SELECT unnest(range(a.y0, a.y1 + 1)) AS ty)""",
+    "tile_elev": f"""SELECT n.grid_id, n.i, n.j, n.lat, CASE WHEN t.tx IS NOT NULL THEN coalesce(p.elev, 0.0) END AS elev FROM (
+      SELECT *, greatest(x0, least(x1, CAST(round_even({_tile_x('lon')} * {C.TILE}.0::DOUBLE, 0) AS BIGINT))) AS px, greatest(y0, least(y1, CAST(round_even({_tile_y('lat')} * {C.TILE}.0::DOUBLE, 0) AS BIGINT))) AS py
+      FROM raster_nodes, (SELECT min(tx) * {C.TILE} AS x0, max(tx) * {C.TILE} + {C.TILE - 1} AS x1, min(ty) * {C.TILE} AS y0, max(ty) * {C.TILE} + {C.TILE - 1} AS y1 FROM needed_tiles)) n
+      LEFT JOIN needed_tiles t ON t.tx = px // {C.TILE} AND t.ty = py // {C.TILE} LEFT JOIN raster p ON p.gx = px AND p.gy = py""",
+    "tile_steps": f"""SELECT grid_id, i, j, k, dist / 1000.0 / ({C.TOP_SPEED_KMH} * exp(-{C.STEEPNESS} * abs((target - elev) / dist + {d(C.DOWNHILL_BIAS)}))) * (1.0 + {C.CROSS_SLOPE_WEIGHT} * abs(coalesce((up - down) / (2.0 * side), 0.0))) AS cost
+      FROM (SELECT a.grid_id, a.i, a.j, k, a.elev, n.elev AS target, p.elev AS up, m.elev AS down,
+        sqrt(pow(di * r.lat_step * {d(C.M_PER_DEGREE)}, 2) + pow(dj * r.lon_step * {lon_m('a.lat')}, 2)) AS dist, sqrt(pow(dj * r.lat_step * {d(C.M_PER_DEGREE)}, 2) + pow(di * r.lon_step * {lon_m('a.lat')}, 2)) AS side
+        FROM tile_elev a JOIN raster_areas r USING (grid_id) CROSS JOIN dirs JOIN tile_elev n ON n.grid_id = a.grid_id AND n.i = a.i + di AND n.j = a.j + dj LEFT JOIN tile_elev p ON p.grid_id = a.grid_id AND p.i = a.i - dj AND p.j = a.j + di LEFT JOIN tile_elev m ON m.grid_id = a.grid_id AND m.i = a.i + dj AND m.j = a.j - di)
+      WHERE elev IS NOT NULL AND target IS NOT NULL""",
     "api_urls": "SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'api=key' || page_id || CASE WHEN page_id % 2 = 0 THEN '&pipeline=terrain-rgb' ELSE '' END AS url FROM pages",
 }
 
@@ -219,6 +239,11 @@ ORACLE_SQL = {
       SELECT *, greatest(x0, least(x1, CAST(round_even((lon + 180.0) / 360.0 * {2**X.RASTER_ZOOM * C.TILE}.0::DOUBLE, 0) AS BIGINT))) AS px,
         greatest(y0, least(y1, CAST(round_even((1.0 - ln(tan(radians(lat)) + 1.0 / cos(radians(lat))) / pi()) / 2.0 * {2**X.RASTER_ZOOM * C.TILE}.0::DOUBLE, 0) AS BIGINT))) AS py
       FROM raster_nodes, (SELECT min(gx) AS x0, max(gx) AS x1, min(gy) AS y0, max(gy) AS y1 FROM raster)) n LEFT JOIN raster p ON p.gx = px AND p.gy = py"""),
+    "tile_elevation": sql("SELECT grid_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(elev, 1) AS elev FROM tile_elev"),
+    "raster_to_cost": sql("SELECT grid_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(k AS INTEGER) AS k, round(cost, 9) AS cost FROM tile_steps"),
+    "tile_source": sql(f"""SELECT CAST(tx AS INTEGER) AS tile_x, CAST(ty AS INTEGER) AS tile_y, CAST({C.TILE * C.TILE} AS BIGINT) AS n, round(least(min(elev), CASE WHEN count(elev) < {C.TILE * C.TILE} THEN 0.0 ELSE min(elev) END), 1) AS low, round(greatest(max(elev), CASE WHEN count(elev) < {C.TILE * C.TILE} THEN 0.0 ELSE max(elev) END), 1) AS high
+      FROM range(CAST(floor({_tile_x(d(X.TILE_BOX['min_lon']))}) AS BIGINT), CAST(floor({_tile_x(d(X.TILE_BOX['max_lon']))}) AS BIGINT) + 1) a(tx), range(CAST(floor({_tile_y(d(X.TILE_BOX['max_lat']))}) AS BIGINT), CAST(floor({_tile_y(d(X.TILE_BOX['min_lat']))}) AS BIGINT) + 1) b(ty)
+      LEFT JOIN raster ON gx // {C.TILE} = tx AND gy // {C.TILE} = ty GROUP BY tx, ty"""),
     "route_display": """SELECT o_orderkey, CAST(CAST(o_orderkey / 64.0::DOUBLE AS DECIMAL(28,2)) AS VARCHAR) || ' km' AS distance, CAST(CAST(floor(o_orderkey / 8.0::DOUBLE + 0.5) AS BIGINT) AS VARCHAR) || ' m' AS climb,
       'Longitude: ' || CAST(CAST(174.0::DOUBLE + o_orderkey / 2048.0::DOUBLE AS DECIMAL(28,5)) AS VARCHAR) || '° Latitude: ' || CAST(CAST(-41.0::DOUBLE - o_orderkey / 1024.0::DOUBLE AS DECIMAL(28,5)) AS VARCHAR) || '° ' AS place,
       CAST(greatest(1, least(2 + o_orderkey % 4, 1 + len(list_filter(range(1, 3 + o_orderkey % 4), lambda n: n * 40 < o_orderkey % 300)))) AS INTEGER) AS rank FROM orders""",
@@ -260,6 +285,12 @@ ORACLE_SQL = {
       LEFT JOIN (SELECT route_id, sum(km) AS km, sum(hours) AS hours, sum(climb) AS climb, CAST(sum(n) AS BIGINT) AS n FROM (
         SELECT route_id, leg, coalesce(sum(km), 0.0) AS km, max(g) AS hours, coalesce(sum(greatest(rise, 0.0)), 0.0) AS climb, count(*) AS n FROM (
           SELECT *, {hav_km('lag(lon) OVER w', 'lag(lat) OVER w', 'lon', 'lat')} AS km, elev - lag(elev) OVER w AS rise FROM path WINDOW w AS (PARTITION BY route_id, leg ORDER BY seq)) GROUP BY route_id, leg) GROUP BY route_id) t ON t.route_id = f.route_id""", _PATH),
+    "service_answers": """SELECT CAST(k AS VARCHAR) AS route_id, CASE WHEN m IN (2, 3, 5) THEN 400 ELSE 200 END AS status, m NOT IN (2, 3, 5) AS ok, CASE WHEN m = 6 THEN true END AS warm,
+      CASE m WHEN 2 THEN 'End point falls within a mapped water or snow/ice body — pick a point on dry land.' WHEN 3 THEN 'No path found - most likely due to open ocean, or a detour larger than we can reach' WHEN 5 THEN 'Bad request: not a JSON object' END AS error,
+      CASE WHEN m IN (0, 1, 7) THEN 0.3::DOUBLE WHEN m = 4 THEN 1.2::DOUBLE END AS padding, CASE WHEN m IN (0, 1, 4, 7) THEN true END AS whole FROM (SELECT s_suppkey AS k, s_suppkey % 8 AS m FROM supplier)""",
+    "warm_up_route": f"""SELECT CAST(s_suppkey AS VARCHAR) AS request, CAST(n AS INTEGER) AS seq, CAST(n AS INTEGER) AS i, CAST(n AS INTEGER) AS j,
+      round(coalesce((SELECT sum(sqrt(pow({d(SMOKE_STEP)} * {d(C.M_PER_DEGREE)}, 2) + pow({d(SMOKE_STEP)} * {lon_m(f'{d(SMOKE_LAT)} + r * {d(SMOKE_STEP)}')}, 2)) / 1000.0 / (6.0 * exp(-4.0 * 0.05::DOUBLE))) FROM range(0, n) u(r)), 0.0), 12) AS hours
+      FROM supplier, range(0, 3) v(n) WHERE s_suppkey % 8 = 6""",
     "connectivity": sql("SELECT (c // 1000000) || ',' || (c % 1000000) AS component, count(*) AS n FROM comp GROUP BY c", """dry AS MATERIALIZED (SELECT i, j FROM nodes ANTI JOIN all_wet USING (i, j)),
       comp(i, j, c) USING KEY (i, j) AS (
         SELECT i, j, CAST(i AS BIGINT) * 1000000 + j FROM dry

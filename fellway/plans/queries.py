@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import geo, text
 from ..operators import cost, export, grid, layers, paths, profile, routes, search, spatial
+from ..sources import dem
 from ..sources import requests as requests_source
 from . import fixtures as X
+from . import service
 
 #: Degrees per bucket for features as small as the fixture's.
 DIGITS = 9
@@ -34,6 +36,31 @@ def raster_grid(s: SparkSession, d: str) -> DataFrame:
     return grid.sample_elevation(nodes, X.raster(s, d)).select("grid_id", "i", "j", F.round("lat", DIGITS).alias("lat"), F.round("lon", DIGITS).alias("lon"), F.round("elev", 1).alias("elev"))
 
 
+def _tile_nodes(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(axes, nodes with elevations) of the raster's areas, from tiles that are written first."""
+    axes = grid.grid_axes(X.raster_areas(s, d))
+    return axes, grid.sample_elevation(grid.grid_nodes(axes), dem.needed_pixels(axes, X.tile_store(s, d)))
+
+
+def tile_elevation(s: SparkSession, d: str) -> DataFrame:
+    """Elevations from the tiles that each grid needs."""
+    _, nodes = _tile_nodes(s, d)
+    return nodes.select("grid_id", "i", "j", F.round("elev", 1).alias("elev"))
+
+
+def tile_source(s: SparkSession, d: str) -> DataFrame:
+    """The tiles of one box, by the data source: pixels, and the range of their elevations."""
+    pixels = dem.box_pixels(s, X.tile_store(s, d), X.RASTER_ZOOM, X.TILE_BOX)
+    tile = [F.floor(F.col(c) / C.TILE).cast("int").alias(t) for c, t in (("gx", "tile_x"), ("gy", "tile_y"))]
+    return pixels.groupBy(*tile).agg(F.count("*").alias("n"), F.round(F.min("elev"), 1).alias("low"), F.round(F.max("elev"), 1).alias("high"))
+
+
+def raster_to_cost(s: SparkSession, d: str) -> DataFrame:
+    """From raster tiles to the steps of every grid and their hours."""
+    axes, nodes = _tile_nodes(s, d)
+    return cost.step_costs(nodes, axes).select("grid_id", "i", "j", "k", hours())
+
+
 def tile_index(s: SparkSession, d: str) -> DataFrame:
     points = _points(s, d).withColumn("zoom", geo.zoom_for("cell_m", "lat"))
     x, y = geo.tile_of("lon", "lat", "zoom")
@@ -176,6 +203,22 @@ def gpx_export(s: SparkSession, d: str) -> DataFrame:
     return export.gpx(points, ["route_id"], F.concat(F.lit("Route "), F.col("route_id")))
 
 
+def service_answers(s: SparkSession, d: str) -> DataFrame:
+    """Requests answered end to end: bad, warm, wet, cut off, routed at once or over a larger area."""
+    found = service.answers(X.service_events(s, d), X.service_raster(s, d), X.service_water(s), max_seconds=float("inf"), block=cost.SIDE)
+    said = F.from_json("body", "ok boolean, error string, warm boolean, padding_frac_used double, n_points bigint, elevations_m array<double>, gpx string")
+    b = F.col("b")
+    whole = (F.size(b["elevations_m"]) == b["n_points"]) & b["gpx"].startswith("<?xml") & (b["n_points"] > 1)
+    return found.select("route_id", "status", said.alias("b")).select("route_id", "status", b["ok"].alias("ok"), b["warm"].alias("warm"), b["error"].alias("error"), b["padding_frac_used"].alias("padding"), whole.alias("whole"))
+
+
+def warm_up_route(s: SparkSession, d: str) -> DataFrame:
+    """The warm-up's path, for every warm request."""
+    warm = requests_source.parsed_requests(X.service_events(s, d)).filter("warm").select(F.col("route_id").alias("request"))
+    path = service.warm_up(s).select(F.lit(True).alias("warm"), "seq", "i", "j", F.round("g", 12).alias("hours"))
+    return warm.withColumn("warm", F.lit(True)).join(path, "warm").drop("warm")
+
+
 def connectivity(s: SparkSession, d: str) -> DataFrame:
     nodes = X.nodes(s, d)
     wet = cost.water_nodes(nodes, layers.all_water(X.water(s, d), X.barrier(s, d).withColumn("gid", F.col("gid") + 1_000_000_000)))
@@ -337,8 +380,8 @@ def waypoint_edits(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        terrain_grid, raster_grid, route_display, tile_index, zoom_pick, rgb_decode, great_circle, directional_cost, cross_slope, water_mask, water_union, step_crossing, stream_penalty, bridge_restore, spatial_prefilter,
-        nearest_snap, waypoints_in_water, sssp_terrain, sssp_full, sssp_barrier, sssp_blocks, multi_leg_summary, route_summary, route_profile, geojson_route, gpx_export, connectivity, bbox_dynamic,
+        terrain_grid, raster_grid, tile_elevation, tile_source, raster_to_cost, route_display, tile_index, zoom_pick, rgb_decode, great_circle, directional_cost, cross_slope, water_mask, water_union, step_crossing, stream_penalty, bridge_restore, spatial_prefilter,
+        nearest_snap, waypoints_in_water, sssp_terrain, sssp_full, sssp_barrier, sssp_blocks, multi_leg_summary, route_summary, route_profile, geojson_route, gpx_export, service_answers, warm_up_route, connectivity, bbox_dynamic,
         cell_budget, cumulative_distance, interpolate_along, track_bounds, etl_stream_filter, etl_bridge_filter, etl_layer_counts, etl_multipart_explode, ocean_bbox_clip, line_bbox_clip,
         place_dedupe_topk, place_labels, kind_zoom, redact_keys, proxy_path, tile_url_rewrite, key_stripping, waypoint_roles, friendly_errors, durations, request_parse, debounce_sessions, latest_wins, waypoint_edits,
     )
