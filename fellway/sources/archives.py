@@ -1,7 +1,9 @@
 """Shape layers inside zip archives as tables.
 
-Archives are read through Spark (``binaryFile``, so under 2 GB each), one task an
-archive; a layer's shapes and records become one row per feature.
+A layer's members are taken out of their archives as streams, one task a member, into
+the shared folder; no archive is held in memory. A layer's file is then read in parts:
+its index file says where each record begins, so a part of ``PART_RECORDS`` records
+reads its own stretch of the shapes and of the attribute table, in a task of its own.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 import io
 import os
 import struct
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -17,6 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import kept, shared_dir
+from .files import reading, writing
+
+#: Records of a layer that one task reads, and bytes of a member that are copied at once.
+PART_RECORDS, COPY_BYTES = 50_000, 8 << 20
 #: Features sent to Spark at once.
 BATCH = 2000
 _POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
@@ -30,9 +38,8 @@ FEATURES = "archive string, member string, gid bigint, attributes map<string,str
 _KINDS = {3: "line", 13: "line", 23: "line", 5: "polygon", 15: "polygon", 25: "polygon"}
 
 
-def shapes(data: bytes) -> Iterator[tuple[str | None, list[np.ndarray], tuple[float, ...]]]:
-    """(kind, parts as arrays of x and y, box) of every record of a shape file; null shapes have no parts."""
-    at = 100
+def shapes(data: bytes, at: int = 0) -> Iterator[tuple[str | None, list[np.ndarray], tuple[float, ...]]]:
+    """(kind, parts as arrays of x and y, box) of every record from a place on; null shapes have no parts."""
     while at + 8 <= len(data):
         size = 2 * struct.unpack_from(">i", data, at + 4)[0]
         kind = _KINDS.get(struct.unpack_from("<i", data, at + 8)[0])
@@ -46,61 +53,185 @@ def shapes(data: bytes) -> Iterator[tuple[str | None, list[np.ndarray], tuple[fl
         at += 8 + size
 
 
-def records(data: bytes, encoding: str) -> Iterator[dict[str, str | None]]:
-    """Fields of every record of the attribute table beside a shape file; blank ones are null."""
-    count, head, width = struct.unpack_from("<IHH", data, 4)
-    fields, at, place = [], 32, 1
-    while data[at] != 0x0D:
-        fields.append((data[at : at + 11].split(b"\0")[0].decode("ascii"), place, data[at + 16]))
-        place, at = place + data[at + 16], at + 32
-    for n in range(count):
-        row = data[head + n * width : head + (n + 1) * width]
-        yield {name: row[a : a + size].decode(encoding, "replace").strip(" \0") or None for name, a, size in fields}
-
-
-def _features(archive: str, content: bytes, prefix: str) -> Iterator[tuple]:
-    with zipfile.ZipFile(io.BytesIO(content)) as held:
-        names = {n.lower(): n for n in held.namelist()}
-        found = [n for n in held.namelist() if n.lower().endswith(".shp") and os.path.basename(n).startswith(prefix)]
-        if not found:
-            raise FileNotFoundError(f"no shape file of layer {prefix} in {archive}")
-        for member in found:
-            beside = member[:-4].lower()
-            if f"{beside}.dbf" not in names:
-                raise FileNotFoundError(f"{member} in {archive} has no attribute table")
-            encoding = held.read(names[f"{beside}.cpg"]).decode("ascii").strip() if f"{beside}.cpg" in names else "utf-8"
-            for gid, ((kind, parts, box), fields) in enumerate(zip(shapes(held.read(member)), records(held.read(names[f"{beside}.dbf"]), encoding), strict=True)):
-                yield archive, member, gid, list(fields.items()), [{"kind": kind, "points": [{"x": x, "y": y} for x, y in p.tolist()]} for p in parts], *box
-
-
-def read_shape_layer(spark: SparkSession, path: str, prefix: str) -> DataFrame:
+class Attributes:
+    """The attribute table beside a shape file: fixed-width rows, read by ranges."""
+
+    def __init__(self, file, encoding: str):
+        self.file, self.encoding = file, encoding
+        self.count, self.head, self.width = struct.unpack_from("<IHH", file.read_at(32, 0), 4)
+        fields, at, place = file.read_at(self.head, 0), 32, 1
+        self.fields = []
+        while fields[at] != 0x0D:
+            self.fields.append((fields[at : at + 11].split(b"\0")[0].decode("ascii"), place, fields[at + 16]))
+            place, at = place + fields[at + 16], at + 32
+
+    def rows(self, first: int, n: int) -> Iterator[dict[str, str | None]]:
+        """Fields of records; blank ones are null."""
+        data = self.file.read_at(n * self.width, self.head + first * self.width)
+        for k in range(n):
+            row = data[k * self.width : (k + 1) * self.width]
+            yield {name: row[a : a + size].decode(self.encoding, "replace").strip(" \0") or None for name, a, size in self.fields}
+
+
+_MEMBERS = pa.schema([("archive", pa.string()), ("member", pa.string()), ("copy", pa.string()), ("encoding", pa.string())])
+MEMBERS = "archive string, member string, copy string, encoding string"
+
+
+def layer_members(archives: DataFrame, prefix: str) -> DataFrame:
+    """(archive, member): the shape files of a layer in each archive (path), with the files beside them.
+
+    An archive without the layer, or a layer without its attribute table or its index,
+    ends the read with an error.
+    """
+    schema = pa.schema([("archive", pa.string()), ("member", pa.string())])
+
+    def listed(batches):
+        for batch in batches:
+            out = []
+            for archive in batch.column("path").to_pylist():
+                with reading(archive) as f, zipfile.ZipFile(f) as held:
+                    names = {n.lower() for n in held.namelist()}
+                    found = [n for n in held.namelist() if n.lower().endswith(".shp") and os.path.basename(n).startswith(prefix)]
+                if not found:
+                    raise FileNotFoundError(f"no shape file of layer {prefix} in {archive}")
+                for member in found:
+                    for ending, what in ((".dbf", "attribute table"), (".shx", "index")):
+                        if member[:-4].lower() + ending not in names:
+                            raise FileNotFoundError(f"{member} in {archive} has no {what}")
+                    out.append((archive, member))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else ([], []))], schema=schema)
+
+    return archives.select("path").mapInArrow(listed, "archive string, member string")
+
+
+def _tasks(df: DataFrame) -> int:
+    """A stated number of partitions, which Spark does not merge: their rows are small, but what they name is not."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def extracted(members: DataFrame, folder: str) -> DataFrame:
+    """(archive, member, copy, encoding): each member and the files beside it copied to the folder, a stretch at a time.
+
+    ``copy`` is the path of the copies without their endings.
+    """
+
+    def copied(batches):
+        for batch in batches:
+            out = []
+            for archive, member in zip(*(batch.column(c).to_pylist() for c in ("archive", "member"))):
+                copy, encoding = f"{folder}/{uuid.uuid4().hex}", "utf-8"
+                with reading(archive) as f, zipfile.ZipFile(f) as held:
+                    names = {n.lower(): n for n in held.namelist()}
+                    for ending in (".shp", ".shx", ".dbf"):
+                        with held.open(names[member[:-4].lower() + ending]) as source, writing(copy + ending) as target:
+                            while part := source.read(COPY_BYTES):
+                                target.write(part)
+                    if (name := names.get(member[:-4].lower() + ".cpg")) is not None:
+                        encoding = held.read(name).decode("ascii").strip()
+                out.append((archive, member, copy, encoding))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else [[]] * 4)], schema=_MEMBERS)
+
+    return members.repartition(_tasks(members), "archive", "member").mapInArrow(copied, MEMBERS)
+
+
+def _records(copy: str, encoding: str, first: int, n: int) -> Iterator[tuple]:
+    """(gid, attributes, parts, box) of some records of an extracted layer."""
+    with reading(copy + ".shx") as f:
+        index = np.frombuffer(f.read_at(8 * n, 100 + 8 * first), ">i4").reshape(-1, 2).astype(np.int64) * 2
+    begin, stop = int(index[0, 0]), int(index[-1, 0] + index[-1, 1]) + 8
+    with reading(copy + ".shp") as f:
+        data = f.read_at(stop - begin, begin)
+    with reading(copy + ".dbf") as f:
+        fields = list(Attributes(f, encoding).rows(first, n))
+    # Records need not lie in the order of the index, nor side by side.
+    for k, own in enumerate(fields):
+        kind, parts, box = next(shapes(data, int(index[k, 0]) - begin)) if begin <= index[k, 0] < stop else next(_alone(copy, index[k]))
+        yield first + k, list(own.items()), [{"kind": kind, "points": [{"x": x, "y": y} for x, y in p.tolist()]} for p in parts], *box
+
+
+def _alone(copy: str, entry: np.ndarray) -> Iterator[tuple]:
+    with reading(copy + ".shp") as f:
+        yield from shapes(f.read_at(int(entry[1]) + 8, int(entry[0])))
+
+
+def read_shape_layer(spark: SparkSession, path: str, prefix: str, part_records: int = PART_RECORDS) -> DataFrame:
     """Features of one layer (the start of its file names) of all zip archives under a path.
 
     Columns: archive, member, gid (the place in the file), attributes, parts and the
-    stored box. An archive without the layer, or a layer without its attribute
-    table, ends the read with an error.
+    stored box.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
+    # Written, so that each member is copied once whatever reads it.
+    copies = kept(extracted(layer_members(files, prefix), f"{shared_dir(spark)}/members-{uuid.uuid4().hex}"), "members")
+
+    def counted(batches):
+        for batch in batches:
+            n = []
+            for copy in batch.column("copy").to_pylist():
+                with reading(copy + ".shx") as f:
+                    n.append((f.size() - 100) // 8)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], schema=_MEMBERS.append(pa.field("n", pa.int64())))
+
+    step = F.lit(part_records).cast("long")
+    sized = copies.mapInArrow(counted, MEMBERS + ", n bigint").filter("n > 0")
+    parts = sized.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step)).alias("first")).withColumn("size", F.least(step, F.col("n") - F.col("first"))).repartition(_tasks(copies), "copy", "first")
 
     def read(batches):
         for batch in batches:
-            for archive, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            for archive, member, copy, encoding, first, size in zip(*(batch.column(c).to_pylist() for c in ("archive", "member", "copy", "encoding", "first", "size"))):
                 rows = []
-                for row in _features(archive, content, prefix):
-                    rows.append(row)
+                for row in _records(copy, encoding, first, size):
+                    rows.append((archive, member, *row))
                     if len(rows) == BATCH:
                         yield _batch(rows)
                         rows = []
                 if rows:
                     yield _batch(rows)
 
-    return files.mapInArrow(read, FEATURES)
+    return parts.mapInArrow(read, FEATURES)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FEATURES.types)], schema=_FEATURES)
 
 
+def shape_files(kind: int, features: list[list[list[tuple[float, float]]]], names: list[str], rows: list[list[str | None]], width: int = 24) -> dict[str, bytes]:
+    """The files of a layer by ending: its shapes (each a list of parts), their index, and their attributes as text."""
+    body, index = b"", b""
+    for n, parts in enumerate(features):
+        points = [p for part in parts for p in part]
+        starts = np.cumsum([0, *map(len, parts)])[:-1].astype("<i4").tobytes() if parts else b""
+        content = struct.pack("<i", 0)
+        if points:
+            xs, ys = zip(*points)
+            content = struct.pack("<i4d2i", kind, min(xs), min(ys), max(xs), max(ys), len(parts), len(points)) + starts + np.array(points, "<f8").tobytes()
+        index += struct.pack(">2i", (100 + len(body)) // 2, len(content) // 2)
+        body += struct.pack(">2i", n + 1, len(content) // 2) + content
+    header = lambda data: struct.pack(">i5ii", 9994, 0, 0, 0, 0, 0, (100 + len(data)) // 2) + struct.pack("<2i8d", 1000, kind, *[0.0] * 8) + data
+    head = 33 + 32 * len(names)
+    table = struct.pack("<B3BIHH20x", 3, 126, 1, 1, len(rows), head, 1 + width * len(names)) + b"".join(n.encode().ljust(11, b"\0") + b"C" + bytes(4) + bytes([width]) + bytes(15) for n in names) + b"\r"
+    table += b"".join(b" " + b"".join((v or "").encode()[:width].ljust(width) for v in row) for row in rows)
+    return {".shp": header(body), ".shx": header(index), ".dbf": table, ".cpg": b"UTF-8"}
+
+
+def write_archives(features: DataFrame, folder: str, layer: str, kind: int, fields: list[str]) -> DataFrame:
+    """Writes features (archive, gid, parts as arrays of points x, y, and the fields) as one zip archive for each ``archive`` and returns the paths."""
+    schema = pa.schema([("path", pa.string())])
+
+    def write(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["gid"])
+        files = shape_files(kind, [[[(p["x"], p["y"]) for p in part] for part in r["parts"]] for r in rows], fields, [[r[f] for f in fields] for r in rows])
+        packed, path = io.BytesIO(), f"{folder}/{rows[0]['archive']}.zip"
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as held:
+            for ending, content in files.items():
+                held.writestr(f"data/{layer}_1{ending}", content)
+        with writing(path) as f:
+            f.write(packed.getvalue())
+        return pa.table([[path]], schema=schema)
+
+    return features.select("archive", "gid", "parts", *fields).groupBy("archive").applyInArrow(write, "path string")
+
+
 def with_fields(features: DataFrame, *names: str) -> DataFrame:
     """Attributes as columns of their own; one that the layer lacks is null."""
     return features.select("*", *(F.col("attributes")[n].alias(n) for n in names))

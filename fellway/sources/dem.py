@@ -15,7 +15,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -23,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .. import config as C
 from ..functions.geo import decode_elevation, tile_of
 from ..functions.text import KEY_PATTERN
+from .files import reading, writing
 
 PIXELS = "zoom int, gx bigint, gy bigint, r int, g int, b int"
 _PIXELS = pa.schema([("zoom", pa.int32()), ("gx", pa.int64()), ("gy", pa.int64()), ("r", pa.int32()), ("g", pa.int32()), ("b", pa.int32())])
@@ -98,9 +98,8 @@ def tile_path(path: str, zoom: int, x: int, y: int) -> str:
 
 def open_tile(path: str) -> bytes:
     """A tile's file; one that can't be read ends the read, without the key that its path may hold."""
-    system, inner = fs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+.-]*://", path) else (fs.LocalFileSystem(), path)
     try:
-        with system.open_input_stream(inner) as f:
+        with reading(path) as f:
             return f.read()
     except OSError:
         raise FileNotFoundError(f"no elevation tile {re.sub(KEY_PATTERN, r'\1***REDACTED***', path)}") from None
@@ -134,7 +133,9 @@ def needed_pixels(axes: DataFrame, path: str) -> DataFrame:
             for zoom, x, y in zip(*(batch.column(c).to_pylist() for c in ("zoom", "tile_x", "tile_y"))):
                 yield tile_pixels(path, zoom, x, y)
 
-    tiles = tiles_of(axes).select("zoom", "tile_x", "tile_y").distinct().repartition("zoom", "tile_x", "tile_y")
+    tiles = tiles_of(axes).select("zoom", "tile_x", "tile_y").distinct()
+    # A stated number of partitions: Spark would merge them, as rows that only name tiles are small.
+    tiles = tiles.repartition(int(axes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "zoom", "tile_x", "tile_y")
     return _elevations(tiles.mapInArrow(read, PIXELS))
 
 
@@ -192,10 +193,7 @@ def write_tiles(pixels: DataFrame, path: str, fill: tuple[int, int, int] = (1, 1
         known = table.filter(table.column("r").is_valid())
         gx, gy, *colours = (known.column(c).to_numpy() for c in ("gx", "gy", "r", "g", "b"))
         rgb[gy - y * C.TILE, gx - x * C.TILE] = np.stack(colours, axis=1)
-        name = tile_path(path, zoom, x, y)
-        system, inner = fs.FileSystem.from_uri(name) if re.match(r"[a-z][a-z0-9+.-]*://", name) else (fs.LocalFileSystem(), name)
-        system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-        with system.open_output_stream(inner) as f:
+        with writing(tile_path(path, zoom, x, y)) as f:
             f.write(encode_png(rgb))
         return pa.table([[zoom], [x], [y]], schema=schema)
 

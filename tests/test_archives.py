@@ -1,44 +1,21 @@
 """Shape layers written by the test into zip archives, and the preparation job over them."""
 
-import struct
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from fellway.plans.prepare import prepare_layers
-from fellway.sources.archives import read_shape_layer
+from fellway.sources.archives import read_shape_layer, shape_files
 from fellway.sources.layers import read_layer
 
 
-def shape_file(kind, features):
-    body = b""
-    for n, parts in enumerate(features):
-        points = [p for part in parts for p in part]
-        xs, ys = [p[0] for p in points], [p[1] for p in points]
-        starts, at = [], 0
-        for part in parts:
-            starts.append(at)
-            at += len(part)
-        content = struct.pack("<i", 0)
-        if points:
-            content = struct.pack("<i4d2i", kind, min(xs), min(ys), max(xs), max(ys), len(parts), len(points)) + struct.pack(f"<{len(parts)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in points)
-        body += struct.pack(">2i", n + 1, len(content) // 2) + content
-    return struct.pack(">i5ii", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<2i8d", 1000, kind, *[0.0] * 8) + body
-
-
-def attribute_table(names, rows, width=12):
-    head = 33 + 32 * len(names)
-    out = struct.pack("<B3BIHH20x", 3, 126, 1, 1, len(rows), head, 1 + width * len(names))
-    out += b"".join(n.encode().ljust(11, b"\0") + b"C" + bytes(4) + bytes([width]) + bytes(15) for n in names) + b"\r"
-    return out + b"".join(b" " + b"".join((v or "").encode("latin-1").ljust(width) for v in row) for row in rows)
-
-
-def archive(path, layers):
+def archive(path, layers, without=()):
     with zipfile.ZipFile(path, "w") as z:
         for name, (kind, features, names, rows) in layers.items():
-            z.writestr(f"data/{name}.shp", shape_file(kind, features))
-            z.writestr(f"data/{name}.dbf", attribute_table(names, rows))
-            z.writestr(f"data/{name}.cpg", "ISO-8859-1")
+            for ending, content in shape_files(kind, features, names, rows, width=12).items():
+                if ending not in without:
+                    z.writestr(f"data/{name}{ending}", content)
 
 
 LINE, SQUARE = [(174.0, -41.0), (174.1, -41.0), (174.2, -41.1)], [(179.0, -41.0), (181.0, -41.0), (181.0, -40.0), (179.0, -40.0), (179.0, -41.0)]
@@ -48,7 +25,7 @@ HOLE = [(179.2, -40.8), (179.4, -40.8), (179.4, -40.6), (179.2, -40.8)]
 @pytest.fixture
 def raw(tmp_path):
     archive(tmp_path / "a.zip", {
-        "ways_1": (3, [[LINE], [LINE, LINE[:2]], [LINE], []], ["fclass", "name"], [["river", "Ōtākou"[1:2]], ["canal", None], ["drain", None], ["stream", None]]),
+        "ways_1": (3, [[LINE], [LINE, LINE[:2]], [LINE], []], ["fclass", "name"], [["river", "Ōtāk"], ["canal", None], ["drain", None], ["stream", None]]),
         "roads_1": (3, [[LINE], [LINE], [LINE]], ["fclass", "bridge"], [["path", "T"], ["motorway", "T"], [None, "F"]]),
         "water_1": (5, [[SQUARE, HOLE]], ["fclass"], [["wäter"]]),
     })
@@ -78,3 +55,22 @@ def test_preparation_job(spark, raw, tmp_path):
     assert read_layer(spark, out, "streams").count() == 5
     assert prepare_layers(spark, wanted, out) == {}
     assert prepare_layers(spark, {"bridges": (raw, "roads")}, out, overwrite=True) == {"bridges": {"scanned": 3, "written": 2}}
+
+
+def test_parts_of_a_layer_make_the_whole(spark, tmp_path):
+    lines = [[[(float(k), float(n)) for n in range(2 + k % 5)] for _ in range(k % 3)] for k in range(57)]
+    for name in ("a", "b"):
+        archive(tmp_path / f"{name}.zip", {"ways_1": (3, lines, ["fclass"], [[f"{name}{k}"] for k in range(57)]), "ways_2": (3, lines[:3], ["fclass"], [[None]] * 3)})
+    key = lambda df: sorted((r.archive, r.member, r.gid, str(r.attributes), str(r.parts)) for r in df.collect())
+    whole, parts = (read_shape_layer(spark, str(tmp_path), "ways", n) for n in (1000, 7))
+    assert key(whole) == key(parts) and len(key(whole)) == 2 * 60
+    assert parts.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_incomplete_layers_are_errors(spark, tmp_path):
+    for without, what in ((".dbf", "attribute table"), (".shx", "index")):
+        folder = tmp_path / without
+        folder.mkdir()
+        archive(folder / "a.zip", {"ways_1": (3, [[LINE]], ["fclass"], [["river"]])}, without=(without,))
+        with pytest.raises(Exception, match=what):
+            read_shape_layer(spark, str(folder), "ways").collect()
