@@ -17,6 +17,7 @@ from ..functions.geo import decode_elevation
 from ..operators.grid import grid_axes
 from ..operators.layers import ring_edges
 from ..operators.shared import shared_dir
+from ..sources.archives import write_archives
 from ..sources.dem import tiles_of, write_tiles
 
 WIDTH, CELL_M, LAT0, LON0 = 50, 25.0, -41.0, 175.0
@@ -112,7 +113,7 @@ def osm_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.col("l_returnflag")
     fclass = F.element_at(kinds, (F.col("l_linenumber") % 7 + 1).cast("int"))
     return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.when(F.col("l_suppkey") % 11 != 0, fclass).alias("fclass"), F.when(flag == "R", F.lit("T")).when(flag == "N", F.lit(None)).otherwise(F.lit("F")).alias("bridge")
+        "l_orderkey", "l_linenumber", "l_suppkey", F.when(F.col("l_suppkey") % 11 != 0, fclass).alias("fclass"), F.when(flag == "R", F.lit("T")).when(flag == "N", F.lit(None)).otherwise(F.lit("F")).alias("bridge")
     )
 
 
@@ -187,6 +188,33 @@ def raster_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select(k.cast("string").alias("grid_id"), box.alias("bbox"), F.lit(RASTER_CELL_M).alias("cell_m"))
 
 
+#: Archives that each raw layer is dealt to.
+ARCHIVES = 4
+
+
+def raw_archives(spark: SparkSession, sf_dir: str) -> dict[str, tuple[str, str]]:
+    """Writes ways, waters and oceans as shape layers in zip archives; returns what ``prepare_layers`` takes."""
+    base = f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}"
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    x, y = F.lit(170.0) + (k % 100) * 0.01, F.lit(-41.0) - n * 0.01
+    far = F.when(F.col("l_suppkey") % 13 == 0, F.lit(0.0)).otherwise(F.lit(0.001))
+    line = F.when(n % 2 == 1, F.array(point(x, y), point(x + far, y), point(x + far, y + far))).otherwise(F.array(point(x, y), point(x + far, y)))
+    ways = osm_lines(spark, sf_dir).withColumn("parts", F.array(line))
+    closed = lambda corners: F.array(F.array(*corners, corners[0]))
+    corner = lambda dc, dr: point(x_of(F.col("c0") + dc * F.col("radius")), y_of(F.col("r0") + dr * F.col("radius")))
+    lakes = diamonds(spark, sf_dir).select("gid", closed([corner(1, 0), corner(0, 1), corner(-1, 0), corner(0, -1)]).alias("parts"), F.lit("lake").alias("fclass"))
+    m = F.col("n_nationkey")
+    west, south = F.lit(178.05) + m * 0.2, F.lit(-40.0) - m * 0.1
+    sea = closed([point(west, south), point(west + 3, south), point(west + 3, south + 1), point(west, south + 1)])
+    oceans = table(spark, sf_dir, "nation").select(m.cast("long").alias("gid"), sea.alias("parts"), F.lit("ocean").alias("fclass"))
+    dealt = lambda df, key: df.withColumn("archive", F.concat(F.lit("part"), (key % ARCHIVES).cast("string")))
+    ways = ways.withColumn("gid", k * 8 + n)
+    for name, df, key, kind, fields in (("ways", ways, k, 3, ["fclass", "bridge"]), ("lakes", lakes, F.col("gid"), 5, ["fclass"]), ("oceans", oceans, F.col("gid"), 5, ["fclass"])):
+        write_archives(dealt(df, key), f"{base}/{name}", name, kind, fields).count()
+    return {"streams": (f"{base}/ways", "ways"), "bridges": (f"{base}/ways", "ways"), "water": (f"{base}/lakes", "lakes"), "ocean": (f"{base}/oceans", "oceans")}
+
+
 #: Where the service's requests lie, and the edges of its waters there, in degrees east and north.
 SERVICE_LON, SERVICE_LAT = 175.0, -41.0
 LAKE, MOAT, ISLE, WALL = (0.018, -0.002, 0.022, 0.002), (0.052, -0.008, 0.068, 0.008), (0.057, -0.003, 0.063, 0.003), (0.104, -0.025, 0.106, 0.025)

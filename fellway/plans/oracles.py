@@ -157,8 +157,10 @@ PARTS = {
     "tracks": "SELECT user_id, event_id, ts, 170.0::DOUBLE + (event_id * 37 % 1000) / 1000.0::DOUBLE AS lon, -42.0::DOUBLE + (event_id * 91 % 1000) / 1000.0::DOUBLE AS lat FROM events",
     "stepped": f"SELECT *, coalesce(1000.0::DOUBLE * {hav_km('lag(lon) OVER w', 'lag(lat) OVER w', 'lon', 'lat')}, 0.0) AS step_m FROM tracks WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
     "along": "SELECT *, sum(step_m) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS along_m FROM stepped",
-    "osm_lines": """SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 11 <> 0 THEN ['river','stream','canal','drain','primary','motorway','path'][l_linenumber % 7 + 1] END AS fclass,
+    "osm_lines": """SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_suppkey % 11 <> 0 THEN ['river','stream','canal','drain','primary','motorway','path'][l_linenumber % 7 + 1] END AS fclass,
       CASE WHEN l_returnflag = 'R' THEN 'T' WHEN l_returnflag = 'N' THEN NULL ELSE 'F' END AS bridge FROM lineitem""",
+    "ways": """SELECT fclass, bridge, CASE WHEN n3 THEN 2 ELSE 1 END AS n, CASE WHEN n3 THEN x + y + (x + 0.001::DOUBLE) + (y + 0.001::DOUBLE) ELSE x + y END AS total FROM (
+      SELECT o.fclass, o.bridge, o.l_linenumber % 2 = 1 AS n3, 170.0::DOUBLE + (o.l_orderkey % 100) * 0.01::DOUBLE AS x, -41.0::DOUBLE - o.l_linenumber * 0.01::DOUBLE AS y FROM osm_lines o WHERE o.l_suppkey % 13 <> 0)""",
     "places": """SELECT 'q' || (k % 40) AS query, k AS c_custkey, CASE WHEN k % 6 = 0 THEN '' WHEN k % 7 = 0 THEN NULL ELSE c_name END AS name, CASE WHEN k % 4 = 0 THEN 'Street ' || (k % 9) END AS street,
       CASE WHEN k % 8 = 0 THEN CAST(k % 50 AS VARCHAR) ELSE '' END AS housenumber, CASE WHEN k % 3 = 0 THEN n_name ELSE '' END AS district, CASE WHEN k % 42 <> 0 THEN n_name END AS city,
       CASE WHEN k % 5 = 0 THEN c_mktsegment END AS county, 'State' AS state, CASE WHEN k % 10 = 0 THEN 'nz' WHEN k % 10 = 1 THEN 'AU' WHEN k % 10 = 2 THEN '' END AS countrycode,
@@ -314,6 +316,12 @@ ORACLE_SQL = {
     "ocean_bbox_clip": sql(f"""SELECT gid, round(abs(sum((x - {d(X.LON0)}) * (y1 - {d(X.LAT0)}) - (x1 - {d(X.LON0)}) * (y - {d(X.LAT0)}))) / 2.0 / ({d(X.LON_STEP)} * {d(X.LAT_STEP)}), 6) AS cells FROM (
       SELECT gid, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x1, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y1, count(*) OVER (PARTITION BY gid) AS n FROM north_cut WINDOW w AS (PARTITION BY gid ORDER BY seq)) WHERE n > 2 GROUP BY gid"""),
     "line_bbox_clip": sql(f"SELECT gid, round(h.ax + t0 * (h.bx - h.ax), 9) AS ax, round(h.ay + t0 * (h.by - h.ay), 9) AS ay, round(h.ax + t1 * (h.bx - h.ax), 9) AS bx, round(h.ay + t1 * (h.by - h.ay), 9) AS by FROM (SELECT g.*, {_T0} AS t0, {_T1} AS t1 FROM bridges g WHERE NOT (g.by = g.ay AND (g.ay < {_B['min_lat']} OR g.ay > {_B['max_lat']}))) h WHERE t0 <= t1"),
+    "prepare_job": sql(f"""SELECT 'streams' AS layer, (SELECT count(*) FROM lineitem) AS scanned, CAST(sum(n) AS BIGINT) AS written, round(sum(total), 3) AS total FROM ways WHERE fclass IN ('river', 'stream', 'canal')
+      UNION ALL SELECT 'bridges', (SELECT count(*) FROM lineitem), CAST(sum(n) AS BIGINT), round(sum(total), 3) FROM ways WHERE bridge = 'T' AND (fclass IS NULL OR fclass NOT IN ('motorway', 'motorway_link', 'trunk', 'trunk_link'))
+      UNION ALL SELECT 'water', (SELECT count(*) FROM diamonds), count(*), round(sum(w.ax + w.by), 3) FROM water w
+      UNION ALL SELECT 'ocean', (SELECT count(*) FROM nation), count(*) * 4, round(sum(2 * (x0 + x1) + 2 * (y0 + y0 + 1)), 3) FROM (SELECT x0, least(x0 + 3, 180.0) AS x1, y0 FROM (SELECT 178.05::DOUBLE + n_nationkey * 0.2::DOUBLE AS x0, -40.0::DOUBLE - n_nationkey * 0.1::DOUBLE AS y0 FROM nation) WHERE x0 <= 180)"""),
+    "shape_layer": """SELECT CASE WHEN l_suppkey % 11 <> 0 THEN ['river','stream','canal','drain','primary','motorway','path'][l_linenumber % 7 + 1] END AS fclass, CASE WHEN l_returnflag = 'R' THEN 'T' WHEN l_returnflag = 'N' THEN NULL ELSE 'F' END AS bridge, count(*) AS n,
+      CAST(sum(CASE WHEN l_linenumber % 2 = 1 THEN 3 ELSE 2 END) AS BIGINT) AS vertices, round(min(170.0::DOUBLE + (l_orderkey % 100) * 0.01::DOUBLE), 6) AS west, round(max(-41.0::DOUBLE - l_linenumber * 0.01::DOUBLE + CASE WHEN l_linenumber % 2 = 1 AND l_suppkey % 13 <> 0 THEN 0.001::DOUBLE ELSE 0 END), 6) AS north FROM lineitem GROUP BY 1, 2""",
     "place_dedupe_topk": sql(f"""SELECT query, c_custkey, label, place_key FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY src_rank) AS nth FROM (
       SELECT *, row_number() OVER (PARTITION BY query, place_key ORDER BY src_rank) AS copy_nth FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY src_rank) AS fetched FROM labelled)
       WHERE fetched <= 12 AND {_IN_REGION} AND label <> '') WHERE copy_nth = 1) WHERE nth <= 7"""),

@@ -9,6 +9,7 @@ from .. import config as C
 from ..operators import cost, layers
 from ..operators.export import write_layers
 from ..sources.archives import read_shape_layer, with_fields
+from ..sources.files import exists
 
 
 def line_layer(features: DataFrame) -> DataFrame:
@@ -57,8 +58,6 @@ def prepare_layers(spark: SparkSession, archives: dict[str, tuple[str, str]], ou
         else:
             table = polygon_layer(features)
         made[name] = table.observe(counted[name][1], F.count("*").alias("n"))
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    new = {name for name in made if overwrite or not store.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}"))}
+    new = {name for name in made if overwrite or not exists(f"{out}/{name}")}
     write_layers({name: made[name] for name in made if name in new}, out, overwrite)
     return {name: {"scanned": counted[name][0].get["n"], "written": counted[name][1].get["n"]} for name in new}

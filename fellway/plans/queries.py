@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import geo, text
 from ..operators import cost, export, grid, layers, paths, profile, routes, search, spatial
+from ..operators.shared import shared_dir
 from ..sources import dem
 from ..sources import requests as requests_source
+from ..sources.archives import read_shape_layer, with_fields
+from ..sources.layers import read_layer
 from . import fixtures as X
-from . import service
+from . import prepare, service
 
 #: Degrees per bucket for features as small as the fixture's.
 DIGITS = 9
@@ -289,6 +294,25 @@ def ocean_bbox_clip(s: SparkSession, d: str) -> DataFrame:
     return cut.groupBy("gid").agg(F.round(area, 6).alias("cells"))
 
 
+def prepare_job(s: SparkSession, d: str) -> DataFrame:
+    """From raw archives to the engine's layers: what each scanned and wrote, and the sum of its coordinates."""
+    out = f"{shared_dir(s)}/layers-{uuid.uuid4().hex}"
+    counts = prepare.prepare_layers(s, X.raw_archives(s, d), out)
+    rows = [(name, n["scanned"], n["written"]) for name, n in sorted(counts.items())]
+    tables = None
+    for name, _, _ in rows:
+        own = read_layer(s, out, name).agg(F.round(F.sum(F.col("ax") + F.col("by")), 3).alias("total")).select(F.lit(name).alias("layer"), "total")
+        tables = own if tables is None else tables.unionByName(own)
+    return s.createDataFrame(rows, "layer string, scanned bigint, written bigint").join(tables, "layer")
+
+
+def shape_layer(s: SparkSession, d: str) -> DataFrame:
+    """A shape layer read in parts by the records of its index: its fields, and the vertices of its lines."""
+    path, layer = X.raw_archives(s, d)["streams"]
+    features = with_fields(read_shape_layer(s, path, layer, part_records=1000), "fclass", "bridge")
+    return features.groupBy("fclass", "bridge").agg(F.count("*").alias("n"), F.sum(F.size(F.col("parts")[0]["points"])).alias("vertices"), F.round(F.min("min_x"), 6).alias("west"), F.round(F.max("max_y"), 6).alias("north"))
+
+
 def line_bbox_clip(s: SparkSession, d: str) -> DataFrame:
     cut = layers.clip_segments(X.bridges(s, d), BOX)
     return cut.select("gid", *[F.round(c, DIGITS).alias(c) for c in ("ax", "ay", "bx", "by")])
@@ -382,7 +406,7 @@ QUERIES = {
     for f in (
         terrain_grid, raster_grid, tile_elevation, tile_source, raster_to_cost, route_display, tile_index, zoom_pick, rgb_decode, great_circle, directional_cost, cross_slope, water_mask, water_union, step_crossing, stream_penalty, bridge_restore, spatial_prefilter,
         nearest_snap, waypoints_in_water, sssp_terrain, sssp_full, sssp_barrier, sssp_blocks, multi_leg_summary, route_summary, route_profile, geojson_route, gpx_export, service_answers, warm_up_route, connectivity, bbox_dynamic,
-        cell_budget, cumulative_distance, interpolate_along, track_bounds, etl_stream_filter, etl_bridge_filter, etl_layer_counts, etl_multipart_explode, ocean_bbox_clip, line_bbox_clip,
+        cell_budget, cumulative_distance, interpolate_along, track_bounds, etl_stream_filter, etl_bridge_filter, etl_layer_counts, etl_multipart_explode, ocean_bbox_clip, line_bbox_clip, prepare_job, shape_layer,
         place_dedupe_topk, place_labels, kind_zoom, redact_keys, proxy_path, tile_url_rewrite, key_stripping, waypoint_roles, friendly_errors, durations, request_parse, debounce_sessions, latest_wins, waypoint_edits,
     )
 }

@@ -24,3 +24,8 @@ def writing(path: str):
     system, inner = located(path)
     system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
     return system.open_output_stream(inner)
+
+
+def exists(path: str) -> bool:
+    system, inner = located(path)
+    return system.get_file_info(inner).type != fs.FileType.NotFound
