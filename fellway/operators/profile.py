@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
+from .. import config as C
 from ..functions.geo import haversine_m
 
 
@@ -37,3 +41,32 @@ def positions_at(points: DataFrame, key: list[str], shares: list[float], order:
 
 def track_bounds(points: DataFrame, key: list[str]) -> DataFrame:
     return points.groupBy(*key).agg(F.min("lon").alias("min_lon"), F.min("lat").alias("min_lat"), F.max("lon").alias("max_lon"), F.max("lat").alias("max_lat"))
+
+
+class RoutePoints:
+    """The points of one route in order, with the kilometres and the metres climbed so far.
+
+    Each partition of the table argument is a route, and gets an instance of its own,
+    which holds one point.
+    """
+
+    def __init__(self):
+        self.before, self.km, self.climb = None, 0.0, 0.0
+
+    def eval(self, row: Row):
+        if self.before is not None:
+            lon, lat = math.radians(row["lon"] - self.before["lon"]), math.radians(row["lat"] - self.before["lat"])
+            across = math.cos(math.radians(self.before["lat"])) * math.cos(math.radians(row["lat"])) * math.sin(lon / 2) ** 2
+            self.km += 2 * C.EARTH_KM * math.asin(math.sqrt(math.sin(lat / 2) ** 2 + across))
+            self.climb += max(0.0, row["elev"] - self.before["elev"])
+        self.before = row
+        yield row["route_id"], row["seq"], row["lon"], row["lat"], row["elev"], self.km, self.climb
+
+
+def register_route_points(spark: SparkSession, name: str = "route_points") -> None:
+    """Makes the points callable in SQL: ``SELECT * FROM route_points(TABLE(points) PARTITION BY route_id ORDER BY seq)``.
+
+    ``points`` has route_id (a string), seq, lon, lat and elev.
+    """
+    columns = "route_id string, seq bigint, lon double, lat double, elev double, along_km double, climb_m double"
+    spark.udtf.register(name, udtf(RoutePoints, returnType=columns))

@@ -188,6 +188,17 @@ def raster_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select(k.cast("string").alias("grid_id"), box.alias("bbox"), F.lit(RASTER_CELL_M).alias("cell_m"))
 
 
+#: Coarse cells of the fixture's stored layer, in degrees.
+STORE_CELL = 0.003
+
+
+def store_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(bbox): a small area per nation, in steps along the grid's diagonal."""
+    k = F.col("n_nationkey")
+    south, west = F.lit(LAT0) + k * 0.001, F.lit(LON0) + k * 0.0005
+    return table(spark, sf_dir, "nation").select(F.struct(south.alias("min_lat"), west.alias("min_lon"), (south + 0.0004).alias("max_lat"), (west + 0.0004).alias("max_lon")).alias("bbox"))
+
+
 #: Archives that each raw layer is dealt to.
 ARCHIVES = 4
 

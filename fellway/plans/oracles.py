@@ -335,6 +335,17 @@ ORACLE_SQL = {
     "friendly_errors": "SELECT k AS c_custkey, CASE WHEN k % 3 = 0 THEN 'No path found between those two points.' ELSE (CASE k % 4 WHEN 0 THEN 'Start' ELSE 'Waypoint ' || (k % 4) END) || ' → ' || (CASE k % 4 WHEN 3 THEN 'End' ELSE 'Waypoint ' || (k % 4 + 1) END) || ' failed: reason ' || k END AS message FROM (SELECT c_custkey AS k FROM customer)",
     "durations": "SELECT o_orderkey, CAST(o_orderkey // 64 AS VARCHAR) || 'h ' || CAST(CAST(floor((o_orderkey % 64) / 64.0::DOUBLE * 60 + 0.5) AS BIGINT) AS VARCHAR) || 'm' AS shown FROM orders",
     "request_parse": "SELECT CAST(k AS VARCHAR) AS route_id, m = 3 AS warm, CASE WHEN m IN (0, 3, 5) THEN 200 ELSE 400 END AS status, CASE WHEN m IN (0, 5) THEN k END AS node_budget, CASE WHEN m IN (0, 5) THEN 3 END AS n_waypoints, CASE WHEN m IN (0, 5) THEN 170.5::DOUBLE + k % 5 END AS last_lon FROM (SELECT c_custkey AS k, c_custkey % 6 AS m FROM customer)",
+    "area_layer": sql(f"""SELECT gid, n, total FROM (SELECT w.gid, count(*) AS n, round(sum(w.ax + w.by), 6) AS total, floor(min(w.ax) / {d(X.STORE_CELL)}) AS x0, floor(max(w.ax) / {d(X.STORE_CELL)}) AS x1, floor(min(w.ay) / {d(X.STORE_CELL)}) AS y0, floor(max(w.ay) / {d(X.STORE_CELL)}) AS y1 FROM water w GROUP BY w.gid)
+      SEMI JOIN (SELECT floor(west / {d(X.STORE_CELL)}) AS a0, floor((west + 0.0004::DOUBLE) / {d(X.STORE_CELL)}) AS a1, floor(south / {d(X.STORE_CELL)}) AS b0, floor((south + 0.0004::DOUBLE) / {d(X.STORE_CELL)}) AS b1 FROM (SELECT {d(X.LAT0)} + n_nationkey * 0.001::DOUBLE AS south, {d(X.LON0)} + n_nationkey * 0.0005::DOUBLE AS west FROM nation)) ON x0 <= a1 AND x1 >= a0 AND y0 <= b1 AND y1 >= b0"""),
+    "query_keys": "SELECT c_custkey, lower(c_name) AS key FROM customer",
+    "http_requests": "SELECT k AS o_orderkey, CAST(k AS VARCHAR) AS x_order, CASE WHEN k % 4 = 2 THEN 'https://site2.example' ELSE 'https://site1.example' END AS origin, CASE WHEN k % 3 = 0 THEN 'POST' WHEN k % 5 = 0 THEN 'OPTIONS' ELSE 'GET' END AS method FROM (SELECT o_orderkey AS k FROM orders)",
+    "cli_waypoints": "SELECT c_custkey, CAST(2 + c_custkey % 4 AS INTEGER) AS n, '174.0 -41.0;' || array_to_string(list_concat(list_transform(range(1, 1 + c_custkey % 4), lambda n: CAST(n * 0.5::DOUBLE + 170 AS VARCHAR) || ' -4' || n || '.25'), ['175.0 -41.0']), ';') AS points FROM customer",
+    "response_bodies": """SELECT CAST(k AS VARCHAR) AS route_id, CASE WHEN k % 3 > 0 THEN 200 ELSE 400 END AS status, CASE WHEN k % 3 > 0 THEN '{"ok":true,"n_points":' || k || '}' ELSE '{"ok":false,"error":"no tile https://t.example/x.png?api=***REDACTED***&z=1"}' END AS body FROM (SELECT p_partkey AS k FROM part)""",
+    "gpx_files": "SELECT count(DISTINCT user_id) AS tracks, count(*) AS points, max('<name>Track ' || user_id || '</name>') AS last FROM events",
+    "route_points_sql": sql(f"""SELECT CAST(user_id AS VARCHAR) AS route_id, event_id AS seq, round(sum(km) OVER w, 6) AS along_km, round(CAST(sum(rise) OVER w AS DOUBLE), 6) AS climb_m FROM (
+      SELECT user_id, event_id, coalesce({hav_km('lag(lon) OVER w', 'lag(lat) OVER w', 'lon', 'lat')}, 0.0) AS km, greatest(0, event_id % 100 - coalesce(lag(event_id % 100) OVER w, event_id % 100)) AS rise FROM tracks WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+      WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)"""),
+    "grid_counts": sql("SELECT 'nodes' AS what, count(*) AS n FROM nodes UNION ALL SELECT 'wet', count(*) FROM wet UNION ALL SELECT 'streams', count(*) FROM stream_nodes UNION ALL SELECT 'reached', count(*) FROM dist", _search("full_steps", "corner")),
     "debounce_sessions": "SELECT user_id AS session, count(*) AS n FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NULL OR epoch_us(nxt) - epoch_us(ts) > 3600000000 GROUP BY user_id",
     "latest_wins": "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type",
     "waypoint_edits": f"""SELECT k AS c_custkey, array_to_string(list_concat(w[1:n - 1], [-1], w[n:n]), ',') AS added, array_to_string(list_filter(w, lambda v, p: p <> 2), ',') AS removed,

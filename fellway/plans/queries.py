@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import geo, text
-from ..operators import cost, export, grid, layers, paths, profile, routes, search, spatial
+from ..functions import geo, places, text
+from ..operators import cost, export, grid, layers, metrics, paths, profile, routes, search, spatial
 from ..operators.shared import shared_dir
 from ..sources import dem
 from ..sources import requests as requests_source
 from ..sources.archives import read_shape_layer, with_fields
-from ..sources.layers import read_layer
+from ..sources.layers import read_areas, read_layer, write_by_cell
 from . import fixtures as X
 from . import prepare, service
 
@@ -381,6 +381,77 @@ def request_parse(s: SparkSession, d: str) -> DataFrame:
     return parsed.select("route_id", "warm", "status", "node_budget", F.size("waypoints").alias("n_waypoints"), F.element_at("waypoints", -1)["lon"].alias("last_lon"))
 
 
+def area_layer(s: SparkSession, d: str) -> DataFrame:
+    """A stored layer read for the areas of some requests: the features whose box touches their coarse cells."""
+    path = f"{shared_dir(s)}/store-{uuid.uuid4().hex}"
+    write_by_cell(X.water(s, d), path, "water", X.STORE_CELL)
+    near = read_areas(read_layer(s, path, "water"), X.store_areas(s, d), X.STORE_CELL)
+    return near.groupBy("gid").agg(F.count("*").alias("n"), F.round(F.sum(F.col("ax") + F.col("by")), 6).alias("total"))
+
+
+def query_keys(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    typed = F.concat(F.repeat(F.lit(" "), (k % 3).cast("int")), F.when(k % 2 == 0, F.upper("c_name")).otherwise(F.initcap("c_name")), F.lit("  "))
+    return X.table(s, d, "customer").select("c_custkey", typed.alias("query")).select("c_custkey", places.query_key().alias("key"))
+
+
+def http_requests(s: SparkSession, d: str) -> DataFrame:
+    """Header names in lower case, the allowed origin, and the method of either event version."""
+    k = F.col("o_orderkey")
+    origin = F.concat(F.lit("https://site"), (k % 4).cast("string"), F.lit(".example"))
+    headers = F.create_map(F.lit("Origin"), origin, F.lit("X-Order"), k.cast("string"))
+    events = X.table(s, d, "orders").select(k, headers.alias("h"), F.when(k % 3 == 0, F.lit("POST")).when(k % 3 == 1, F.lit("")).alias("method_v2"), F.when(k % 5 == 0, F.lit("OPTIONS")).alias("method_v1"))
+    low = events.withColumn("h", text.lower_keys("h"))
+    allowed = ["https://site1.example", "https://site2.example"]
+    return low.select("o_orderkey", F.col("h")["x-order"].alias("x_order"), text.allowed_origin(F.col("h")["origin"], allowed).alias("origin"), requests_source.method().alias("method"))
+
+
+def cli_waypoints(s: SparkSession, d: str) -> DataFrame:
+    """Waypoints of command-line text: the start, the vias, the end."""
+    k = F.col("c_custkey")
+    via = F.array_join(F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda n: F.when(n == 0, F.lit("")).otherwise(F.concat(F.lit(" "), (n * 0.5 + 170).cast("string"), F.lit(", -4"), n.cast("string"), F.lit(".25 ")))), ";")
+    end = lambda x: F.struct(F.lit(x).alias("lon"), F.lit(-41.0).alias("lat"))
+    made = X.table(s, d, "customer").select(k, via.alias("text")).withColumns({"a": end(174.0), "b": end(175.0), "via": requests_source.via_points("text")})
+    points = made.select("c_custkey", routes.all_waypoints().alias("w"))
+    return points.select("c_custkey", F.size("w").alias("n"), F.array_join(F.transform("w", lambda p: F.concat(p["lon"].cast("string"), F.lit(" "), p["lat"].cast("string"))), ";").alias("points"))
+
+
+def response_bodies(s: SparkSession, d: str) -> DataFrame:
+    """Results as responses: status, and a body whose error shows no key."""
+    k = F.col("p_partkey")
+    ok = k % 3 > 0
+    error = F.when(~ok, F.concat(F.lit("no tile https://t.example/x.png?api=key"), k.cast("string"), F.lit("&z=1")))
+    return export.responses(X.table(s, d, "part").select(k.cast("string").alias("route_id"), ok.alias("ok"), error.alias("error"), F.when(ok, k).alias("n_points")))
+
+
+def gpx_files(s: SparkSession, d: str) -> DataFrame:
+    """Tracks written as GPX text and read back: tracks, points, and the last track's name."""
+    path = f"{shared_dir(s)}/gpx-{uuid.uuid4().hex}"
+    points = X.tracks(s, d).select("user_id", F.lit(1).alias("leg"), F.col("event_id").alias("seq"), "lon", "lat", (F.col("event_id") % 100).alias("elev"))
+    export.write_gpx(export.gpx(points, ["user_id"], F.concat(F.lit("Track "), F.col("user_id").cast("string"))), path)
+    line = F.trim("value")
+    return s.read.text(path).agg(F.count_if(line == "<trk>").alias("tracks"), F.count_if(line.startswith("<trkpt ")).alias("points"), F.max(F.when(line.startswith("<name>"), line)).alias("last"))
+
+
+def route_points_sql(s: SparkSession, d: str) -> DataFrame:
+    """The table function in SQL: the distance and climb so far of every point of every track."""
+    points = X.tracks(s, d).select(F.col("user_id").cast("string").alias("route_id"), F.col("event_id").alias("seq"), "lon", "lat", (F.col("event_id") % 100).cast("double").alias("elev"))
+    profile.register_route_points(s)
+    points.createOrReplaceTempView("fellway_track_points")
+    found = s.sql("SELECT * FROM route_points(TABLE(fellway_track_points) PARTITION BY route_id ORDER BY seq)")
+    return found.select("route_id", "seq", F.round("along_km", 6).alias("along_km"), F.round("climb_m", 6).alias("climb_m"))
+
+
+def grid_counts(s: SparkSession, d: str) -> DataFrame:
+    """What the grid job observes while it runs: nodes, wet and stream nodes, and nodes reached from the corner."""
+    nodes, wet = X.nodes(s, d), cost.water_nodes(X.nodes(s, d), X.water(s, d))
+    zone = spatial.within_distance(nodes.select("i", "j", F.col("lon").alias("x"), F.col("lat").alias("y")), X.streams(s, d), X.STREAM_DEG, ["i", "j"])
+    source = s.range(1).select(F.lit(X.GRID).alias("grid_id"), F.lit("corner").alias("route_id"), F.lit(1).alias("leg"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    reached = paths.block_distances(_full_steps(s, d), source, block=cost.BLOCK)
+    counts = metrics.observed_counts({"nodes": nodes, "wet": wet, "streams": zone, "reached": reached})
+    return s.createDataFrame(sorted(counts.items()), "what string, n bigint")
+
+
 def debounce_sessions(s: SparkSession, d: str) -> DataFrame:
     keys = X.table(s, d, "events").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
     return search.debounced(keys, gap_ms=3_600_000).groupBy("session").agg(F.count("*").alias("n"))
@@ -407,6 +478,6 @@ QUERIES = {
         terrain_grid, raster_grid, tile_elevation, tile_source, raster_to_cost, route_display, tile_index, zoom_pick, rgb_decode, great_circle, directional_cost, cross_slope, water_mask, water_union, step_crossing, stream_penalty, bridge_restore, spatial_prefilter,
         nearest_snap, waypoints_in_water, sssp_terrain, sssp_full, sssp_barrier, sssp_blocks, multi_leg_summary, route_summary, route_profile, geojson_route, gpx_export, service_answers, warm_up_route, connectivity, bbox_dynamic,
         cell_budget, cumulative_distance, interpolate_along, track_bounds, etl_stream_filter, etl_bridge_filter, etl_layer_counts, etl_multipart_explode, ocean_bbox_clip, line_bbox_clip, prepare_job, shape_layer,
-        place_dedupe_topk, place_labels, kind_zoom, redact_keys, proxy_path, tile_url_rewrite, key_stripping, waypoint_roles, friendly_errors, durations, request_parse, debounce_sessions, latest_wins, waypoint_edits,
+        place_dedupe_topk, place_labels, kind_zoom, redact_keys, proxy_path, tile_url_rewrite, key_stripping, waypoint_roles, friendly_errors, durations, request_parse, area_layer, query_keys, http_requests, cli_waypoints, response_bodies, gpx_files, route_points_sql, grid_counts, debounce_sessions, latest_wins, waypoint_edits,
     )
 }
