@@ -9,10 +9,12 @@ stage that needs the texts reads the same shuffle again.
 from __future__ import annotations
 
 import ctypes
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,10 +61,10 @@ def unpack(table: pa.Table, sort: bool = True, carried: bool = False):
 
 
 def content_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(chunk, block) rows in no order of doc_id: every block is a chunk, named by its content.
+    """(chunk, block) rows in no order of doc_id: every block is a chunk, named by its content, its task and how often it came before there.
 
-    Blocks are bounded in bytes whatever ids and texts repeat, and a block's name and
-    the order inside it are the same each time it is made.
+    Blocks are bounded in bytes whatever ids and texts repeat, equal blocks are chunks of
+    their own, and a block's name and the order inside it are the same each time it is made.
     """
     spark = session(docs)
     small_batches(spark)
@@ -70,11 +72,15 @@ def content_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     schema = pa.schema([("chunk", pa.int64()), ("block", pa.binary())])
 
     def pack(batches):
+        task, before = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             ids, texts = batch.column("doc_id").to_numpy(), [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             for a, b in grouped([len(t) for t in texts], block_bytes):
                 block = _pack(ids[a:b], texts[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(block) - (1 << 63)], pa.int64()), pa.array([block], pa.binary())], schema=schema)
+                digest = xxhash.xxh3_64_intdigest(block)
+                before[digest] += 1
+                name = xxhash.xxh3_64_intdigest(f"{digest} {task} {before[digest]}")
+                yield pa.RecordBatch.from_arrays([pa.array([name - (1 << 63)], pa.int64()), pa.array([block], pa.binary())], schema=schema)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return docs.mapInArrow(pack, "chunk bigint, block binary").repartition(parts, "chunk")

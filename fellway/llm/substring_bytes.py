@@ -10,14 +10,14 @@ windows pick it at the same place. The windows that picked one anchor lie side b
 side; the bytes they cover are the anchor's context.
 
 1. Blocks of documents send (anchor hash, context hash, context digest) to
-   buckets. A context that occurs twice is a repeat as a whole; the digest is a
-   second hash of another kind, which verifies the first. An anchor with several
-   contexts is undecided.
-2. One holder of each context of an undecided anchor sends the context's bytes to a
-   bucket. There the suffixes at its windows are sorted (``sorted_suffixes``): a
-   mergesort in which two suffixes are compared by their common extension, found
-   by binary search over prefix polynomial hashes, so in a logarithmic number of
-   steps. Neighbours with a common extension of ``width`` bytes are repeats.
+   buckets, which tell who shows what: of a context that occurs twice or more, two
+   occurrences; of an anchor with several contexts, one of each at least. Further
+   occurrences of a shown context follow by its two hashes, of different kinds.
+2. The bytes of what is shown go to a bucket. There the suffixes at its windows are
+   sorted (``sorted_suffixes``): a mergesort in which two suffixes are compared by their
+   common extension, found by binary search over prefix polynomial hashes, so in a
+   logarithmic number of steps. Neighbours with a common extension of ``width`` bytes
+   are repeats.
 3. Collision verification: neighbours in the sorted order are compared by their
    bytes. Where a colliding hash has put them into a wrong order, those suffixes
    are sorted by their bytes instead. So a collision changes no result.
@@ -52,8 +52,9 @@ WIDTH, ANCHOR = 400, 300
 PIECE, BUCKET_BYTES, HOT, HOT_BUCKET = 1 << 18, 16 << 20, 32, 2048
 SCHEMA = "doc_id bigint, n_bytes bigint, starts array<bigint>, stops array<bigint>, kept_sha256 string, kept binary"
 _PLACE_BITS = np.uint64(32)
-#: What a bucket answers about a context.
-REPEATED, SORT, SPREAD = 1, 2, 4
+#: What a bucket answers about a context: it is repeated by its hashes; show its first
+#: occurrence; go by single windows; show its second occurrence too.
+REPEATED, SORT, SPREAD, SECOND = 1, 2, 4, 8
 _ONE = np.uint64(1)
 _SPREAD = 0xD6E8FEB86659FD93
 _NO_U8 = np.zeros(0, np.uint64)
@@ -111,8 +112,8 @@ class Anchors:
         return anchor_hash, context, check & ~_ONE, low + begin, high + begin, at + begin
 
     def groups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct contexts in order of (anchor hash, context, digest): the first of each, how many, and each anchor's group."""
-        order = np.lexsort((self.digest, self.context, self.hash))
+        """Distinct contexts in order of (anchor hash, context, digest): the first of each, how many, and each anchor's group. A second one's place follows the first in ``self.order``."""
+        order = self.order = np.lexsort((self.digest, self.context, self.hash))
         if not len(order):
             return order, order, order
         a, c, d = self.hash[order], self.context[order], self.digest[order]
@@ -303,8 +304,12 @@ def repeated_bytes(
         contexts_of = np.bincount(of_anchor[new])[of_anchor]
         is_hot = (np.bincount(of_anchor, mark) > 0)[of_anchor] | (contexts_of > hot_bucket)
         kind = np.where(repeat, REPEATED, 0)
-        # Of a context's holders the first shows it; of a hot anchor every holder shows what it has.
-        kind |= np.where((contexts_of > 1) & ~is_hot & new, SORT, 0) | np.where(is_hot, SPREAD, 0)
+        # Of a repeated context two occurrences are shown, by its first two holders or by one that has both;
+        # of a hot anchor every holder shows what it has. What is shown is decided by the sort.
+        nth = np.arange(len(a)) - np.flatnonzero(new)[of_context]
+        shown_by = np.where((holders > 1)[of_context], nth < 2, nth < 1)
+        both = (holders == 1)[of_context] & twice
+        kind |= np.where(((contexts_of > 1) & new | repeat & shown_by) & ~is_hot, SORT, 0) | np.where(is_hot, SPREAD, 0) | np.where(repeat & both & ~is_hot, SECOND, 0)
         say = kind > 0
         return _made(_by_chunk(chunk[say], group[say], kind[say].astype(np.uint8)), told)
 
@@ -322,9 +327,13 @@ def repeated_bytes(
         kinds[np.where(told_of < 0, -1 - told_of, told_of)] = said
         a = own.hash[first]
         kinds[hot_groups(a)] = SPREAD
-        span = lambda chosen: (own.low[chosen].tobytes(), (own.high[chosen] + width).tobytes())
-        rows.append((None, chunk, *span(kinds[group] & REPEATED > 0), *[None] * 6))
-        mine = first[kinds & SORT > 0]
+        begin = np.searchsorted(group[own.order], np.arange(len(first)))
+        mine = np.concatenate([first[kinds & SORT > 0], own.order[begin[kinds & SECOND > 0] + 1]])
+        mine = mine[np.argsort(own.hash[mine], kind="stable")]
+        # What is shown is decided by the sort; the other occurrences follow by their hashes.
+        follows = kinds[group] & REPEATED > 0
+        follows[mine] = False
+        rows.append((None, chunk, own.low[follows].tobytes(), (own.high[follows] + width).tobytes(), *[None] * 6))
         at = 0
         for bucket, part in to_buckets(own.hash[mine], buckets) if len(mine) else []:
             k = mine[at : at + len(part)]
