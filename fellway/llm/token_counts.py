@@ -7,7 +7,8 @@ frequent pre-tokens affects speed alone. Documents never leave their partition:
 there is no shuffle of pre-tokens or texts.
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); special strings in
-a text are matched as the library's default does; equal texts give equal counts;
+a text are matched as the library's default does; equal texts give equal counts; null
+and repeated doc_ids pass through;
 an empty table gives an empty result; other columns of the input are ignored.
 """
 
@@ -28,6 +29,8 @@ from ._common import Generations, documents, session, small_batches
 
 #: About how many documents the frequent pre-tokens are drawn from, and how many are kept.
 SAMPLE_DOCS, FREQUENT = 1500, 1 << 16
+#: Characters of a sampled text that are tallied at once.
+STRETCH = 1 << 20
 #: Entries of a worker's cache.
 CACHE = 300_000
 LIMIT = 512
@@ -102,20 +105,27 @@ _WORKER: dict[str, _Counts] = {}
 
 def frequent_pieces(docs: DataFrame, model: str) -> dict[str, int]:
     """The broadcast tier: token counts of the most frequent pre-tokens of a bounded sample."""
+    schema = pa.schema([("piece", pa.string()), ("n", pa.int64())])
 
     def tally(batches):
-        split, seen = _vocabulary(model)[2], Counter()
+        split = _vocabulary(model)[2]
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(split(text or ""))
-        kept = [piece for piece, n in seen.most_common(FREQUENT) if n > 1]
+                # Bounded stretches, so that a very long text is tallied a part at a time.
+                for at in range(0, len(text or ""), STRETCH):
+                    seen = Counter(split(text[at : at + STRETCH]))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], schema=schema)
+
+    def encoded(batches):
         one = _vocabulary(model)[0]
-        yield pa.RecordBatch.from_pydict({"piece": kept, "n": [one(p) for p in kept]}, pa.schema([("piece", pa.string()), ("n", pa.int32())]))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array([one(p) for p in batch.column("piece").to_pylist()], pa.int64())], schema=schema)
 
-    # A share of the documents by the hash of their id; one task tallies what is sampled.
+    # A share of the rows by a hash of id and text, tallied where they are read.
     keep = max(1, -(-docs.count() // SAMPLE_DOCS))
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(keep)) == 0).select("text").repartition(1)
-    return {r.piece: r.n for r in sample.mapInArrow(tally, "piece string, n int").collect()}
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(keep)) == 0).select("text")
+    often = sample.mapInArrow(tally, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "piece").limit(FREQUENT)
+    return {r.piece: r.n for r in often.mapInArrow(encoded, "piece string, n bigint").collect()}
 
 
 def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT) -> DataFrame:

@@ -49,3 +49,12 @@ def test_whole_table_equals_library(spark):
     for r in rows:
         n = wanted[r.doc_id]
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512), r.doc_id
+
+
+def test_one_id_for_all_rows_and_long_texts(spark):
+    texts = [f"word{k % 9} and more words {k}" for k in range(300)] + ["the same words again " * 200_000, None, ""]
+    docs = spark.createDataFrame([(7, t) for t in texts] + [(None, texts[0])], "doc_id bigint, text string").repartition(3)
+    assert frequent_pieces(docs, MODEL)[" same"] == 1
+    library = Tokenizer.from_file(MODEL)
+    want = sorted(len(library.encode(t or "", add_special_tokens=False).ids) for t in [*texts, texts[0]])
+    assert sorted(r.n_tokens for r in count_tokens(docs).collect()) == want
