@@ -76,6 +76,7 @@ def waypoint_label(pos, n) -> Column:
 
 
 def water_error(label) -> Column:
+    # Fixed value: the sentence that callers see.
     return F.concat(col(label), F.lit(" falls within a mapped water or snow/ice body — pick a point on dry land."))
 
 
