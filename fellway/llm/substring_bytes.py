@@ -50,6 +50,8 @@ from ._common import documents, text_bytes, written
 WIDTH, ANCHOR = 400, 300
 #: Windows handled at once, bytes of text per bucket, contexts of one anchor in a block or bucket above which it is hot.
 PIECE, BUCKET_BYTES, HOT, HOT_BUCKET = 1 << 18, 16 << 20, 32, 2048
+#: Buckets of the sort for each bucket of anchors.
+SORT_BUCKETS = 6
 SCHEMA = "doc_id bigint, n_bytes bigint, starts array<bigint>, stops array<bigint>, kept_sha256 string, kept binary"
 _PLACE_BITS = np.uint64(32)
 #: What a bucket answers about a context: it is repeated by its hashes; show its first
@@ -256,6 +258,8 @@ def repeated_bytes(
     """
     blocks = content_blocks(docs, block_bytes)
     buckets = max(1, int((docs.agg(F.sum(text_bytes("text"))).first()[0] or 0) // bucket_bytes))
+    #: What is shown is about as many bytes again, with several numbers a byte beside it while it is sorted.
+    sort_buckets = SORT_BUCKETS * buckets
     schema = lambda **of: pa.schema(list(of.items()))
     number, raw, place = pa.int32(), pa.binary(), pa.int64()
     sent = schema(bucket=number, chunk=place, anchors=raw, contexts=raw, digests=raw, groups=raw)
@@ -335,7 +339,7 @@ def repeated_bytes(
         follows[mine] = False
         rows.append((None, chunk, own.low[follows].tobytes(), (own.high[follows] + width).tobytes(), *[None] * 6))
         at = 0
-        for bucket, part in to_buckets(own.hash[mine], buckets) if len(mine) else []:
+        for bucket, part in to_buckets(own.hash[mine], sort_buckets) if len(mine) else []:
             k = mine[at : at + len(part)]
             at += len(part)
             text = b"".join(own.data[x:y].tobytes() for x, y in zip(own.low[k].tolist(), (own.high[k] + width).tolist()))
@@ -349,7 +353,7 @@ def repeated_bytes(
             check = np.fromiter((xxhash.xxh64_intdigest(view[x : x + width]) for x in start.tolist()), np.uint64, len(start))
             by = np.lexsort((start, check, hashes))
             start, hashes, check, at = start[by], hashes[by], check[by], 0
-            for bucket, part in to_buckets(hashes, buckets):
+            for bucket, part in to_buckets(hashes, sort_buckets):
                 k = slice(at, at + len(part))
                 rows.append((bucket, chunk, start[k].tobytes(), None, None, None, None, None, part.tobytes(), check[k].tobytes()))
                 at += len(part)
