@@ -167,9 +167,9 @@ def sssp_barrier(s: SparkSession, d: str) -> DataFrame:
 
 
 def sssp_blocks(s: SparkSession, d: str) -> DataFrame:
-    """Distances from the corner to every node, block by block."""
+    """Distances from the corner to every node, square by square."""
     source = s.range(1).select(F.lit(X.GRID).alias("grid_id"), F.lit("corner").alias("route_id"), F.lit(1).alias("leg"), F.lit(0).alias("i"), F.lit(0).alias("j"))
-    return paths.block_distances(cost.terrain_steps(X.nodes(s, d)), source, block=64).select("i", "j", F.round("g", DIGITS).alias("hours"))
+    return paths.distances(cost.cost_blocks(X.nodes(s, d)), source).select("i", "j", F.round("g", DIGITS).alias("hours"))
 
 
 def _routed(s: SparkSession, d: str):
@@ -447,7 +447,7 @@ def grid_counts(s: SparkSession, d: str) -> DataFrame:
     nodes, wet = X.nodes(s, d), cost.water_nodes(X.nodes(s, d), X.water(s, d))
     zone = spatial.within_distance(nodes.select("i", "j", F.col("lon").alias("x"), F.col("lat").alias("y")), X.streams(s, d), X.STREAM_DEG, ["i", "j"])
     source = s.range(1).select(F.lit(X.GRID).alias("grid_id"), F.lit("corner").alias("route_id"), F.lit(1).alias("leg"), F.lit(0).alias("i"), F.lit(0).alias("j"))
-    reached = paths.block_distances(_full_steps(s, d), source, block=cost.BLOCK)
+    reached = paths.distances(_full_steps(s, d, cost.cost_blocks), source)
     counts = metrics.observed_counts({"nodes": nodes, "wet": wet, "streams": zone, "reached": reached})
     return s.createDataFrame(sorted(counts.items()), "what string, n bigint")
 

@@ -134,6 +134,8 @@ def test_search_forms_agree(spark):
     relaxed = value(paths.relaxed_distances(steps, source))
     legs_of = source.selectExpr("grid_id", "'r' AS route_id", "1 AS leg", "i", "j")
     assert value(paths.block_distances(steps, legs_of, block=4)) == relaxed
+    for side in (1, 4, 5, 20):
+        assert value(paths.distances(steps, legs_of, side)) == relaxed
     goals = [("g", str(k), 1, 0, 0, i, j) for k, (i, j) in enumerate(sorted(relaxed)[::17])]
     legs = spark.createDataFrame(goals, "grid_id string, route_id string, leg int, si int, sj int, gi int, gj int")
     found = paths.leg_paths(steps, legs).collect()
