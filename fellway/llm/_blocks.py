@@ -93,18 +93,18 @@ class _Ranges:
         known, times = np.unique(sample, return_counts=True)
         per = chunks / max(1, len(sample))
         heavy = (times > 1) & (times * per > 1)
-        self.heavy, self.rank, self.stretches, self.own = known[heavy], [], [], []
+        self.heavy, self.chunks, self.stretches, self.own = known[heavy], 0, [], []
         at = [0, *(np.searchsorted(sample, self.heavy, "left")).tolist(), len(sample)]
         after = [0, *(np.searchsorted(sample, self.heavy, "right")).tolist()]
         for k in range(len(self.heavy) + 1):
             light = sample[after[k] : at[k + 1]]
             n = max(1, round(len(light) * per))
-            self.stretches.append((len(self.rank), n, light.astype(float) if len(light) else np.zeros(1)))
-            self.rank += range(len(self.rank), len(self.rank) + n)
+            self.stretches.append((self.chunks, n, light.astype(float) if len(light) else np.zeros(1)))
+            self.chunks += n
             if k < len(self.heavy):
                 n = max(1, round(int(times[heavy][k]) * per))
-                self.own.append((len(self.rank), n))
-                self.rank += [len(self.rank)] * n
+                self.own.append((self.chunks, n))
+                self.chunks += n
 
     def chunks_of(self, ids: np.ndarray, texts: list[bytes]) -> np.ndarray:
         at = np.searchsorted(self.heavy, ids, "left")
@@ -122,14 +122,23 @@ class _Ranges:
         return out
 
 
+def rank_of(own: list[tuple[int, int]], chunks: np.ndarray) -> np.ndarray:
+    """Ranks of chunks: their own numbers, but the chunks of one heavy id (first, how many) have the number of the first."""
+    if not own:
+        return chunks
+    first, n = np.array(own, np.int64).T
+    at = np.maximum(np.searchsorted(first, chunks, "right") - 1, 0)
+    return np.where((chunks >= first[at]) & (chunks < first[at] + n[at]), first[at], chunks)
+
+
 def carried_column(docs: DataFrame) -> Column:
     """All columns but the text, and whether that is null, as one struct."""
     row = F.struct(*(docs[c] for c in docs.columns if c != "text"))
     return F.struct(row.alias("row"), F.col("text").isNull().alias("none")).alias("carried")
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = BLOCK_BYTES, carried: bool = False) -> tuple[DataFrame, int, list[int]]:
-    """(chunk, block) rows dealt by chunk, the number of chunks, and each chunk's rank.
+def chunked(docs: DataFrame, chunk_bytes: int = BLOCK_BYTES, carried: bool = False) -> tuple[DataFrame, _Ranges]:
+    """(chunk, block) rows dealt by chunk, and the plan of the chunks, with their number and ranks.
 
     Chunks are ranges of doc_id of near equal weight (bytes, and a little for a row),
     in order: every doc_id of a chunk is smaller than those of chunks of a larger rank.
@@ -163,7 +172,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = BLOCK_BYTES, carried: bool = Fal
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], schema=_PACKED)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return docs.mapInArrow(pack, "chunk int, block binary").repartition(parts, "chunk"), len(plan.rank), plan.rank
+    return docs.mapInArrow(pack, "chunk int, block binary").repartition(parts, "chunk"), plan
 
 
 #: An odd multiplier, and a fixed random number for every byte value.

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._blocks import BLOCK_BYTES, PrefixHash, carried_column, chunked, grouped, id_of, numbers, to_buckets, unpack
+from ._blocks import BLOCK_BYTES, PrefixHash, carried_column, chunked, grouped, id_of, numbers, rank_of, to_buckets, unpack
 from ._common import documents
 
 WINDOW = 13
@@ -171,9 +171,8 @@ def shared_words(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = BLOCK
     ``carried`` adds ``whole``, the text as it is where no word goes, else null, and
     ``carried.row``, a struct of the other columns: rows stay whole without a join.
     """
-    blocks, chunks, rank = chunked(docs, chunk_bytes, carried)
-    rank = np.array(rank, np.int64)
-    buckets = max(1, chunks // 4)
+    blocks, plan = chunked(docs, chunk_bytes, carried)
+    buckets, ranks = max(1, plan.chunks // 4), plan.own  # of heavy ids alone: as many as are sampled at most
     sent = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary())])
     asked = pa.schema([("chunk", pa.int32()), ("hashes", pa.binary()), ("targets", pa.binary())])
     given = pa.schema([("chunk", pa.int32()), ("passages", pa.list_(pa.binary()))])
@@ -193,7 +192,7 @@ def shared_words(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = BLOCK
         start = np.flatnonzero(new)[np.cumsum(new) - 1]
         nth = np.arange(len(h)) - start
         # Whoever holds a hash may send it once a chunk of a smaller rank holds it too.
-        asks = rank[c] > rank[c[start]]
+        asks = rank_of(ranks, c) > rank_of(ranks, c[start])
         first = c[start + np.maximum(nth - 1, 0) // FANOUT]
         h, c, first = h[asks], c[asks], first[asks]
         by = np.argsort(first, kind="stable")

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from fellway.llm._blocks import _Ranges
+from fellway.llm._blocks import _Ranges, rank_of
 from fellway.llm.substring_words import SuffixAutomaton, shared_words
 
 
@@ -78,7 +78,7 @@ def test_ranges_keep_the_order_of_ids():
         plan = _Ranges(np.sort(rng.choice(ids, 200)) if chunks > 1 else ids[:0], chunks)
         own = plan.chunks_of(ids, texts)
         order = np.argsort(ids, kind="stable")
-        rank = np.array(plan.rank)[own[order]]
+        rank = rank_of(plan.own, own[order])
         assert (np.diff(rank) >= 0).all()
         for r in np.unique(rank):
             mine = own[order][rank == r]
