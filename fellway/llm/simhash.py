@@ -351,13 +351,21 @@ def _all_pairs(held: DataFrame, lots: int) -> DataFrame:
     return held.withColumn("lot", F.pmod(F.xxhash64("root"), F.lit(lots))).select("lot", "root", "node", "text").groupBy("lot").applyInArrow(confirm, _LINKS)
 
 
+def _tiles(tile: int, of: Column | None = None) -> Column:
+    """Parts that rows are split into, so that each has about ``tile`` texts and ``tile * TILE_SHINGLES`` shingles at most."""
+    n, shingles = (F.count("*"), F.sum("shingles")) if of is None else (F.count_if(of), F.coalesce(F.sum(F.when(of, F.col("shingles"))), F.lit(0)))
+    return F.greatest(F.ceil(n / tile), F.ceil(shingles / (tile * TILE_SHINGLES))).cast("int")
+
+
 def _against_hubs(pairs: DataFrame, held: DataFrame, tile: int) -> DataFrame:
-    """The similar ones of the pairs (node, hub), each hub with so many nodes at a time."""
-    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
-    dealt = written(pairs.join(sizes, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), "parts").alias("part")), "pairs")
+    """The similar ones of the pairs (node, hub), each hub with so many nodes, and shingles, at a time."""
+    weights = held.select("node", "shingles")
+    sizes = pairs.join(weights, "node").groupBy("hub").agg(_tiles(tile).alias("parts"))
+    dealt = pairs.join(sizes, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), "parts").alias("part"))
     hubs = dealt.select(F.col("hub").alias("node"), "hub", "part").distinct()
-    rows = dealt.unionByName(hubs).join(held.select("node", "text"), "node")
-    lots = max(1, 2 * dealt.count() // tile)
+    named = written(dealt.unionByName(hubs), "pairs")
+    rows = named.join(held.select("node", "text"), "node")
+    lots = max(1, 2 * (named.join(weights, "node").agg(_tiles(tile).alias("n")).first().n or 0))
     lot = F.pmod(F.xxhash64("hub", "part"), F.lit(lots))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -382,7 +390,8 @@ def _across(labels: DataFrame, members: DataFrame) -> DataFrame:
 def _odd_pairs(across: DataFrame, held: DataFrame, tile: int) -> DataFrame:
     """Similar links between the odd nodes of a band and all its nodes, tile by tile."""
     across = written(across, "across")
-    sizes = across.groupBy("band", "key").agg(F.ceil(F.count("*") / tile).cast("int").alias("all"), F.ceil(F.count_if("odd") / tile).cast("int").alias("odds"))
+    weighed = across.join(held.select("node", "shingles"), "node")
+    sizes = weighed.groupBy("band", "key").agg(_tiles(tile).alias("all"), _tiles(tile, F.col("odd")).alias("odds"))
     dealt = across.join(sizes, ["band", "key"])
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -408,13 +417,13 @@ def _confirmed(docs: DataFrame, own: DataFrame, distinct: DataFrame, bits: DataF
     found = components(bits.unionByName(_band_stars(distinct)))
     found = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     weighed = written(found.join(distinct.select("node", "shingles"), "node"), "candidates")
-    sizes = weighed.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("shingles") / (tile * TILE_SHINGLES))).cast("int").alias("tiles"))
-    texts = own.groupBy("node").agg(F.min("key").alias("key")).join(weighed.select("node", "root").join(sizes, "root"), "node")
+    sizes = weighed.groupBy("root").agg(_tiles(tile).alias("tiles"))
+    texts = own.groupBy("node").agg(F.min("key").alias("key")).join(weighed.join(sizes, "root"), "node")
     # Copies are brought down to one row a partition before they are shuffled.
     once = docs.groupBy(text_key().alias("key")).agg(F.first(F.col("text").cast("string")).alias("text"))
-    held = written(once.join(texts, "key").select("node", "root", "tiles", "text"), "held")
+    held = written(once.join(texts, "key").select("node", "root", "tiles", "shingles", "text"), "held")
     small, large = held.filter("tiles = 1"), held.filter("tiles > 1")
-    links = written(_all_pairs(small, max(1, 4 * small.count() // tile)), "links")
+    links = written(_all_pairs(small, max(1, 4 * (small.agg(_tiles(tile).alias("n")).first().n or 0))), "links")
     if large.isEmpty():
         return links
     nodes = large.select("node", "root")

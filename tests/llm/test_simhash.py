@@ -5,6 +5,7 @@ import random
 import numpy as np
 import xxhash
 
+from fellway.llm import simhash
 from fellway.llm.simhash import bucket_links, components, fingerprint, links, near_duplicates, similar_groups, similar_links, within
 
 
@@ -178,7 +179,7 @@ def test_similar_groups_across_repeated_text(spark):
     assert {r.doc_id: r.group_id for r in similar_groups(docs).collect()} == {1: 1, 2: 1, 3: 3}
 
 
-def test_large_groups_equal_all_pairs(spark):
+def test_large_groups_equal_all_pairs(spark, monkeypatch):
     rng, texts = random.Random(12), []
     page = [f"w{rng.randrange(5000)}" for _ in range(60)]
     for _ in range(4):
@@ -200,3 +201,20 @@ def test_large_groups_equal_all_pairs(spark):
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
     for tile in (512, 12):
         assert {r.doc_id: r.group_id for r in similar_groups(docs, tile=tile).collect()} == dict(enumerate(root))
+    # Tiles bounded by shingles: a few texts each, though many texts would be allowed.
+    monkeypatch.setattr(simhash, "TILE_SHINGLES", 4)
+    assert {r.doc_id: r.group_id for r in similar_groups(docs, tile=200).collect()} == dict(enumerate(root))
+
+
+def test_very_long_texts_in_one_group(spark):
+    rng = random.Random(5)
+    long = [f"w{rng.randrange(10**7)}" for _ in range(60_000)]
+    rows = []
+    for k in range(12):
+        text = list(long)
+        for _ in range(40):
+            text[rng.randrange(len(text))] = f"n{rng.randrange(10**6)}"
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    # Twelve texts are over a tile of 256 by their shingles alone.
+    assert {r.group_id for r in similar_groups(docs, tile=256).collect()} == {0}
