@@ -1,4 +1,4 @@
-"""Feature layers and archives as tables.
+"""Feature layers as tables.
 
 A layer that areas are read from is stored by coarse cells (``write_by_cell``): a table
 partitioned by the cells that each feature's box touches, with the box beside each
@@ -38,19 +38,3 @@ def read_areas(layer: DataFrame, areas: DataFrame, cell_deg: float = CELL_DEG) -
 def read_layer(spark: SparkSession, path: str, name: str) -> DataFrame:
     """One layer that ``write_layers`` wrote."""
     return spark.read.parquet(f"{path}/{name}")
-
-
-def archive_members(files: DataFrame, prefix: str, suffixes: list[str]) -> DataFrame:
-    """Members (archive, member) of a layer: by the start of the file's name and its ending."""
-    name = F.element_at(F.split("member", "/"), -1)
-    ends = F.lit(False)
-    for s in suffixes:
-        ends = ends | F.lower(name).endswith(s)
-    return files.filter(name.startswith(prefix) & ends)
-
-
-def checked_members(members: DataFrame, prefix: str) -> DataFrame:
-    """The members; reading them fails if there is none."""
-    n = members.agg(F.count("*").alias("n"))
-    guard = n.select(F.assert_true(F.col("n") > 0, f"no member of layer {prefix} in the archive").alias("there"))
-    return members.join(F.broadcast(guard), F.lit(True), "left").drop("there")  # one row
