@@ -85,6 +85,10 @@ DROPPED_WORDS = frozenset(
     "newsletter subscribe subscription signup login share sharing social "
     "comment comments commentlist disqus respond reply replies".split()
 )
+#: Words that may stand beside those in an id; an id with others names a part of the text, as ad-hoc-methods does.
+NEUTRAL_WORDS = frozenset(
+    "site page main top bottom left right primary secondary global box bar list area section wrapper container block link links form slot unit post posts article user reader google header inner outer".split()
+)
 #: Beside these a word of class tells about the page, as in has-sidebar.
 ABOUT = frozenset("has no not with without".split())
 ROOTS = frozenset("html body main".split())
@@ -120,12 +124,15 @@ class Element:
     def _named(self, found: dict[str, str]) -> str:
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in DROPPED_ROLES:
             return "drop"
-        for name in f"{found.get('class', '')} {found.get('id', '')}".split():
-            words = {w.lower() for w in _WORD.findall(name)}
-            if words & DROPPED_WORDS and not words & ABOUT:
-                return "drop"
-            if "header" in words and not words & ABOUT and self.tag != "article":
-                return "header"
+        for kind in ("class", "id"):
+            for name in found.get(kind, "").split():
+                words = {w.lower() for w in _WORD.findall(name)}
+                if words & ABOUT or kind == "id" and any(not w.isdigit() and w not in DROPPED_WORDS and w not in NEUTRAL_WORDS for w in words):
+                    continue
+                if words & DROPPED_WORDS:
+                    return "drop"
+                if "header" in words and self.tag != "article":
+                    return "header"
         return self.verdict
 
 

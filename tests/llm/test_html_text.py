@@ -58,6 +58,7 @@ CASES = [
     ("<body class='has-sidebar'><div class=sidebar>s</div><div class='with-sidebar'>x</div>", "x"), ("<p hidden>no</p><div role=navigation>n</div>x", "x"),
     ("x<!-- <p>no</p> -->y<!-->z<!-- to the end <p>w", "xyz"), ("x<script>never closed <p>w", "x"), ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "a b c d"),
     ("<table><tr><td>a<td>b<tr><td>c</table>d", "a b c d"), ("<a title='>' href=x>in</a><p don't>it's", "in it's"), ("<!DOCTYPE html><?x y?>t</p></b>u", "tu"),
+    ("<h2 id=related-work>Related</h2><section id='ad-hoc-methods'>x</section><div id='cookie-banner-2'>c</div><div id=siteHeader>h</div>", "Related x"),
     ("<p><b>a<p>c</b>d", "a cd"), ("<title>t</title>x", "x"), ("<dl><dt>a<dd>b<dt>c</dl><pre> d\n\n e</pre>", "a b c d e"), ("<SCRIPT>x</SCRIPT><P>É</P>", "É"),
 ]
 
