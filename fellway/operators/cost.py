@@ -241,7 +241,7 @@ def _features(axes: DataFrame, water: DataFrame | None, streams: DataFrame | Non
 def _by_block(nodes: DataFrame, axes: DataFrame | None, water: DataFrame | None, streams: DataFrame | None, bridges: DataFrame | None, buffer_deg: float | None, block: int, made, ddl: str) -> DataFrame:
     """``made(grid_id, bi, bj, costs, wet)`` of every block."""
     buffer_deg = buffer_deg or C.stream_buffer_deg(C.REGION_LAT)
-    slim = nodes.filter("elev IS NOT NULL").select(F.col("grid_id").cast("string"), F.col("i").cast("int"), F.col("j").cast("int"), "lat", "lat_step", "lon_step", F.col("elev").cast("double"))
+    slim = nodes.filter("elev IS NOT NULL").select(F.col("grid_id").cast("string"), F.col("i").cast("int"), F.col("j").cast("int"), *(F.col(c).cast("double") for c in ("lat", "lat_step", "lon_step", "elev")))
     name = lambda t: (t.column("grid_id")[0].as_py(), t.column("bi")[0].as_py(), t.column("bj")[0].as_py())
     if water is None and streams is None and bridges is None:
         return with_halo(slim, block).groupBy("grid_id", "bi", "bj").applyInArrow(lambda t: made(*name(t), *_priced(t, None, block, buffer_deg)), ddl)
