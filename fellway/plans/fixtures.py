@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -199,8 +199,8 @@ def store_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.struct(south.alias("min_lat"), west.alias("min_lon"), (south + 0.0004).alias("max_lat"), (west + 0.0004).alias("max_lon")).alias("bbox"))
 
 
-#: Archives that each raw layer is dealt to.
-ARCHIVES = 4
+#: Archives that each raw layer is dealt to at least, and about how many features one holds at most, as one task writes it.
+ARCHIVES, ARCHIVE_FEATURES = 4, 100_000
 
 
 def raw_archives(spark: SparkSession, sf_dir: str) -> dict[str, tuple[str, str]]:
@@ -219,7 +219,11 @@ def raw_archives(spark: SparkSession, sf_dir: str) -> dict[str, tuple[str, str]]
     west, south = F.lit(178.05) + m * 0.2, F.lit(-40.0) - m * 0.1
     sea = closed([point(west, south), point(west + 3, south), point(west + 3, south + 1), point(west, south + 1)])
     oceans = table(spark, sf_dir, "nation").select(m.cast("long").alias("gid"), sea.alias("parts"), F.lit("ocean").alias("fclass"))
-    dealt = lambda df, key: df.withColumn("archive", F.concat(F.lit("part"), (key % ARCHIVES).cast("string")))
+
+    def dealt(df: DataFrame, key: Column) -> DataFrame:
+        n = max(ARCHIVES, math.ceil(df.count() / ARCHIVE_FEATURES))
+        return df.withColumn("archive", F.concat(F.lit("part"), F.pmod(F.xxhash64(key), F.lit(n)).cast("string")))
+
     ways = ways.withColumn("gid", k * 8 + n)
     for name, df, key, kind, fields in (("ways", ways, k, 3, ["fclass", "bridge"]), ("lakes", lakes, F.col("gid"), 5, ["fclass"]), ("oceans", oceans, F.col("gid"), 5, ["fclass"])):
         write_archives(dealt(df, key), f"{base}/{name}", name, kind, fields).count()

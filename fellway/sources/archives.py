@@ -195,33 +195,68 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FEATURES.types)], schema=_FEATURES)
 
 
-def shape_files(kind: int, features: list[list[list[tuple[float, float]]]], names: list[str], rows: list[list[str | None]], width: int = 24) -> dict[str, bytes]:
-    """The files of a layer by ending: its shapes (each a list of parts), their index, and their attributes as text."""
-    body, index = b"", b""
-    for n, parts in enumerate(features):
-        points = [p for part in parts for p in part]
-        starts = np.cumsum([0, *map(len, parts)])[:-1].astype("<i4").tobytes() if parts else b""
-        content = struct.pack("<i", 0)
-        if points:
-            xs, ys = zip(*points)
-            content = struct.pack("<i4d2i", kind, min(xs), min(ys), max(xs), max(ys), len(parts), len(points)) + starts + np.array(points, "<f8").tobytes()
-        index += struct.pack(">2i", (100 + len(body)) // 2, len(content) // 2)
-        body += struct.pack(">2i", n + 1, len(content) // 2) + content
+def _packed(kind: int, parts: np.ndarray, sizes: np.ndarray, points: np.ndarray) -> tuple[bytes, bytes]:
+    """The records of shapes and of their index, from the parts of each feature, the points of each part and all points."""
+    n, owner = len(parts), np.repeat(np.arange(len(parts)), parts)
+    held = np.bincount(owner, sizes, n).astype(np.int64)
+    some = held > 0
+    sizes, owner, parts = sizes[some[owner]], owner[some[owner]], np.where(some, parts, 0)
+    size = np.where(some, 44 + 4 * parts + 16 * held, 4)
+    at = np.concatenate([[0], np.cumsum(8 + size)])
+    out = np.zeros(at[-1], np.uint8)
+
+    def put(where: np.ndarray, values: np.ndarray) -> None:
+        out[where[:, None] + np.arange(values.dtype.itemsize)] = values.view(np.uint8).reshape(len(values), values.dtype.itemsize)
+
+    head = np.zeros(n, [("number", ">i4"), ("words", ">i4")])
+    head["number"], head["words"] = np.arange(1, n + 1), size // 2
+    put(at[:-1], head)
+    box = np.zeros(int(some.sum()), [("kind", "<i4"), ("box", "<f8", 4), ("parts", "<i4"), ("points", "<i4")])
+    first = (np.cumsum(held) - held)[some]
+    if len(box):
+        box["box"] = np.concatenate([np.minimum.reduceat(points, first), np.maximum.reduceat(points, first)], axis=1)
+    box["kind"], box["parts"], box["points"] = kind, parts[some], held[some]
+    put(at[:-1][some] + 8, box)
+    nth = np.arange(len(sizes)) - (np.cumsum(parts) - parts)[owner]
+    begin = np.cumsum(sizes) - sizes
+    put(at[owner] + 52 + 4 * nth, (begin - (np.cumsum(held) - held)[owner]).astype("<i4"))
+    of = np.repeat(np.arange(n), held)
+    put(at[of] + 52 + 4 * parts[of] + 16 * (np.arange(len(points)) - (np.cumsum(held) - held)[of]), np.ascontiguousarray(points, "<f8").view([("x", "<f8"), ("y", "<f8")]).ravel())
+    index = np.zeros(n, [("place", ">i4"), ("words", ">i4")])
+    index["place"], index["words"] = (100 + at[:-1]) // 2, size // 2
+    return out.tobytes(), index.tobytes()
+
+
+def _layer_files(kind: int, parts: np.ndarray, sizes: np.ndarray, points: np.ndarray, names: list[str], columns: list[list[str | None]], width: int) -> dict[str, bytes]:
+    body, index = _packed(kind, parts, sizes, points)
     header = lambda data: struct.pack(">i5ii", 9994, 0, 0, 0, 0, 0, (100 + len(data)) // 2) + struct.pack("<2i8d", 1000, kind, *[0.0] * 8) + data
     head = 33 + 32 * len(names)
-    table = struct.pack("<B3BIHH20x", 3, 126, 1, 1, len(rows), head, 1 + width * len(names)) + b"".join(n.encode().ljust(11, b"\0") + b"C" + bytes(4) + bytes([width]) + bytes(15) for n in names) + b"\r"
-    table += b"".join(b" " + b"".join((v or "").encode()[:width].ljust(width) for v in row) for row in rows)
+    table = struct.pack("<B3BIHH20x", 3, 126, 1, 1, len(parts), head, 1 + width * len(names)) + b"".join(n.encode().ljust(11, b"\0") + b"C" + bytes(4) + bytes([width]) + bytes(15) for n in names) + b"\r"
+    cells = [[(v or "").encode()[:width].ljust(width) for v in column] for column in columns]
+    table += b"".join(b" " + b"".join(row) for row in zip(*cells))
     return {".shp": header(body), ".shx": header(index), ".dbf": table, ".cpg": b"UTF-8"}
 
 
-def write_archives(features: DataFrame, folder: str, layer: str, kind: int, fields: list[str]) -> DataFrame:
+def shape_files(kind: int, features: list[list[list[tuple[float, float]]]], names: list[str], rows: list[list[str | None]], width: int = 24) -> dict[str, bytes]:
+    """The files of a layer by ending: its shapes (each a list of parts), their index, and their attributes as text."""
+    parts, sizes = (np.array(n, np.int64) for n in ([*map(len, features)], [len(p) for f in features for p in f]))
+    points = np.array([p for f in features for part in f for p in part], np.float64).reshape(-1, 2)
+    return _layer_files(kind, parts, sizes, points, names, [[r[k] for r in rows] for k in range(len(names))], width)
+
+
+def write_archives(features: DataFrame, folder: str, layer: str, kind: int, fields: list[str], width: int = 24) -> DataFrame:
     """Writes features (archive, gid, parts as arrays of points x, y, and the fields) as one zip archive for each ``archive`` and returns the paths."""
     schema = pa.schema([("path", pa.string())])
 
     def write(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["gid"])
-        files = shape_files(kind, [[[(p["x"], p["y"]) for p in part] for part in r["parts"]] for r in rows], fields, [[r[f] for f in fields] for r in rows])
-        packed, path = io.BytesIO(), f"{folder}/{rows[0]['archive']}.zip"
+        table = table.sort_by("gid").combine_chunks()
+        outer = table.column("parts").combine_chunks()
+        inner = outer.flatten()
+        points = inner.flatten()
+        lengths = lambda lists: np.asarray(lists.value_lengths().fill_null(0), np.int64)
+        xy = np.stack([np.asarray(points.field(c), np.float64) for c in ("x", "y")], axis=1)
+        files = _layer_files(kind, lengths(outer), lengths(inner), xy, fields, [table.column(f).to_pylist() for f in fields], width)
+        packed, path = io.BytesIO(), f"{folder}/{table.column('archive')[0].as_py()}.zip"
         with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as held:
             for ending, content in files.items():
                 held.writestr(f"data/{layer}_1{ending}", content)

@@ -1,10 +1,13 @@
 """Shape layers written by the test into zip archives, and the preparation job over them."""
 
+import time
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fellway.plans import fixtures
 from fellway.plans.prepare import prepare_layers
 from fellway.sources.archives import read_shape_layer, shape_files
 from fellway.sources.layers import read_layer
@@ -74,3 +77,26 @@ def test_incomplete_layers_are_errors(spark, tmp_path):
         archive(folder / "a.zip", {"ways_1": (3, [[LINE]], ["fclass"], [["river"]])}, without=(without,))
         with pytest.raises(Exception, match=what):
             read_shape_layer(spark, str(folder), "ways").collect()
+
+
+def test_writing_grows_with_the_layer():
+    """Ten times the lines take about ten times the time, and the index still finds every record."""
+    made = lambda n: shape_files(3, [[LINE]] * n, ["fclass"], [["river"]] * n)
+    seconds = []
+    for n in (20_000, 200_000):
+        began = time.process_time()
+        files = made(n)
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 30 * seconds[0]
+    places = np.frombuffer(files[".shx"], ">i4", offset=100).reshape(-1, 2)[:, 0].astype(np.int64) * 2
+    assert len(places) == 200_000 and places[0] == 100 and (np.diff(places) == (len(files[".shp"]) - 100) // 200_000).all()
+
+
+def test_archives_are_bounded(spark, tmp_path, monkeypatch):
+    """More lines go to more archives, with the same rows in all."""
+    monkeypatch.setattr(fixtures, "ARCHIVE_FEATURES", 1000)
+    monkeypatch.setattr(fixtures, "shared_dir", lambda _: str(tmp_path))
+    path, layer = fixtures.raw_archives(spark, "/root/testdata/sf0.001")["streams"]
+    sizes = [r["count"] for r in read_shape_layer(spark, path, layer).groupBy("archive").count().collect()]
+    assert len(sizes) > fixtures.ARCHIVES and max(sizes) < 2000
+    assert sum(sizes) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
