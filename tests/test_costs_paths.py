@@ -2,7 +2,9 @@
 
 import math
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +225,26 @@ def test_dyadic_intervals():
     for a in range(-9, 9):
         for b in range(a, 30):
             assert sorted(x for level, k in spatial.dyadic(a, b) for x in range(k << level, (k + 1) << level)) == list(range(a, b))
+
+
+def test_distances_in_bands(spark):
+    """A task searches one row of squares at a time, and rounds between the rows give the distances of a whole search, around a wall too."""
+    rng = random.Random(5)
+    nodes, _ = grid(spark, [[rng.uniform(0, 3) for _ in range(12)] for _ in range(14)])
+    steps = cost.terrain_steps(nodes).filter("NOT (i BETWEEN 5 AND 7 AND j < 9) AND NOT (ni BETWEEN 5 AND 7 AND nj < 9)")
+    source = spark.createDataFrame([("g", 2, 1)], "grid_id string, i int, j int")
+    sources = source.selectExpr("grid_id", "'r' AS route_id", "1 AS leg", "i", "j").unionByName(source.selectExpr("grid_id", "'s' AS route_id", "2 AS leg", "12 AS i", "10 AS j"))
+    got = paths.distances(steps, sources, 4, band_squares=1).collect()
+    for route, start in (("r", source), ("s", source.selectExpr("grid_id", "12 AS i", "10 AS j"))):
+        relaxed = {(r.i, r.j): round(r.g, 12) for r in paths.relaxed_distances(steps, start).collect()}
+        assert {(r.i, r.j): round(r.g, 12) for r in got if r.route_id == route} == relaxed
+
+
+def test_squares_hold_their_costs_once():
+    side, n = 32, 200
+    part = np.random.default_rng(0).uniform(1, 2, (len(C.DIRECTIONS), side * side)).tobytes()
+    tracemalloc.start()
+    field = paths.Squares(np.arange(n), np.zeros(n, np.int64), [part] * n, side)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert field.cost.nbytes == n * len(part) and peak < 2.5 * n * len(part)
