@@ -44,7 +44,9 @@ FOLDS = 5
 FEATURES, NGRAM, LEXICON, LEXICON_LEAST = 1 << 16, 3, 20_000, 3
 STEPS, RATE, DECAY = 14, 0.15, 1e-3
 #: Words whose scores a worker keeps.
-CACHE = 300_000
+CACHE = 150_000
+#: Letters of whole texts that are labelled at once (more, if one text has more): arrays over all their words are held.
+LETTERS_AT_ONCE = 500_000
 UNKNOWN = "und"
 #: A text may hold so many times the unknown n-grams of the held-out training rows
 #: (of the one in a hundred with the most), and this share of them in any case.
@@ -289,6 +291,19 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
         keep = max(1, keep // 8)
 
 
+def _portions(texts: list[str | None]):
+    """The texts in order, some ``LETTERS_AT_ONCE`` letters at a time."""
+    begin, letters = 0, 0
+    for k, text in enumerate(texts):
+        n = len(text or "")
+        if k > begin and letters + n > LETTERS_AT_ONCE:
+            yield texts[begin:k]
+            begin, letters = k, 0
+        letters += n
+    if begin < len(texts):
+        yield texts[begin:]
+
+
 class Labeller:
     """Scores of words, kept for a bounded number of them."""
 
@@ -325,6 +340,9 @@ class Labeller:
 
     def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """Runs of words with one label in each text: first word, word behind the last, label. A word without a letter goes with the run before it."""
+        return [runs for portion in _portions(texts) for runs in self._spans(portion)]
+
+    def _spans(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         ids, lengths = self.word_ids(texts)
         owner, place = np.repeat(np.arange(len(texts)), lengths), np.concatenate([np.arange(n) for n in lengths.tolist()] or [np.zeros(0, int)])
         owner, place, ids = owner[ids >= 0], place[ids >= 0], ids[ids >= 0]
@@ -346,6 +364,13 @@ class Labeller:
 
     def measured(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """Language, score, and the mean share of known n-grams over the words."""
+        found: tuple[list[str], list[float], list[float]] = [], [], []
+        for portion in _portions(texts):
+            for whole, part in zip(found, self._measured(portion)):
+                whole += part
+        return found
+
+    def _measured(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         ids, lengths = self.word_ids(texts)
         owner = np.repeat(np.arange(len(texts)), lengths)[ids >= 0]
         ids = ids[ids >= 0]

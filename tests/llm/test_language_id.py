@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 
+from fellway.llm import language_id as L
 from fellway.llm.language_id import Labeller, fit, forward_backward, has_letter, identify, known_language, labelled_spans, posteriors, train, word_scores, words_of
 
 SF = "/root/testdata/sf0.01"
@@ -131,3 +132,26 @@ def test_words_of_code_switched_text(spark):
         switched += len(r.spans) > 1
     print("word accuracy", right / total)
     assert right / total > 0.9 and switched > 0.9 * len(mixed)
+
+
+def test_a_worker_holds_the_arrays_of_few_texts(monkeypatch):
+    """Texts are labelled some at a time: the peak doesn't grow with the batch, and results are those of the whole batch."""
+    import tracemalloc
+
+    words = {"a": ["ana", "bela", "casa", "dona"], "b": ["og", "det", "hus", "vand"]}
+    model = L.fit([(" ".join(w * 5), lang) for lang, w in words.items() for _ in range(4)])
+    texts = [None, "", "12 3", *(" ".join(words["ab"[k % 2]] * 300) for k in range(400))]
+
+    def measured(letters):
+        monkeypatch.setattr(L, "LETTERS_AT_ONCE", letters)
+        own = L.Labeller(model, shares=True)
+        tracemalloc.start()
+        found = own.measured(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found, own.spans(texts), peak
+
+    whole, some = measured(10**9), measured(50_000)
+    assert whole[:2] == some[:2] and whole[0][0][:5] == ["und", "und", "und", "a", "b"]
+    assert some[2] < whole[2] / 5
+    assert [len(x) for x in L._portions(["x" * L.LETTERS_AT_ONCE, "y", None, "z" * 60_000])] == [1, 2, 1] and not list(L._portions([]))
