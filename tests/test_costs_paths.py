@@ -248,3 +248,24 @@ def test_squares_hold_their_costs_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert field.cost.nbytes == n * len(part) and peak < 2.5 * n * len(part)
+
+
+def test_paths_by_tiles_are_those_of_a_whole_search(spark):
+    """A task holds one tile of squares, however long the grid and the path, which winds around walls and comes back to tiles it left."""
+    rng = random.Random(8)
+    nodes, _ = grid(spark, [[rng.randint(0, 2) * 1.0 for _ in range(9)] for _ in range(26)])
+    walls = "((i BETWEEN 6 AND 8 AND j < 7) OR (i BETWEEN 14 AND 16 AND j > 1))"
+    steps = cost.terrain_steps(nodes).filter(f"NOT {walls} AND NOT {walls.replace('i B', 'ni B').replace('j ', 'nj ')}")
+    legs = spark.createDataFrame([("g", "down", 1, 0, 0, 25, 8), ("g", "up", 2, 25, 8, 0, 0), ("g", "near", 1, 5, 0, 9, 0), ("g", "wall", 1, 0, 0, 7, 1)], "grid_id string, route_id string, leg int, si int, sj int, gi int, gj int")
+    whole = sorted(paths.leg_paths(steps, legs).collect())
+    assert sorted({r.route_id for r in whole}) == ["down", "near", "up"]
+    assert sorted(paths.leg_paths(steps, legs, most_squares=4, side=2).collect()) == whole
+    # A tile's costs are held once, and its width follows the narrow grid, so that long grids take few rounds.
+    side = 32
+    part = np.random.default_rng(0).uniform(1, 2, (len(C.DIRECTIONS), side * side)).tobytes()
+    none = np.zeros(0, np.int64)
+    tracemalloc.start()
+    tile = paths.Tile(np.arange(128), np.zeros(128, np.int64), [part] * 128, side, none, none)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tile.cost.nbytes < 1.2 * 128 * len(part) and peak < 2.5 * 128 * len(part)
