@@ -5,6 +5,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,3 +270,23 @@ def test_paths_by_tiles_are_those_of_a_whole_search(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert tile.cost.nbytes < 1.2 * 128 * len(part) and peak < 2.5 * 128 * len(part)
+
+
+def test_a_task_of_the_search_holds_one_tile(spark):
+    """Searching and tracing a tile of the greatest size takes little beyond its costs, so a worker's memory does not follow the grid."""
+    side, n = cost.SIDE, paths.TILE_SQUARES // 2
+    part = np.random.default_rng(1).uniform(1, 2, (len(C.DIRECTIONS), side * side)).tobytes()
+    bi, bj = np.repeat(np.arange(n, dtype=np.int32), 2), np.tile(np.arange(2, dtype=np.int32), n)
+    squares = pa.table({"bi": bi, "bj": bj, "cost": pa.array([part] * (2 * n), pa.binary())})
+    goal = (n * side - 1) << 32 | 2 * side - 1
+    label = {"grid_id": "g", "route_id": "r", "leg": pa.array([1], pa.int32()), "goal": [goal], "ti": pa.array([0], pa.int32()), "tj": pa.array([0], pa.int32()), "node": [0], "g": [0.0], "pred": [-1], "most": pa.array([None], pa.float64())}
+    labels = pa.table({c: v if isinstance(v, (list, pa.Array)) else [v] for c, v in label.items()})
+    asked = pa.concat_tables([labels.append_column("asked", [[False]]), labels.set_column(6, "node", [[goal]]).append_column("asked", [[True]])])
+    tiles = paths.Tiles(n * side, 2 * side, side)
+    tracemalloc.start()
+    found, traced = tiles.search(squares, labels), tiles.trace(squares, asked)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert goal in found.column("node").to_pylist()
+    assert traced.column("crossings").to_pylist()[0][0]["before"] == -1
+    assert peak < 3 * 2 * n * len(part)
