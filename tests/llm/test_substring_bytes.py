@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from fellway.llm.substring_bytes import Suffixes, least_places, repeated_bytes, sorted_suffixes
+from fellway.llm.substring_bytes import Suffixes, least_places, op2_substring_bytes, repeated_bytes, sorted_suffixes
 
 
 def brute(rows, width):
@@ -56,6 +56,22 @@ def test_removal(spark):
     same(spark, corpus(3, 60, 500), 400, block_bytes=5000, bucket_bytes=9000)
 
 
+def test_query_tells_planted_passages_by_what_it_removes(spark, tmp_path):
+    """Passages of 60 words go where they have 400 bytes; the length of the input tells nothing."""
+    rng = random.Random(11)
+    some = lambda n, k: " ".join("".join(rng.choice("abcdefghé") for _ in range(k)) for _ in range(n))
+    long, short = some(60, 7), some(60, 4)
+    assert len(long.encode()) >= 400 > len(short.encode()) + 2
+    rows = [(k, some(20 + k, 6) + " " + ((long, short, some(60, 7))[k % 3]) + " " + some(20, 6)) for k in range(30)] + [(30, None), (31, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    frame = op2_substring_bytes(spark, str(tmp_path))
+    assert frame.dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
+    got = sorted(map(tuple, frame.collect()))
+    assert got == [(i, n, sum(b) - sum(a), len(a), hashlib.sha256(kept).hexdigest()) for i, n, a, b, kept in brute(rows, 400)]
+    assert all((r[2] >= len(long.encode())) == (r[0] < 30 and r[0] % 3 == 0) and (r[2] > 0) == (r[3] > 0) for r in got)
+    assert [r[1] for r in got] == [len((t or "").encode()) for _, t in rows]
+
+
 def test_hot_anchors(spark):
     rng = random.Random(7)
     some = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
