@@ -98,6 +98,14 @@ def ring_edges(rings: DataFrame, ring: str = "ring") -> DataFrame:
     return rings.select("gid", F.posexplode(ends).alias("seq", "e")).select("gid", "seq", "e.ax", "e.ay", F.col("e.q.x").alias("bx"), F.col("e.q.y").alias("by"))
 
 
+def line_edges(lines: DataFrame, points: str = "points") -> DataFrame:
+    """(gid, part, seq, ax, ay, bx, by): as ``cost.line_segments`` of the vertices of lines, each line within its own row."""
+    n = F.size(points)
+    ends = F.transform(F.slice(points, 1, n - 1), lambda p, k: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), F.element_at(F.col(points), (k + 2).cast("int")).alias("q")))
+    edges = lines.filter(n > 1).select("gid", "part", F.posexplode(ends).alias("seq", "e")).select("gid", "part", "seq", "e.ax", "e.ay", F.col("e.q.x").alias("bx"), F.col("e.q.y").alias("by"))
+    return edges.filter(~((F.col("ax") == F.col("bx")) & (F.col("ay") == F.col("by"))))
+
+
 def all_water(inland: DataFrame, ocean: DataFrame) -> DataFrame:
     return inland.unionByName(ocean)
 

@@ -211,22 +211,27 @@ def raw_archives(spark: SparkSession, sf_dir: str) -> dict[str, tuple[str, str]]
     x, y = F.lit(170.0) + (k % 100) * 0.01, F.lit(-41.0) - n * 0.01
     far = F.when(F.col("l_suppkey") % 13 == 0, F.lit(0.0)).otherwise(F.lit(0.001))
     line = F.when(n % 2 == 1, F.array(point(x, y), point(x + far, y), point(x + far, y + far))).otherwise(F.array(point(x, y), point(x + far, y)))
-    ways = osm_lines(spark, sf_dir).withColumn("parts", F.array(line))
+    ways = osm_lines(spark, sf_dir)
     closed = lambda corners: F.array(F.array(*corners, corners[0]))
     corner = lambda dc, dr: point(x_of(F.col("c0") + dc * F.col("radius")), y_of(F.col("r0") + dr * F.col("radius")))
-    lakes = diamonds(spark, sf_dir).select("gid", closed([corner(1, 0), corner(0, 1), corner(-1, 0), corner(0, -1)]).alias("parts"), F.lit("lake").alias("fclass"))
-    m = F.col("n_nationkey")
-    west, south = F.lit(178.05) + m * 0.2, F.lit(-40.0) - m * 0.1
+    lake = closed([corner(1, 0), corner(0, 1), corner(-1, 0), corner(0, -1)])
+    lakes = diamonds(spark, sf_dir).withColumn("fclass", F.lit("lake"))
+    west, south = F.lit(178.05) + F.col("gid") * 0.2, F.lit(-40.0) - F.col("gid") * 0.1
     sea = closed([point(west, south), point(west + 3, south), point(west + 3, south + 1), point(west, south + 1)])
-    oceans = table(spark, sf_dir, "nation").select(m.cast("long").alias("gid"), sea.alias("parts"), F.lit("ocean").alias("fclass"))
+    oceans = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("gid"), F.lit("ocean").alias("fclass"))
 
     def dealt(df: DataFrame, key: Column) -> DataFrame:
+        """Rows brought to their archives before they have shapes: a shape is much larger than what it is made from.
+
+        A stated number of partitions, which Spark does not merge for the sake of the small rows.
+        """
         n = max(ARCHIVES, math.ceil(df.count() / ARCHIVE_FEATURES))
-        return df.withColumn("archive", F.concat(F.lit("part"), F.pmod(F.xxhash64(key), F.lit(n)).cast("string")))
+        named = df.withColumn("archive", F.concat(F.lit("part"), F.pmod(F.xxhash64(key), F.lit(n)).cast("string")))
+        return named.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "archive").sortWithinPartitions("archive")
 
-    ways = ways.withColumn("gid", k * 8 + n)
-    for name, df, key, kind, fields in (("ways", ways, k, 3, ["fclass", "bridge"]), ("lakes", lakes, F.col("gid"), 5, ["fclass"]), ("oceans", oceans, F.col("gid"), 5, ["fclass"])):
-        write_archives(dealt(df, key), f"{base}/{name}", name, kind, fields).count()
+    own = F.col("gid")
+    for name, df, key, gid, parts, kind, fields in (("ways", ways, k, k * 8 + n, F.array(line), 3, ["fclass", "bridge"]), ("lakes", lakes, own, own, lake, 5, ["fclass"]), ("oceans", oceans, own, own, sea, 5, ["fclass"])):
+        write_archives(dealt(df, key).withColumns({"gid": gid, "parts": parts}), f"{base}/{name}", name, kind, fields).count()
     return {"streams": (f"{base}/ways", "ways"), "bridges": (f"{base}/ways", "ways"), "water": (f"{base}/lakes", "lakes"), "ocean": (f"{base}/oceans", "oceans")}
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..operators import cost, layers
+from ..operators import layers
 from ..operators.export import write_layers
 from ..sources.archives import read_shape_layer, with_fields
 from ..sources.files import exists
@@ -17,7 +17,7 @@ def line_layer(features: DataFrame) -> DataFrame:
     named = features.withColumn("gid", F.xxhash64("archive", "member", "gid"))
     split = layers.split_parts(named.select("gid", "parts"), kinds=("line",))
     lines = split.select("gid", "part", F.col("geometry.points").alias("points")).filter(layers.usable_line())
-    return cost.line_segments(layers.line_vertices(lines))
+    return layers.line_edges(lines)
 
 
 def polygon_layer(features: DataFrame, box: dict[str, float] | None = None) -> DataFrame:
@@ -46,9 +46,11 @@ def prepare_layers(spark: SparkSession, archives: dict[str, tuple[str, str]], ou
     """
     counted: dict[str, tuple[Observation, Observation]] = {}
     made: dict[str, DataFrame] = {}
-    for name, (path, prefix) in archives.items():
+    # Layers of one source share what is copied out of its archives.
+    read = {source: read_shape_layer(spark, *source) for source in dict.fromkeys(archives.values())}
+    for name, source in archives.items():
         counted[name] = Observation(f"{name} scanned"), Observation(f"{name} written")
-        features = read_shape_layer(spark, path, prefix).observe(counted[name][0], F.count("*").alias("n"))
+        features = read[source].observe(counted[name][0], F.count("*").alias("n"))
         if name == "streams":
             table = line_layer(layers.stream_lines(with_fields(features, "fclass")))
         elif name == "bridges":

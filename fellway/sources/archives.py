@@ -1,9 +1,12 @@
 """Shape layers inside zip archives as tables.
 
-A layer's members are taken out of their archives as streams, one task a member, into
-the shared folder; no archive is held in memory. A layer's file is then read in parts:
+A member of up to ``WHOLE_BYTES`` is read straight out of its archive, in a task of its own,
+so nothing unpacked lies on disk. A larger one is copied out of it as a stream, one task a
+member, into the shared folder; no archive is held in memory. It is then read in parts:
 its index file says where each record begins, so a part of ``PART_RECORDS`` records
 reads its own stretch of the shapes and of the attribute table, in a task of its own.
+
+Either way records become columns by whole arrays, some ``BATCH`` of them at once.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import struct
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import ExitStack, contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +27,10 @@ from pyspark.sql import functions as F
 from ..operators.shared import kept, shared_dir
 from .files import reading, writing
 
-#: Records of a layer that one task reads, and bytes of a member that are copied at once.
-PART_RECORDS, COPY_BYTES = 50_000, 8 << 20
-#: Features sent to Spark at once.
-BATCH = 2000
+#: Records of a layer that one task reads, bytes of a member's files that are unpacked in memory at most, and bytes of a member that are copied at once.
+PART_RECORDS, WHOLE_BYTES, COPY_BYTES = 50_000, 32 << 20, 8 << 20
+#: Features sent to Spark at once, and about the most bytes that their shapes have.
+BATCH, BATCH_BYTES = 2000, 4 << 20
 _POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 _PART = pa.struct([("kind", pa.string()), ("points", pa.list_(_POINT))])
 _FEATURES = pa.schema([
@@ -35,22 +39,46 @@ _FEATURES = pa.schema([
 ])
 FEATURES = "archive string, member string, gid bigint, attributes map<string,string>, parts array<struct<kind:string,points:array<struct<x:double,y:double>>>>, min_x double, min_y double, max_x double, max_y double"
 #: Shape types of the format, with or without heights and measures.
-_KINDS = {3: "line", 13: "line", 23: "line", 5: "polygon", 15: "polygon", 25: "polygon"}
-
-
-def shapes(data: bytes, at: int = 0) -> Iterator[tuple[str | None, list[np.ndarray], tuple[float, ...]]]:
-    """(kind, parts as arrays of x and y, box) of every record from a place on; null shapes have no parts."""
-    while at + 8 <= len(data):
-        size = 2 * struct.unpack_from(">i", data, at + 4)[0]
-        kind = _KINDS.get(struct.unpack_from("<i", data, at + 8)[0])
-        if kind is None:
-            yield None, [], (None,) * 4
-        else:
-            *box, n_parts, n_points = struct.unpack_from("<4d2i", data, at + 12)
-            starts = np.frombuffer(data, "<i4", n_parts, at + 52)
-            points = np.frombuffer(data, "<f8", 2 * n_points, at + 52 + 4 * n_parts).reshape(-1, 2)
-            yield kind, np.split(points, starts[1:]), tuple(box)
-        at += 8 + size
+_LINES, _POLYGONS = (3, 13, 23), (5, 15, 25)
+_HEAD = np.dtype([("box", "<f8", 4), ("parts", "<i4"), ("points", "<i4")])
+
+
+def _gathered(data: memoryview, at: np.ndarray, size: np.ndarray | int) -> bytes:
+    """Stretches of bytes, one after the other."""
+    stop = at + size
+    if len(at) and int(stop.max()) > len(data):
+        raise ValueError("a record goes on beyond the end of its file")
+    return b"".join([data[a:b] for a, b in zip(at.tolist(), stop.tolist())])
+
+
+def _shapes(data: memoryview, at: np.ndarray) -> list[pa.Array]:
+    """Parts and boxes of the records at some places; null shapes have no parts and no box."""
+    kind = np.frombuffer(_gathered(data, at + 8, 4), "<i4")
+    known = np.flatnonzero(np.isin(kind, _LINES + _POLYGONS))
+    head = np.frombuffer(_gathered(data, at[known] + 12, _HEAD.itemsize), _HEAD)
+    parts, points = head["parts"].astype(np.int64), head["points"].astype(np.int64)
+    starts = np.frombuffer(_gathered(data, at[known] + 52, 4 * parts), "<i4")
+    xy = np.frombuffer(_gathered(data, at[known] + 52 + 4 * parts, 16 * points), "<f8").reshape(-1, 2)
+    # The first part begins with the first point, the last one ends with the last.
+    held = np.maximum(parts, 1)
+    owner, first = np.repeat(np.arange(len(held)), held), np.cumsum(held) - held
+    begin = np.zeros(len(owner), np.int64)
+    later = np.ones(len(starts), bool)
+    later[(np.cumsum(parts) - parts)[parts > 0]] = False
+    begin[np.arange(len(owner)) != first[owner]] = starts[later]
+    begin = np.clip(begin, 0, points[owner])
+    stop = np.append(begin[1:], 0)
+    stop[first + held - 1] = points
+    size = np.maximum(stop - begin, 0)
+    if size.sum() != len(xy):
+        # Parts that overlap or run backwards.
+        xy = xy[np.repeat((np.cumsum(points) - points)[owner] + begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    offsets = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+    names = pa.array(["line", "polygon"]).take(pa.array(np.isin(kind[known], _POLYGONS).astype(np.int8)[owner]))
+    lines = pa.ListArray.from_arrays(offsets(size), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, k])) for k in (0, 1)], fields=list(_POINT)))
+    count, box, none = np.zeros(len(at), np.int64), np.zeros((len(at), 4)), np.ones(len(at), bool)
+    count[known], box[known], none[known] = held, head["box"], False
+    return [pa.ListArray.from_arrays(offsets(count), pa.StructArray.from_arrays([names, lines], fields=list(_PART))), *(pa.array(np.ascontiguousarray(box[:, k]), mask=none) for k in range(4))]
 
 
 class Attributes:
@@ -60,48 +88,66 @@ class Attributes:
         self.file, self.encoding = file, encoding
         self.count, self.head, self.width = struct.unpack_from("<IHH", file.read_at(32, 0), 4)
         fields, at, place = file.read_at(self.head, 0), 32, 1
-        self.fields = []
+        self.fields = {}
         while fields[at] != 0x0D:
-            self.fields.append((fields[at : at + 11].split(b"\0")[0].decode("ascii"), place, fields[at + 16]))
+            self.fields[fields[at : at + 11].split(b"\0")[0].decode("ascii")] = place, fields[at + 16]
             place, at = place + fields[at + 16], at + 32
 
-    def rows(self, first: int, n: int) -> Iterator[dict[str, str | None]]:
+    def rows(self, first: int, n: int) -> pa.MapArray:
         """Fields of records; blank ones are null."""
-        data = self.file.read_at(n * self.width, self.head + first * self.width)
-        for k in range(n):
-            row = data[k * self.width : (k + 1) * self.width]
-            yield {name: row[a : a + size].decode(self.encoding, "replace").strip(" \0") or None for name, a, size in self.fields}
+        data = self.file.read_at(n * self.width, self.head + first * self.width).ljust(n * self.width, b"\0")
+        cells = np.frombuffer(data, np.uint8).reshape(n, self.width)
+        columns = [pa.array([], pa.string())]
+        for at, size in self.fields.values():
+            own = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), n, [None, pa.py_buffer(cells[:, at : at + size].tobytes())]).dictionary_encode()
+            columns.append(pa.array([v.decode(self.encoding, "replace").strip(" \0") or None for v in own.dictionary.to_pylist()], pa.string()).take(own.indices))
+        m = len(self.fields)
+        values = pa.concat_arrays(columns).take(pa.array(np.arange(n * m).reshape(m, n).T.ravel()))
+        return pa.MapArray.from_arrays(pa.array(m * np.arange(n + 1), pa.int32()), pa.array(list(self.fields) * n, pa.string()), values)
+
 
+MEMBERS = "archive string, member string, bytes bigint, n bigint"
+COPIES = f"{MEMBERS}, copy string, encoding string"
+_COPIES = pa.schema([("archive", pa.string()), ("member", pa.string()), ("bytes", pa.int64()), ("n", pa.int64()), ("copy", pa.string()), ("encoding", pa.string())])
+_FILES = (".shp", ".shx", ".dbf")
 
-_MEMBERS = pa.schema([("archive", pa.string()), ("member", pa.string()), ("copy", pa.string()), ("encoding", pa.string())])
-MEMBERS = "archive string, member string, copy string, encoding string"
+
+def _beside(held: zipfile.ZipFile, member: str) -> dict[str, str | None]:
+    """The files of a member by ending, whose case may differ; null where there is none."""
+    names = {n.lower(): n for n in held.namelist()}
+    return {ending: names.get(member[:-4].lower() + ending) for ending in (*_FILES, ".cpg")}
+
+
+def _encoding(held: zipfile.ZipFile, names: dict[str, str | None]) -> str:
+    return held.read(names[".cpg"]).decode("ascii").strip() if names[".cpg"] else "utf-8"
 
 
 def layer_members(archives: DataFrame, prefix: str) -> DataFrame:
-    """(archive, member): the shape files of a layer in each archive (path), with the files beside them.
+    """(archive, member, bytes, n): the shape files of a layer in each archive (path), what they and the files beside them have unpacked, and their records.
 
     An archive without the layer, or a layer without its attribute table or its index,
     ends the read with an error.
     """
-    schema = pa.schema([("archive", pa.string()), ("member", pa.string())])
+    schema = pa.schema(list(_COPIES)[:4])
 
     def listed(batches):
         for batch in batches:
             out = []
             for archive in batch.column("path").to_pylist():
                 with reading(archive) as f, zipfile.ZipFile(f) as held:
-                    names = {n.lower() for n in held.namelist()}
                     found = [n for n in held.namelist() if n.lower().endswith(".shp") and os.path.basename(n).startswith(prefix)]
-                if not found:
-                    raise FileNotFoundError(f"no shape file of layer {prefix} in {archive}")
-                for member in found:
-                    for ending, what in ((".dbf", "attribute table"), (".shx", "index")):
-                        if member[:-4].lower() + ending not in names:
-                            raise FileNotFoundError(f"{member} in {archive} has no {what}")
-                    out.append((archive, member))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else ([], []))], schema=schema)
+                    if not found:
+                        raise FileNotFoundError(f"no shape file of layer {prefix} in {archive}")
+                    for member in found:
+                        names = _beside(held, member)
+                        for ending, what in ((".dbf", "attribute table"), (".shx", "index")):
+                            if names[ending] is None:
+                                raise FileNotFoundError(f"{member} in {archive} has no {what}")
+                        size = {ending: held.getinfo(names[ending]).file_size for ending in _FILES}
+                        out.append((archive, member, sum(size.values()), (size[".shx"] - 100) // 8))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, schema.types)], schema=schema)
 
-    return archives.select("path").mapInArrow(listed, "archive string, member string")
+    return archives.select("path").mapInArrow(listed, MEMBERS)
 
 
 def _tasks(df: DataFrame) -> int:
@@ -110,48 +156,65 @@ def _tasks(df: DataFrame) -> int:
 
 
 def extracted(members: DataFrame, folder: str) -> DataFrame:
-    """(archive, member, copy, encoding): each member and the files beside it copied to the folder, a stretch at a time.
+    """Members with ``copy`` and ``encoding``: each and the files beside it copied to the folder, a stretch at a time.
 
     ``copy`` is the path of the copies without their endings.
     """
 
     def copied(batches):
         for batch in batches:
-            out = []
+            copies, encodings = [], []
             for archive, member in zip(*(batch.column(c).to_pylist() for c in ("archive", "member"))):
-                copy, encoding = f"{folder}/{uuid.uuid4().hex}", "utf-8"
+                copies.append(f"{folder}/{uuid.uuid4().hex}")
                 with reading(archive) as f, zipfile.ZipFile(f) as held:
-                    names = {n.lower(): n for n in held.namelist()}
-                    for ending in (".shp", ".shx", ".dbf"):
-                        with held.open(names[member[:-4].lower() + ending]) as source, writing(copy + ending) as target:
+                    names = _beside(held, member)
+                    for ending in _FILES:
+                        with held.open(names[ending]) as source, writing(copies[-1] + ending) as target:
                             while part := source.read(COPY_BYTES):
                                 target.write(part)
-                    if (name := names.get(member[:-4].lower() + ".cpg")) is not None:
-                        encoding = held.read(name).decode("ascii").strip()
-                out.append((archive, member, copy, encoding))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else [[]] * 4)], schema=_MEMBERS)
+                    encodings.append(_encoding(held, names))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copies, pa.string()), pa.array(encodings, pa.string())], schema=_COPIES)
 
-    return members.repartition(_tasks(members), "archive", "member").mapInArrow(copied, MEMBERS)
+    return members.repartition(_tasks(members), "archive", "member").mapInArrow(copied, COPIES)
 
 
-def _records(copy: str, encoding: str, first: int, n: int) -> Iterator[tuple]:
-    """(gid, attributes, parts, box) of some records of an extracted layer."""
-    with reading(copy + ".shx") as f:
-        index = np.frombuffer(f.read_at(8 * n, 100 + 8 * first), ">i4").reshape(-1, 2).astype(np.int64) * 2
-    begin, stop = int(index[0, 0]), int(index[-1, 0] + index[-1, 1]) + 8
-    with reading(copy + ".shp") as f:
-        data = f.read_at(stop - begin, begin)
-    with reading(copy + ".dbf") as f:
-        fields = list(Attributes(f, encoding).rows(first, n))
-    # Records need not lie in the order of the index, nor side by side.
-    for k, own in enumerate(fields):
-        kind, parts, box = next(shapes(data, int(index[k, 0]) - begin)) if begin <= index[k, 0] < stop else next(_alone(copy, index[k]))
-        yield first + k, list(own.items()), [{"kind": kind, "points": [{"x": x, "y": y} for x, y in p.tolist()]} for p in parts], *box
-
-
-def _alone(copy: str, entry: np.ndarray) -> Iterator[tuple]:
-    with reading(copy + ".shp") as f:
-        yield from shapes(f.read_at(int(entry[1]) + 8, int(entry[0])))
+@contextmanager
+def _opened(archive: str, member: str, copy: str | None, encoding: str | None):
+    """(shapes, index, attributes) of a member: of its copy, or, where there is none, unpacked in memory."""
+    with ExitStack() as open_:
+        if copy is not None:
+            shp, shx, dbf = (open_.enter_context(reading(copy + ending)) for ending in _FILES)
+        else:
+            with reading(archive) as f, zipfile.ZipFile(f) as held:
+                names = _beside(held, member)
+                shp, shx, dbf = (pa.BufferReader(held.read(names[ending])) for ending in _FILES)
+                encoding = _encoding(held, names)
+        yield shp, shx, Attributes(dbf, encoding)
+
+
+def _stretch(shp, place: np.ndarray, size: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The bytes of records, and where each begins in them: one read, unless they lie far apart, as records need not lie in the order of the index."""
+    begin, stop = int(place.min()), int((place + size).max())
+    if stop - begin <= 2 * int(size.sum()):
+        return memoryview(shp.read_at(stop - begin, begin)), place - begin
+    each = [shp.read_at(n, at) for at, n in zip(place.tolist(), size.tolist())]
+    if sum(map(len, each)) < size.sum():
+        raise ValueError("a record goes on beyond the end of its file")
+    return memoryview(b"".join(each)), np.cumsum(size) - size
+
+
+def _features(archive: str, member: str, files: tuple, first: int, n: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Some records of a member, at most ``most`` at once."""
+    shp, shx, attributes = files
+    index = np.frombuffer(shx.read_at(8 * n, 100 + 8 * first), ">i4").reshape(-1, 2).astype(np.int64) * 2
+    place, size = index[:, 0], index[:, 1] + 8
+    before, at = np.concatenate([[0], np.cumsum(size)]), 0
+    while at < len(index):
+        stop = min(at + most, max(at + 1, int(np.searchsorted(before, before[at] + BATCH_BYTES, "right")) - 1))
+        parts, *box = _shapes(*_stretch(shp, place[at:stop], size[at:stop]))
+        named = [pa.array([name] * (stop - at), pa.string()) for name in (archive, member)]
+        yield pa.RecordBatch.from_arrays([*named, pa.array(np.arange(first + at, first + stop)), attributes.rows(first + at, stop - at), parts, *box], schema=_FEATURES)
+        at = stop
 
 
 def read_shape_layer(spark: SparkSession, path: str, prefix: str, part_records: int = PART_RECORDS) -> DataFrame:
@@ -161,38 +224,26 @@ def read_shape_layer(spark: SparkSession, path: str, prefix: str, part_records:
     stored box.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
-    # Written, so that each member is copied once whatever reads it.
-    copies = kept(extracted(layer_members(files, prefix), f"{shared_dir(spark)}/members-{uuid.uuid4().hex}"), "members")
-
-    def counted(batches):
-        for batch in batches:
-            n = []
-            for copy in batch.column("copy").to_pylist():
-                with reading(copy + ".shx") as f:
-                    n.append((f.size() - 100) // 8)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], schema=_MEMBERS.append(pa.field("n", pa.int64())))
-
-    step = F.lit(part_records).cast("long")
-    sized = copies.mapInArrow(counted, MEMBERS + ", n bigint").filter("n > 0")
-    parts = sized.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step)).alias("first")).withColumn("size", F.least(step, F.col("n") - F.col("first"))).repartition(_tasks(copies), "copy", "first")
+    members = kept(layer_members(files, prefix), "members")
+    none = F.lit(None).cast("string")
+    parts = members.filter(F.col("bytes") <= WHOLE_BYTES).select("archive", "member", none.alias("copy"), none.alias("encoding"), F.lit(0).cast("long").alias("first"), F.col("n").alias("size"))
+    large = members.filter(F.col("bytes") > WHOLE_BYTES)
+    if not large.isEmpty():
+        # Written, so that each member is copied once whatever reads it.
+        copies = kept(extracted(large, f"{shared_dir(spark)}/copies-{uuid.uuid4().hex}"), "copies")
+        step = F.lit(part_records).cast("long")
+        cut = copies.filter("n > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step)).alias("first"))
+        parts = parts.unionByName(cut.select("archive", "member", "copy", "encoding", "first", F.least(step, F.col("n") - F.col("first")).alias("size")))
+    most = min(BATCH, part_records)
 
     def read(batches):
         for batch in batches:
             for archive, member, copy, encoding, first, size in zip(*(batch.column(c).to_pylist() for c in ("archive", "member", "copy", "encoding", "first", "size"))):
-                rows = []
-                for row in _records(copy, encoding, first, size):
-                    rows.append((archive, member, *row))
-                    if len(rows) == BATCH:
-                        yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
-
-    return parts.mapInArrow(read, FEATURES)
-
+                with _opened(archive, member, copy, encoding) as opened:
+                    yield from _features(archive, member, opened, first, size, most)
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FEATURES.types)], schema=_FEATURES)
+    # Dealt in turn: members and parts have about one size, and each is some work.
+    return parts.filter("size > 0").repartition(_tasks(parts)).mapInArrow(read, FEATURES)
 
 
 def _packed(kind: int, parts: np.ndarray, sizes: np.ndarray, points: np.ndarray) -> tuple[bytes, bytes]:

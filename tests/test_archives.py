@@ -2,13 +2,17 @@
 
 import time
 import zipfile
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fellway.operators import cost, layers
+from fellway.operators.shared import shared_dir
 from fellway.plans import fixtures
-from fellway.plans.prepare import prepare_layers
+from fellway.plans.prepare import line_layer, prepare_layers
+from fellway.sources import archives
 from fellway.sources.archives import read_shape_layer, shape_files
 from fellway.sources.layers import read_layer
 
@@ -100,3 +104,63 @@ def test_archives_are_bounded(spark, tmp_path, monkeypatch):
     sizes = [r["count"] for r in read_shape_layer(spark, path, layer).groupBy("archive").count().collect()]
     assert len(sizes) > fixtures.ARCHIVES and max(sizes) < 2000
     assert sum(sizes) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+
+def unpacked(spark):
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    return {f for ending in ("shp", "shx", "dbf") for f in folder.rglob(f"*.{ending}")}
+
+
+def test_members_are_not_unpacked_on_disk(spark, raw, tmp_path):
+    """The job leaves no copy of a member that memory holds, and one copy of a larger one, whatever reads it."""
+    wanted, before = {"streams": (raw, "roads"), "bridges": (raw, "roads")}, unpacked(spark)
+    prepare_layers(spark, wanted, str(tmp_path / "small"))
+    assert unpacked(spark) == before
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(archives, "WHOLE_BYTES", 0)
+        counts = prepare_layers(spark, wanted, str(tmp_path / "large"))
+    assert len(unpacked(spark) - before) == 3 and counts["bridges"] == {"scanned": 3, "written": 2}
+
+
+def test_copied_members_give_the_same_features(spark, tmp_path, monkeypatch):
+    """Lines of several parts, null shapes, and an index whose records lie in another order, far from each other."""
+    lines = [[[(float(k), float(n)) for n in range(2 + (k + m) % 5)] for m in range(k % 4)] for k in range(41)]
+    files = shape_files(3, lines, ["fclass", "bridge"], [[f"{k}é", "T" if k % 2 else None] for k in range(41)])
+    index = np.frombuffer(files[".shx"], ">i4", offset=100).reshape(-1, 2)
+    order = np.random.default_rng(1).permutation(41)
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for ending, content in (files | {".shx": files[".shx"][:100] + index[order].tobytes()}).items():
+            z.writestr(f"data/ways_1{ending}", content)
+    key = lambda df: sorted((r.gid, str(r.attributes), str([[(p.kind, [(q.x, q.y) for q in p.points]) for p in r.parts], r.min_x, r.max_y])) for r in df.collect())
+    whole = key(read_shape_layer(spark, str(tmp_path), "ways"))
+    assert [eval(shape)[0] for _, _, shape in whole] == [[("line", part) for part in lines[k]] for k in order] and whole[3][1] == str({"fclass": "3é", "bridge": "T"})
+    monkeypatch.setattr(archives, "WHOLE_BYTES", 0)
+    assert key(read_shape_layer(spark, str(tmp_path), "ways", 7)) == whole == key(read_shape_layer(spark, str(tmp_path), "ways", 1))
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for ending, content in (files | {".shp": files[".shp"][:-9]}).items():
+            z.writestr(f"data/ways_1{ending}", content)
+    for most in (0, 1 << 20):
+        monkeypatch.setattr(archives, "WHOLE_BYTES", most)
+        with pytest.raises(Exception, match="beyond the end of its file"):
+            read_shape_layer(spark, str(tmp_path), "ways").collect()
+
+
+def test_lines_become_edges_without_a_shuffle(spark, raw, tmp_path):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    features = read_shape_layer(spark, raw, "ways")
+    made = line_layer(features)
+    assert plan(made).count("Exchange") == plan(features).count("Exchange")
+    lines = spark.createDataFrame([(1, 0, [(0.0, 0.0), (1.0, 0.0), (1.0, 0.0), (0.0, 2.0)]), (1, 1, [(5.0, 5.0), (5.0, 6.0)]), (2, 0, [(1.0, 1.0)]), (3, 0, [])], "gid int, part int, points array<struct<x:double,y:double>>")
+    assert sorted(layers.line_edges(lines).collect()) == sorted(cost.line_segments(layers.line_vertices(lines)).collect()) and layers.line_edges(lines).count() == 3
+
+
+def test_shapes_are_made_where_their_archive_is_written(spark, tmp_path, monkeypatch):
+    """What is brought to an archive are the columns that its shapes are made from."""
+    monkeypatch.setattr(fixtures, "shared_dir", lambda _: str(tmp_path))
+    plans = []
+    write = fixtures.write_archives
+    monkeypatch.setattr(fixtures, "write_archives", lambda df, *rest: plans.append(write(df, *rest)) or plans[-1])
+    fixtures.raw_archives(spark, "/root/testdata/sf0.001")
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Exchange")
+        assert len(plan) == 2 and "array(" in plan[0] and "array(" not in plan[1] and "Sort" not in plan[0].split("array(")[0]
